@@ -147,3 +147,194 @@ ORDER BY n_rows DESC, metadata_id LIMIT 10""")
 oracle("q17_rows_per_header", ["top_tokens"], """
 SELECT token_impact_id, count(*) AS n_rows FROM top_tokens GROUP BY token_impact_id
 ORDER BY n_rows DESC, token_impact_id LIMIT 10""")
+
+
+# --------------------------------------------------------------------------- L
+def _fold(src: str, tag: str) -> list[tuple[str, str]]:
+    """First change and latest 'updated' change per page of ``src``."""
+    return [
+        (f"first{tag}", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ts, event_id) AS rn
+                             FROM {src}) WHERE rn = 1"""),
+        (f"upd{tag}", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ts DESC, event_id DESC) AS rn
+                           FROM {src} WHERE action = 'updated') WHERE rn = 1"""),
+    ]
+
+
+def _mut(u: str, base: str) -> str:
+    pick = f"CASE WHEN {u}.page_id IS NOT NULL THEN {u}.%s ELSE {base}.%s END"
+    return ", ".join([
+        (pick % ("revision_id", "revision_id")) + " AS revision_id",
+        (pick % ("ts", "ts")) + " AS ts",
+        (pick % ("content_hash", "content_hash")) + " AS content_hash",
+        (pick % ("action", "action")) + " AS action",
+    ])
+
+
+_NEWCOLS = "false AS is_revision, CAST(NULL AS VARCHAR) AS parent_id, CAST(NULL AS INTEGER) AS revision_number"
+_S1 = _fold("fo", "1") + [
+    ("s1", f"""SELECT row_number() OVER (ORDER BY f.ts, f.event_id, f.page_id) AS id, f.title, f.page_id,
+                      {_mut('u', 'f')}, {_NEWCOLS}
+               FROM first1 f LEFT JOIN upd1 u ON u.page_id = f.page_id"""),
+]
+_FEEDH = "SELECT *, sha256(content) AS content_hash FROM {src}"
+_S1_CTES = [("fo", _FEEDH.format(src="feed_old")), ("fn", _FEEDH.format(src="feed_new"))] + _S1
+
+oracle("l01_upsert_entries", ["feed_old", "feed_new"], "SELECT * FROM s2", _S1_CTES + _fold("fn", "2") + [
+    ("s2", f"""SELECT e.id, e.title, e.page_id, {_mut('u', 'e')}, e.is_revision, e.parent_id, e.revision_number
+               FROM s1 e LEFT JOIN upd2 u ON u.page_id = e.page_id
+               UNION ALL
+               SELECT (SELECT coalesce(max(id), 0) FROM s1) + row_number() OVER (ORDER BY f.ts, f.event_id, f.page_id),
+                      f.title, f.page_id, {_mut('u', 'f')}, {_NEWCOLS}
+               FROM first2 f LEFT JOIN upd2 u ON u.page_id = f.page_id
+               WHERE f.page_id NOT IN (SELECT page_id FROM s1)"""),
+])
+
+oracle("l01_upsert_metadata", ["feed_old", "feed_new"], """
+SELECT id, id AS entry_id, false AS used_in_training, CAST(NULL AS TIMESTAMP) AS training_timestamp,
+       CAST(NULL AS VARCHAR) AS model_checkpoint, CAST(NULL AS DOUBLE) AS average_loss,
+       CAST(NULL AS DOUBLE) AS relative_loss
+FROM (SELECT id FROM s1 UNION ALL
+      SELECT (SELECT coalesce(max(id), 0) FROM s1) + row_number() OVER (ORDER BY ts, event_id, page_id)
+      FROM first2 WHERE page_id NOT IN (SELECT page_id FROM s1))""", _S1_CTES + _fold("fn", "2"))
+
+oracle("l02_append_log", ["feed"], """
+SELECT event_id, title, page_id, revision_id, ts, sha256(content) AS content_hash, action FROM feed""")
+
+oracle("l03_log_revisions", ["feed"], """
+SELECT page_id || '_' || revision_id AS page_id, title, revision_id, ts, sha256(content) AS content_hash,
+       'added' AS action, true AS is_revision, page_id AS parent_id, CAST(rn AS INTEGER) AS revision_number
+FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ts DESC, revision_id DESC) AS rn FROM feed)
+WHERE rn <= 5""")
+
+oracle("l04_fingerprint", [], "SELECT doc_id, sha256(text) AS content_hash FROM documents")
+
+oracle("l05_rejected", [], """
+SELECT event_id, page_id, action, 'action not in added/updated/removed: ' || coalesce(action, 'null') AS reject_reason
+FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS page_id,
+             CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' WHEN 'click' THEN 'updated'
+                  ELSE event_type END AS action FROM events)
+WHERE action NOT IN ('added', 'updated', 'removed') OR action IS NULL""")
+
+_SNAP = [("snap", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ts DESC, event_id DESC) AS rn
+                     FROM feed_new) WHERE rn = 1""")]
+oracle("l06_needs_update", ["feed_old", "feed_new"], """
+SELECT s.page_id, s.revision_id, (e.page_id IS NULL OR e.revision_id <> s.revision_id) AS needs_update
+FROM snap s LEFT JOIN s1 e ON e.page_id = s.page_id""", _S1_CTES + _SNAP)
+
+oracle("l07_label_changes", ["feed_old", "feed_new"], """
+SELECT s.page_id, s.revision_id, CASE WHEN e.page_id IS NOT NULL THEN 'updated' ELSE 'added' END AS action
+FROM snap s LEFT JOIN s1 e ON e.page_id = s.page_id
+WHERE e.page_id IS NULL OR e.revision_id <> s.revision_id""", _S1_CTES + _SNAP)
+
+oracle("l08_incremental_apply", ["feed_old", "feed_new"], """
+SELECT e.id, e.title, e.page_id,
+       CASE WHEN s.page_id IS NOT NULL AND s.revision_id <> e.revision_id THEN s.revision_id ELSE e.revision_id END AS revision_id,
+       CASE WHEN s.page_id IS NOT NULL AND s.revision_id <> e.revision_id THEN s.ts ELSE e.ts END AS ts,
+       CASE WHEN s.page_id IS NOT NULL AND s.revision_id <> e.revision_id THEN sha256(s.content) ELSE e.content_hash END AS content_hash,
+       CASE WHEN s.page_id IS NOT NULL AND s.revision_id <> e.revision_id THEN 'updated' ELSE e.action END AS action,
+       e.is_revision, e.parent_id, e.revision_number
+FROM s1 e LEFT JOIN snap s ON s.page_id = e.page_id
+UNION ALL
+SELECT (SELECT coalesce(max(id), 0) FROM s1) + row_number() OVER (ORDER BY s.ts, s.event_id, s.page_id), s.title,
+       s.page_id, s.revision_id, s.ts, sha256(s.content), 'added', """ + _NEWCOLS + """
+FROM snap s WHERE s.page_id NOT IN (SELECT page_id FROM s1)""", _S1_CTES + _SNAP)
+
+_L9 = [
+    ("lab", "SELECT doc_id FROM labels WHERE quality = 0"),
+    ("pt", "SELECT page_id, CAST(regexp_extract(page_id, '(\\d+)$', 1) AS BIGINT) AS doc_id FROM page_texts"),
+    ("picked", "SELECT * FROM pt WHERE doc_id IN (SELECT doc_id FROM lab)"),
+    ("hit", """SELECT e.id AS entry_id, p.page_id, p.doc_id, fm.meta_id FROM picked p JOIN entries e ON e.page_id = p.page_id
+               LEFT JOIN (SELECT entry_id, min(id) AS meta_id FROM meta GROUP BY entry_id) fm ON fm.entry_id = e.id"""),
+    ("hit2", """SELECT h.*, CASE WHEN h.meta_id IS NULL THEN (SELECT max(id) FROM meta)
+                                   + row_number() OVER (PARTITION BY h.meta_id IS NULL ORDER BY h.entry_id) END AS new_meta_id,
+                       d.n_chars, d.doc_id % 3 <> 0 AS has_loss, d.n_chars / 1000.0::DOUBLE AS average_loss,
+                       CASE WHEN d.doc_id % 4 <> 0 THEN d.n_chars / 10000.0::DOUBLE END AS relative_loss
+                FROM hit h JOIN documents d ON d.doc_id = h.doc_id"""),
+    ("upd", "SELECT coalesce(meta_id, new_meta_id) AS mid, * FROM hit2"),
+    ("tt", "SELECT * FROM top_tokens"),
+    ("imp", """SELECT token_impact_id AS doc_id, count(*) AS total_tokens FROM tt GROUP BY token_impact_id"""),
+    ("newh", """SELECT (SELECT max(id) FROM token_impacts) + row_number() OVER (ORDER BY u.mid) AS id,
+                       u.mid AS metadata_id, i.total_tokens, u.doc_id
+                FROM upd u JOIN imp i ON i.doc_id = u.doc_id"""),
+]
+oracle("l09_mark_used_metadata", ["entries", "meta", "token_impacts", "top_tokens", "page_texts"], """
+SELECT m.id, m.entry_id,
+       CASE WHEN u.mid IS NOT NULL THEN true ELSE m.used_in_training END AS used_in_training,
+       CASE WHEN u.mid IS NOT NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE m.training_timestamp END AS training_timestamp,
+       CASE WHEN u.mid IS NOT NULL THEN 'ckpt-new' ELSE m.model_checkpoint END AS model_checkpoint,
+       round(CASE WHEN u.has_loss THEN u.average_loss ELSE m.average_loss END, 6) AS average_loss,
+       round(CASE WHEN u.has_loss THEN coalesce(u.relative_loss, 0.0) ELSE m.relative_loss END, 6) AS relative_loss
+FROM meta m LEFT JOIN upd u ON u.mid = m.id
+UNION ALL
+SELECT new_meta_id, entry_id, true, TIMESTAMP '2024-02-01 00:00:00', 'ckpt-new',
+       round(CASE WHEN has_loss THEN average_loss END, 6),
+       round(CASE WHEN has_loss THEN coalesce(relative_loss, 0.0) END, 6)
+FROM upd WHERE new_meta_id IS NOT NULL""", _L9)
+
+oracle("l09_mark_used_headers", ["entries", "meta", "token_impacts", "top_tokens", "page_texts"],
+       "SELECT id, metadata_id, total_tokens FROM newh", _L9)
+
+oracle("l09_mark_used_tokens", ["entries", "meta", "token_impacts", "top_tokens", "page_texts"], """
+SELECT (SELECT max(token_impact_id * 10 + position) FROM top_tokens)
+         + row_number() OVER (ORDER BY h.id, t.position, t.token_id, t.impact, t.context_start, t.context_end) AS id,
+       h.id AS token_impact_id, t.token_id, CAST(t.position AS INTEGER) AS position, round(t.impact, 6) AS impact,
+       CAST(CASE WHEN t.position = 0 THEN t.position ELSE t.context_start END AS INTEGER) AS context_start,
+       CAST(CASE WHEN t.position = 0 THEN t.position ELSE t.context_end END AS INTEGER) AS context_end
+FROM newh h JOIN top_tokens t ON t.token_impact_id = h.doc_id""", _L9)
+
+_TOP10 = [("top10", """SELECT e.id AS entry_id FROM entries e JOIN meta m ON e.id = m.entry_id
+                      WHERE m.id IN (SELECT metadata_id FROM token_impacts) GROUP BY e.id ORDER BY e.id LIMIT 10""")]
+oracle("l10_set_used_flags", ["entries", "meta", "token_impacts"], """
+SELECT id, entry_id, entry_id IN (SELECT entry_id FROM top10) AS used_in_training, training_timestamp,
+       model_checkpoint, round(average_loss, 6) AS average_loss, round(relative_loss, 6) AS relative_loss
+FROM meta""", _TOP10)
+
+oracle("l11_kept_entries", ["entries", "meta"], """
+SELECT * FROM entries WHERE id IN (SELECT entry_id FROM meta WHERE used_in_training)""")
+
+oracle("l11_kept_counts", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT (SELECT count(*) FROM entries WHERE id NOT IN (SELECT entry_id FROM meta WHERE used_in_training)) AS removed_entries,
+       (SELECT count(*) FROM km) AS kept_metadata, (SELECT count(*) FROM kh) AS kept_headers,
+       (SELECT count(*) FROM top_tokens WHERE token_impact_id IN (SELECT id FROM kh)) AS kept_tokens""", [
+    ("km", "SELECT * FROM meta WHERE entry_id IN (SELECT entry_id FROM meta WHERE used_in_training)"),
+    ("kh", "SELECT * FROM token_impacts WHERE metadata_id IN (SELECT id FROM km)"),
+])
+
+oracle("l12_reset_metadata", ["entries", "meta"], """
+SELECT (SELECT max(id) FROM meta) + row_number() OVER (ORDER BY id) AS id, id AS entry_id,
+       false AS used_in_training, CAST(NULL AS TIMESTAMP) AS training_timestamp,
+       CAST(NULL AS VARCHAR) AS model_checkpoint, CAST(NULL AS DOUBLE) AS average_loss,
+       CAST(NULL AS DOUBLE) AS relative_loss
+FROM entries""")
+
+oracle("l14_trim_metadata", ["entries", "meta", "token_impacts"], """
+SELECT id, entry_id, CASE WHEN d THEN false ELSE used_in_training END AS used_in_training,
+       CASE WHEN d THEN NULL ELSE training_timestamp END AS training_timestamp,
+       CASE WHEN d THEN NULL ELSE model_checkpoint END AS model_checkpoint,
+       round(CASE WHEN d THEN NULL ELSE average_loss END, 6) AS average_loss,
+       round(CASE WHEN d THEN NULL ELSE relative_loss END, 6) AS relative_loss
+FROM (SELECT *, used_in_training AND entry_id NOT IN (SELECT entry_id FROM top10) AS d FROM meta)""", _TOP10)
+
+oracle("l14_trim_counts", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT (SELECT count(*) FROM tr) AS trimmed_metadata,
+       (SELECT count(*) FROM token_impacts WHERE metadata_id NOT IN (SELECT id FROM tr)) AS kept_headers,
+       (SELECT count(*) FROM top_tokens WHERE token_impact_id NOT IN (
+            SELECT id FROM token_impacts WHERE metadata_id IN (SELECT id FROM tr))) AS kept_tokens""",
+       _TOP10 + [("tr", "SELECT id FROM meta WHERE used_in_training AND entry_id NOT IN (SELECT entry_id FROM top10)")])
+
+_CLEAN = [("kh", "SELECT * FROM token_impacts WHERE metadata_id IN (SELECT id FROM meta)")]
+oracle("l15_clean_orphans", ["meta", "token_impacts", "top_tokens"], """
+SELECT (SELECT count(*) FROM token_impacts WHERE metadata_id NOT IN (SELECT id FROM meta)) AS headers_deleted,
+       (SELECT count(*) FROM top_tokens WHERE token_impact_id NOT IN (SELECT id FROM kh)) AS tokens_deleted""", _CLEAN)
+oracle("l15_remaining_headers", ["meta", "token_impacts"], "SELECT * FROM kh", _CLEAN)
+
+oracle("l16_clean_and_limit", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT metric, value, 'after' AS stage FROM (
+SELECT 'entries' AS metric, CAST(count(*) AS BIGINT) AS value FROM entries
+UNION ALL SELECT 'training_metadata', count(*) FROM meta
+UNION ALL SELECT 'token_impacts', count(*) FROM kh
+UNION ALL SELECT 'top_tokens', count(*) FROM top_tokens WHERE token_impact_id IN (SELECT id FROM kh)
+UNION ALL SELECT 'used_in_training', count(*) FROM meta WHERE entry_id IN (SELECT entry_id FROM top10)
+UNION ALL SELECT 'entries_with_impact', count(DISTINCT m.entry_id) FROM meta m JOIN kh t ON t.metadata_id = m.id)""",
+       _CLEAN + [("top10", """SELECT e.id AS entry_id FROM entries e JOIN meta m ON e.id = m.entry_id
+                      WHERE m.id IN (SELECT metadata_id FROM kh) GROUP BY e.id ORDER BY e.id LIMIT 10""")])

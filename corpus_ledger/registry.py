@@ -155,3 +155,204 @@ def q17b(spark, sf):
 @register("q17_rows_per_header")
 def q17c(spark, sf):
     return Q.rows_per_key(fx.top_tokens(spark, sf), "token_impact_id")
+
+
+# --------------------------------------------------------------------------- L: ledger changes
+from corpus_ledger.operators import changes as C  # noqa: E402
+from corpus_ledger.sources.schemas import ENTRIES, TRAINING_METADATA  # noqa: E402
+
+
+def _versions(spark, sf):
+    """Ledger built from the feed before the cutoff (v1), then the rest applied (v2)."""
+    old, new = fx.split_feed(fx.feed(spark, sf))
+    v1 = C.upsert_pages(C.empty_like(spark, ENTRIES), C.empty_like(spark, TRAINING_METADATA), old)
+    return v1, new
+
+
+def latest_per_page(feed: DataFrame) -> DataFrame:
+    """One snapshot row per page: its latest change (partial aggregation, skew-safe)."""
+    cols = [c for c in feed.columns if c != "page_id"]
+    return feed.groupBy("page_id").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("s")) \
+        .select("page_id", "s.*")
+
+
+@register("l01_upsert_entries")
+def l01(spark, sf):
+    v1, new = _versions(spark, sf)
+    return C.upsert_pages(v1.entries, v1.metadata, new).entries
+
+
+@register("l01_upsert_metadata")
+def l01m(spark, sf):
+    v1, new = _versions(spark, sf)
+    return C.upsert_pages(v1.entries, v1.metadata, new).metadata
+
+
+@register("l02_append_log")
+def l02(spark, sf):
+    old, new = fx.split_feed(fx.feed(spark, sf))
+    return C.append_log(C.append_log(None, old), new)
+
+
+@register("l03_log_revisions")
+def l03(spark, sf):
+    return C.log_revisions(fx.feed(spark, sf), keep=5)
+
+
+@register("l04_fingerprint")
+def l04(spark, sf):
+    return C.fingerprint(fx.documents(spark, sf).select("doc_id", "text")).drop("text")
+
+
+@register("l05_rejected")
+def l05(spark, sf):
+    e = fx.table(spark, sf, "events")
+    raw = e.select("event_id", F.col("user_id").cast("string").alias("page_id"),
+                   F.when(F.col("event_type") == "signup", "added").when(F.col("event_type") == "error", "removed")
+                    .when(F.col("event_type") == "click", "updated").otherwise(F.col("event_type")).alias("action"))
+    return C.validate_domain(raw)[1]
+
+
+@register("l06_needs_update")
+def l06(spark, sf):
+    v1, new = _versions(spark, sf)
+    snap = latest_per_page(new).select("page_id", "revision_id")
+    return C.needs_update(v1.entries, snap).select("page_id", "revision_id", "needs_update")
+
+
+@register("l07_label_changes")
+def l07(spark, sf):
+    v1, new = _versions(spark, sf)
+    snap = latest_per_page(new).select("page_id", "revision_id")
+    todo = C.needs_update(v1.entries, snap).filter("needs_update").select("page_id", "revision_id")
+    return C.label_changes(v1.entries, todo)
+
+
+@register("l08_incremental_apply")
+def l08(spark, sf):
+    v1, new = _versions(spark, sf)
+    snap = latest_per_page(new).drop("action")
+    return C.incremental_apply(v1, snap).entries
+
+
+def _l09(spark, sf):
+    e, m = _ledger(spark, sf)
+    hdr = fx.token_impacts(spark, sf)
+    tok = fx.top_tokens(spark, sf).withColumn("id", F.col("token_impact_id") * 10 + F.col("position"))
+    docs = fx.documents(spark, sf).select("doc_id", "n_chars")
+    lab = fx.table(spark, sf, "labels").filter(F.col("quality") == 0).select("doc_id")
+    pages = fx.page_texts(spark, sf).select("page_id", F.regexp_extract("page_id", r"(\d+)$", 1)
+                                            .cast("long").alias("doc_id"))
+    picked = pages.join(lab, "doc_id", "left_semi")
+    unknown = lab.select(F.concat(F.lit("missing-"), F.col("doc_id").cast("string")).alias("page_id"))
+    page_ids = picked.select("page_id").unionByName(unknown)
+    tt = fx.top_tokens(spark, sf)
+    ctx = F.when(F.col("position") == 0, F.array("context_start")) \
+        .otherwise(F.array("context_start", "context_end"))
+    imp = tt.groupBy("token_impact_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", "token_id", "impact", ctx.alias("context")))).alias("a"),
+        F.count(F.lit(1)).alias("total_tokens"))
+    imp = imp.select(F.col("token_impact_id").alias("doc_id"), F.struct(
+        F.transform("a", lambda x: F.struct(x["token_id"].alias("token_id"), x["position"].alias("position"),
+                                            x["impact"].alias("impact"), x["context"].alias("context")))
+        .alias("top_tokens"), F.col("total_tokens").alias("total_tokens")).alias("token_impact"))
+    metrics = picked.join(docs, "doc_id").join(imp, "doc_id", "left").select(
+        "page_id", (F.col("doc_id") % 3 != 0).alias("has_loss"),
+        (F.col("n_chars") / 1000.0).alias("average_loss"),
+        F.when(F.col("doc_id") % 4 != 0, F.col("n_chars") / 10000.0).alias("relative_loss"),
+        "token_impact")
+    out = C.mark_used(e, m, hdr, tok, page_ids, "ckpt-new", "2024-02-01 00:00:00", metrics)
+    return out, C._max_id(hdr), C._max_id(tok)
+
+
+@register("l09_mark_used_metadata")
+def l09a(spark, sf):
+    out, _, _ = _l09(spark, sf)
+    return _round_state(out.metadata)
+
+
+@register("l09_mark_used_headers")
+def l09b(spark, sf):
+    out, hb, _ = _l09(spark, sf)
+    return out.headers.filter(F.col("id") > hb)
+
+
+@register("l09_mark_used_tokens")
+def l09c(spark, sf):
+    out, _, tb = _l09(spark, sf)
+    return out.tokens.filter(F.col("id") > tb).withColumn("impact", F.round("impact", 6))
+
+
+def _top10(spark, sf):
+    e, m = _ledger(spark, sf)
+    return Q.top_nodes(e, m, fx.token_impacts(spark, sf), top_n=10).select("entry_id")
+
+
+@register("l10_set_used_flags")
+def l10(spark, sf):
+    _, m = _ledger(spark, sf)
+    return _round_state(C.set_used_flags(m, _top10(spark, sf)))
+
+
+@register("l11_kept_entries")
+def l11a(spark, sf):
+    e, m = _ledger(spark, sf)
+    return C.remove_unused(e, m, fx.token_impacts(spark, sf), fx.top_tokens(spark, sf))[0]
+
+
+@register("l11_kept_counts")
+def l11b(spark, sf):
+    e, m = _ledger(spark, sf)
+    _, meta, hdr, tok, removed = C.remove_unused(e, m, fx.token_impacts(spark, sf), fx.top_tokens(spark, sf))
+    return C._side_by_side(C._side_by_side(removed, meta.agg(F.count(F.lit(1)).alias("kept_metadata"))),
+                           C._side_by_side(hdr.agg(F.count(F.lit(1)).alias("kept_headers")),
+                                           tok.agg(F.count(F.lit(1)).alias("kept_tokens"))))
+
+
+@register("l12_reset_metadata")
+def l12(spark, sf):
+    e, m = _ledger(spark, sf)
+    return C.reset_metadata(e, m, recreate=True)
+
+
+@register("l13_reset_no_recreate")
+def l13(spark, sf):
+    e, m = _ledger(spark, sf)
+    return C.reset_metadata(e, m, recreate=False)
+
+
+@register("l14_trim_metadata")
+def l14a(spark, sf):
+    _, m = _ledger(spark, sf)
+    meta, _, _, _ = C.trim_to_top(m, fx.token_impacts(spark, sf), fx.top_tokens(spark, sf), _top10(spark, sf))
+    return _round_state(meta)
+
+
+@register("l14_trim_counts")
+def l14b(spark, sf):
+    _, m = _ledger(spark, sf)
+    _, hdr, tok, cnt = C.trim_to_top(m, fx.token_impacts(spark, sf), fx.top_tokens(spark, sf), _top10(spark, sf))
+    return C._side_by_side(cnt, C._side_by_side(hdr.agg(F.count(F.lit(1)).alias("kept_headers")),
+                                                tok.agg(F.count(F.lit(1)).alias("kept_tokens"))))
+
+
+@register("l15_clean_orphans")
+def l15(spark, sf):
+    _, m = _ledger(spark, sf)
+    hdr, tok, counts = C.clean_orphans(m, fx.token_impacts(spark, sf), fx.top_tokens(spark, sf))
+    return counts
+
+
+@register("l15_remaining_headers")
+def l15b(spark, sf):
+    _, m = _ledger(spark, sf)
+    return C.clean_orphans(m, fx.token_impacts(spark, sf), fx.top_tokens(spark, sf))[0]
+
+
+@register("l16_clean_and_limit")
+def l16(spark, sf):
+    from corpus_ledger.plans.maintenance import clean_and_limit
+
+    e, m = _ledger(spark, sf)
+    res = clean_and_limit(e, m, fx.token_impacts(spark, sf), fx.top_tokens(spark, sf), top_n=10)
+    return res.after
