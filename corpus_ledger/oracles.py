@@ -338,3 +338,180 @@ UNION ALL SELECT 'used_in_training', count(*) FROM meta WHERE entry_id IN (SELEC
 UNION ALL SELECT 'entries_with_impact', count(DISTINCT m.entry_id) FROM meta m JOIN kh t ON t.metadata_id = m.id)""",
        _CLEAN + [("top10", """SELECT e.id AS entry_id FROM entries e JOIN meta m ON e.id = m.entry_id
                       WHERE m.id IN (SELECT metadata_id FROM kh) GROUP BY e.id ORDER BY e.id LIMIT 10""")])
+
+
+# --------------------------------------------------------------------------- R
+oracle("r01_create_runs", [], """
+SELECT row_number() OVER (ORDER BY o_orderkey) AS id, o_orderpriority AS model_name, o_orderstatus AS base_model,
+       CAST(to_json(struct_pack(customer := o_custkey, priority := o_orderpriority)) AS VARCHAR) AS hyperparameters,
+       CAST(NULL AS VARCHAR) AS git_commit, 'running' AS status, TIMESTAMP '2024-02-01 00:00:00' AS ts, '{}' AS metrics
+FROM orders""")
+
+oracle("r02_update_status", ["runs"], """
+SELECT r.id, CASE WHEN o.o_orderkey IS NOT NULL THEN 'completed' ELSE r.status END AS status,
+       CASE WHEN o.o_orderkey IS NOT NULL THEN CAST(o.o_custkey AS VARCHAR)
+            ELSE json_extract_string(r.hyperparameters, '$.k') END AS metrics_k,
+       CASE WHEN o.o_orderkey IS NOT NULL THEN '1' END AS metrics_final,
+       CASE WHEN o.o_orderkey IS NOT NULL THEN 2 + CASE WHEN r.hyperparameters LIKE '%"k"%' THEN 0 ELSE 0 END
+            ELSE CASE WHEN r.hyperparameters = '{}' THEN 0 ELSE 1 END END AS n_metric_keys
+FROM runs r LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'O') o ON o.o_orderkey = r.id""")
+
+_EX = """SELECT row_number() OVER (ORDER BY run_id, turn) AS id, run_id, input_text, target_text,
+                coalesce(example_type, 'general') AS example_type, '{}' AS metadata
+         FROM examples WHERE input_text IS NOT NULL AND target_text IS NOT NULL"""
+oracle("r03_add_examples", ["examples"], _EX)
+
+oracle("r04_add_outputs", ["examples"], """
+SELECT row_number() OVER (ORDER BY run_id, turn) AS id, run_id, input_text, target_text AS output_text,
+       TIMESTAMP '2024-02-01 00:00:00' AS ts, CAST(to_json(struct_pack(turn := turn)) AS VARCHAR) AS metadata
+FROM examples WHERE target_text IS NOT NULL""")
+
+oracle("r05_run_details", ["runs"], """
+SELECT id, model_name, status, json_extract_string(hyperparameters, '$.k') AS hp_k,
+       CASE WHEN hyperparameters = '{}' THEN 0 ELSE 1 END AS n_metric_keys
+FROM runs WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
+
+oracle("r06_run_summaries", ["runs"], "SELECT id, model_name, base_model, status, ts FROM runs")
+
+oracle("r07_list_examples", ["examples"], """
+SELECT * FROM (""" + _EX + """) WHERE example_type = 'chat' ORDER BY id LIMIT 100""")
+
+# --------------------------------------------------------------------------- I
+oracle("i01_orphans", ["meta", "token_impacts", "top_tokens"], """
+SELECT (SELECT count(*) FROM token_impacts WHERE metadata_id NOT IN (SELECT id FROM meta)) AS orphan_headers,
+       (SELECT count(*) FROM top_tokens WHERE token_impact_id NOT IN (SELECT id FROM token_impacts)) AS orphan_tokens""")
+
+oracle("i02_foreign_keys", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT 'training_metadata' AS child_table, 'entry_id' AS fk_column, 'entries' AS parent_table, 'id' AS pk_column,
+       count(*) AS violations, CAST(min(entry_id) AS BIGINT) AS sample_key
+FROM meta WHERE entry_id IS NOT NULL AND entry_id NOT IN (SELECT id FROM entries)
+UNION ALL
+SELECT 'token_impacts', 'metadata_id', 'training_metadata', 'id', count(*), min(metadata_id)
+FROM token_impacts WHERE metadata_id IS NOT NULL AND metadata_id NOT IN (SELECT id FROM meta)
+UNION ALL
+SELECT 'top_tokens', 'token_impact_id', 'token_impacts', 'id', count(*), min(token_impact_id)
+FROM top_tokens WHERE token_impact_id IS NOT NULL AND token_impact_id NOT IN (SELECT id FROM token_impacts)""")
+
+oracle("i03_coverage", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT count(DISTINCT e.id) AS pages_with_headers,
+       count(DISTINCT CASE WHEN h.id IN (SELECT token_impact_id FROM top_tokens) THEN e.id END) AS pages_with_tokens
+FROM entries e JOIN meta m ON m.entry_id = e.id JOIN token_impacts h ON h.metadata_id = m.id""")
+
+oracle("i04_token_validity", ["top_tokens"], """
+SELECT token_impact_id, count(*) AS n_tokens, count_if(NOT ok) AS n_invalid, bool_and(ok) AS valid
+FROM (SELECT token_impact_id, coalesce(token_id IS NOT NULL AND position IS NOT NULL AND impact IS NOT NULL
+             AND context_start IS NOT NULL AND context_end IS NOT NULL AND context_start <= context_end, false) AS ok
+      FROM top_tokens) GROUP BY token_impact_id""")
+
+oracle("i06_size_statistics", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT (SELECT count(*) FROM entries) AS total_entries,
+       (SELECT round(avg(length(page_id) + length(content_hash)), 6) FROM entries) AS avg_entry_size_bytes,
+       (SELECT count_if(used_in_training) FROM meta) AS entries_with_training,
+       (SELECT count(*) FROM token_impacts) AS entries_with_token_impact,
+       (SELECT count(*) FROM top_tokens) AS total_token_impacts,
+       (SELECT round(avg(length(CAST(token_id AS VARCHAR)) + length(CAST(position AS VARCHAR))
+                         + length(printf('%.6f', impact))), 6) FROM top_tokens) AS avg_impact_size_bytes,
+       CASE WHEN (SELECT count(*) FROM token_impacts) > 0
+            THEN round((SELECT count(*) FROM top_tokens) / (SELECT count(*) FROM token_impacts), 6)
+            ELSE 0.0 END AS avg_tokens_per_impact""")
+
+oracle("i07_readiness", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT first_failure IS NULL AS ready, first_failure, n_headers, n_tokens, orphan_headers, orphan_tokens,
+       pages_with_tokens FROM (
+  SELECT CASE WHEN n_headers = 0 THEN 'no_token_impacts' WHEN n_tokens = 0 THEN 'no_top_tokens'
+              WHEN orphan_headers > 0 THEN 'orphan_token_impacts' WHEN orphan_tokens > 0 THEN 'orphan_top_tokens'
+              WHEN pages_with_tokens = 0 THEN 'no_pages_with_tokens' END AS first_failure, *
+  FROM (SELECT (SELECT count(*) FROM token_impacts) AS n_headers, (SELECT count(*) FROM top_tokens) AS n_tokens,
+               (SELECT count(*) FROM token_impacts WHERE metadata_id NOT IN (SELECT id FROM meta)) AS orphan_headers,
+               (SELECT count(*) FROM top_tokens WHERE token_impact_id NOT IN (SELECT id FROM token_impacts)) AS orphan_tokens,
+               (SELECT count(DISTINCT e.id) FROM entries e JOIN meta m ON m.entry_id = e.id
+                  JOIN token_impacts h ON h.metadata_id = m.id
+                WHERE h.id IN (SELECT token_impact_id FROM top_tokens)) AS pages_with_tokens))""")
+
+oracle("i08_table_samples", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT 'entries' AS "table", (SELECT count(*) FROM entries) AS rows,
+       CAST(to_json(struct_pack(id := id)) AS VARCHAR) AS sample_key FROM (SELECT id FROM entries ORDER BY id LIMIT 5)
+UNION ALL SELECT 'training_metadata', (SELECT count(*) FROM meta), CAST(to_json(struct_pack(id := id)) AS VARCHAR)
+FROM (SELECT id FROM meta ORDER BY id LIMIT 5)
+UNION ALL SELECT 'token_impacts', (SELECT count(*) FROM token_impacts), CAST(to_json(struct_pack(id := id)) AS VARCHAR)
+FROM (SELECT id FROM token_impacts ORDER BY id LIMIT 5)
+UNION ALL SELECT 'top_tokens', (SELECT count(*) FROM top_tokens),
+       CAST(to_json(struct_pack(token_impact_id := token_impact_id, position := position, token_id := token_id,
+                                context_start := context_start)) AS VARCHAR)
+FROM (SELECT * FROM top_tokens ORDER BY token_impact_id, position, token_id, context_start LIMIT 5)""")
+
+# --------------------------------------------------------------------------- M
+_ELIG = [("elig", """SELECT e.* FROM entries e JOIN meta m ON e.id = m.entry_id
+                     WHERE NOT m.used_in_training AND e.page_id IN (SELECT page_id FROM page_texts)"""),
+         ("split", """SELECT page_id, row_number() OVER (ORDER BY sha256(page_id || '42'), page_id) AS split_rank
+                      FROM elig"""),
+         ("split2", """SELECT page_id, split_rank, CASE WHEN split_rank <= (SELECT CAST(floor(count(*) * 0.9::DOUBLE) AS BIGINT)
+                        FROM elig) THEN 'train' ELSE 'val' END AS split FROM split""")]
+oracle("m01_eligible_pages", ["entries", "meta", "page_texts"], "SELECT * FROM elig", _ELIG)
+oracle("m02_split", ["entries", "meta", "page_texts"], "SELECT * FROM split2", _ELIG)
+oracle("m04_batches", ["entries", "meta", "page_texts"], """
+SELECT page_id, split_rank, split, CAST(floor((split_rank - 1) / 4) AS BIGINT) AS batch FROM split2
+WHERE split = 'train'""", _ELIG)
+
+oracle("m05_token_cross_entropy", ["scores"], """
+SELECT seq_id, target, round(CASE WHEN target = 0 THEN 0.0
+         ELSE ln(list_sum(list_transform(z, lambda x: exp(x)))) - z[target + 1] END, 6) AS token_loss
+FROM (SELECT seq_id, target, list_transform(logits, lambda x: greatest(least(x - list_max(logits), 10.0), -10.0)) AS z
+      FROM scores)""")
+
+_SEQ = [("seq", """SELECT page_id, epoch, batch, sum(loss) / greatest(sum(mask), 1) AS seq_loss
+                   FROM token_loss GROUP BY page_id, epoch, batch""")]
+oracle("m06_sequence_loss", ["token_loss"], "SELECT page_id, epoch, batch, round(seq_loss, 6) AS seq_loss FROM seq", _SEQ)
+oracle("m06_batch_loss", ["token_loss"], """
+SELECT epoch, batch, round(avg(seq_loss), 6) AS batch_loss FROM seq GROUP BY epoch, batch""", _SEQ)
+oracle("m07_epoch_loss", ["token_loss"], """
+SELECT epoch, round(avg(batch_loss), 6) AS epoch_loss, count(*) AS n_batches
+FROM (SELECT epoch, batch, avg(seq_loss) AS batch_loss FROM seq GROUP BY epoch, batch) GROUP BY epoch""", _SEQ)
+oracle("m08_page_loss", ["token_loss"], """
+SELECT page_id, round(average_loss, 6) AS average_loss, round(initial_loss, 6) AS initial_loss,
+       round(CASE WHEN initial_loss <> 0 THEN (initial_loss - average_loss) / initial_loss END, 6) AS relative_loss
+FROM (SELECT page_id, avg(seq_loss) AS average_loss, arg_min(seq_loss, epoch) AS initial_loss FROM seq GROUP BY page_id)""",
+       _SEQ)
+
+_VEC = [("vec", "SELECT vec_id AS page_id, CAST(embedding AS DOUBLE[]) AS impacts FROM embeddings"),
+        ("thr", """SELECT page_id, impacts, len(impacts) AS total_tokens,
+                          list_sort(list_transform(impacts, lambda x: abs(x)))[CAST(floor(len(impacts) * 0.95::DOUBLE) AS INTEGER) + 1] AS threshold
+                   FROM vec""")]
+oracle("m09_l2_norm", [], """
+SELECT page_id, round(sqrt(list_sum(list_transform(impacts, lambda x: x * x))), 6) AS impact FROM vec""", _VEC)
+oracle("m10_threshold", [], "SELECT page_id, round(threshold, 6) AS threshold FROM thr", _VEC)
+oracle("m11_critical_tokens", [], """
+SELECT page_id, round(threshold, 6) AS threshold, total_tokens, position, round(impact, 6) AS impact,
+       greatest(0, position - 2) AS context_start, least(total_tokens, position + 3) AS context_end
+FROM (SELECT page_id, threshold, total_tokens, CAST(pos - 1 AS INTEGER) AS position, impacts[pos] AS impact
+      FROM (SELECT *, generate_subscripts(impacts, 1) AS pos FROM thr))
+WHERE abs(impact) >= threshold""", _VEC)
+oracle("m12_top_impacts", ["impacts"], """
+SELECT page_id, rank, position, round(impact, 6) AS impact, greatest(0, position - 2) AS context_start,
+       least(64, position + 3) AS context_end
+FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY abs(impact) DESC, position) AS rank FROM impacts)
+WHERE rank <= 10""")
+oracle("m13_last_epoch", [], """
+SELECT page_id, epoch, vec_id, round(threshold, 6) AS threshold, total_tokens FROM (
+  SELECT page_id // 5 AS page_id, page_id % 5 AS epoch, page_id AS vec_id, threshold, total_tokens,
+         row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id % 5 DESC) AS rn FROM thr) WHERE rn = 1""", _VEC)
+
+oracle("m14_nan_audit", ["scores"], """
+SELECT count(*) AS rows, count_if(list_bool_or(list_transform(logits, lambda x: isnan(x)))) AS logits_rows_with_nan,
+       0 AS token_loss_nan FROM scores""")
+
+_EXP = [("ex", """SELECT seq_id, CAST(pos - 1 AS INTEGER) AS token_id, logits[pos] AS score
+                  FROM (SELECT *, generate_subscripts(logits, 1) AS pos FROM scores)"""),
+        ("rk", "SELECT *, rank() OVER (PARTITION BY seq_id ORDER BY score DESC) AS rank FROM ex")]
+oracle("m15_top_k", ["scores"], """
+SELECT seq_id, token_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 5""", _EXP)
+oracle("m16_nucleus", ["scores"], """
+SELECT seq_id, token_id, round(prob, 6) AS prob, round(cum_before, 6) AS cum_before FROM (
+  SELECT *, coalesce(sum(prob) OVER (PARTITION BY seq_id ORDER BY prob DESC, token_id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS cum_before
+  FROM (SELECT seq_id, token_id, e / sum(e) OVER (PARTITION BY seq_id) AS prob
+        FROM (SELECT *, exp(score / 0.8 - max(score / 0.8) OVER (PARTITION BY seq_id)) AS e FROM rk WHERE rank <= 10)))
+WHERE cum_before <= 0.9""", _EXP)
+oracle("m17_impactful_tokens", ["top_tokens"], """
+SELECT token_id, round(sum(abs(impact)), 6) AS total_abs_impact, count(DISTINCT token_impact_id) AS n_pages
+FROM top_tokens GROUP BY token_id ORDER BY sum(abs(impact)) DESC, token_id LIMIT 10""")

@@ -356,3 +356,242 @@ def l16(spark, sf):
     e, m = _ledger(spark, sf)
     res = clean_and_limit(e, m, fx.token_impacts(spark, sf), fx.top_tokens(spark, sf), top_n=10)
     return res.after
+
+
+# --------------------------------------------------------------------------- R: runs, examples, outputs
+from corpus_ledger.operators import runs as R  # noqa: E402
+from corpus_ledger.sources.schemas import MODEL_OUTPUTS, TRAINING_EXAMPLES, TRAINING_RUNS  # noqa: E402
+
+AT = "2024-02-01 00:00:00"
+
+
+@register("r01_create_runs")
+def r01(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    req = o.select("o_orderkey", F.col("o_orderpriority").alias("model_name"),
+                   F.col("o_orderstatus").alias("base_model"),
+                   F.struct(F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"))
+                   .alias("hyperparameters"))
+    return R.create_runs(C.empty_like(spark, TRAINING_RUNS), req, AT, ["o_orderkey"])
+
+
+def _runs_with_metrics(spark, sf):
+    return fx.runs(spark, sf).withColumn("metrics", F.col("hyperparameters"))
+
+
+@register("r02_update_status")
+def r02(spark, sf):
+    runs = _runs_with_metrics(spark, sf)
+    o = fx.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "O")
+    upd = o.select(F.col("o_orderkey").alias("id"), F.lit("completed").alias("status"),
+                   F.create_map(F.lit("k"), F.col("o_custkey").cast("string"), F.lit("final"), F.lit("1"))
+                   .alias("metrics"))
+    out = R.update_run_status(runs, upd)
+    return out.select("id", "status", F.get_json_object("metrics", "$.k").alias("metrics_k"),
+                      F.get_json_object("metrics", "$.final").alias("metrics_final"),
+                      F.size(F.from_json("metrics", R.METRICS_MAP)).alias("n_metric_keys"))
+
+
+def _examples(spark, sf):
+    return R.add_examples(C.empty_like(spark, TRAINING_EXAMPLES), fx.examples(spark, sf), ["run_id", "turn"])
+
+
+@register("r03_add_examples")
+def r03(spark, sf):
+    return _examples(spark, sf)
+
+
+@register("r04_add_outputs")
+def r04(spark, sf):
+    ex = fx.examples(spark, sf).filter(F.col("target_text").isNotNull())
+    new = ex.select("run_id", "turn", "input_text", F.col("target_text").alias("output_text"),
+                    F.to_json(F.struct("turn")).alias("metadata"))
+    return R.add_model_outputs(C.empty_like(spark, MODEL_OUTPUTS), new, AT, ["run_id", "turn"])
+
+
+@register("r05_run_details")
+def r05(spark, sf):
+    ids = fx.table(spark, sf, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("id"))
+    d = R.run_details(_runs_with_metrics(spark, sf), ids)
+    return d.select("id", "model_name", "status", F.element_at("hyperparameters_map", F.lit("k")).alias("hp_k"),
+                    F.size("metrics_map").alias("n_metric_keys"))
+
+
+@register("r06_run_summaries")
+def r06(spark, sf):
+    return R.run_summaries(fx.runs(spark, sf))
+
+
+@register("r07_list_examples")
+def r07(spark, sf):
+    return R.list_examples(_examples(spark, sf), example_type="chat", limit=100)
+
+
+# --------------------------------------------------------------------------- I: audits
+from corpus_ledger.operators import audit as I  # noqa: E402
+from corpus_ledger.sources.schemas import LEDGER_TABLES  # noqa: E402
+
+
+def _impact_tables(spark, sf):
+    e, m = _ledger(spark, sf)
+    return e, m, fx.token_impacts(spark, sf), fx.top_tokens(spark, sf)
+
+
+@register("i01_orphans")
+def i01(spark, sf):
+    _, m, h, t = _impact_tables(spark, sf)
+    return I.orphan_counts(m, h, t)
+
+
+@register("i02_foreign_keys")
+def i02(spark, sf):
+    e, m, h, t = _impact_tables(spark, sf)
+    return I.foreign_key_check({"entries": e, "training_metadata": m, "token_impacts": h, "top_tokens": t})
+
+
+@register("i03_coverage")
+def i03(spark, sf):
+    return I.impact_coverage(*_impact_tables(spark, sf))
+
+
+@register("i04_token_validity")
+def i04(spark, sf):
+    return I.token_validity(fx.top_tokens(spark, sf))
+
+
+@register("i05_schema_check")
+def i05(spark, sf):
+    e, m, h, t = _impact_tables(spark, sf)
+    return I.schema_check({"entries": e, "training_metadata": m, "token_impacts": h, "top_tokens": t},
+                          LEDGER_TABLES)
+
+
+@register("i06_size_statistics")
+def i06(spark, sf):
+    return I.size_statistics(*_impact_tables(spark, sf))
+
+
+@register("i07_readiness")
+def i07(spark, sf):
+    return I.readiness(*_impact_tables(spark, sf))
+
+
+@register("i08_table_samples")
+def i08(spark, sf):
+    e, m, h, t = _impact_tables(spark, sf)
+    return I.table_samples({"entries": e, "training_metadata": m, "token_impacts": h, "top_tokens": t},
+                           {"entries": ["id"], "training_metadata": ["id"], "token_impacts": ["id"],
+                            "top_tokens": ["token_impact_id", "position", "token_id", "context_start"]})
+
+
+# --------------------------------------------------------------------------- M: dataset and metrics
+from corpus_ledger.operators import metrics as M  # noqa: E402
+
+
+def _eligible(spark, sf):
+    e, m = _ledger(spark, sf)
+    return M.eligible_pages(e, m, fx.page_texts(spark, sf), min_pages=100)
+
+
+@register("m01_eligible_pages")
+def m01(spark, sf):
+    return _eligible(spark, sf)
+
+
+@register("m02_split")
+def m02(spark, sf):
+    return M.split_train_val(_eligible(spark, sf).select("page_id"), 0.1, 42)
+
+
+@register("m04_batches")
+def m04(spark, sf):
+    return M.number_batches(M.split_train_val(_eligible(spark, sf).select("page_id"), 0.1, 42), 4)
+
+
+@register("m05_token_cross_entropy")
+def m05(spark, sf):
+    return M.token_cross_entropy(fx.scores(spark, sf)).select("seq_id", "target", r6("token_loss"))
+
+
+def _seq_loss(spark, sf):
+    return M.sequence_losses(fx.token_loss(spark, sf), ["page_id", "epoch", "batch"])
+
+
+@register("m06_sequence_loss")
+def m06(spark, sf):
+    return _seq_loss(spark, sf).select("page_id", "epoch", "batch", r6("seq_loss"))
+
+
+@register("m06_batch_loss")
+def m06b(spark, sf):
+    return M.batch_losses(_seq_loss(spark, sf), ["epoch", "batch"]).select("epoch", "batch", r6("batch_loss"))
+
+
+@register("m07_epoch_loss")
+def m07(spark, sf):
+    b = M.batch_losses(_seq_loss(spark, sf), ["epoch", "batch"])
+    return M.epoch_losses(b).select("epoch", r6("epoch_loss"), "n_batches")
+
+
+@register("m08_page_loss")
+def m08(spark, sf):
+    return M.page_losses(_seq_loss(spark, sf)).select("page_id", r6("average_loss"), r6("initial_loss"),
+                                                      r6("relative_loss"))
+
+
+@register("m09_l2_norm")
+def m09(spark, sf):
+    return M.l2_norm(fx.impact_vectors(spark, sf), "impacts").select("page_id", r6("impact"))
+
+
+@register("m10_threshold")
+def m10(spark, sf):
+    return M.significance_threshold(fx.impact_vectors(spark, sf)).select("page_id", r6("threshold"))
+
+
+@register("m11_critical_tokens")
+def m11(spark, sf):
+    c = M.critical_tokens(fx.impact_vectors(spark, sf))
+    return c.select("page_id", r6("threshold"), "total_tokens", "position", r6("impact"), "context_start",
+                    "context_end")
+
+
+@register("m12_top_impacts")
+def m12(spark, sf):
+    imp = fx.impacts(spark, sf).withColumn("total_tokens", F.lit(64))
+    t = M.top_impacts(imp, k=10)
+    return t.select("page_id", "rank", "position", r6("impact"), "context_start", "context_end")
+
+
+@register("m13_last_epoch")
+def m13(spark, sf):
+    v = fx.impact_vectors(spark, sf)
+    v = M.significance_threshold(v).select(
+        F.floor(F.col("page_id") / 5).alias("page_id"), (F.col("page_id") % 5).alias("epoch"),
+        F.col("page_id").alias("vec_id"), "threshold", F.size("impacts").alias("total_tokens"))
+    return M.last_epoch(v).select("page_id", "epoch", "vec_id", r6("threshold"), "total_tokens")
+
+
+@register("m14_nan_audit")
+def m14(spark, sf):
+    s = M.token_cross_entropy(fx.scores(spark, sf))
+    return M.nan_audit(s, ["logits"], ["token_loss"])
+
+
+@register("m15_top_k")
+def m15(spark, sf):
+    return M.top_k_filter(M.explode_scores(fx.scores(spark, sf)), k=5) \
+        .select("seq_id", "token_id", r6("score"), "rank")
+
+
+@register("m16_nucleus")
+def m16(spark, sf):
+    top = M.top_k_filter(M.explode_scores(fx.scores(spark, sf)), k=10)
+    n = M.nucleus_filter(top, top_p=0.9, temperature=0.8)
+    return n.select("seq_id", "token_id", r6("prob"), r6("cum_before"))
+
+
+@register("m17_impactful_tokens")
+def m17(spark, sf):
+    return M.most_impactful_tokens(fx.top_tokens(spark, sf), 10).select("token_id", r6("total_abs_impact"),
+                                                                         "n_pages")
