@@ -515,3 +515,108 @@ WHERE cum_before <= 0.9""", _EXP)
 oracle("m17_impactful_tokens", ["top_tokens"], """
 SELECT token_id, round(sum(abs(impact)), 6) AS total_abs_impact, count(DISTINCT token_impact_id) AS n_pages
 FROM top_tokens GROUP BY token_id ORDER BY sum(abs(impact)) DESC, token_id LIMIT 10""")
+
+
+# --------------------------------------------------------------------------- T
+from corpus_ledger.functions.text import WS, duck_pretokenize  # noqa: E402
+
+_U = duck_pretokenize("text", strip=False)
+_S = duck_pretokenize("text", strip=True)
+_TOK = [
+    ("freq", f"""SELECT token, count(*) AS count FROM (SELECT unnest({_U}) AS token FROM documents) GROUP BY token"""),
+    ("vocab", """SELECT * FROM (VALUES ('[PAD]', 0::BIGINT), ('[BOS]', 1::BIGINT), ('[EOS]', 2::BIGINT), ('[UNK]', 3::BIGINT)) v(token, id)
+                 UNION ALL
+                 SELECT token, row_number() OVER (ORDER BY count DESC, token) + 3 FROM (
+                   SELECT * FROM freq WHERE count >= 2 ORDER BY count DESC, token LIMIT 4996)"""),
+]
+
+
+def _ids(src: str, key: str, text: str, limit: int | None = None, eos: bool = True) -> list[tuple[str, str]]:
+    keep = f"WHERE pos <= {limit}" if limit else ""
+    tail = " || [2::BIGINT]" if eos else ""
+    return [
+        ("toks", f"""SELECT {key}, unnest(s) AS token, generate_subscripts(s, 1) AS pos
+                     FROM (SELECT {key}, {duck_pretokenize(text, True)} AS s FROM {src})"""),
+        ("idrows", f"""SELECT t.{key}, t.pos, coalesce(v.id, 3) AS tid FROM toks t LEFT JOIN vocab v ON v.token = t.token {keep}"""),
+        ("enc", f"""SELECT s.{key}, coalesce(list(r.tid ORDER BY r.pos) FILTER (WHERE r.tid IS NOT NULL), []::BIGINT[]){tail} AS ids
+                    FROM {src} s LEFT JOIN idrows r ON r.{key} = s.{key} GROUP BY s.{key}"""),
+    ]
+
+
+def _h(ids: str) -> str:
+    return f"sha256(array_to_string({ids}, ','))"
+
+
+oracle("t01_pretokenize", [], f"""
+SELECT doc_id, len(s) AS n_tokens, sha256(array_to_string(s, chr(1))) AS tokens_hash,
+       len(u) AS n_raw, sha256(array_to_string(u, chr(1))) AS raw_hash
+FROM (SELECT doc_id, {_S} AS s, {_U} AS u FROM documents)""")
+
+oracle("t02_word_frequencies", [], "SELECT token, count FROM freq", _TOK)
+oracle("t03_initial_vocab", [], "SELECT token, id FROM vocab", _TOK)
+oracle("t04_pair_counts", [], """
+SELECT l AS "left", r AS "right", sum(freq) AS count FROM (
+  SELECT c[i] AS l, c[i + 1] AS r, freq FROM (
+    SELECT c, freq, unnest(generate_series(1, len(c) - 1)) AS i FROM (
+      SELECT regexp_extract_all(token, '(?s).') AS c, count AS freq FROM freq WHERE count >= 2)
+    WHERE len(c) > 1))
+GROUP BY l, r""", _TOK)
+
+oracle("t09_token_ids", [], f"""
+SELECT doc_id, len(ids) AS n_ids, len(list_filter(ids, lambda x: x = 3)) AS n_unk, {_h('ids')} AS ids_hash FROM enc""",
+       _TOK + _ids("documents", "doc_id", "text", eos=False))
+
+oracle("t10_encode", [], f"""
+SELECT doc_id, len(ids) AS n_ids, ids[-1] AS last_id, {_h('ids')} AS ids_hash FROM enc""",
+       _TOK + _ids("documents", "doc_id", "text", limit=1023))
+
+oracle("t11_decode", [], f"""
+SELECT doc_id, length(txt) AS n_chars, sha256(txt) AS text_hash FROM (
+  SELECT e.doc_id, coalesce(regexp_replace(regexp_replace(string_agg(coalesce(v.token, '[UNK]'), ' ' ORDER BY x.pos),
+            '^[{WS}]+|[{WS}]+$', '', 'g'), '[{WS}]+', ' ', 'g'), '') AS txt
+  FROM enc e LEFT JOIN (SELECT doc_id, unnest(ids) AS tid, generate_subscripts(ids, 1) AS pos FROM enc) x
+       ON x.doc_id = e.doc_id AND x.tid NOT IN (0, 1, 2)
+  LEFT JOIN vocab v ON v.id = x.tid
+  GROUP BY e.doc_id)""", _TOK + _ids("documents", "doc_id", "text", limit=1023))
+
+oracle("t12_special_mask", [], """
+SELECT doc_id, len(list_filter(ids, lambda x: x IN (0, 1, 2))) AS n_special, len(ids) + 1 AS mask_len FROM enc""",
+       _TOK + _ids("documents", "doc_id", "text", limit=1023))
+
+_EXK = [("exk", "SELECT *, run_id * 1000 + turn AS key FROM examples WHERE target_text IS NOT NULL")]
+oracle("t13_pack_pair", ["examples"], f"""
+SELECT x.run_id, x.turn, len(a.ids) + len(b.ids) + 2 AS n_ids, len(b.ids) + 1 AS n_second,
+       {_h("a.ids || [2::BIGINT] || b.ids || [2::BIGINT]")} AS ids_hash
+FROM exk x JOIN enc a ON a.key = x.key JOIN enc2 b ON b.key = x.key""",
+       _TOK + _EXK + _ids("exk", "key", "input_text", eos=False) + [
+           (n.replace("toks", "toks2").replace("idrows", "idrows2").replace("enc", "enc2"),
+            q.replace("toks", "toks2").replace("idrows", "idrows2").replace("input_text", "target_text"))
+           for n, q in _ids("exk", "key", "target_text", eos=False)])
+
+oracle("t14_pad_batches", [], """
+SELECT doc_id, batch, mx AS padded_len, mx - len(ids) + len(list_filter(ids, lambda x: x = 0)) AS n_pad,
+       len(ids) AS mask_sum
+FROM (SELECT *, CAST(floor(doc_id / 4) AS BIGINT) AS batch,
+             max(len(ids)) OVER (PARTITION BY CAST(floor(doc_id / 4) AS BIGINT)) AS mx FROM enc)""",
+       _TOK + _ids("documents", "doc_id", "text", limit=1023))
+
+oracle("t15_added_vocab", [], "SELECT token, id FROM vocab WHERE id > 3", _TOK)
+
+oracle("m03_sequences", ["entries", "page_texts"], f"""
+SELECT p.page_id, CASE WHEN t.page_id IS NULL THEN 1 ELSE len(e.ids) END AS n_ids,
+       CASE WHEN t.page_id IS NULL THEN {_h('[0::BIGINT]')} ELSE {_h('e.ids')} END AS ids_hash
+FROM (SELECT page_id FROM entries WHERE NOT is_revision) p
+LEFT JOIN txt t ON t.page_id = p.page_id LEFT JOIN enc e ON e.page_id = p.page_id""",
+       _TOK + [("txt", """SELECT page_id, text FROM page_texts
+                          WHERE text IN (SELECT text FROM documents WHERE lang <> 'de')"""),
+               ("pg", """SELECT p.page_id, t.text FROM (SELECT page_id FROM entries WHERE NOT is_revision) p
+                         JOIN txt t ON t.page_id = p.page_id""")]
+       + _ids("pg", "page_id", "text", limit=1024, eos=False))
+
+oracle("m17_remove_tokens", ["top_tokens"], f"""
+SELECT doc_id, len(r) AS n_ids, {_h('r')} AS ids_hash FROM (
+  SELECT doc_id, list_filter(ids, lambda x: NOT list_contains(b.banned, x)) AS r
+  FROM enc, (SELECT list(token_id) AS banned FROM top10) b)""",
+       _TOK + _ids("documents", "doc_id", "text", eos=False) + [
+           ("top10", """SELECT token_id FROM top_tokens GROUP BY token_id
+                        ORDER BY sum(abs(impact)) DESC, token_id LIMIT 10""")])

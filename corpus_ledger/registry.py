@@ -595,3 +595,160 @@ def m16(spark, sf):
 def m17(spark, sf):
     return M.most_impactful_tokens(fx.top_tokens(spark, sf), 10).select("token_id", r6("total_abs_impact"),
                                                                          "n_pages")
+
+
+# --------------------------------------------------------------------------- T: tokenizer
+from corpus_ledger.functions.text import pretokenize  # noqa: E402
+from corpus_ledger.operators import tokens as TK  # noqa: E402
+
+
+def _hash_ids(c: str) -> F.Column:
+    return F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), 256)
+
+
+def _vocab(spark, sf):
+    return TK.initial_vocab(TK.word_frequencies(fx.documents(spark, sf)), 10000, 2)
+
+
+def _word_level(spark, sf, max_length=None, add_eos=True):
+    docs = TK.pre_tokens(fx.documents(spark, sf).select("doc_id", "text"))
+    return TK.encode(docs, "doc_id", "tokens", _vocab(spark, sf), max_length=max_length, add_eos=add_eos)
+
+
+@register("t01_pretokenize")
+def t01(spark, sf):
+    d = fx.documents(spark, sf).select("doc_id", pretokenize(F.col("text"), True).alias("s"),
+                                       pretokenize(F.col("text"), False).alias("u"))
+    return d.select("doc_id", F.size("s").alias("n_tokens"), F.sha2(F.array_join("s", "\u0001"), 256).alias("tokens_hash"),
+                    F.size("u").alias("n_raw"), F.sha2(F.array_join("u", "\u0001"), 256).alias("raw_hash"))
+
+
+@register("t02_word_frequencies")
+def t02(spark, sf):
+    return TK.word_frequencies(fx.documents(spark, sf))
+
+
+@register("t03_initial_vocab")
+def t03(spark, sf):
+    return _vocab(spark, sf)
+
+
+@register("t04_pair_counts")
+def t04(spark, sf):
+    return TK.pair_counts(TK.word_table(TK.word_frequencies(fx.documents(spark, sf)), 2))
+
+
+def _merges(spark, sf, n=20):
+    return TK.learn_merges(TK.word_table(TK.word_frequencies(fx.documents(spark, sf)), 2), n)
+
+
+@register("t05_learn_merges")
+def t05(spark, sf):
+    return _merges(spark, sf)
+
+
+@register("t06_extend_vocab")
+def t06(spark, sf):
+    return TK.extend_vocab(_vocab(spark, sf), _merges(spark, sf))
+
+
+@register("t07_apply_merges")
+def t07(spark, sf):
+    docs = TK.pre_tokens(fx.documents(spark, sf).select("doc_id", "text"))
+    p = TK.apply_merges(docs, _merges(spark, sf))
+    return p.select("doc_id", F.size("pieces").alias("n_pieces"), F.sha2(F.array_join("pieces", "\u0001"), 256)
+                    .alias("pieces_hash"))
+
+
+@register("t08_bpe_dropout")
+def t08(spark, sf):
+    docs = TK.pre_tokens(fx.documents(spark, sf).select("doc_id", "text"))
+    p = TK.apply_merges_dropout(docs, _merges(spark, sf), "doc_id", p=0.1, seed=7)
+    return p.select("doc_id", F.size("pieces").alias("n_pieces"))
+
+
+@register("t09_token_ids")
+def t09(spark, sf):
+    e = _word_level(spark, sf, add_eos=False)
+    return e.select("doc_id", F.size("input_ids").alias("n_ids"),
+                    F.size(F.filter("input_ids", lambda x: x == 3)).alias("n_unk"), _hash_ids("input_ids").alias("ids_hash"))
+
+
+@register("t10_encode")
+def t10(spark, sf):
+    e = _word_level(spark, sf, max_length=1024)
+    return e.select("doc_id", F.size("input_ids").alias("n_ids"), F.element_at("input_ids", -1).alias("last_id"),
+                    _hash_ids("input_ids").alias("ids_hash"))
+
+
+@register("t11_decode")
+def t11(spark, sf):
+    e = _word_level(spark, sf, max_length=1024)
+    d = TK.decode(e.select("doc_id", "input_ids"), "doc_id", "input_ids", _vocab(spark, sf))
+    return d.select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+
+
+@register("t12_special_mask")
+def t12(spark, sf):
+    e = _word_level(spark, sf, max_length=1024)
+    m = TK.special_tokens_mask(F.col("input_ids"))
+    m2 = TK.special_tokens_mask(F.col("input_ids"), already_has_special_tokens=False)
+    return e.select("doc_id", F.aggregate(m, F.lit(0), lambda a, x: a + x).alias("n_special"),
+                    F.size(m2).alias("mask_len"))
+
+
+@register("t13_pack_pair")
+def t13(spark, sf):
+    ex = fx.examples(spark, sf).filter(F.col("target_text").isNotNull()) \
+        .withColumn("key", F.col("run_id") * 1000 + F.col("turn"))
+    v = _vocab(spark, sf)
+    a = TK.encode(TK.pre_tokens(ex, "input_text", out="ta"), "key", "ta", v, add_eos=False, out="a")
+    b = TK.encode(TK.pre_tokens(a, "target_text", out="tb"), "key", "tb", v, add_eos=False, out="b")
+    ids, types = TK.pack_pair(F.col("a"), F.col("b"))
+    return b.select("run_id", "turn", F.size(ids).alias("n_ids"),
+                    F.aggregate(types, F.lit(0), lambda s, x: s + x).alias("n_second"),
+                    F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256).alias("ids_hash"))
+
+
+@register("t14_pad_batches")
+def t14(spark, sf):
+    e = _word_level(spark, sf, max_length=1024).withColumn("batch", F.floor(F.col("doc_id") / 4))
+    p = TK.pad_batches(e, "batch")
+    return p.select("doc_id", "batch", F.size("input_ids").alias("padded_len"),
+                    F.size(F.filter("input_ids", lambda x: x == 0)).alias("n_pad"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
+
+
+@register("t15_added_vocab")
+def t15(spark, sf):
+    return TK.added_vocab(_vocab(spark, sf))
+
+
+@register("t16_train_tokenizer")
+def t16(spark, sf):
+    from corpus_ledger.plans.tokenizer_job import corpus_tokenizer
+
+    e, m = _ledger(spark, sf)
+    vocab, merges = corpus_tokenizer(e, m, fx.page_texts(spark, sf), vocab_size=10000, min_frequency=2,
+                                     num_merges=10)
+    return vocab
+
+
+@register("m03_sequences")
+def m03(spark, sf):
+    e, m = _ledger(spark, sf)
+    pages = Q.main_pages(e, m).select("page_id")
+    texts = fx.page_texts(spark, sf).join(fx.documents(spark, sf).filter(F.col("lang") != "de")
+                                          .select(F.col("text").alias("t2")), F.col("text") == F.col("t2"), "left_semi")
+    from corpus_ledger.plans.dataset import page_sequences
+
+    s = page_sequences(pages, texts, _vocab(spark, sf), max_length=1024)
+    return s.select("page_id", F.size("input_ids").alias("n_ids"), _hash_ids("input_ids").alias("ids_hash"))
+
+
+@register("m17_remove_tokens")
+def m17r(spark, sf):
+    e = _word_level(spark, sf, add_eos=False)
+    top = M.most_impactful_tokens(fx.top_tokens(spark, sf), 10)
+    r = M.remove_tokens(e, "input_ids", top)
+    return r.select("doc_id", F.size("input_ids").alias("n_ids"), _hash_ids("input_ids").alias("ids_hash"))
