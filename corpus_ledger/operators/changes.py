@@ -207,8 +207,16 @@ def mark_used(entries: DataFrame, metadata: DataFrame, headers: DataFrame, token
     missing = global_row_number(hit.filter(F.col("meta_id").isNull()).select("entry_id"), ["entry_id"], "_rn")
     missing = missing.select("entry_id", (F.col("_rn") + F.lit(meta_base)).alias("new_meta_id"))
     hit = hit.join(missing, "entry_id", "left").withColumn("meta_id", F.coalesce("meta_id", "new_meta_id"))
+    # Per-page checkpoint / timestamp columns in ``metrics`` override the call's constants (S2 import).
+    if "model_checkpoint" not in hit.columns:
+        hit = hit.withColumn("model_checkpoint", F.lit(checkpoint))
+    if "training_timestamp" not in hit.columns:
+        hit = hit.withColumn("training_timestamp", ts)
+    hit = hit.withColumn("_ckpt", F.coalesce(F.col("model_checkpoint"), F.lit(checkpoint))) \
+             .withColumn("_ts", F.coalesce(F.col("training_timestamp").cast("timestamp_ntz"), ts)) \
+             .drop("model_checkpoint", "training_timestamp")
     upd = hit.select(
-        F.col("meta_id").alias("id"), "has_loss",
+        F.col("meta_id").alias("id"), "has_loss", "_ckpt", "_ts",
         F.coalesce(F.col("average_loss"), F.lit(0.0)).alias("new_avg"),
         F.coalesce(F.col("relative_loss"), F.lit(0.0)).alias("new_rel"))
     m = metadata.join(upd, "id", "left")
@@ -217,14 +225,14 @@ def mark_used(entries: DataFrame, metadata: DataFrame, headers: DataFrame, token
     new_meta = m.select(
         "id", "entry_id",
         F.when(touched, F.lit(True)).otherwise(F.col("used_in_training")).alias("used_in_training"),
-        F.when(touched, ts).otherwise(F.col("training_timestamp")).alias("training_timestamp"),
-        F.when(touched, F.lit(checkpoint)).otherwise(F.col("model_checkpoint")).alias("model_checkpoint"),
+        F.when(touched, F.col("_ts")).otherwise(F.col("training_timestamp")).alias("training_timestamp"),
+        F.when(touched, F.col("_ckpt")).otherwise(F.col("model_checkpoint")).alias("model_checkpoint"),
         F.when(loss, F.col("new_avg")).otherwise(F.col("average_loss")).alias("average_loss"),
         F.when(loss, F.col("new_rel")).otherwise(F.col("relative_loss")).alias("relative_loss"),
     )
     created = hit.filter(F.col("new_meta_id").isNotNull()).select(
         F.col("new_meta_id").alias("id"), "entry_id", F.lit(True).alias("used_in_training"),
-        ts.alias("training_timestamp"), F.lit(checkpoint).alias("model_checkpoint"),
+        F.col("_ts").alias("training_timestamp"), F.col("_ckpt").alias("model_checkpoint"),
         F.when(F.col("has_loss"), F.coalesce("average_loss", F.lit(0.0))).alias("average_loss"),
         F.when(F.col("has_loss"), F.coalesce("relative_loss", F.lit(0.0))).alias("relative_loss"))
     metadata2 = conform(new_meta.unionByName(created), TRAINING_METADATA)

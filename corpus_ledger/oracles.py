@@ -620,3 +620,40 @@ SELECT doc_id, len(r) AS n_ids, {_h('r')} AS ids_hash FROM (
        _TOK + _ids("documents", "doc_id", "text", eos=False) + [
            ("top10", """SELECT token_id FROM top_tokens GROUP BY token_id
                         ORDER BY sum(abs(impact)) DESC, token_id LIMIT 10""")])
+
+
+# --------------------------------------------------------------------------- S
+oracle("s01_load_ledger", ["entries"], "SELECT * FROM entries")
+oracle("s02_import_entries", ["entries"], "SELECT * FROM entries")
+oracle("s02_import_metadata", ["entries", "meta"], """
+SELECT e.id, e.id AS entry_id, coalesce(m.used_in_training AND length(m.model_checkpoint) > 0, false) AS used_in_training,
+       CASE WHEN m.used_in_training THEN m.training_timestamp END AS training_timestamp,
+       CASE WHEN m.used_in_training THEN m.model_checkpoint END AS model_checkpoint,
+       round(CASE WHEN m.used_in_training THEN coalesce(m.average_loss, 0.0) END, 6) AS average_loss,
+       round(CASE WHEN m.used_in_training THEN coalesce(m.relative_loss, 0.0) END, 6) AS relative_loss
+FROM entries e LEFT JOIN meta m ON m.entry_id = e.id""")
+oracle("s02_import_headers", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT m.id AS metadata_id, h.total_tokens, (SELECT count(*) FROM top_tokens t WHERE t.token_impact_id = h.id) AS n_tokens
+FROM meta m JOIN token_impacts h ON h.metadata_id = m.id WHERE m.used_in_training""")
+oracle("s03_export_nested", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT e.id, e.page_id, m.used_in_training, h.total_tokens,
+       CASE WHEN h.id IS NULL THEN NULL ELSE (SELECT count(*) FROM top_tokens t WHERE t.token_impact_id = h.id) END AS n_top_tokens,
+       CASE WHEN h.id IS NULL THEN NULL ELSE (SELECT min(position) FROM top_tokens t WHERE t.token_impact_id = h.id) END AS first_position
+FROM entries e LEFT JOIN meta m ON m.entry_id = e.id LEFT JOIN token_impacts h ON h.metadata_id = m.id""")
+oracle("s04_impact_pages", ["entries", "meta", "token_impacts", "top_tokens"], """
+SELECT e.id AS entry_id, e.page_id, h.id AS token_impact_id, h.total_tokens,
+       count(t.token_impact_id) AS n_top_tokens, round(coalesce(sum(t.impact), 0.0), 6) AS impact_sum
+FROM entries e JOIN meta m ON m.entry_id = e.id JOIN token_impacts h ON h.metadata_id = m.id
+LEFT JOIN top_tokens t ON t.token_impact_id = h.id GROUP BY ALL""")
+oracle("s05_read_texts", [], """
+SELECT CAST(page_id AS VARCHAR) AS page_key, length(html) AS n_chars, sha256(html) AS text_hash FROM pages""")
+oracle("s06_write_revision_texts", ["feed"], """
+SELECT page_id || '_' || revision_id AS page_key, sha256(content) AS text_hash FROM feed""")
+oracle("s07_write_titles", ["entries"], "SELECT page_id, title FROM entries WHERE NOT is_revision")
+oracle("s08_flatten_api", ["feed"], """
+SELECT page_id, title, revision_id, CAST(rn AS INTEGER) AS revision_number, content FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ts DESC, event_id DESC) AS rn FROM feed)
+WHERE rn <= 5 AND page_id IN (SELECT page_id FROM feed WHERE action = 'added')""")
+oracle("s11_migrate_legacy", ["legacy_impact"], """
+SELECT metadata_id AS id, metadata_id, CAST(impact AS BIGINT) AS total_tokens FROM legacy_impact
+WHERE token = 'total_tokens'""")

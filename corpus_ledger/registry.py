@@ -752,3 +752,136 @@ def m17r(spark, sf):
     top = M.most_impactful_tokens(fx.top_tokens(spark, sf), 10)
     r = M.remove_tokens(e, "input_ids", top)
     return r.select("doc_id", F.size("input_ids").alias("n_ids"), _hash_ids("input_ids").alias("ids_hash"))
+
+
+# --------------------------------------------------------------------------- S: sources and sinks
+from corpus_ledger.session import work_path  # noqa: E402
+from corpus_ledger.sources import io as IO  # noqa: E402
+
+
+def _ledger4(spark, sf):
+    e, m = _ledger(spark, sf)
+    return {"entries": e, "training_metadata": m, "token_impacts": fx.token_impacts(spark, sf),
+            "top_tokens": fx.top_tokens(spark, sf).withColumn("id", F.lit(None).cast("long"))}
+
+
+@register("s01_load_ledger")
+def s01(spark, sf):
+    base = work_path(spark, "ledger")
+    IO.save_ledger(_ledger4(spark, sf), base)
+    return IO.load_ledger(spark, base)["entries"]
+
+
+def _roundtrip(spark, sf):
+    t = _ledger4(spark, sf)
+    path = work_path(spark, "nested")
+    IO.export_json(IO.nest_ledger(t["entries"], t["training_metadata"], t["token_impacts"], t["top_tokens"]), path)
+    return IO.import_nested(IO.read_nested(spark, path))
+
+
+@register("s02_import_entries")
+def s02a(spark, sf):
+    return _roundtrip(spark, sf)[0]
+
+
+@register("s02_import_metadata")
+def s02b(spark, sf):
+    return _round_state(_roundtrip(spark, sf)[1])
+
+
+@register("s02_import_headers")
+def s02c(spark, sf):
+    _, _, h, t = _roundtrip(spark, sf)
+    n = t.groupBy("token_impact_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return h.join(n, h["id"] == n["token_impact_id"], "left").select(
+        "metadata_id", "total_tokens", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+
+
+@register("s03_export_nested")
+def s03(spark, sf):
+    t = _ledger4(spark, sf)
+    n = IO.nest_ledger(t["entries"], t["training_metadata"], t["token_impacts"], t["top_tokens"])
+    ti = F.col("training_metadata.token_impact")
+    return n.select("id", "page_id", F.col("training_metadata.used_in_training").alias("used_in_training"),
+                    ti["total_tokens"].alias("total_tokens"), F.size(ti["top_tokens"]).alias("n_top_tokens"),
+                    F.element_at(ti["top_tokens"], 1)["position"].alias("first_position"))
+
+
+@register("s04_impact_pages")
+def s04(spark, sf):
+    t = _ledger4(spark, sf)
+    p = IO.impact_pages(t["entries"], t["training_metadata"], t["token_impacts"], t["top_tokens"])
+    return p.select("entry_id", "page_id", "token_impact_id", "total_tokens", F.size("top_tokens").alias("n_top_tokens"),
+                    F.round(F.aggregate("top_tokens", F.lit(0.0), lambda a, x: a + x["impact"]), 6).alias("impact_sum"))
+
+
+@register("s05_read_texts")
+def s05(spark, sf):
+    path = work_path(spark, "texts")
+    pages = fx.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("page_id"),
+                                                 F.col("html").alias("text"))
+    IO.write_page_texts(pages, path)
+    t = IO.read_page_texts(spark, path)
+    return t.select("page_key", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+
+
+@register("s06_write_revision_texts")
+def s06(spark, sf):
+    path = work_path(spark, "revtexts")
+    IO.write_page_texts(fx.feed(spark, sf), path, "page_id", "revision_id", "content")
+    t = IO.read_page_texts(spark, path)
+    return t.select("page_key", F.sha2("text", 256).alias("text_hash"))
+
+
+@register("s07_write_titles")
+def s07(spark, sf):
+    path = work_path(spark, "titles")
+    IO.write_titles(Q.main_titles(*_ledger(spark, sf)), path)
+    return spark.read.schema("page_id string, title string").json(f"{path}/mapping")
+
+
+def api_responses(feed: DataFrame) -> DataFrame:
+    """Re-nest the feed as API responses: one document per page with its 5 latest revisions (newest
+    first); a page without a signup ('added') change is answered as missing."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("page_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    top = feed.withColumn("rn", F.row_number().over(w)).filter("rn <= 5")
+    revs = top.groupBy("page_id", "title").agg(F.array_sort(F.collect_list(F.struct(
+        "rn", F.col("event_id").alias("revid"), F.col("content")))).alias("r"))
+    known = feed.filter(F.col("action") == "added").select("page_id").distinct().withColumn("ok", F.lit(True))
+    j = revs.join(known, "page_id", "left")
+    page = F.struct(F.col("page_id").cast("long").alias("pageid"), F.col("title").alias("title"),
+                    F.when(F.col("ok").isNull(), F.lit("")).alias("missing"),
+                    F.transform("r", lambda x: F.struct(
+                        x["revid"].alias("revid"),
+                        F.create_map(F.lit("main"), F.create_map(F.lit("*"), x["content"])).alias("slots"))
+                    ).alias("revisions"))
+    body = F.to_json(F.struct(F.struct(F.create_map(F.col("page_id"), page).alias("pages")).alias("query")))
+    return j.select(body.alias("body"))
+
+
+@register("s08_flatten_api")
+def s08(spark, sf):
+    return IO.flatten_api_pages(api_responses(fx.feed(spark, sf)))
+
+
+@register("s09_repair_utf8")
+def s09(spark, sf):
+    p = fx.table(spark, sf, "pages").select("page_id", F.concat(F.col("html").cast("binary"),
+                                                                F.unhex(F.lit("FF"))).alias("raw"))
+    r = IO.repair_text(p, "raw")
+    return r.select("page_id", F.length("text").alias("n_chars"), F.col("text").endswith("�").alias("repaired"))
+
+
+@register("s10_tokenizer_files")
+def s10(spark, sf):
+    path = work_path(spark, "tokenizer")
+    IO.save_tokenizer(_vocab(spark, sf), _merges(spark, sf, 5), path)
+    vocab, merges = IO.load_tokenizer(spark, path)
+    return vocab
+
+
+@register("s11_migrate_legacy")
+def s11(spark, sf):
+    return IO.migrate_legacy_impact(fx.legacy_impact(spark, sf))
