@@ -657,3 +657,7 @@ WHERE rn <= 5 AND page_id IN (SELECT page_id FROM feed WHERE action = 'added')""
 oracle("s11_migrate_legacy", ["legacy_impact"], """
 SELECT metadata_id AS id, metadata_id, CAST(impact AS BIGINT) AS total_tokens FROM legacy_impact
 WHERE token = 'total_tokens'""")
+
+
+# --------------------------------------------------------------------------- ST1 (equals batch L1 on the whole feed)
+oracle("st01_stream_ledger", ["feed"], "SELECT * FROM s1", [("fo", "SELECT *, sha256(content) AS content_hash FROM feed")] + _S1)

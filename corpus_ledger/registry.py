@@ -885,3 +885,19 @@ def s10(spark, sf):
 @register("s11_migrate_legacy")
 def s11(spark, sf):
     return IO.migrate_legacy_impact(fx.legacy_impact(spark, sf))
+
+
+# --------------------------------------------------------------------------- ST1: streaming ledger apply
+@register("st01_stream_ledger")
+def st01(spark, sf):
+    """The feed written as one file per day, then applied by the stream one file per micro-batch."""
+    from corpus_ledger.streaming.ledger_stream import FEED_SCHEMA, run_to_completion
+
+    base = work_path(spark, "stream")
+    feed = fx.feed(spark, sf).select(*FEED_SCHEMA.fieldNames()).withColumn("day", F.to_date("ts"))
+    # Days are written in order as separate files so that micro-batches arrive in time order.
+    days = [r[0] for r in feed.select("day").distinct().orderBy("day").collect()]  # one row per day
+    for i, d in enumerate(days):
+        feed.filter(F.col("day") == F.lit(d)).drop("day").coalesce(1).write.parquet(f"{base}/feed/part={i:05d}")
+    return run_to_completion(spark, f"{base}/feed/*", f"{base}/state", f"{base}/checkpoint",
+                             max_files_per_trigger=1).entries
