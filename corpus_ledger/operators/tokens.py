@@ -99,7 +99,10 @@ def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10)
 
     spark = words.sparkSession
     checkpoint_dir(spark)
-    w = words.select("pieces", "freq").filter(F.size("pieces") > 1).checkpoint(eager=True)
+    # The distinct-word table is small after aggregation and AQE may coalesce it into one partition;
+    # spread it over the cluster's task slots so each round's pair count runs in parallel.
+    w = words.select("pieces", "freq").filter(F.size("pieces") > 1) \
+        .repartition(spark.sparkContext.defaultParallelism).checkpoint(eager=True)
     merges: list[tuple[int, str, str]] = []
     stale: DataFrame | None = None
     for r in range(num_merges):
