@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 # Python's str whitespace, as code point ranges.
 WS = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
+# The same whitespace as literal characters (for trimming).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
 # The reference's pre-tokenisation alternatives, in order:
 # contractions 's 't 're 've 'm 'll 'd n't; whitespace+letters; whitespace+digits; letters; digits;
 # other symbols; whitespace not followed by a non-space; whitespace.
@@ -45,7 +49,9 @@ def pretokenize(text: Column, strip: bool = True) -> Column:
     toks = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     if not strip:
         return toks
-    stripped = F.transform(toks, lambda t: F.regexp_replace(t, LEADING_WS, ""))
+    # Only leading whitespace can occur (a token is whitespace, or whitespace + letters/digits, or
+    # has none), so a character-set ltrim equals Python's strip here and stays out of the regex engine.
+    stripped = F.transform(toks, lambda t: F.ltrim(t, F.lit(WS_CHARS)))
     return F.filter(stripped, lambda t: t != "")
 
 

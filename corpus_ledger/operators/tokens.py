@@ -85,15 +85,46 @@ def merge_pieces(pieces: Column, left: str, right: str) -> Column:
     return F.aggregate(pieces, F.array().cast("array<string>"), step)
 
 
-def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10) -> DataFrame:
-    """T5: learn ``num_merges`` merges; each round picks the most frequent pair (ties by pair, D9)
-    and rewrites the words.
+def accept_merges(cands: list[tuple[str, str, int]], created: set[str]) -> list[tuple[str, str]]:
+    """The prefix of the ranked candidate pairs that sequential merging would pick next, in order.
+
+    ``cands`` are the top pairs (left, right, count) in rank order (count desc, then pair). The first
+    is always taken. A later candidate p_j is taken while
+    (a) every earlier taken pair has distinct symbols (left != right), shares no symbol with it, and
+        neither it nor they produce a token that already exists (``created``) or is a symbol of another;
+    (b) its count is strictly above the next candidate's.
+    Then merging p_1..p_(j-1) leaves p_j's count unchanged, lowers or keeps the counts of pairs
+    touching their symbols, and every pair that gains (one touching a new token t = a + b) is bounded
+    by an old pair count (x, a) or (b, y) below p_j's, so p_j is the best pair at step j exactly.
+    """
+    a, b, _ = cands[0]
+    taken = [(a, b)]
+    used = {a, b, a + b}
+    if a == b or (a + b) in created:
+        return taken
+    for j in range(1, len(cands) - 1):
+        c, d, n = cands[j]
+        if n <= cands[j + 1][2] or c == d:
+            break
+        t = c + d
+        if c in used or d in used or t in used or t in created:
+            break
+        taken.append((c, d))
+        used |= {c, d, t}
+    return taken
+
+
+def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10, candidates: int = 64) -> DataFrame:
+    """T5: learn ``num_merges`` merges; the most frequent pair (ties by pair, D9) is merged and the
+    words rewritten, exactly as a sequential loop would.
 
-    One Spark job per round: the pair count of round r also materialises the cached word table
-    rewritten in round r - 1, so a round reads its input from the cache. A reliable checkpoint every
-    ``checkpoint_every`` rounds bounds the lineage an executor loss would replay.
+    Each round is one Spark job: it counts pairs on the cached word table and returns the top
+    ``candidates``; ``accept_merges`` takes as many of them as provably come next in sequence, so a
+    round often yields several merges. The count also materialises the cached table rewritten by
+    the previous round. A reliable checkpoint every ``checkpoint_every`` merges bounds the lineage
+    an executor loss would replay.
 
-    Returns (rank, left, right). Exact order needs one aggregation per merge.
+    Returns (rank, left, right).
     """
     from pyspark import StorageLevel
 
@@ -104,19 +135,29 @@ def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10)
     w = words.select("pieces", "freq").filter(F.size("pieces") > 1) \
         .repartition(spark.sparkContext.defaultParallelism).checkpoint(eager=True)
     merges: list[tuple[int, str, str]] = []
+    created: set[str] = set()
     stale: DataFrame | None = None
-    for r in range(num_merges):
-        best = pair_counts(w).orderBy(F.desc("count"), "left", "right").limit(1).collect()
+    since_ckpt = 0
+    while len(merges) < num_merges:
+        top = pair_counts(w).orderBy(F.desc("count"), "left", "right").limit(candidates + 1).collect()
         if stale is not None:
             stale.unpersist()
             stale = None
-        if not best:
+        if not top:
             break
-        a, b = best[0]["left"], best[0]["right"]
-        merges.append((r + 1, a, b))
-        nxt = w.withColumn("pieces", merge_pieces(F.col("pieces"), a, b))
-        if (r + 1) % checkpoint_every == 0:
+        cands = [(r["left"], r["right"], int(r["count"])) for r in top]
+        if len(cands) <= candidates:
+            cands.append(("", "", -1))  # sentinel: nothing ranks below the last real pair
+        picked = accept_merges(cands, created)[: num_merges - len(merges)]
+        nxt = w
+        for a, b in picked:
+            merges.append((len(merges) + 1, a, b))
+            created.add(a + b)
+            nxt = nxt.withColumn("pieces", merge_pieces(F.col("pieces"), a, b))
+        since_ckpt += len(picked)
+        if since_ckpt >= checkpoint_every:
             nxt = nxt.filter(F.size("pieces") > 1).checkpoint(eager=True)
+            since_ckpt = 0
         else:
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
         stale, w = w, nxt
@@ -238,6 +279,48 @@ def tokens_to_ids(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, ou
     return df.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<long>")))
 
 
+def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "ids", merges: DataFrame | None = None,
+               max_tokens: int | None = None, max_vocab: int = 1 << 20) -> DataFrame:
+    """T7 + T9 without a shuffle: per row, optional BPE then token -> id (unknown -> 3), optionally
+    only the first ``max_tokens``.
+
+    The vocabulary (bounded by the tokenizer size, checked) and the merge list (bounded by the merge
+    budget) are broadcast variables; each Arrow batch caches the ids of its distinct words. This
+    avoids exploding every token and regrouping it by row, which would shuffle the whole corpus.
+    """
+    spark = df.sparkSession
+    rows = vocab.select("token", "id").limit(max_vocab + 1).collect()
+    if len(rows) > max_vocab:
+        raise ValueError(f"vocabulary larger than {max_vocab}")
+    bv = spark.sparkContext.broadcast({r["token"]: int(r["id"]) for r in rows})
+    pairs = [] if merges is None else [(r["left"], r["right"]) for r in
+                                       merges.select("left", "right").limit(RESERVED_MERGES + 1).collect()]
+    bm = spark.sparkContext.broadcast(frozenset(pairs))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def to_ids(tokens: pd.Series) -> pd.Series:
+        v, ms = bv.value, bm.value
+        cache: dict[str, list[int]] = {}
+        res = []
+        for toks in tokens:
+            if toks is None:
+                res.append(None)
+                continue
+            row: list[int] = []
+            for t in toks:
+                got = cache.get(t)
+                if got is None:
+                    pieces = _bpe(t, ms) if ms else [t]
+                    got = cache[t] = [v.get(p, UNK_ID) for p in pieces]
+                row.extend(got)
+                if max_tokens is not None and len(row) >= max_tokens:
+                    break
+            res.append(row if max_tokens is None else row[:max_tokens])
+        return pd.Series(res)
+
+    return df.withColumn(out, to_ids(F.col(tokens_col)))
+
+
 def ids_to_tokens(vocab: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """T9 (inverse): id -> token, unknown ids -> [UNK]."""
     v = vocab.select(F.col("id").alias(id_col), "token")
@@ -245,10 +328,16 @@ def ids_to_tokens(vocab: DataFrame, ids: DataFrame, id_col: str = "id") -> DataF
 
 
 def encode(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, max_length: int | None = None,
-           truncation: bool = True, add_eos: bool = True, out: str = "input_ids") -> DataFrame:
-    """Ids of the tokens, truncated to max_length - 1, then EOS appended."""
+           truncation: bool = True, add_eos: bool = True, out: str = "input_ids", method: str = "lookup",
+           merges: DataFrame | None = None) -> DataFrame:
+    """Ids of the tokens (after BPE when ``merges`` is given), truncated to max_length - 1, then
+    EOS appended. ``method='join'`` uses the JVM-only explode / broadcast-join / regroup path."""
     keep = max_length - 1 if (truncation and max_length) else None
-    r = tokens_to_ids(df, key, tokens_col, vocab, out, max_tokens=keep)
+    if method == "join":
+        src = df if merges is None else apply_merges(df, merges, tokens_col, tokens_col)
+        r = tokens_to_ids(src, key, tokens_col, vocab, out, max_tokens=keep)
+    else:
+        r = lookup_ids(df, tokens_col, vocab, out, merges, max_tokens=keep)
     if add_eos:
         r = r.withColumn(out, F.array_append(F.col(out), F.lit(EOS_ID).cast("long")))
     return r

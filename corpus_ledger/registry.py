@@ -610,9 +610,10 @@ def _vocab(spark, sf):
     return TK.initial_vocab(TK.word_frequencies(fx.documents(spark, sf)), 10000, 2)
 
 
-def _word_level(spark, sf, max_length=None, add_eos=True):
+def _word_level(spark, sf, max_length=None, add_eos=True, method="lookup"):
     docs = TK.pre_tokens(fx.documents(spark, sf).select("doc_id", "text"))
-    return TK.encode(docs, "doc_id", "tokens", _vocab(spark, sf), max_length=max_length, add_eos=add_eos)
+    return TK.encode(docs, "doc_id", "tokens", _vocab(spark, sf), max_length=max_length, add_eos=add_eos,
+                     method=method)
 
 
 @register("t01_pretokenize")
@@ -669,7 +670,7 @@ def t08(spark, sf):
 
 @register("t09_token_ids")
 def t09(spark, sf):
-    e = _word_level(spark, sf, add_eos=False)
+    e = _word_level(spark, sf, add_eos=False, method="join")
     return e.select("doc_id", F.size("input_ids").alias("n_ids"),
                     F.size(F.filter("input_ids", lambda x: x == 3)).alias("n_unk"), _hash_ids("input_ids").alias("ids_hash"))
 
