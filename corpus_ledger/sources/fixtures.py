@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 FEED_CUTOFF = "2024-01-20 00:00:00"
 
 
-# Tables whose rows carry long text: per-row work (regex, BPE) dominates, so they are spread over
-# the task slots when the input is too small to have been split into that many tasks.
-TEXT_TABLES = {"documents", "pages", "conversations"}
 # Fixed value: a row group (the unit Parquet splits on) is at most about this large.
 SPLIT_BYTES = 128 * 1024 * 1024
 
@@ -28,14 +25,21 @@ def _input_bytes(spark: SparkSession, path: str) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataFrame:
+    """``cols`` of a text table, spread over the task slots when the input is small.
+
+    Below one split per slot the scan may run in a single task (one Parquet row group); a
+    round-robin spread then costs a shuffle of at most slots * SPLIT_BYTES, and the per-row text
+    work (regex, hashing, BPE) runs on every slot. Larger inputs are already split by the scan.
+    """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in TEXT_TABLES:
-        slots = spark.sparkContext.defaultParallelism
-        # Below one split per slot the scan may run in a single task; a round-robin spread then costs
-        # a shuffle of at most slots * SPLIT_BYTES. Larger inputs are already split by the scan.
-        if _input_bytes(spark, path) < slots * SPLIT_BYTES:
-            df = df.repartition(slots)
+    df = spark.read.parquet(path).select(*cols)
+    slots = spark.sparkContext.defaultParallelism
+    if _input_bytes(spark, path) < slots * SPLIT_BYTES:
+        df = df.repartition(slots)
     return df
 
 
@@ -63,7 +67,7 @@ def split_feed(fd: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth document is a main page, the other four its revisions."""
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     e = table(spark, sf_dir, "events").select("event_id", "ts")
     rem = F.col("doc_id") % 5
     parent = (F.col("doc_id") - rem).cast("string")
@@ -195,12 +199,12 @@ def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return text_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw text keyed like the ledger's page ids (main pages and revisions)."""
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents", ["doc_id", "text"])
     rem = F.col("doc_id") % 5
     parent = (F.col("doc_id") - rem).cast("string")
     return d.select(
