@@ -29,6 +29,7 @@ def main() -> None:
     from corpus_ledger.session import build_session
 
     spark = build_session()
+    spark.range(1000).selectExpr("sum(id)").collect()  # JVM / session warm-up, not timed
     names = sys.argv[1:] or HEADLINE
     times: dict[str, float] = {}
     for name in names:

@@ -25,9 +25,17 @@ def global_row_number(df: DataFrame, order: list[Column | str], name: str = "rn"
 
     ``order`` must be a total order (unique keys) for a deterministic numbering.
     """
+    from pyspark import StorageLevel
+
     spark = df.sparkSession
+    # Cached so the emptiness probe and the sort below compute the input once.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if src.isEmpty():  # skips the sort and checkpoint when nothing needs a number
+        src.unpersist()
+        return df.withColumn(name, F.lit(None).cast("long"))
     checkpoint_dir(spark)
-    ordered = df.orderBy(*order).checkpoint(eager=True)
+    ordered = src.orderBy(*order).checkpoint(eager=True)
+    src.unpersist()
     pid = F.spark_partition_id()
     sizes = {r["pid"]: r["n"] for r in
              ordered.groupBy(pid.alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect()}
