@@ -27,14 +27,15 @@ def global_row_number(df: DataFrame, order: list[Column | str], name: str = "rn"
     """
     from pyspark import StorageLevel
 
+    from corpus_ledger.functions.materialize import materialize
+
     spark = df.sparkSession
     # Cached so the emptiness probe and the sort below compute the input once.
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     if src.isEmpty():  # skips the sort and checkpoint when nothing needs a number
         src.unpersist()
         return df.withColumn(name, F.lit(None).cast("long"))
-    checkpoint_dir(spark)
-    ordered = src.orderBy(*order).checkpoint(eager=True)
+    ordered = materialize(src.orderBy(*order))
     src.unpersist()
     pid = F.spark_partition_id()
     sizes = {r["pid"]: r["n"] for r in

@@ -15,6 +15,7 @@ from corpus_ledger.functions.joins import broadcast_bounded
 from corpus_ledger.functions.ranks import bounded_row_number
 from corpus_ledger.functions.text import (BOS_ID, EOS_ID, LEADING_WS, PAD_ID, SPECIALS, UNK, UNK_ID, WS,
                                           characters, pretokenize)
+from corpus_ledger.functions.materialize import materialize
 from corpus_ledger.session import checkpoint_dir
 
 # Fixed value: merges reserved out of the vocabulary budget.
@@ -132,8 +133,8 @@ def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10,
     checkpoint_dir(spark)
     # The distinct-word table is small after aggregation and AQE may coalesce it into one partition;
     # spread it over the cluster's task slots so each round's pair count runs in parallel.
-    w = words.select("pieces", "freq").filter(F.size("pieces") > 1) \
-        .repartition(spark.sparkContext.defaultParallelism).checkpoint(eager=True)
+    w = materialize(words.select("pieces", "freq").filter(F.size("pieces") > 1)
+                    .repartition(spark.sparkContext.defaultParallelism))
     merges: list[tuple[int, str, str]] = []
     created: set[str] = set()
     stale: DataFrame | None = None
@@ -156,7 +157,7 @@ def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10,
             nxt = nxt.withColumn("pieces", merge_pieces(F.col("pieces"), a, b))
         since_ckpt += len(picked)
         if since_ckpt >= checkpoint_every:
-            nxt = nxt.filter(F.size("pieces") > 1).checkpoint(eager=True)
+            nxt = materialize(nxt.filter(F.size("pieces") > 1))
             since_ckpt = 0
         else:
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
@@ -183,7 +184,7 @@ def train_tokenizer(texts: DataFrame, vocab_size: int = 10000, min_frequency: in
     """(vocabulary, merges). ``num_merges`` defaults to the reference's budget
     min(reserved, vocab_size - len(initial vocabulary))."""
     freqs = word_frequencies(texts, text_col)
-    vocab = initial_vocab(freqs, vocab_size, min_frequency).checkpoint(eager=True)
+    vocab = materialize(initial_vocab(freqs, vocab_size, min_frequency))
     if num_merges is None:
         num_merges = min(RESERVED_MERGES, vocab_size - vocab.count())
     merges = learn_merges(word_table(freqs, min_frequency), max(num_merges, 0))
