@@ -165,8 +165,11 @@ def training_titles(entries: DataFrame, metadata: DataFrame, candidates: DataFra
     if need <= 0:
         out = db_titles
     else:
-        existing = main_pages(entries, metadata).select("title").distinct()
         cand = candidates.orderBy("cand_order").limit(2 * need)
+        # ``cand`` holds at most 2 * target_count rows: broadcast it to pick the few ledger titles that
+        # collide, instead of shuffling every main-page title for the anti join.
+        existing = entries.filter(~F.col("is_revision")).select("title") \
+            .join(F.broadcast(cand.select("title").distinct()), "title", "left_semi").distinct()
         fresh = cand.join(existing, "title", "left_anti").orderBy("cand_order").limit(need)
         out = db_titles.unionByName(fresh.select(
             F.lit("candidate").alias("origin"), F.lit(None).cast("string").alias("page_id"), "title",
