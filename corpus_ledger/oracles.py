@@ -665,3 +665,38 @@ oracle("st01_stream_ledger", ["feed"], "SELECT * FROM s1", [("fo", "SELECT *, sh
 oracle("l13_reset_no_recreate", ["meta"], "SELECT * FROM meta WHERE false")
 oracle("s09_repair_utf8", [], "SELECT page_id, length(html) + 1 AS n_chars, true AS repaired FROM pages")
 oracle("s10_tokenizer_files", [], "SELECT token, id FROM vocab", _TOK)
+
+
+# --------------------------------------------------------------------------- result types
+# DuckDB widens counts to HUGEINT and sizes to BIGINT; pin each oracle column to the Spark type.
+_I, _B = "INTEGER", "BIGINT"
+CASTS: dict[str, dict[str, str]] = {
+    "q08_usage_statistics": {"used_entries": _B, "unused_entries": _B},
+    "q09_training_status": {"main_pages": _B, "used_main_pages": _B, "unused_main_pages": _B, "unused_revisions": _B},
+    "q14_crawl_list": {"rank": _I},
+    "q16_table_profile": {"value": _B},
+    "i04_token_validity": {"n_invalid": _B},
+    "i06_size_statistics": {"entries_with_training": _B},
+    "m11_critical_tokens": {"total_tokens": _I, "context_end": _I},
+    "m12_top_impacts": {"rank": _I},
+    "m13_last_epoch": {"total_tokens": _I},
+    "m14_nan_audit": {"token_loss_nan": _B, "logits_rows_with_nan": _B},
+    "m15_top_k": {"rank": _I},
+    "t01_pretokenize": {"n_raw": _I, "n_tokens": _I},
+    "t04_pair_counts": {"count": _B},
+    "t09_token_ids": {"n_unk": _I, "n_ids": _I},
+    "t10_encode": {"n_ids": _I},
+    "t11_decode": {"n_chars": _I},
+    "t12_special_mask": {"mask_len": _I, "n_special": _I},
+    "t13_pack_pair": {"n_ids": _I, "n_second": _I},
+    "t14_pad_batches": {"mask_sum": _I, "n_pad": _I, "padded_len": _I},
+    "m03_sequences": {"n_ids": _I},
+    "m17_remove_tokens": {"n_ids": _I},
+    "s03_export_nested": {"n_top_tokens": _I},
+    "s04_impact_pages": {"n_top_tokens": _I},
+    "s05_read_texts": {"n_chars": _I},
+    "s09_repair_utf8": {"n_chars": _I},
+}
+for _name, _cols in CASTS.items():
+    _repl = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in _cols.items())
+    ORACLES[_name] = f"SELECT * REPLACE ({_repl}) FROM (\n{ORACLES[_name]}\n)"
