@@ -64,21 +64,37 @@ def token_validity(tokens: DataFrame) -> DataFrame:
 
 
 def schema_check(tables: dict[str, DataFrame], expected: dict[str, T.StructType]) -> DataFrame:
-    """Every expected table and column present with its type (one row per expected column).
-
-    Only the schemas are inspected, no data is read.
-    """
-    rows = []
+    """Every expected table and column present with its type, plus the null count of each present
+    column (one aggregation pass per table). One row per expected column."""
+    parts = []
     for name, schema in expected.items():
-        have = {f.name: f.dataType for f in tables[name].schema.fields} if name in tables else None
+        df = tables.get(name)
+        have = {} if df is None else {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        present = [f for f in schema.fields if f.name in have]
+        if df is not None and present:
+            nulls = df.agg(*[F.count_if(F.col(f.name).isNull()).alias(f.name) for f in present])
+            stacked = nulls.select(F.explode(F.map_from_arrays(
+                F.array(*[F.lit(f.name) for f in present]),
+                F.array(*[F.col(f.name) for f in present]))).alias("column", "null_count"))
+        else:
+            stacked = None
+        rows = []
         for f in schema.fields:
-            actual = None if have is None or f.name not in have else have[f.name].simpleString()
-            status = "missing_table" if have is None else (
+            actual = have.get(f.name)
+            status = "missing_table" if df is None else (
                 "missing_column" if actual is None else ("ok" if actual == f.dataType.simpleString() else "type_differs"))
             rows.append((name, f.name, f.dataType.simpleString(), actual, status))
-    spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(rows, "table string, column string, expected_type string, "
-                                       "actual_type string, status string")
+        spark = next(iter(tables.values())).sparkSession
+        meta = spark.createDataFrame(rows, "table string, column string, expected_type string, "
+                                           "actual_type string, status string")
+        # ``stacked`` has one row per column of the table: a broadcast of a fixed-size list.
+        part = meta.join(F.broadcast(stacked), "column", "left") if stacked is not None \
+            else meta.withColumn("null_count", F.lit(None).cast("long"))
+        parts.append(part.select("table", "column", "expected_type", "actual_type", "status", "null_count"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def size_statistics(entries: DataFrame, metadata: DataFrame, headers: DataFrame, tokens: DataFrame) -> DataFrame:

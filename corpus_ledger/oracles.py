@@ -662,7 +662,7 @@ WHERE token = 'total_tokens'""")
 # --------------------------------------------------------------------------- ST1 (equals batch L1 on the whole feed)
 oracle("st01_stream_ledger", ["feed"], "SELECT * FROM s1", [("fo", "SELECT *, sha256(content) AS content_hash FROM feed")] + _S1)
 
-oracle("l13_reset_no_recreate", ["meta"], "SELECT * FROM meta WHERE false")
+oracle("l13_reset_no_recreate", ["meta"], "SELECT count(*) AS deleted_rows, CAST(0 AS BIGINT) AS remaining_rows FROM meta")
 oracle("s09_repair_utf8", [], "SELECT page_id, length(html) + 1 AS n_chars, true AS repaired FROM pages")
 oracle("s10_tokenizer_files", [], "SELECT token, id FROM vocab", _TOK)
 

@@ -317,8 +317,11 @@ def l12(spark, sf):
 
 @register("l13_reset_no_recreate")
 def l13(spark, sf):
+    """Rows deleted from the metadata table and rows left after a reset without recreation."""
     e, m = _ledger(spark, sf)
-    return C.reset_metadata(e, m, recreate=False)
+    after = C.reset_metadata(e, m, recreate=False)
+    return C._side_by_side(m.agg(F.count(F.lit(1)).alias("deleted_rows")),
+                           after.agg(F.count(F.lit(1)).alias("remaining_rows")))
 
 
 @register("l14_trim_metadata")

@@ -126,7 +126,7 @@ def write_page_texts(df: DataFrame, path: str, page_col: str = "page_id", revisi
 def read_page_texts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """(page_key, text). ``fmt='text'`` reads a folder of ``<key>.txt`` files whole."""
     if fmt == "text":
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
         name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
         return raw.select(F.regexp_replace(name, r"\.txt$", "").alias("page_key"), F.col("value").alias("text"))
     return spark.read.parquet(path).select("page_key", "text")

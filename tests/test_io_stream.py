@@ -54,3 +54,32 @@ def test_stream_equals_batch(spark):
     got = run_to_completion(spark, f"{base}/feed/*", f"{base}/state", f"{base}/ckpt", max_files_per_trigger=1)
     want = C.upsert_pages(C.empty_like(spark, ENTRIES), C.empty_like(spark, TRAINING_METADATA), feed).entries
     assert sorted(map(tuple, got.entries.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_read_text_folder(spark, tmp_path):
+    """A folder of <page_key>.txt files read whole, keyed by file name."""
+    (tmp_path / "12.txt").write_text("first line\nsecond line\n", encoding="utf-8")
+    (tmp_path / "12_99.txt").write_text("revision text", encoding="utf-8")
+    got = {r.page_key: r.text for r in IO.read_page_texts(spark, str(tmp_path), fmt="text").collect()}
+    assert got == {"12": "first line\nsecond line\n", "12_99": "revision text"}
+    pages = spark.createDataFrame([("12",), ("13",)], "page_id string")
+    assert IO.attach_texts(pages, IO.read_page_texts(spark, str(tmp_path), fmt="text")).count() == 1
+    kept = IO.attach_texts(pages, IO.read_page_texts(spark, str(tmp_path), fmt="text"), missing="keep")
+    assert kept.filter("text IS NULL").count() == 1
+
+
+def test_category_members(spark):
+    body = '{"query": {"categorymembers": [{"pageid": 1, "title": "A"}, {"pageid": 2, "title": "B"}]}}'
+    rows = [tuple(r) for r in IO.flatten_category_members(spark.createDataFrame([(body,)], "body string"))
+            .orderBy("pos").collect()]
+    assert rows == [(0, 1, "A"), (1, 2, "B")]
+
+
+def test_schema_check_reports_nulls_and_missing(spark):
+    from corpus_ledger.operators import audit as I
+    from corpus_ledger.sources.schemas import TOKEN_IMPACTS
+
+    h = spark.createDataFrame([(1, None), (2, 5)], "id long, metadata_id long")
+    rows = {r.column: (r.status, r.null_count) for r in I.schema_check({"token_impacts": h},
+                                                                       {"token_impacts": TOKEN_IMPACTS}).collect()}
+    assert rows == {"id": ("ok", 0), "metadata_id": ("ok", 1), "total_tokens": ("missing_column", None)}
