@@ -16,7 +16,7 @@ from corpus_ledger.functions.ranks import bounded_row_number
 from corpus_ledger.functions.text import (BOS_ID, EOS_ID, LEADING_WS, PAD_ID, SPECIALS, UNK, UNK_ID, WS,
                                           characters, pretokenize)
 from corpus_ledger.functions.materialize import materialize
-from corpus_ledger.session import checkpoint_dir
+from corpus_ledger.session import checkpoint_dir, ship_package
 
 # Fixed value: merges reserved out of the vocabulary budget.
 RESERVED_MERGES = 5000
@@ -211,6 +211,7 @@ def apply_merges(df: DataFrame, merges: DataFrame, tokens_col: str = "tokens", o
 
     The merge list is bounded by the merge budget and shipped to the tasks as a broadcast variable.
     """
+    ship_package(df.sparkSession)
     pairs = [(r["left"], r["right"]) for r in merges.select("left", "right").limit(max_merges + 1).collect()]
     if len(pairs) > max_merges:
         raise ValueError(f"more than {max_merges} merges")
@@ -242,6 +243,7 @@ def apply_merges_dropout(df: DataFrame, merges: DataFrame, key_col: str, p: floa
     """BPE-dropout: each candidate merge is skipped with probability ``p``; the random stream of a
     token is seeded by (seed, row key, token position), so a retried task repeats its result."""
     import numpy as np
+    ship_package(df.sparkSession)
     pairs = [(r["left"], r["right"]) for r in merges.select("left", "right").limit(RESERVED_MERGES + 1).collect()]
     bc = df.sparkSession.sparkContext.broadcast(frozenset(pairs))
 
@@ -290,6 +292,7 @@ def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "ids
     avoids exploding every token and regrouping it by row, which would shuffle the whole corpus.
     """
     spark = df.sparkSession
+    ship_package(spark)
     rows = vocab.select("token", "id").limit(max_vocab + 1).collect()
     if len(rows) > max_vocab:
         raise ValueError(f"vocabulary larger than {max_vocab}")
