@@ -10,39 +10,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str whitespace, as code point ranges.
-WS = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-
-# The same whitespace as literal characters (for trimming).
-WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
-            + "\u2028\u2029\u202f\u205f\u3000")
-
-# The reference's pre-tokenisation alternatives, in order:
-# contractions 's 't 're 've 'm 'll 'd n't; whitespace+letters; whitespace+digits; letters; digits;
-# other symbols; whitespace not followed by a non-space; whitespace.
-CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "n't"]
-_S = f"[{WS}]"
-_NS = f"[^{WS}]"
-_BODY = [
-    f"{_S}+\\p{{L}}+",
-    f"{_S}+\\p{{N}}+",
-    "\\p{L}+",
-    "\\p{N}+",
-    f"[^{WS}\\p{{L}}\\p{{N}}]+",
-]
-# Java (Spark): the full pattern with the look-ahead alternative.
-PATTERN = "|".join(CONTRACTIONS + _BODY + [f"{_S}+(?!{_NS})", f"{_S}+"])
-# RE2 (DuckDB oracle): no look-ahead; the whitespace-only tokens it merges are split afterwards.
-PATTERN_RE2 = "|".join(CONTRACTIONS + _BODY + [f"{_S}+"])
-WS_ONLY_RE2 = f"{_S}+"
-LEADING_WS = f"^{_S}+"
-
-# Special tokens and their ids.
+# The reference's pre-tokenisation pattern (Python ``regex`` syntax) and special tokens.
+PRETOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|n't|\s+\p{L}+|\s+\p{N}+|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PAD, BOS, EOS, UNK = "[PAD]", "[BOS]", "[EOS]", "[UNK]"
 SPECIALS = [(PAD, 0), (BOS, 1), (EOS, 2), (UNK, 3)]
 PAD_ID, BOS_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
 
 
+def _whitespace_ranges() -> list[tuple[int, int]]:
+    """Python's ``\\s`` for str patterns is every code point with ``str.isspace()``; as ranges."""
+    cps = [c for c in range(0x110000) if chr(c).isspace()]
+    ranges: list[tuple[int, int]] = []
+    for c in cps:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1] = (ranges[-1][0], c)
+        else:
+            ranges.append((c, c))
+    return ranges
+
+
+_RANGES = _whitespace_ranges()
+# Java's and RE2's ``\s`` differ from Python's, so both engines get the same explicit class.
+WS = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _RANGES)
+WS_CHARS = "".join(chr(c) for a, b in _RANGES for c in range(a, b + 1))
+
+
+def _explicit(pattern: str) -> str:
+    """Spell ``\\s`` / ``\\S`` (also inside a negated class) with the explicit whitespace class."""
+    return pattern.replace("[^\\s", f"[^{WS}").replace("\\S", f"[^{WS}]").replace("\\s", f"[{WS}]")
+
+
+# Java (Spark): the full pattern.
+PATTERN = _explicit(PRETOKEN_PATTERN)
+# RE2 (DuckDB oracle) has no look-ahead: the look-ahead alternative is left out and the
+# whitespace-only tokens it would have split are split afterwards (see ``duck_pretokenize``).
+PATTERN_RE2 = _explicit("|".join(a for a in PRETOKEN_PATTERN.split("|") if "(?!" not in a))
+WS_ONLY_RE2 = f"[{WS}]+"
+LEADING_WS = f"^[{WS}]+"
+
+
 def pretokenize(text: Column, strip: bool = True) -> Column:
     """Pre-tokens of ``text`` in order. ``strip`` drops leading whitespace and empty tokens (the
     encoding form); without it tokens keep their whitespace (the vocabulary-counting form, D7)."""

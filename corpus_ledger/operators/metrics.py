@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from corpus_ledger.functions.ranks import global_row_number
 from corpus_ledger.operators.queries import unused_pages
 
-# The reference's special-token ids and loss clamp.
-PAD_ID, BOS_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
+from corpus_ledger.functions.text import PAD_ID  # noqa: E402
+
+# The reference's logit clamp, context window and significance quantile.
 LOGIT_CLAMP = 10.0
 CONTEXT_WINDOW = 2
 SIGNIFICANCE_QUANTILE = 0.95
