@@ -115,15 +115,20 @@ def accept_merges(cands: list[tuple[str, str, int]], created: set[str]) -> list[
     return taken
 
 
-def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10, candidates: int = 64) -> DataFrame:
+def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10, candidates: int = 64,
+                 incremental_above: int = 2_000_000) -> DataFrame:
     """T5: learn ``num_merges`` merges; the most frequent pair (ties by pair, D9) is merged and the
     words rewritten, exactly as a sequential loop would.
 
-    Each round is one Spark job: it counts pairs on the cached word table and returns the top
-    ``candidates``; ``accept_merges`` takes as many of them as provably come next in sequence, so a
-    round often yields several merges. The count also materialises the cached table rewritten by
-    the previous round. A reliable checkpoint every ``checkpoint_every`` merges bounds the lineage
-    an executor loss would replay.
+    Pair counts are kept as a table hash-partitioned by pair and updated incrementally: a round
+    re-counts only the words that contain one of its merged pairs (old pairs subtracted, new pairs
+    added) and folds that delta into the table with a co-partitioned join, so the untouched words
+    are neither exploded nor shuffled again. Below ``incremental_above`` distinct words a full
+    re-count per round is cheaper than the extra join and is used instead. Each round is one Spark
+    job returning the top
+    ``candidates`` pairs; ``accept_merges`` takes as many as provably come next in sequence. A
+    reliable checkpoint every ``checkpoint_every`` merges bounds the lineage an executor loss would
+    replay.
 
     Returns (rank, left, right).
     """
@@ -131,40 +136,62 @@ def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10,
 
     spark = words.sparkSession
     checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The distinct-word table is small after aggregation and AQE may coalesce it into one partition;
-    # spread it over the cluster's task slots so each round's pair count runs in parallel.
+    # spread it over the cluster's task slots so each round's scan runs in parallel.
     w = materialize(words.select("pieces", "freq").filter(F.size("pieces") > 1)
                     .repartition(spark.sparkContext.defaultParallelism))
+    incremental = w.count() > incremental_above
+    pc = materialize(pair_counts(w).repartition(parts, "left", "right")) if incremental else None
     merges: list[tuple[int, str, str]] = []
     created: set[str] = set()
-    stale: DataFrame | None = None
+    stale: list[DataFrame] = []
     since_ckpt = 0
     while len(merges) < num_merges:
-        top = pair_counts(w).orderBy(F.desc("count"), "left", "right").limit(candidates + 1).collect()
-        if stale is not None:
-            stale.unpersist()
-            stale = None
+        counts = pc if incremental else pair_counts(w)
+        top = counts.orderBy(F.desc("count"), "left", "right").limit(candidates + 1).collect()
+        for d in stale:
+            d.unpersist()
+        stale = []
         if not top:
             break
         cands = [(r["left"], r["right"], int(r["count"])) for r in top]
         if len(cands) <= candidates:
             cands.append(("", "", -1))  # sentinel: nothing ranks below the last real pair
         picked = accept_merges(cands, created)[: num_merges - len(merges)]
-        nxt = w
+        wanted = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in picked])
+        hit = F.exists(adjacent_pairs(F.col("pieces")), lambda p: F.array_contains(wanted, p))
+        merged = F.col("pieces")
         for a, b in picked:
             merges.append((len(merges) + 1, a, b))
             created.add(a + b)
-            nxt = nxt.withColumn("pieces", merge_pieces(F.col("pieces"), a, b))
+            merged = merge_pieces(merged, a, b)
+        pc_next = None
+        if incremental:
+            touched = w.filter(hit).select("pieces", merged.alias("merged"), "freq")
+            delta = touched.select(F.explode(adjacent_pairs(F.col("pieces"))).alias("p"),
+                                   (-F.col("freq")).alias("d")) \
+                .unionByName(touched.select(F.explode(adjacent_pairs(F.col("merged"))).alias("p"),
+                                            F.col("freq").alias("d"))) \
+                .groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")) \
+                .agg(F.sum("d").alias("d")).filter(F.col("d") != 0)
+            pc_next = pc.join(delta, ["left", "right"], "full_outer").select(
+                "left", "right", (F.coalesce("count", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("count")) \
+                .filter(F.col("count") > 0)
+        w_next = w.withColumn("pieces", F.when(hit, merged).otherwise(F.col("pieces")))
         since_ckpt += len(picked)
         if since_ckpt >= checkpoint_every:
-            nxt = materialize(nxt.filter(F.size("pieces") > 1))
+            w_next = materialize(w_next.filter(F.size("pieces") > 1))
+            pc_next = materialize(pc_next) if incremental else None
             since_ckpt = 0
         else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        stale, w = w, nxt
-    if stale is not None:
-        stale.unpersist()
-    w.unpersist()
+            w_next = w_next.persist(StorageLevel.MEMORY_AND_DISK)
+            pc_next = pc_next.persist(StorageLevel.MEMORY_AND_DISK) if incremental else None
+        stale = [d for d in (w, pc) if d is not None]
+        w, pc = w_next, pc_next
+    for d in stale + [w, pc]:
+        if d is not None:
+            d.unpersist()
     return spark.createDataFrame(merges, "rank int, left string, right string")
 
 
