@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_ledger.functions.hashing import content_hash
+from corpus_ledger.functions.materialize import materialize
 from corpus_ledger.functions.ranks import global_row_number
 from corpus_ledger.sources.schemas import (ACTIONS, ENTRIES, TOKEN_IMPACTS, TOP_TOKENS, TRAINING_METADATA,
                                            conform)
@@ -201,7 +202,8 @@ def mark_used(entries: DataFrame, metadata: DataFrame, headers: DataFrame, token
                 "struct<top_tokens:array<struct<token_id:bigint,position:int,impact:double,"
                 "context:array<int>>>,total_tokens:bigint>"))
     first_meta = metadata.groupBy("entry_id").agg(F.min("id").alias("meta_id"))
-    hit = hit.join(first_meta, "entry_id", "left")
+    # ``hit`` (marked pages, their metrics and metadata row) feeds every step below: store it once.
+    hit = materialize(hit.join(first_meta, "entry_id", "left"))
     # New metadata rows for hit entries without one.
     meta_base = _max_id(metadata)
     missing = global_row_number(hit.filter(F.col("meta_id").isNull()).select("entry_id"), ["entry_id"], "_rn")

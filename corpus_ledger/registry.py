@@ -163,10 +163,13 @@ from corpus_ledger.sources.schemas import ENTRIES, TRAINING_METADATA  # noqa: E4
 
 
 def _versions(spark, sf):
-    """Ledger built from the feed before the cutoff (v1), then the rest applied (v2)."""
+    """Ledger built from the feed before the cutoff (v1, stored like any ledger version), and the
+    rest of the feed still to apply."""
+    from corpus_ledger.functions.materialize import materialize
+
     old, new = fx.split_feed(fx.feed(spark, sf))
     v1 = C.upsert_pages(C.empty_like(spark, ENTRIES), C.empty_like(spark, TRAINING_METADATA), old)
-    return v1, new
+    return C.LedgerVersion(materialize(v1.entries), materialize(v1.metadata)), new
 
 
 def latest_per_page(feed: DataFrame) -> DataFrame:
