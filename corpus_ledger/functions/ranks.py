@@ -14,7 +14,6 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_ledger.session import checkpoint_dir
 
 _ROW_BITS = 33  # monotonically_increasing_id() = partition index << 33 | row index in the partition
 
