@@ -226,7 +226,7 @@ SELECT s.page_id, s.revision_id, CASE WHEN e.page_id IS NOT NULL THEN 'updated'
 FROM snap s LEFT JOIN s1 e ON e.page_id = s.page_id
 WHERE e.page_id IS NULL OR e.revision_id <> s.revision_id""", _S1_CTES + _SNAP)
 
-oracle("l08_incremental_apply", ["feed_old", "feed_new"], """
+_L08_BODY = """
 SELECT e.id, e.title, e.page_id,
        CASE WHEN s.page_id IS NOT NULL AND s.revision_id <> e.revision_id THEN s.revision_id ELSE e.revision_id END AS revision_id,
        CASE WHEN s.page_id IS NOT NULL AND s.revision_id <> e.revision_id THEN s.ts ELSE e.ts END AS ts,
@@ -237,7 +237,8 @@ FROM s1 e LEFT JOIN snap s ON s.page_id = e.page_id
 UNION ALL
 SELECT (SELECT coalesce(max(id), 0) FROM s1) + row_number() OVER (ORDER BY s.ts, s.event_id, s.page_id), s.title,
        s.page_id, s.revision_id, s.ts, sha256(s.content), 'added', """ + _NEWCOLS + """
-FROM snap s WHERE s.page_id NOT IN (SELECT page_id FROM s1)""", _S1_CTES + _SNAP)
+FROM snap s WHERE s.page_id NOT IN (SELECT page_id FROM s1)"""
+oracle("l08_incremental_apply", ["feed_old", "feed_new"], _L08_BODY, _S1_CTES + _SNAP)
 
 _L9 = [
     ("lab", "SELECT doc_id FROM labels WHERE quality = 0"),
@@ -700,3 +701,18 @@ CASTS: dict[str, dict[str, str]] = {
 for _name, _cols in CASTS.items():
     _repl = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in _cols.items())
     ORACLES[_name] = f"SELECT * REPLACE ({_repl}) FROM (\n{ORACLES[_name]}\n)"
+
+
+# L8 end to end: l08's entries, then revision entries of every updated page (ids after them).
+oracle("l08_ingest_with_revisions", ["feed_old", "feed_new"], """
+SELECT * FROM v2
+UNION ALL
+SELECT (SELECT max(id) FROM v2) + row_number() OVER (ORDER BY ts, page_id), title, page_id, revision_id, ts,
+       content_hash, 'added', true, parent_id, revision_number
+FROM (SELECT f.page_id || '_' || f.revision_id AS page_id, f.title, f.revision_id, f.ts, sha256(f.content) AS content_hash,
+             f.page_id AS parent_id,
+             CAST(row_number() OVER (PARTITION BY f.page_id ORDER BY f.ts DESC, f.revision_id DESC) AS INTEGER) AS revision_number
+      FROM feed_new f
+      WHERE f.page_id IN (SELECT s.page_id FROM snap s LEFT JOIN s1 e ON e.page_id = s.page_id
+                          WHERE e.page_id IS NULL OR e.revision_id <> s.revision_id))
+WHERE revision_number <= 5""", _S1_CTES + _SNAP + [("v2", _L08_BODY)])

@@ -908,3 +908,14 @@ def st01(spark, sf):
         feed.filter(F.col("day") == F.lit(d)).drop("day").coalesce(1).write.parquet(f"{base}/feed/part={i:05d}")
     return run_to_completion(spark, f"{base}/feed/*", f"{base}/state", f"{base}/checkpoint",
                              max_files_per_trigger=1).entries
+
+
+@register("l08_ingest_with_revisions")
+def l08b(spark, sf):
+    """L8 end to end: latest snapshot per page, text stored, upsert, then the 5 latest revisions."""
+    from corpus_ledger.plans.ingest import ingest_batch
+
+    v1, new = _versions(spark, sf)
+    snap = latest_per_page(new).drop("action")
+    revs = new.select("page_id", "title", "revision_id", "ts", "content")
+    return ingest_batch(v1, snap, revs, text_path=work_path(spark, "ingest-texts")).entries
