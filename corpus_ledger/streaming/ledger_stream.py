@@ -65,9 +65,24 @@ def apply_batch(batch: DataFrame, state: C.LedgerVersion) -> C.LedgerVersion:
     return C.upsert_pages(state.entries, state.metadata, fresh)
 
 
+def apply_snapshots(batch: DataFrame, state: C.LedgerVersion, text_path: str | None) -> C.LedgerVersion:
+    """Snapshot mode: the batch holds page snapshots; L5, then the ingest plan L6 -> L7 -> S6 -> L1 -> L3
+    with the batch's latest snapshot per page and its rows as the revision list."""
+    from corpus_ledger.plans.ingest import ingest_batch
+
+    valid, _rejected = C.validate_domain(batch)
+    cols = [c for c in valid.columns if c not in ("page_id", "action")]
+    snap = valid.groupBy("page_id").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("s")) \
+        .select("page_id", "s.*")
+    revs = valid.select("page_id", "title", "revision_id", "ts", "content")
+    return ingest_batch(state, snap, revs, text_path=text_path)
+
+
 def start_ledger_stream(spark: SparkSession, feed_dir: str, state_dir: str, checkpoint_location: str,
-                        max_files_per_trigger: int | None = None, available_now: bool = True):
-    """Start the stream; returns the StreamingQuery."""
+                        max_files_per_trigger: int | None = None, available_now: bool = True,
+                        mode: str = "changes"):
+    """Start the stream; returns the StreamingQuery. ``mode='changes'`` applies change events (L5 ->
+    L1); ``mode='snapshots'`` runs the ingest plan per micro-batch (L5 -> L6 -> L7 -> S6 -> L1 -> L3)."""
     reader = spark.readStream.schema(FEED_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -76,8 +91,11 @@ def start_ledger_stream(spark: SparkSession, feed_dir: str, state_dir: str, chec
     def on_batch(batch_df: DataFrame, batch_id: int) -> None:
         sp = batch_df.sparkSession
         state = read_state(sp, state_dir, below=batch_id)
-        new = apply_batch(batch_df, state)
         base = f"{state_dir.rstrip('/')}/version={batch_id}"
+        if mode == "snapshots":
+            new = apply_snapshots(batch_df, state, f"{base}/texts")
+        else:
+            new = apply_batch(batch_df, state)
         new.entries.write.mode("overwrite").parquet(f"{base}/entries")
         new.metadata.write.mode("overwrite").parquet(f"{base}/training_metadata")
 
@@ -87,9 +105,9 @@ def start_ledger_stream(spark: SparkSession, feed_dir: str, state_dir: str, chec
 
 
 def run_to_completion(spark: SparkSession, feed_dir: str, state_dir: str, checkpoint_location: str,
-                      max_files_per_trigger: int | None = None) -> C.LedgerVersion:
+                      max_files_per_trigger: int | None = None, mode: str = "changes") -> C.LedgerVersion:
     """Process every feed file present now (``availableNow``) and return the final ledger."""
-    q = start_ledger_stream(spark, feed_dir, state_dir, checkpoint_location, max_files_per_trigger)
+    q = start_ledger_stream(spark, feed_dir, state_dir, checkpoint_location, max_files_per_trigger, mode=mode)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
