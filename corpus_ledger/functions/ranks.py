@@ -18,22 +18,36 @@ from pyspark.sql import functions as F
 _ROW_BITS = 33  # monotonically_increasing_id() = partition index << 33 | row index in the partition
 
 
+# Fixed value: at most this many rows are numbered by one ordered window in a single task.
+SINGLE_TASK_ROWS = 100_000
+
+
 def global_row_number(df: DataFrame, order: list[Column | str], name: str = "rn",
-                      start: int = 1) -> DataFrame:
+                      start: int = 1, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Add ``name`` = start, start+1, ... following the total order ``order``.
 
-    ``order`` must be a total order (unique keys) for a deterministic numbering.
+    ``order`` must be a total order (unique keys) for a deterministic numbering. The input is
+    counted first: nothing to number returns at once; a count proven to be at most
+    ``single_task_rows`` is numbered by one ordered window (a bounded single task); anything larger
+    takes the distributed path below.
     """
     from pyspark import StorageLevel
+    from pyspark.sql import Window
 
     from corpus_ledger.functions.materialize import materialize
 
     spark = df.sparkSession
-    # Cached so the emptiness probe and the sort below compute the input once.
+    # Cached so the count and the numbering below compute the input once.
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if src.isEmpty():  # skips the sort and checkpoint when nothing needs a number
+    n = src.count()
+    if n == 0:
         src.unpersist()
         return df.withColumn(name, F.lit(None).cast("long"))
+    if n <= single_task_rows:
+        rn = (F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)).cast("long")
+        out = materialize(src.withColumn(name, rn))
+        src.unpersist()
+        return out
     ordered = materialize(src.orderBy(*order))
     src.unpersist()
     pid = F.spark_partition_id()
