@@ -179,11 +179,14 @@ def most_impactful_tokens(tokens: DataFrame, n: int = 10) -> DataFrame:
     ).orderBy(F.desc("total_abs_impact"), "token_id").limit(n)
 
 
-def remove_tokens(sequences: DataFrame, ids_col: str, drop: DataFrame) -> DataFrame:
+def remove_tokens(sequences: DataFrame, ids_col: str, drop: DataFrame, max_ids: int = 100_000) -> DataFrame:
     """M17 (second half): remove the given token ids from every sequence.
 
-    ``drop`` is a bounded report (a top-N result), so it is gathered into one array literal.
+    ``drop`` is a bounded report (a top-N result, at most ``max_ids`` ids, checked), so it is gathered
+    into one array literal applied inside each row.
     """
-    banned = [r[0] for r in drop.select("token_id").collect()]
+    banned = [r[0] for r in drop.select("token_id").limit(max_ids + 1).collect()]
+    if len(banned) > max_ids:
+        raise ValueError(f"more than {max_ids} token ids to remove")
     arr = F.array(*[F.lit(int(b)) for b in banned]) if banned else F.array().cast("array<long>")
     return sequences.withColumn(ids_col, F.filter(ids_col, lambda x: ~F.array_contains(arr, x.cast("long"))))

@@ -219,6 +219,16 @@ def train_tokenizer(texts: DataFrame, vocab_size: int = 10000, min_frequency: in
 
 
 # --------------------------------------------------------------------------- T7, T8
+def merge_pairs(merges: DataFrame, max_merges: int = RESERVED_MERGES) -> list[tuple[str, str]]:
+    """The merge list as (left, right) pairs; it is bounded by the merge budget (checked), so it can
+    be shipped to the tasks as a broadcast variable."""
+    pairs = [(r["left"], r["right"]) for r in
+             merges.select("left", "right").limit(max_merges + 1).collect()]
+    if len(pairs) > max_merges:
+        raise ValueError(f"more than {max_merges} merges")
+    return pairs
+
+
 def _bpe(word: str, merge_set: frozenset, rnd=None, p: float = 0.0) -> list[str]:
     """Leftmost adjacent pair that is a known merge (D6), repeated; optional BPE-dropout."""
     w = list(word)
@@ -239,10 +249,7 @@ def apply_merges(df: DataFrame, merges: DataFrame, tokens_col: str = "tokens", o
     The merge list is bounded by the merge budget and shipped to the tasks as a broadcast variable.
     """
     ship_package(df.sparkSession)
-    pairs = [(r["left"], r["right"]) for r in merges.select("left", "right").limit(max_merges + 1).collect()]
-    if len(pairs) > max_merges:
-        raise ValueError(f"more than {max_merges} merges")
-    bc = df.sparkSession.sparkContext.broadcast(frozenset(pairs))
+    bc = df.sparkSession.sparkContext.broadcast(frozenset(merge_pairs(merges, max_merges)))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def bpe(tokens: pd.Series) -> pd.Series:
@@ -271,8 +278,7 @@ def apply_merges_dropout(df: DataFrame, merges: DataFrame, key_col: str, p: floa
     token is seeded by (seed, row key, token position), so a retried task repeats its result."""
     import numpy as np
     ship_package(df.sparkSession)
-    pairs = [(r["left"], r["right"]) for r in merges.select("left", "right").limit(RESERVED_MERGES + 1).collect()]
-    bc = df.sparkSession.sparkContext.broadcast(frozenset(pairs))
+    bc = df.sparkSession.sparkContext.broadcast(frozenset(merge_pairs(merges)))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def bpe_drop(keys: pd.Series, tokens: pd.Series) -> pd.Series:
@@ -324,9 +330,7 @@ def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "ids
     if len(rows) > max_vocab:
         raise ValueError(f"vocabulary larger than {max_vocab}")
     bv = spark.sparkContext.broadcast({r["token"]: int(r["id"]) for r in rows})
-    pairs = [] if merges is None else [(r["left"], r["right"]) for r in
-                                       merges.select("left", "right").limit(RESERVED_MERGES + 1).collect()]
-    bm = spark.sparkContext.broadcast(frozenset(pairs))
+    bm = spark.sparkContext.broadcast(frozenset(merge_pairs(merges) if merges is not None else []))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def to_ids(tokens: pd.Series) -> pd.Series:
