@@ -378,9 +378,36 @@ def encode(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, max_lengt
     return r
 
 
+def _clean_spaces(text):
+    """Strip, then collapse whitespace runs to one space (Python's whitespace, JVM-side)."""
+    return F.regexp_replace(F.regexp_replace(text, f"{LEADING_WS}|[{WS}]+$", ""), f"[{WS}]+", " ")
+
+
 def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, skip_special_tokens: bool = True,
-           clean_up: bool = True, out: str = "text", max_vocab: int = 1 << 20) -> DataFrame:
-    """Drop pad/eos/bos, map ids to tokens, join with spaces, strip and collapse whitespace."""
+           clean_up: bool = True, out: str = "text", max_vocab: int = 1 << 20, method: str = "lookup") -> DataFrame:
+    """Drop pad/eos/bos, map ids to tokens, join with spaces, strip and collapse whitespace.
+
+    ``method='lookup'`` maps ids inside each row through the bounded vocabulary (a broadcast
+    variable, size checked), with no shuffle; ``method='join'`` explodes, broadcast-joins and
+    regroups by row.
+    """
+    if method == "lookup":
+        spark = df.sparkSession
+        ship_package(spark)
+        rows = vocab.select("token", "id").limit(max_vocab + 1).collect()
+        if len(rows) > max_vocab:
+            raise ValueError(f"vocabulary larger than {max_vocab}")
+        bv = spark.sparkContext.broadcast({int(r["id"]): r["token"] for r in rows})
+        skip = {PAD_ID, EOS_ID, BOS_ID} if skip_special_tokens else set()
+
+        @F.pandas_udf(T.StringType())
+        def to_text(ids: pd.Series) -> pd.Series:
+            v = bv.value
+            return pd.Series([None if row is None else " ".join(v.get(int(i), UNK) for i in row if int(i) not in skip)
+                              for row in ids])
+
+        text = to_text(F.col(ids_col))
+        return df.withColumn(out, F.coalesce(_clean_spaces(text) if clean_up else text, F.lit("")))
     ex = df.select(key, F.posexplode(ids_col).alias("pos", "tid"))
     if skip_special_tokens:
         ex = ex.filter(~F.col("tid").isin(PAD_ID, EOS_ID, BOS_ID))
@@ -389,7 +416,7 @@ def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, skip_special
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_a"))
     text = F.array_join(F.transform("_a", lambda s: s["token"]), " ")
     if clean_up:
-        text = F.regexp_replace(F.regexp_replace(text, f"{LEADING_WS}|[{WS}]+$", ""), f"[{WS}]+", " ")
+        text = _clean_spaces(text)
     g = g.select(key, text.alias(out))
     return df.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
