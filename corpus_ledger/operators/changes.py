@@ -28,6 +28,12 @@ def _max_id(df: DataFrame, col: str = "id") -> int:
     return int(v) if v is not None else 0
 
 
+def max_id(df: DataFrame, col: str = "id"):
+    """Current maximum surrogate id (0 for an empty table) as a scalar subquery column: evaluated
+    once inside the query that uses it, without a separate job and driver round trip."""
+    return F.coalesce(df.select(F.max(col)).scalar(), F.lit(0)).cast("long")
+
+
 def empty_like(spark, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -107,13 +113,11 @@ def upsert_pages(entries: DataFrame, metadata: DataFrame, feed: DataFrame,
     )
     old = merged.filter(F.col("id").isNotNull())
     new = merged.filter(F.col("id").isNull())
-    base = _max_id(entries)
+    base = max_id(entries)
     new = global_row_number(new, [f"_o_{c}" for c in order] + ["page_id"], "_rn")
-    new = new.withColumn("id", F.col("_rn") + F.lit(base)).drop("_rn")
-    out = conform(old.unionByName(new.select(old.columns)), ENTRIES)
-    meta_base = _max_id(metadata)
+    out = conform(old.unionByName(new.withColumn("id", F.col("_rn") + base).select(old.columns)), ENTRIES)
     new_meta = new.select(
-        (F.col("id") - F.lit(base) + F.lit(meta_base)).alias("id"), F.col("id").alias("entry_id"),
+        (F.col("_rn") + max_id(metadata)).alias("id"), (F.col("_rn") + base).alias("entry_id"),
         F.lit(False).alias("used_in_training"))
     meta = metadata.unionByName(conform(new_meta, TRAINING_METADATA, strict=False))
     return LedgerVersion(out, meta)
@@ -205,9 +209,8 @@ def mark_used(entries: DataFrame, metadata: DataFrame, headers: DataFrame, token
     # ``hit`` (marked pages, their metrics and metadata row) feeds every step below: store it once.
     hit = materialize(hit.join(first_meta, "entry_id", "left"))
     # New metadata rows for hit entries without one.
-    meta_base = _max_id(metadata)
     missing = global_row_number(hit.filter(F.col("meta_id").isNull()).select("entry_id"), ["entry_id"], "_rn")
-    missing = missing.select("entry_id", (F.col("_rn") + F.lit(meta_base)).alias("new_meta_id"))
+    missing = missing.select("entry_id", (F.col("_rn") + max_id(metadata)).alias("new_meta_id"))
     hit = hit.join(missing, "entry_id", "left").withColumn("meta_id", F.coalesce("meta_id", "new_meta_id"))
     # Per-page checkpoint / timestamp columns in ``metrics`` override the call's constants (S2 import).
     if "model_checkpoint" not in hit.columns:
@@ -241,14 +244,12 @@ def mark_used(entries: DataFrame, metadata: DataFrame, headers: DataFrame, token
 
     # Impact headers, numbered after the current maximum in metadata-id order.
     with_imp = hit.filter(F.col("token_impact").isNotNull())
-    h_base = _max_id(headers)
     new_h = global_row_number(
         with_imp.select(F.col("meta_id").alias("metadata_id"),
                         F.coalesce(F.col("token_impact.total_tokens"), F.lit(0)).alias("total_tokens"),
                         F.col("token_impact.top_tokens").alias("top_tokens")),
-        ["metadata_id"], "_rn").withColumn("id", F.col("_rn") + F.lit(h_base))
+        ["metadata_id"], "_rn").withColumn("id", F.col("_rn") + max_id(headers))
     headers2 = headers.unionByName(conform(new_h, TOKEN_IMPACTS))
-    t_base = _max_id(tokens)
     exploded = new_h.select(F.col("id").alias("token_impact_id"),
                             F.posexplode("top_tokens").alias("k", "t"))
     ctx_ok = F.col("t.context").isNotNull() & (F.size("t.context") >= 2)
@@ -258,7 +259,7 @@ def mark_used(entries: DataFrame, metadata: DataFrame, headers: DataFrame, token
         F.col("t.impact").cast("double").alias("impact"),
         F.when(ctx_ok, F.col("t.context")[0]).otherwise(F.col("t.position")).alias("context_start"),
         F.when(ctx_ok, F.col("t.context")[1]).otherwise(F.col("t.position")).alias("context_end"))
-    tok = global_row_number(tok, ["token_impact_id", "k"], "_rn").withColumn("id", F.col("_rn") + F.lit(t_base))
+    tok = global_row_number(tok, ["token_impact_id", "k"], "_rn").withColumn("id", F.col("_rn") + max_id(tokens))
     tokens2 = tokens.unionByName(conform(tok, TOP_TOKENS))
     return ImpactTables(metadata2, headers2, tokens2)
 
@@ -291,9 +292,8 @@ def reset_metadata(entries: DataFrame, metadata: DataFrame, recreate: bool = Tru
     spark = entries.sparkSession
     if not recreate:
         return empty_like(spark, TRAINING_METADATA)
-    base = _max_id(metadata)
     fresh = global_row_number(entries.select(F.col("id").alias("entry_id")), ["entry_id"], "_rn")
-    fresh = fresh.select((F.col("_rn") + F.lit(base)).alias("id"), "entry_id",
+    fresh = fresh.select((F.col("_rn") + max_id(metadata)).alias("id"), "entry_id",
                          F.lit(False).alias("used_in_training"))
     return conform(fresh, TRAINING_METADATA, strict=False)
 

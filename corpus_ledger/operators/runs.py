@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_ledger.functions.ranks import global_row_number
-from corpus_ledger.operators.changes import _max_id, assert_domain
+from corpus_ledger.operators.changes import assert_domain, max_id
 from corpus_ledger.sources.schemas import (MODEL_OUTPUTS, RUN_STATUSES, TRAINING_EXAMPLES, TRAINING_RUNS,
                                            conform)
 
@@ -16,10 +16,9 @@ METRICS_MAP = "map<string,string>"
 def create_runs(runs: DataFrame, requests: DataFrame, at: str, order: list[str]) -> DataFrame:
     """Register runs: status running, metrics ``{}``, hyperparameters (a struct or map column
     ``hyperparameters``) stored as JSON text; ids continue after the current maximum in ``order``."""
-    base = _max_id(runs)
     new = global_row_number(requests, order, "_rn")
     new = new.select(
-        (F.col("_rn") + F.lit(base)).alias("id"), "model_name", "base_model",
+        (F.col("_rn") + max_id(runs)).alias("id"), "model_name", "base_model",
         F.to_json("hyperparameters").alias("hyperparameters"),
         (F.col("git_commit") if "git_commit" in requests.columns else F.lit(None).cast("string")).alias("git_commit"),
         F.lit("running").alias("status"), F.lit(at).cast("timestamp_ntz").alias("ts"), F.lit("{}").alias("metrics"))
@@ -46,11 +45,10 @@ def update_run_status(runs: DataFrame, updates: DataFrame, strict: bool = True)
 def add_examples(examples: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     """Append examples; rows without input or target are dropped; type defaults to ``general``
     and metadata to ``{}``."""
-    base = _max_id(examples)
     ok = new.dropna(subset=["input_text", "target_text"])
     ok = global_row_number(ok, order, "_rn")
     meta = F.col("metadata") if "metadata" in new.columns else F.lit(None).cast("string")
-    rows = ok.select((F.col("_rn") + F.lit(base)).alias("id"), "run_id", "input_text", "target_text",
+    rows = ok.select((F.col("_rn") + max_id(examples)).alias("id"), "run_id", "input_text", "target_text",
                      F.coalesce(F.col("example_type"), F.lit("general")).alias("example_type"),
                      F.coalesce(meta, F.lit("{}")).alias("metadata"))
     return conform(examples, TRAINING_EXAMPLES, strict=False).unionByName(conform(rows, TRAINING_EXAMPLES))
@@ -58,10 +56,9 @@ def add_examples(examples: DataFrame, new: DataFrame, order: list[str]) -> DataF
 
 def add_model_outputs(outputs: DataFrame, new: DataFrame, at: str, order: list[str]) -> DataFrame:
     """Append model outputs (metadata JSON text, ``{}`` when absent)."""
-    base = _max_id(outputs)
     rows = global_row_number(new, order, "_rn")
     meta = F.col("metadata") if "metadata" in new.columns else F.lit(None).cast("string")
-    rows = rows.select((F.col("_rn") + F.lit(base)).alias("id"), "run_id", "input_text", "output_text",
+    rows = rows.select((F.col("_rn") + max_id(outputs)).alias("id"), "run_id", "input_text", "output_text",
                        F.lit(at).cast("timestamp_ntz").alias("ts"), F.coalesce(meta, F.lit("{}")).alias("metadata"))
     return conform(outputs, MODEL_OUTPUTS, strict=False).unionByName(conform(rows, MODEL_OUTPUTS))
 
