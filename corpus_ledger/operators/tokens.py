@@ -20,6 +20,8 @@ from corpus_ledger.session import checkpoint_dir, ship_package
 
 # Fixed value: merges reserved out of the vocabulary budget.
 RESERVED_MERGES = 5000
+# Distinct words whose pieces / ids a UDF task keeps cached before starting over (bounds memory).
+WORD_CACHE_SIZE = 500_000
 
 
 # --------------------------------------------------------------------------- T1 - T4
@@ -251,10 +253,13 @@ def apply_merges(df: DataFrame, merges: DataFrame, tokens_col: str = "tokens", o
     ship_package(df.sparkSession)
     bc = df.sparkSession.sparkContext.broadcast(frozenset(merge_pairs(merges, max_merges)))
 
+    cache: dict[str, list[str]] = {}  # lives for the task (all its Arrow batches), size-capped
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def bpe(tokens: pd.Series) -> pd.Series:
         ms = bc.value
-        cache: dict[str, list[str]] = {}
+        if len(cache) > WORD_CACHE_SIZE:
+            cache.clear()
         out_rows = []
         for toks in tokens:
             if toks is None:
@@ -332,10 +337,13 @@ def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "ids
     bv = spark.sparkContext.broadcast({r["token"]: int(r["id"]) for r in rows})
     bm = spark.sparkContext.broadcast(frozenset(merge_pairs(merges) if merges is not None else []))
 
+    cache: dict[str, list[int]] = {}  # lives for the task (all its Arrow batches), size-capped
+
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def to_ids(tokens: pd.Series) -> pd.Series:
         v, ms = bv.value, bm.value
-        cache: dict[str, list[int]] = {}
+        if len(cache) > WORD_CACHE_SIZE:
+            cache.clear()
         res = []
         for toks in tokens:
             if toks is None:
