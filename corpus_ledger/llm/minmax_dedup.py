@@ -5,9 +5,9 @@ maximum, so a signature of 2K values costs K evaluations. Bands of ``rows`` valu
 buckets; every bucket's candidates are confirmed on the full shingle sets.
 
 Work stays linear in a bucket's size: documents with equal shingle sets are merged first; in a bucket all
-members are compared with its smallest and its largest id; then, only in buckets that still hold more
-than one component, the members outside the largest component are compared with those of other
-components. Pairs inside one component need no comparison, since they cannot change the result.
+members are compared with its smallest id and its hub; then, only in buckets that still hold more than one
+component, the members outside the largest component are compared with those of other components that an
+exact prefix filter leaves. Pairs inside one component cannot change the result.
 
 Miss rate: a pair of similarity 0.8 shares none of 40 bands of 5 values with probability 1.2e-7.
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_ledger.llm.common import WordHashes, ascii_lower_words, components, documents, mix, shingle_set, stored
@@ -74,7 +74,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle_words: int,
             .mapInArrow(sign, "id long, n long, h1 long, h2 long, keys array<long>"))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     last, left = None, None
     for batch in batches:
@@ -89,22 +89,56 @@ def _confirm(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
                                           pa.array(either, pa.int64())], ["a", "b", "shared", "either"])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach ``percent`` per cent Jaccard similarity."""
+def compare(pairs: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
+    """a, b, shared, either: the sizes of the intersection and the union of the pairs' full shingle sets."""
     def check(batches):
-        return _confirm(batches, shingle_words)
+        return _compare(batches, shingle_words)
 
     joined = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
               .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
               .select("a", "b", "ta", "tb"))
-    return (joined.mapInArrow(check, "a long, b long, shared long, either long")
-            .filter(100 * F.col("shared") >= percent * F.col("either")).select("a", "b"))
+    return joined.mapInArrow(check, "a long, b long, shared long, either long")
 
 
 def _ordered_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist()):
+            shingles = shingle_set(ascii_lower_words(text), k, hashes)
+            n = np.full(len(shingles), len(shingles))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), rep), pa.int64()), pa.array(n, pa.int64()),
+                                              pa.array(shingles.view(np.int64))], ["rep", "n", "shingle"])
+
+
+def outside_pairs(pool: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``pool`` (rep, component, outside) that may be linked, one of them outside its buckets'
+    largest component, and in different components.
+
+    Exact prefix and positional filter: shingles are ordered by rarity in the pool; two linked sets share one
+    among the first n - ceil(percent n) + 1 of each, and where the first shared one stands bounds their overlap.
+    """
+    def rows(batches):
+        return _shingle_rows(batches, shingle_words)
+
+    shingles = stored(texts.join(pool.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+                      .select(F.col("id").alias("rep"), "text").mapInArrow(rows, "rep long, n long, shingle long"), "shingles")
+    rarity = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("rep").orderBy("df", "shingle")  # one text's shingles
+    ranked = shingles.join(rarity, "shingle").withColumn("at", F.row_number().over(order))
+    prefix = (ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("df > 1")
+              .join(pool, "rep").select("rep", "n", "shingle", "at", "component", "outside"))
+    prefix = stored(prefix, "prefix")
+    x = prefix.filter("outside").select(*[F.col(c).alias(f"x_{c}") for c in prefix.columns])
+    overlap = F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) + 1
+    may = (100 + percent) * overlap >= percent * (F.col("n") + F.col("x_n"))
+    pairs = x.join(prefix, (F.col("x_shingle") == F.col("shingle")) & (F.col("x_component") != F.col("component")) & may)
+    return _ordered_pairs(pairs, "rep", "x_rep")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
                     percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest linked id), kept."""
@@ -113,31 +147,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stored(signed.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("h1", "h2")
                   .agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys")), "reps")
     buckets = reps.select("rep", F.explode("keys").alias("key"))
-    ends = (buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"),
-                                       F.count(F.lit(1)).alias("size")).filter("lo < hi"))
-    members = stored(buckets.join(ends, "key"), "members")
-    first = stored(_ordered_pairs(members.select("rep", F.explode(F.array("lo", "hi")).alias("end")), "rep", "end"),
+    sizes = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = stored(buckets.join(sizes, "key"), "members")
+    # The hub of a bucket is the member that meets the most documents over all its buckets: the original of
+    # a family of edited copies, to which copies are linked that are not linked with each other.
+    meets = members.groupBy("rep").agg(F.sum("size").alias("meets"))
+    met = members.join(meets, "rep")
+    hubs = met.groupBy("key").agg(F.max_by("rep", F.struct("meets", "rep")).alias("hub"))
+    members = stored(met.join(hubs, "key").select("key", "rep", "lo", "hub", "size"), "members")
+    first = stored(_ordered_pairs(members.select("rep", F.explode(F.array("lo", "hub")).alias("end")), "rep", "end"),
                    "pairs")
     # All candidate pairs lie within ``members``, so their texts are fetched once.
     wanted = members.select(F.col("rep").alias("id")).distinct()
     texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
                    .join(wanted, "id", "left_semi"), "texts")
-    links = stored(confirm(first, texts, shingle_words, percent), "links")
+    compared = stored(compare(first, texts, shingle_words), "compared")
+    linked_by = (F.col("shared") * 100 >= percent * F.col("either"))
+    links = compared.filter(linked_by).select("a", "b")
 
     # Buckets of up to three have had all their pairs compared.
     found = components(links)
     large = members.filter("size > 3").select("key", "rep")
-    placed = stored(large.join(found, large["rep"] == found["node"], "left")
+    placed = stored(large.join(found, F.col("rep") == F.col("node"), "left")
                     .select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
     main = (placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
             .groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"),
                                 F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts"))
-    others = (placed.join(main, "key").filter(F.col("component") != F.col("main"))
-              .select("key", F.col("rep").alias("other"), F.col("component").alias("from")))
-    rest = _ordered_pairs(placed.join(others, "key").filter(F.col("component") != F.col("from")), "rep", "other")
+    pool = stored(placed.join(main, "key").groupBy("rep").agg(
+        F.min("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("outside")), "pool")
+    rest = outside_pairs(pool, texts, shingle_words, percent)
     rest = stored(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.union(stored(confirm(rest, texts, shingle_words, percent), "links"))
+        links = links.union(stored(compare(rest, texts, shingle_words).filter(linked_by).select("a", "b"), "links"))
         found = components(links)
 
     linked = (reps.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left")
