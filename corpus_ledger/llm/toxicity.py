@@ -33,10 +33,11 @@ from corpus_ledger.llm.common import documents, stored
 SAMPLE_ROWS = 20_000  # documented bound: labelled documents used to learn
 LEXICON_SIZE = 2_000
 EDITS = 1
-EDIT_LENGTH = 6       # entries shorter than this must match exactly
+EDIT_LENGTH = 5       # entries shorter than this must match exactly
 STEM_LENGTHS = (4, 5, 6, 7)
 MIN_TOXIC = 3
-MIN_EVIDENCE = 9.0    # log-likelihood ratio that an entry needs
+MIN_EVIDENCE = 24.0   # log-likelihood ratio that an entry needs: thousands of entries are tried
+MIN_PURITY = 0.8      # share of toxic documents among those with the entry
 WINDOW = 6            # words on either side of a match
 CACHED = 300_000
 FEATURES = 7
@@ -109,12 +110,12 @@ def build_lexicon(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
     scored = []
     for entry, toxic, clean in rows:
         g = evidence(toxic, clean, n_toxic, n_clean) if toxic >= MIN_TOXIC else 0.0
-        if g >= MIN_EVIDENCE:
+        if g >= MIN_EVIDENCE and toxic >= MIN_PURITY * (toxic + clean):
             weight = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
-            scored.append((-g, len(entry), entry, weight, toxic))
+            scored.append((-g, entry.endswith("*"), -len(entry), entry, weight, toxic))
     lexicon: dict[str, float] = {}
     reach: dict[str, int] = {}
-    for _, _, entry, weight, toxic in sorted(scored)[:LEXICON_SIZE]:
+    for *_, entry, weight, toxic in sorted(scored)[:LEXICON_SIZE]:
         stem = entry.rstrip("*")
         if any(stem[:n] + "*" in lexicon for n in STEM_LENGTHS if n <= len(stem)):
             continue
@@ -215,16 +216,18 @@ def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tupl
     matches = [(i, *hit) for i, w in enumerate(words) if len(w) > 1 and (hit := matcher.find(w))]
     if not matches:
         return [0.0] * FEATURES, []
-    abuse = quoted = total = top = exact = 0.0
+    abuse = quoted = exact = edited = top = 0.0
     for i, _, weight, edits in matches:
         near = words[max(0, i - WINDOW):i] + words[i + 1:i + 1 + WINDOW]
         quote = sum(w in QUOTES for w in words[max(0, i - 2):i + 3]) >= 2 or any(w in SPEECH for w in near)
-        strength = weight / (1 + edits)
-        total, top, exact = total + strength, max(top, strength), exact + (edits == 0)
-        quoted += quote
-        abuse += (not quote) * (1 + any(w in ADDRESS for w in near))
+        if edits:
+            edited += weight
+        else:
+            exact, top = exact + weight, max(top, weight)
+            quoted += quote
+            abuse += (not quote) * (1 + any(w in ADDRESS for w in near))
     kinds = len({entry for _, entry, _, _ in matches})
-    return [math.log1p(total), top, math.log1p(kinds), math.log1p(exact), math.log1p(abuse), quoted / len(matches),
+    return [math.log1p(exact), math.log1p(edited), top, math.log1p(kinds), math.log1p(abuse), quoted / len(matches),
             math.log1p(1000 * len(matches) / len(words))], [(i, entry, edits) for i, entry, _, edits in matches]
 
 
