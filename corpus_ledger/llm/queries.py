@@ -5,9 +5,17 @@ from __future__ import annotations
 from corpus_ledger.llm.decontamination import op8_decontamination
 from corpus_ledger.llm.entropy_mixing import op3_entropy_mixing
 from corpus_ledger.llm.hilbert_sharding import op1_hilbert_sharding
+from corpus_ledger.llm.line_dedup import op7_line_dedup
 from corpus_ledger.llm.minmax_dedup import op6_minmax_dedup
+from corpus_ledger.llm.quality import op2_rff_quality
+from corpus_ledger.llm.token_counts import op10_token_counts
+from corpus_ledger.llm.toxicity import op4_levenshtein_toxicity
+from corpus_ledger.llm.warc_derivatives import op5_warc_derivatives
+from corpus_ledger.llm.weighted_sampling import op9_weighted_sampling
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op3_entropy_mixing, op6_minmax_dedup, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_hilbert_sharding, op2_rff_quality, op3_entropy_mixing, op4_levenshtein_toxicity, op5_warc_derivatives,
+    op6_minmax_dedup, op7_line_dedup, op8_decontamination, op9_weighted_sampling, op10_token_counts)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -9,6 +9,12 @@ from corpus_ledger.llm.decontamination import decontaminate
 from corpus_ledger.llm.entropy_mixing import mix_documents
 from corpus_ledger.llm.hilbert_sharding import shard_documents
 from corpus_ledger.llm.minmax_dedup import deduplicate
+from corpus_ledger.llm.toxicity import remove_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the model learns from the labelled documents of the input tables."""
+    return remove_toxic(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_documents(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination),
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
           ("mixing", mixing), ("sharding", sharding)]
 
 # Toxicity scores are learned from labels and the shards follow from rates solved by iteration, which SQL
