@@ -1,15 +1,16 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
-Lines are sets of words. Words are ordered by rarity; two lines of Jaccard similarity ``percent`` share a word
-among the first n - ceil(percent n) + 1 of each (prefix filter), their sizes differ by no more than the
-similarity allows (length filter), and where the shared word stands bounds the overlap (positional filter).
-What is left is verified on the whole sets. Of two linked lines the later one (by doc_id, then line) goes.
+Lines are sets of words (lower case; spaces, tabs and carriage returns separate them). Words are ordered by
+rarity; two lines of Jaccard similarity ``percent`` share a word among the first n - ceil(percent n) + 1 of
+each (prefix filter), their sizes differ by no more than the
+similarity allows (length filter), and the number shared there and where the prefixes end bound the whole
+overlap (positional filter). What is left is verified on the whole sets. Of two linked lines the later one (by doc_id, then line) goes.
 
 Rarity is counted over all lines: word hashes fall into ``2**BUCKET_BITS`` buckets, and a word ranks by its
 bucket's count, then by its hash. Any fixed order keeps the join exact; the count only makes prefixes rare.
 
-Lines with equal word sets (by 64-bit hash) are one class before the join, so copies are never paired with
-each other. AQE splits the join's partitions where many classes share a prefix word.
+Words and word sets are compared by hash (52 and 64 bits). Lines with equal sets are one class before the
+join, so copies are never paired with each other. AQE splits the join's partitions where many classes share a prefix word.
 
 Defined results: a null text has no lines; a line without words is neither compared nor removed; a null
 doc_id sorts first; rows that repeat a doc_id count as separate documents in the order of their text's hash;
@@ -21,70 +22,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_ledger.llm.common import WORD, documents, stored
+from corpus_ledger.llm.common import documents, stored
 
 PERCENT = 80
 BUCKET_BITS = 16
 
 
-def word_set(line: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the line's words, A-Z lower-cased."""
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.transform(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+def spaced(text: Column) -> Column:
+    """Lower case, with tabs and carriage returns as spaces."""
+    return F.replace(F.replace(F.lower(text), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def lines_of(rows: DataFrame) -> DataFrame:
-    """row, id, hash (of the text), line (from 0), bytes, words (sorted set), n, key (hash of the set) of lines with words."""
+def split_lines(rows: DataFrame) -> DataFrame:
+    """row, id, hash (of the text), line (from 0), content, bytes."""
     lines = rows.select("row", "id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    return (lines.withColumn("words", F.sort_array(word_set(F.col("content")))).withColumn("n", F.size("words")).filter("n > 0")
-            .select("row", "id", "hash", "line", F.octet_length("content").alias("bytes"), "words", "n", F.xxhash64("words").alias("key")))
+    return lines.withColumn("bytes", F.octet_length("content"))
 
 
 def bucket_of(word: Column) -> Column:
     return (F.shiftright(word, 64 - BUCKET_BITS) + (1 << (BUCKET_BITS - 1))).cast("int")
 
 
-def rarity_levels(lines: DataFrame) -> Column:
-    """One byte per bucket, 2**BUCKET_BITS in all whatever the input: its count, in steps of a third of a power of two."""
-    counts = lines.select(F.explode("words").alias("w")).groupBy(bucket_of(F.col("w")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+def rarity_levels(rows: DataFrame) -> bytearray:
+    """One byte per bucket, 2**BUCKET_BITS in all whatever the input: its words, in steps of a third of a power of two."""
+    words = rows.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(bucket_of(F.xxhash64("w")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     levels = bytearray(b"\x01" * (1 << BUCKET_BITS))
     for r in counts.select("bucket", F.least(F.floor(F.log2("n") * 3) + 1, F.lit(127)).cast("int").alias("level")).collect():
         levels[r["bucket"]] = r["level"]
-    return F.lit(levels)
+    return levels
 
 
-def rare_first(words: Column, levels: Column) -> Column:
-    """The words as numbers whose order is rarity (level, then hash)."""
-    def ranked(w: Column) -> Column:
-        level = F.ascii(F.substring(levels, bucket_of(w) + 1, 1).cast("string"))
-        return F.shiftleft(level.cast("long"), 52).bitwiseOR(w.bitwiseAND(F.lit((1 << 52) - 1)))
+def with_set(lines: DataFrame, levels: bytearray) -> DataFrame:
+    """Add ``set``, the line's distinct words as numbers that sort by rarity (level, then 52 bits of the hash),
+    ``n``, its size, and ``key``, its hash; lines without words go."""
+    def ranked(word: Column) -> Column:
+        level = F.ascii(F.substring(F.lit(levels), bucket_of(F.xxhash64(word)) + 1, 1).cast("string")).cast("long")
+        return F.shiftleft(level, 52).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 52) - 1)))
 
-    return F.array_sort(F.transform(words, ranked))
+    words = F.array_distinct(F.transform(F.split(spaced(F.col("content")), " "), ranked))
+    full = lines.withColumn("set", F.sort_array(F.array_remove(words, ranked(F.lit("")))))
+    return full.withColumn("n", F.size("set")).filter("n > 0").withColumn("key", F.xxhash64("set"))
 
 
 def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that pass the prefix, length and positional filters."""
-    prefixes = classes.select("key", "n", F.posexplode("prefix").alias("at", "word"))
+    end = F.shiftright(F.element_at("prefix", -1), 30).cast("int")  # orders the prefixes' last words, equal: unknown
+    prefixes = classes.select("key", "n", end.alias("end"), F.explode("prefix").alias("word"))
     x = prefixes.select(*[F.col(c).alias(f"x_{c}") for c in prefixes.columns])
-    overlap = F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at"))
-    may = ((100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n"))
-           & ((100 + percent) * overlap >= percent * (F.col("n") + F.col("x_n"))))
-    joined = prefixes.join(x, (F.col("word") == F.col("x_word")) & (F.col("key") < F.col("x_key")) & may)
-    return joined.select(F.col("key").alias("a"), F.col("x_key").alias("b")).distinct()
+    alike = 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
+    joined = prefixes.join(x, (F.col("word") == F.col("x_word")) & (F.col("key") < F.col("x_key")) & alike)
+    # A word of the prefix that ends first is shared within both prefixes or not at all: beyond the counted
+    # ones only what follows that prefix can be shared.
+    pairs = joined.groupBy(F.col("key").alias("a"), F.col("x_key").alias("b")).agg(
+        F.count(F.lit(1)).alias("k"), *[F.min(c).alias(c) for c in ("n", "x_n", "end", "x_end")])
+    rest, x_rest = (F.ceil(F.col(n) * percent / 100) - 1 for n in ("n", "x_n"))
+    left = F.when(F.col("end") < F.col("x_end"), rest).when(F.col("end") > F.col("x_end"), x_rest).otherwise(F.greatest(rest, x_rest))
+    return pairs.filter((100 + percent) * (F.col("k") + left) >= percent * (F.col("n") + F.col("x_n"))).select("a", "b")
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per line with words: row, id, line, bytes, class (of its word set), links (of its class to other
     classes), removed."""
     rows = numbered(docs, id_col, text_col)
-    lines = lines_of(rows)
-    size = F.expr(f"n - CAST(ceil(n * {percent} / 100D) AS INT) + 1")
-    prefix = F.slice(rare_first(F.col("words"), rarity_levels(lines)), F.lit(1), size)
-    slim = stored(lines.select("row", "id", "hash", "line", "bytes", "key", "n", prefix.alias("prefix")), "lines")
+    levels = rarity_levels(rows)
+    prefix = F.expr(f"slice(set, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1)")
+    slim = stored(with_set(split_lines(rows), levels).select("row", "id", "hash", "line", "bytes", "key", "n", prefix.alias("prefix")),
+                  "lines")
     place = F.struct("id", "hash", "row", "line")
     classes = stored(slim.groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"),
                                              F.min(place).alias("first")), "classes")
@@ -93,10 +101,10 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key")
               .select("key", F.col("first.row").alias("row"), F.col("first.line").alias("line")))
     wanted = stored(wanted, "wanted")
-    again = lines_of(rows.join(wanted.select("row").distinct(), "row", "left_semi")).drop("key")
-    sets = stored(again.join(wanted, ["row", "line"]).select("key", "words"), "sets")
-    whole = (pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a")
-             .join(sets.select(F.col("key").alias("b"), F.col("words").alias("y")), "b"))
+    again = split_lines(rows.join(wanted.select("row").distinct(), "row", "left_semi")).join(wanted, ["row", "line"])
+    sets = stored(with_set(again.drop("key"), levels).select("key", "set"), "sets")
+    whole = (pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a")
+             .join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b"))
     links = whole.filter((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
     firsts = classes.select("key", "first")
