@@ -26,6 +26,7 @@ from corpus_ledger.llm.common import documents, stored
 
 PERCENT = 80
 BUCKET_BITS = 16
+SHORT = 24  # sets up to this size are kept whole beside their prefix; longer ones are read again if needed
 
 
 def spaced(text: Column) -> Column:
@@ -71,6 +72,7 @@ def with_set(lines: DataFrame, levels: bytearray) -> DataFrame:
 
 def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that pass the prefix, length and positional filters."""
+    classes = classes.select("key", "n", F.expr(f"slice(head, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1)").alias("prefix"))
     end = F.shiftright(F.element_at("prefix", -1), 30).cast("int")  # orders the prefixes' last words, equal: unknown
     prefixes = classes.select("key", "n", end.alias("end"), F.explode("prefix").alias("word"))
     x = prefixes.select(*[F.col(c).alias(f"x_{c}") for c in prefixes.columns])
@@ -90,19 +92,20 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes), removed."""
     rows = numbered(docs, id_col, text_col)
     levels = rarity_levels(rows)
-    prefix = F.expr(f"slice(set, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1)")
-    slim = stored(with_set(split_lines(rows), levels).select("row", "id", "hash", "line", "bytes", "key", "n", prefix.alias("prefix")),
+    head = F.expr(f"CASE WHEN n <= {SHORT} THEN set ELSE slice(set, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1) END")
+    slim = stored(with_set(split_lines(rows), levels).select("row", "id", "hash", "line", "bytes", "key", "n", head.alias("head")),
                   "lines")
     place = F.struct("id", "hash", "row", "line")
-    classes = stored(slim.groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"),
+    classes = stored(slim.groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("head").alias("head"),
                                              F.min(place).alias("first")), "classes")
     pairs = stored(candidate_pairs(classes, percent), "pairs")
     # The whole word sets of the classes in question, from their first lines.
-    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key")
+    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.filter(F.col("n") > SHORT), "key")
               .select("key", F.col("first.row").alias("row"), F.col("first.line").alias("line")))
     wanted = stored(wanted, "wanted")
     again = split_lines(rows.join(wanted.select("row").distinct(), "row", "left_semi")).join(wanted, ["row", "line"])
-    sets = stored(with_set(again.drop("key"), levels).select("key", "set"), "sets")
+    again = with_set(again.withColumnRenamed("key", "class"), levels).select(F.col("class").alias("key"), "set")
+    sets = stored(again, "sets").union(classes.filter(F.col("n") <= SHORT).select("key", F.col("head").alias("set")))
     whole = (pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a")
              .join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b"))
     links = whole.filter((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
