@@ -11,4 +11,11 @@ Subpackages:
 - ``streaming`` Structured Streaming ledger apply
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions run inside tasks travel by value, so executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["session"]

@@ -1,8 +1,8 @@
 """Pre-tokenisation pattern and its engine-specific spellings.
 
-The reference pre-tokenises with a Unicode regex in which ``\\s`` is Python's whitespace. Java's and
-RE2's ``\\s`` differ from that, so the whitespace class is written out explicitly and shared by the
-Spark (Java) pattern and the DuckDB (RE2) oracle pattern.
+The reference pre-tokenises with a Unicode regex whose ``\\s`` is the Unicode white space; it lacks
+U+001C to U+001F, which ``str.strip`` also removes. Java's and RE2's ``\\s`` differ from both, so the two
+classes are written out and shared by the Spark (Java) pattern and the DuckDB (RE2) oracle pattern.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ SPECIALS = [(PAD, 0), (BOS, 1), (EOS, 2), (UNK, 3)]
 PAD_ID, BOS_ID, EOS_ID, UNK_ID = 0, 1, 2, 3
 
 
-def _whitespace_ranges() -> list[tuple[int, int]]:
-    """Python's ``\\s`` for str patterns is every code point with ``str.isspace()``; as ranges."""
-    cps = [c for c in range(0x110000) if chr(c).isspace()]
+def _whitespace_ranges(strip: bool) -> list[tuple[int, int]]:
+    """Code points with ``str.isspace()`` (what strip removes), or those of the pattern's ``\\s``; as ranges."""
+    cps = [c for c in range(0x110000) if chr(c).isspace() and (strip or not 0x1C <= c <= 0x1F)]
     ranges: list[tuple[int, int]] = []
     for c in cps:
         if ranges and ranges[-1][1] == c - 1:
@@ -29,10 +29,14 @@ def _whitespace_ranges() -> list[tuple[int, int]]:
     return ranges
 
 
-_RANGES = _whitespace_ranges()
+def _as_class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
 # Java's and RE2's ``\s`` differ from Python's, so both engines get the same explicit class.
-WS = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _RANGES)
-WS_CHARS = "".join(chr(c) for a, b in _RANGES for c in range(a, b + 1))
+WS = _as_class(_whitespace_ranges(strip=False))
+STRIP = _as_class(_whitespace_ranges(strip=True))
+STRIP_CHARS = "".join(chr(c) for a, b in _whitespace_ranges(strip=True) for c in range(a, b + 1))
 
 
 def _explicit(pattern: str) -> str:
@@ -46,7 +50,7 @@ PATTERN = _explicit(PRETOKEN_PATTERN)
 # whitespace-only tokens it would have split are split afterwards (see ``duck_pretokenize``).
 PATTERN_RE2 = _explicit("|".join(a for a in PRETOKEN_PATTERN.split("|") if "(?!" not in a))
 WS_ONLY_RE2 = f"[{WS}]+"
-LEADING_WS = f"^[{WS}]+"
+LEADING_WS = f"^[{STRIP}]+"
 
 
 def pretokenize(text: Column, strip: bool = True) -> Column:
@@ -55,9 +59,8 @@ def pretokenize(text: Column, strip: bool = True) -> Column:
     toks = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     if not strip:
         return toks
-    # Only leading whitespace can occur (a token is whitespace, or whitespace + letters/digits, or
-    # has none), so a character-set ltrim equals Python's strip here and stays out of the regex engine.
-    stripped = F.transform(toks, lambda t: F.ltrim(t, F.lit(WS_CHARS)))
+    # A character-set trim equals Python's strip and stays out of the regex engine.
+    stripped = F.transform(toks, lambda t: F.btrim(t, F.lit(STRIP_CHARS)))
     return F.filter(stripped, lambda t: t != "")
 
 
@@ -70,7 +73,7 @@ def duck_pretokenize(text_sql: str, strip: bool = True) -> str:
     """DuckDB expression equal to :func:`pretokenize` (for the oracles)."""
     toks = f"regexp_extract_all({text_sql}, '{_sql(PATTERN_RE2)}')"
     if strip:
-        s = f"list_transform({toks}, lambda t: regexp_replace(t, '{_sql(LEADING_WS)}', ''))"
+        s = f"list_transform({toks}, lambda t: regexp_replace(t, '{_sql(LEADING_WS)}|[{STRIP}]+$', '', 'g'))"
         return f"list_filter({s}, lambda t: t <> '')"
     # A whitespace-only token of length >= 2 that is not the last token stood before a non-space
     # character: the look-ahead would have split off its last character.

@@ -142,7 +142,8 @@ def table_samples(tables: dict[str, DataFrame], order: dict[str, list[str]], n:
         cnt = df.agg(F.count(F.lit(1)).alias("rows"))
         sample = df.orderBy(*order[name]).limit(n)
         w = sample.select(F.to_json(F.struct(*order[name])).alias("sample_key"))
-        parts.append(_side_by_side(cnt, w).select(F.lit(name).alias("table"), "rows", "sample_key"))
+        both = cnt.withColumn("_k", F.lit(1)).join(w.withColumn("_k", F.lit(1)), "_k", "left")  # an empty table keeps its row
+        parts.append(both.select(F.lit(name).alias("table"), "rows", "sample_key"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -218,11 +218,11 @@ def mark_used(entries: DataFrame, metadata: DataFrame, headers: DataFrame, token
              .withColumn("_ts", F.coalesce(F.col("training_timestamp").cast("timestamp_ntz"), ts)) \
              .drop("model_checkpoint", "training_timestamp")
     upd = hit.select(
-        F.col("meta_id").alias("id"), "has_loss", "_ckpt", "_ts",
+        F.col("meta_id").alias("id"), F.lit(True).alias("_marked"), "has_loss", "_ckpt", "_ts",
         F.coalesce(F.col("average_loss"), F.lit(0.0)).alias("new_avg"),
         F.coalesce(F.col("relative_loss"), F.lit(0.0)).alias("new_rel"))
     m = metadata.join(upd, "id", "left")
-    touched = F.col("has_loss").isNotNull()
+    touched = F.col("_marked").isNotNull()  # every listed page, with or without metrics
     loss = F.coalesce(F.col("has_loss"), F.lit(False))
     new_meta = m.select(
         "id", "entry_id",

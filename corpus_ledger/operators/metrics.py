@@ -61,11 +61,13 @@ def number_batches(split: DataFrame, batch_size: int = 4) -> DataFrame:
 def token_cross_entropy(scores: DataFrame, logits: str = "logits", target: str = "target",
                         pad_id: int = PAD_ID, clamp: float = LOGIT_CLAMP) -> DataFrame:
     """M5: cross-entropy of one position from stored logits: subtract the max, clamp to
-    [-clamp, clamp], pad target gives 0."""
+    [-clamp, clamp], pad target gives 0. A NaN among the logits gives NaN (Spark's ``greatest`` and
+    ``least`` order NaN above every number and would clamp it away)."""
     m = F.array_max(logits)
     z = F.transform(logits, lambda x: F.greatest(F.least(x - m, F.lit(clamp)), F.lit(-clamp)))
     lse = F.log(F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x)))
-    ce = lse - F.element_at(z, F.col(target) + 1)
+    nan = F.exists(logits, lambda x: F.isnan(x))
+    ce = F.when(nan, F.lit(float("nan"))).otherwise(lse - F.element_at(z, F.col(target) + 1))
     return scores.withColumn("token_loss", F.when(F.col(target) == pad_id, F.lit(0.0)).otherwise(ce))
 
 

@@ -10,7 +10,8 @@ from corpus_ledger.operators.changes import _max_id, assert_domain
 from corpus_ledger.sources.schemas import (MODEL_OUTPUTS, RUN_STATUSES, TRAINING_EXAMPLES, TRAINING_RUNS,
                                            conform)
 
-METRICS_MAP = "map<string,string>"
+# JSON objects keep the types and the nesting of their values.
+METRICS_MAP = "map<string,variant>"
 
 
 def create_runs(runs: DataFrame, requests: DataFrame, at: str, order: list[str]) -> DataFrame:
@@ -26,21 +27,40 @@ def create_runs(runs: DataFrame, requests: DataFrame, at: str, order: list[str])
     return conform(runs, TRAINING_RUNS, strict=False).unionByName(conform(new, TRAINING_RUNS))
 
 
+def json_values(text: Column) -> Column:
+    """A JSON object as a map from key to the value's JSON text."""
+    return F.transform_values(F.from_json(text, METRICS_MAP), lambda k, v: F.to_json(v))
+
+
 def merge_json_maps(old: Column, new: Column) -> Column:
     """Right side wins per key: old entries whose key is in ``new`` are dropped, then ``new`` appended."""
     return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
 
 
-def update_run_status(runs: DataFrame, updates: DataFrame, strict: bool = True) -> DataFrame:
-    """R2: set status and merge metrics (``updates``: id, status, metrics map<string,string> or null)."""
-    u = assert_domain(updates, "status", RUN_STATUSES) if strict else updates
-    u = u.select(F.col("id"), F.col("status").alias("_status"), F.col("metrics").alias("_metrics"))
+def fold_updates(updates: DataFrame, order: list[str]) -> DataFrame:
+    """One update per id: the last status in ``order``, and per metric key the last value. Keys are folded
+    one by one, so a run with very many updates is pre-aggregated before the shuffle."""
+    text = F.col("metrics") if dict(updates.dtypes)["metrics"] == "string" else F.to_json("metrics")
+    rows = updates.select("id", "status", json_values(text).alias("values"), F.struct(*order, "status").alias("at"))
+    last = rows.groupBy("id").agg(F.max_by("status", "at").alias("_status"), F.max(F.col("values").isNotNull()).alias("_any"))
+    keys = rows.select("id", "at", F.explode("values").alias("key", "value")).groupBy("id", "key").agg(F.max_by("value", "at").alias("value"))
+    merged = keys.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_values"))
+    empty = F.create_map().cast("map<string,string>")
+    return last.join(merged, "id", "left").select("id", "_status", F.when(F.col("_any"), F.coalesce("_values", empty)).alias("_values"))
+
+
+def update_run_status(runs: DataFrame, updates: DataFrame, strict: bool = True, order: list[str] | None = None) -> DataFrame:
+    """R2: set status and merge metrics (``updates``: id, status, metrics as JSON text, struct, map or null).
+
+    Several updates of one id are folded in ``order`` (columns of ``updates``; by status when not given).
+    """
+    u = fold_updates(assert_domain(updates, "status", RUN_STATUSES) if strict else updates, order or [])
     j = runs.join(u, "id", "left")
-    old = F.coalesce(F.from_json(F.col("metrics"), METRICS_MAP), F.create_map().cast(METRICS_MAP))
-    merged = F.when(F.col("_metrics").isNotNull(), F.to_json(merge_json_maps(old, F.col("_metrics")))) \
-        .otherwise(F.col("metrics"))
+    old = F.coalesce(json_values(F.col("metrics")), F.create_map().cast("map<string,string>"))
+    values = F.transform_values(merge_json_maps(old, F.col("_values")), lambda k, v: F.parse_json(v))
+    merged = F.when(F.col("_values").isNotNull(), F.to_json(values)).otherwise(F.col("metrics"))
     return j.withColumn("status", F.coalesce("_status", "status")).withColumn("metrics", merged) \
-        .drop("_status", "_metrics")
+        .drop("_status", "_values")
 
 
 def add_examples(examples: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:

@@ -3,20 +3,21 @@
 Corpus-wide work (word and pair counts) is aggregation with map-side combine, so a very frequent
 word is reduced before the shuffle. The merge learner runs one small Spark job per merge on the
 distinct-word table. Applying merges is the one Python step: a pandas UDF per document that caches
-each distinct word within an Arrow batch; the merge list it needs is bounded by the merge budget.
+each distinct word for the life of the task; the merge list it needs is bounded by the merge budget.
 """
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_ledger.functions.joins import broadcast_bounded
 from corpus_ledger.functions.ranks import bounded_row_number
-from corpus_ledger.functions.text import (BOS_ID, EOS_ID, LEADING_WS, PAD_ID, SPECIALS, UNK, UNK_ID, WS,
+from corpus_ledger.functions.text import (BOS_ID, EOS_ID, LEADING_WS, PAD_ID, SPECIALS, STRIP, UNK, UNK_ID, WS,
                                           characters, pretokenize)
 from corpus_ledger.functions.materialize import materialize
-from corpus_ledger.session import checkpoint_dir, ship_package
+from corpus_ledger.session import checkpoint_dir
 
 # Fixed value: merges reserved out of the vocabulary budget.
 RESERVED_MERGES = 5000
@@ -221,37 +222,45 @@ def train_tokenizer(texts: DataFrame, vocab_size: int = 10000, min_frequency: in
 
 
 # --------------------------------------------------------------------------- T7, T8
-def merge_pairs(merges: DataFrame, max_merges: int = RESERVED_MERGES) -> list[tuple[str, str]]:
-    """The merge list as (left, right) pairs; it is bounded by the merge budget (checked), so it can
-    be shipped to the tasks as a broadcast variable."""
-    pairs = [(r["left"], r["right"]) for r in
-             merges.select("left", "right").limit(max_merges + 1).collect()]
-    if len(pairs) > max_merges:
-        raise ValueError(f"more than {max_merges} merges")
-    return pairs
-
-
-def _bpe(word: str, merge_set: frozenset, rnd=None, p: float = 0.0) -> list[str]:
-    """Leftmost adjacent pair that is a known merge (D6), repeated; optional BPE-dropout."""
-    w = list(word)
-    while len(w) > 1:
-        for i in range(len(w) - 1):
-            if (w[i], w[i + 1]) in merge_set and (p == 0.0 or rnd.random() > p):
-                w[i:i + 2] = [w[i] + w[i + 1]]
-                break
+def merge_pairs(merges: DataFrame) -> list[tuple[str, str]]:
+    """The merge list as (left, right) pairs. Its size is the tokenizer's merge budget, whatever the
+    corpus, so it is shipped to the tasks as a broadcast variable."""
+    return [(r["left"], r["right"]) for r in merges.select("left", "right").collect()]
+
+
+def _bpe(word: str, merge_set: frozenset) -> list[str]:
+    """Leftmost adjacent pair that is a known merge (D6), repeated. Nothing before the pair left of a
+    merge can have become a known pair, so the search goes on from there."""
+    w, i = list(word), 0
+    while i < len(w) - 1:
+        if (w[i], w[i + 1]) in merge_set:
+            w[i:i + 2] = [w[i] + w[i + 1]]
+            i = max(i - 1, 0)
         else:
-            break
+            i += 1
     return w
 
 
-def apply_merges(df: DataFrame, merges: DataFrame, tokens_col: str = "tokens", out: str = "pieces",
-                 max_merges: int = RESERVED_MERGES) -> DataFrame:
+def _bpe_dropout(word: str, merge_set: frozenset, p: float, stream: str) -> list[str]:
+    """BPE-dropout: in each step every known pair is skipped with probability ``p``; the first pair left
+    over is merged at its first occurrence. The draw of a position is a hash of (stream, step, position)."""
+    w, step = list(word), 0
+    while True:
+        left = next(((w[i], w[i + 1]) for i in range(len(w) - 1) if (w[i], w[i + 1]) in merge_set
+                     and xxhash.xxh3_64_intdigest(f"{stream}|{step}|{i}") >= p * 2.0 ** 64), None)
+        if left is None:
+            return w
+        at = next(i for i in range(len(w) - 1) if (w[i], w[i + 1]) == left)
+        w[at:at + 2] = ["".join(left)]
+        step += 1
+
+
+def apply_merges(df: DataFrame, merges: DataFrame, tokens_col: str = "tokens", out: str = "pieces") -> DataFrame:
     """BPE pieces of every (stripped) pre-token, flattened per row.
 
     The merge list is bounded by the merge budget and shipped to the tasks as a broadcast variable.
     """
-    ship_package(df.sparkSession)
-    bc = df.sparkSession.sparkContext.broadcast(frozenset(merge_pairs(merges, max_merges)))
+    bc = df.sparkSession.sparkContext.broadcast(frozenset(merge_pairs(merges)))
 
     cache: dict[str, list[str]] = {}  # lives for the task (all its Arrow batches), size-capped
 
@@ -279,10 +288,8 @@ def apply_merges(df: DataFrame, merges: DataFrame, tokens_col: str = "tokens", o
 
 def apply_merges_dropout(df: DataFrame, merges: DataFrame, key_col: str, p: float = 0.1, seed: int = 0,
                          tokens_col: str = "tokens", out: str = "pieces") -> DataFrame:
-    """BPE-dropout: each candidate merge is skipped with probability ``p``; the random stream of a
-    token is seeded by (seed, row key, token position), so a retried task repeats its result."""
-    import numpy as np
-    ship_package(df.sparkSession)
+    """BPE-dropout: each candidate merge is skipped with probability ``p``. The draws are hashes of
+    (seed, row key as text, token position, step, pair position), so a retried task repeats its result."""
     bc = df.sparkSession.sparkContext.broadcast(frozenset(merge_pairs(merges)))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -295,8 +302,7 @@ def apply_merges_dropout(df: DataFrame, merges: DataFrame, key_col: str, p: floa
                 continue
             row: list[str] = []
             for i, t in enumerate(toks):
-                rnd = np.random.default_rng([seed, int(k), i])
-                row.extend(_bpe(t, ms, rnd, p))
+                row.extend(_bpe_dropout(t, ms, p, f"{seed}|{k}|{i}"))
             rows.append(row)
         return pd.Series(rows)
 
@@ -330,12 +336,11 @@ def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "ids
     avoids exploding every token and regrouping it by row, which would shuffle the whole corpus.
     """
     spark = df.sparkSession
-    ship_package(spark)
     rows = vocab.select("token", "id").limit(max_vocab + 1).collect()
     if len(rows) > max_vocab:
         raise ValueError(f"vocabulary larger than {max_vocab}")
     bv = spark.sparkContext.broadcast({r["token"]: int(r["id"]) for r in rows})
-    bm = spark.sparkContext.broadcast(frozenset(merge_pairs(merges) if merges is not None else []))
+    bm = spark.sparkContext.broadcast(None if merges is None else frozenset(merge_pairs(merges)))
 
     cache: dict[str, list[int]] = {}  # lives for the task (all its Arrow batches), size-capped
 
@@ -346,14 +351,11 @@ def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "ids
             cache.clear()
         res = []
         for toks in tokens:
-            if toks is None:
-                res.append(None)
-                continue
             row: list[int] = []
-            for t in toks:
+            for t in () if toks is None else toks:
                 got = cache.get(t)
                 if got is None:
-                    pieces = _bpe(t, ms) if ms else [t]
+                    pieces = [t] if ms is None else _bpe(t, ms)  # no merges at all: code points
                     got = cache[t] = [v.get(p, UNK_ID) for p in pieces]
                 row.extend(got)
                 if max_tokens is not None and len(row) >= max_tokens:
@@ -364,6 +366,11 @@ def lookup_ids(df: DataFrame, tokens_col: str, vocab: DataFrame, out: str = "ids
     return df.withColumn(out, to_ids(F.col(tokens_col)))
 
 
+def _fits(vocab: DataFrame, max_vocab: int = 1 << 20) -> bool:
+    """Is the vocabulary small enough for a lookup inside the tasks? A larger one is joined."""
+    return vocab.limit(max_vocab + 1).count() <= max_vocab
+
+
 def ids_to_tokens(vocab: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """T9 (inverse): id -> token, unknown ids -> [UNK]."""
     v = vocab.select(F.col("id").alias(id_col), "token")
@@ -376,7 +383,7 @@ def encode(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, max_lengt
     """Ids of the tokens (after BPE when ``merges`` is given), truncated to max_length - 1, then
     EOS appended. ``method='join'`` uses the JVM-only explode / broadcast-join / regroup path."""
     keep = max_length - 1 if (truncation and max_length) else None
-    if method == "join":
+    if method == "join" or not _fits(vocab):
         src = df if merges is None else apply_merges(df, merges, tokens_col, tokens_col)
         r = tokens_to_ids(src, key, tokens_col, vocab, out, max_tokens=keep)
     else:
@@ -388,7 +395,7 @@ def encode(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, max_lengt
 
 def _clean_spaces(text):
     """Strip, then collapse whitespace runs to one space (Python's whitespace, JVM-side)."""
-    return F.regexp_replace(F.regexp_replace(text, f"{LEADING_WS}|[{WS}]+$", ""), f"[{WS}]+", " ")
+    return F.regexp_replace(F.regexp_replace(text, f"{LEADING_WS}|[{STRIP}]+$", ""), f"[{WS}]+", " ")
 
 
 def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, skip_special_tokens: bool = True,
@@ -399,12 +406,9 @@ def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, skip_special
     variable, size checked), with no shuffle; ``method='join'`` explodes, broadcast-joins and
     regroups by row.
     """
-    if method == "lookup":
+    if method == "lookup" and _fits(vocab, max_vocab):
         spark = df.sparkSession
-        ship_package(spark)
-        rows = vocab.select("token", "id").limit(max_vocab + 1).collect()
-        if len(rows) > max_vocab:
-            raise ValueError(f"vocabulary larger than {max_vocab}")
+        rows = vocab.select("token", "id").collect()
         bv = spark.sparkContext.broadcast({int(r["id"]): r["token"] for r in rows})
         skip = {PAD_ID, EOS_ID, BOS_ID} if skip_special_tokens else set()
 

@@ -352,8 +352,10 @@ oracle("r02_update_status", ["runs"], """
 SELECT r.id, CASE WHEN o.o_orderkey IS NOT NULL THEN 'completed' ELSE r.status END AS status,
        CASE WHEN o.o_orderkey IS NOT NULL THEN CAST(o.o_custkey AS VARCHAR)
             ELSE json_extract_string(r.hyperparameters, '$.k') END AS metrics_k,
-       CASE WHEN o.o_orderkey IS NOT NULL THEN '1' END AS metrics_final,
-       CASE WHEN o.o_orderkey IS NOT NULL THEN 2 + CASE WHEN r.hyperparameters LIKE '%"k"%' THEN 0 ELSE 0 END
+       CASE WHEN o.o_orderkey IS NOT NULL THEN '1.5' END AS metrics_final,
+       CASE WHEN o.o_orderkey IS NOT NULL THEN CAST(o.o_custkey AS VARCHAR) END AS metrics_nested,
+       o.o_orderkey IS NOT NULL OR r.hyperparameters LIKE '%"k"%' AS k_is_number,
+       CASE WHEN o.o_orderkey IS NOT NULL THEN 3
             ELSE CASE WHEN r.hyperparameters = '{}' THEN 0 ELSE 1 END END AS n_metric_keys
 FROM runs r LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'O') o ON o.o_orderkey = r.id""")
 
@@ -368,7 +370,7 @@ SELECT row_number() OVER (ORDER BY run_id, turn) AS id, run_id, input_text, targ
 FROM examples WHERE target_text IS NOT NULL""")
 
 oracle("r05_run_details", ["runs"], """
-SELECT id, model_name, status, json_extract_string(hyperparameters, '$.k') AS hp_k,
+SELECT id, model_name, status, CAST(json_extract_string(hyperparameters, '$.k') AS BIGINT) AS hp_k,
        CASE WHEN hyperparameters = '{}' THEN 0 ELSE 1 END AS n_metric_keys
 FROM runs WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
 
@@ -519,7 +521,7 @@ FROM top_tokens GROUP BY token_id ORDER BY sum(abs(impact)) DESC, token_id LIMIT
 
 
 # --------------------------------------------------------------------------- T
-from corpus_ledger.functions.text import WS, duck_pretokenize  # noqa: E402
+from corpus_ledger.functions.text import STRIP, WS, duck_pretokenize  # noqa: E402
 
 _U = duck_pretokenize("text", strip=False)
 _S = duck_pretokenize("text", strip=True)
@@ -574,15 +576,15 @@ SELECT doc_id, len(ids) AS n_ids, ids[-1] AS last_id, {_h('ids')} AS ids_hash FR
 oracle("t11_decode", [], f"""
 SELECT doc_id, length(txt) AS n_chars, sha256(txt) AS text_hash FROM (
   SELECT e.doc_id, coalesce(regexp_replace(regexp_replace(string_agg(coalesce(v.token, '[UNK]'), ' ' ORDER BY x.pos),
-            '^[{WS}]+|[{WS}]+$', '', 'g'), '[{WS}]+', ' ', 'g'), '') AS txt
+            '^[{STRIP}]+|[{STRIP}]+$', '', 'g'), '[{WS}]+', ' ', 'g'), '') AS txt
   FROM enc e LEFT JOIN (SELECT doc_id, unnest(ids) AS tid, generate_subscripts(ids, 1) AS pos FROM enc) x
        ON x.doc_id = e.doc_id AND x.tid NOT IN (0, 1, 2)
   LEFT JOIN vocab v ON v.id = x.tid
-  GROUP BY e.doc_id)""", _TOK + _ids("documents", "doc_id", "text", limit=1023))
+  GROUP BY e.doc_id)""", _TOK + _ids("documents", "doc_id", "text"))
 
 oracle("t12_special_mask", [], """
 SELECT doc_id, len(list_filter(ids, lambda x: x IN (0, 1, 2))) AS n_special, len(ids) + 1 AS mask_len FROM enc""",
-       _TOK + _ids("documents", "doc_id", "text", limit=1023))
+       _TOK + _ids("documents", "doc_id", "text"))
 
 _EXK = [("exk", "SELECT *, run_id * 1000 + turn AS key FROM examples WHERE target_text IS NOT NULL")]
 oracle("t13_pack_pair", ["examples"], f"""

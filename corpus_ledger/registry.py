@@ -390,11 +390,16 @@ def r02(spark, sf):
     runs = _runs_with_metrics(spark, sf)
     o = fx.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "O")
     upd = o.select(F.col("o_orderkey").alias("id"), F.lit("completed").alias("status"),
-                   F.create_map(F.lit("k"), F.col("o_custkey").cast("string"), F.lit("final"), F.lit("1"))
-                   .alias("metrics"))
-    out = R.update_run_status(runs, upd)
+                   F.to_json(F.struct(F.col("o_custkey").alias("k"), F.lit(1.5).alias("final"),
+                                      F.struct(F.col("o_custkey").alias("x")).alias("n"))).alias("metrics"), F.lit(2).alias("at"))
+    # An earlier update of every one of these runs must leave no trace.
+    earlier = upd.select("id", F.lit("failed").alias("status"), F.lit('{"k": "early"}').alias("metrics"), F.lit(1).alias("at"))
+    out = R.update_run_status(runs, upd.unionByName(earlier), order=["at"])
     return out.select("id", "status", F.get_json_object("metrics", "$.k").alias("metrics_k"),
                       F.get_json_object("metrics", "$.final").alias("metrics_final"),
+                      F.get_json_object("metrics", "$.n.x").alias("metrics_nested"),
+                      F.coalesce(F.schema_of_variant(F.variant_get(F.parse_json("metrics"), "$.k", "variant")) == "BIGINT",
+                                 F.lit(False)).alias("k_is_number"),
                       F.size(F.from_json("metrics", R.METRICS_MAP)).alias("n_metric_keys"))
 
 
@@ -419,7 +424,7 @@ def r04(spark, sf):
 def r05(spark, sf):
     ids = fx.table(spark, sf, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("id"))
     d = R.run_details(_runs_with_metrics(spark, sf), ids)
-    return d.select("id", "model_name", "status", F.element_at("hyperparameters_map", F.lit("k")).alias("hp_k"),
+    return d.select("id", "model_name", "status", F.element_at("hyperparameters_map", F.lit("k")).cast("bigint").alias("hp_k"),
                     F.size("metrics_map").alias("n_metric_keys"))
 
 
@@ -671,7 +676,8 @@ def t07(spark, sf):
 def t08(spark, sf):
     docs = TK.pre_tokens(fx.documents(spark, sf).select("doc_id", "text"))
     p = TK.apply_merges_dropout(docs, _merges(spark, sf), "doc_id", p=0.1, seed=7)
-    return p.select("doc_id", F.size("pieces").alias("n_pieces"))
+    return p.select("doc_id", F.size("pieces").alias("n_pieces"), F.sha2(F.array_join("pieces", "\u0001"), 256)
+                    .alias("pieces_hash"))
 
 
 @register("t09_token_ids")
@@ -688,16 +694,24 @@ def t10(spark, sf):
                     _hash_ids("input_ids").alias("ids_hash"))
 
 
+@register("t10_encode_bpe")
+def t10b(spark, sf):
+    merges = _merges(spark, sf)
+    docs = TK.pre_tokens(fx.documents(spark, sf).select("doc_id", "text"))
+    e = TK.encode(docs, "doc_id", "tokens", TK.extend_vocab(_vocab(spark, sf), merges), merges=merges)
+    return e.select("doc_id", F.size("input_ids").alias("n_ids"), _hash_ids("input_ids").alias("ids_hash"))
+
+
 @register("t11_decode")
 def t11(spark, sf):
-    e = _word_level(spark, sf, max_length=1024)
+    e = _word_level(spark, sf)
     d = TK.decode(e.select("doc_id", "input_ids"), "doc_id", "input_ids", _vocab(spark, sf))
     return d.select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
 
 
 @register("t12_special_mask")
 def t12(spark, sf):
-    e = _word_level(spark, sf, max_length=1024)
+    e = _word_level(spark, sf)
     m = TK.special_tokens_mask(F.col("input_ids"))
     m2 = TK.special_tokens_mask(F.col("input_ids"), already_has_special_tokens=False)
     return e.select("doc_id", F.aggregate(m, F.lit(0), lambda a, x: a + x).alias("n_special"),

@@ -62,25 +62,3 @@ def work_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``corpus_ledger`` importable in executor Python workers (needed by the pandas UDFs).
-
-    Local mode shares the driver's environment. On a cluster the package is zipped once per
-    application and registered with ``addPyFile``, which Spark distributes to every executor.
-    """
-    sc = spark.sparkContext
-    if sc.master.startswith("local") or sc.applicationId in _SHIPPED:
-        return
-    import shutil
-    from pathlib import Path
-
-    pkg = Path(__file__).resolve().parent
-    out = Path(tempfile.mkdtemp(prefix="corpus-ledger-pkg-")) / "corpus_ledger"
-    archive = shutil.make_archive(str(out), "zip", root_dir=pkg.parent, base_dir=pkg.name)
-    sc.addPyFile(archive)
-    _SHIPPED.add(sc.applicationId)

@@ -142,3 +142,51 @@ def test_global_row_number_matches_window(spark):
     for limit in (0, 10 ** 6):  # distributed path, then the bounded single-task path
         got = global_row_number(df, ["k", "id"], "rn", single_task_rows=limit).select("k", "id", "rn").collect()
         assert sorted((r.rn, r.k, r.id) for r in got) == [(i + 1, k, j) for i, (k, j) in enumerate(want)]
+
+
+def test_mark_used_without_metrics(spark):
+    """Every listed page is marked, also one that has no metrics."""
+    from corpus_ledger.operators import changes as C
+    from corpus_ledger.sources.schemas import ENTRIES, TOKEN_IMPACTS, TOP_TOKENS, TRAINING_METADATA
+
+    entries = C.empty_like(spark, ENTRIES).select("id", "page_id").union(
+        spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, page_id string"))
+    meta = C.empty_like(spark, TRAINING_METADATA).union(spark.createDataFrame(
+        [(i, i, False, None, None, None, None) for i in (1, 2, 3)], C.empty_like(spark, TRAINING_METADATA).schema))
+    pages = spark.createDataFrame([("a",), ("b",)], "page_id string")
+    metrics = spark.createDataFrame([("a", True, 1.5, 0.5, None)], "page_id string, has_loss boolean, average_loss double, "
+                                    "relative_loss double, token_impact struct<top_tokens:array<struct<token_id:bigint,"
+                                    "position:int,impact:double,context:array<int>>>,total_tokens:bigint>")
+    out = C.mark_used(entries, meta, C.empty_like(spark, TOKEN_IMPACTS), C.empty_like(spark, TOP_TOKENS), pages, "ck",
+                      "2024-02-01 00:00:00", metrics).metadata
+    got = {r.id: (r.used_in_training, r.model_checkpoint, r.average_loss) for r in out.collect()}
+    assert got == {1: (True, "ck", 1.5), 2: (True, "ck", None), 3: (False, None, None)}
+
+
+def test_run_metrics_keep_types_and_fold(spark):
+    from pyspark.sql import functions as F
+
+    from corpus_ledger.operators import runs as R
+
+    runs = spark.createDataFrame([(1, "running", '{"loss": 0.5, "n": {"x": 1}, "s": "1"}'), (2, "running", "{}")],
+                                 "id long, status string, metrics string")
+    updates = spark.createDataFrame([(1, "running", '{"loss": 0.25}', 1), (1, "completed", '{"ok": true}', 2), (2, "failed", None, 1)],
+                                    "id long, status string, metrics string, at int")
+    out = {r.id: r for r in R.update_run_status(runs, updates, order=["at"]).collect()}
+    import json
+    assert len(out) == 2 and out[1].status == "completed" and out[2].status == "failed"
+    assert json.loads(out[1].metrics) == {"loss": 0.25, "n": {"x": 1}, "s": "1", "ok": True} and out[2].metrics == "{}"
+
+
+def test_loss_keeps_nan_and_samples_keep_empty_tables(spark):
+    import math
+
+    from corpus_ledger.operators import audit as I
+    from corpus_ledger.operators import metrics as M
+
+    scores = spark.createDataFrame([(1, [1.0, float("nan"), 2.0], 2), (2, [1.0, 1.0], 1)], "k long, logits array<double>, target int")
+    loss = {r.k: r.token_loss for r in M.token_cross_entropy(scores).collect()}
+    assert math.isnan(loss[1]) and abs(loss[2] - math.log(2)) < 1e-12
+    t = spark.createDataFrame([(1,)], "id long")
+    got = {r.table: r.rows for r in I.table_samples({"full": t, "none": t.limit(0)}, {"full": ["id"], "none": ["id"]}).collect()}
+    assert got == {"full": 1, "none": 0}
