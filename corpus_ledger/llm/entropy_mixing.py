@@ -9,8 +9,8 @@ document is thus raised, or lowered, more than a short one.
 
 Rates are rounded into whole copies: the floor first, then one copy more in the order of u / fraction,
 u a hash of the id (sequential Poisson sampling), until the source's target would be passed; further
-rounds fill what is left with documents that still fit, in hash order. The cut is found from sums over
-hash bins, so no task holds a source's documents.
+rounds fill what is left with documents that still fit, in hash order, and one larger document is added where
+that comes closer. The cut is found from sums over hash bins, so no task holds a source's documents.
 
 Defined results: null or empty text has size 0 and takes no words; null is a source of its own, last in
 order; a null doc_id hashes as the text "null" does; rows that repeat an id are taken alike; an empty table
@@ -139,7 +139,15 @@ def entropy_mix(docs: DataFrame, id_col: str, source_col: str, size: Column, cap
         more = (F.col("_bin") <= F.col("_cut")).cast("long")
         rounds = stored(join_dimension(tried, cut, "source", small, "left").withColumn(
             "copies", F.col("copies") + F.coalesce(more, F.lit(0))).drop("_left", "_bin", "_cut"), "rates")
-    return rounds.select("id", "size", "source", "source_size", "target", "rate", "copies")
+    # What is left may be closer to one more, larger document than to nothing: at most one per source.
+    gap = rounds.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("_left"))
+    tried = join_dimension(rounds, gap, "source", small).withColumn("_best", F.when(
+        (F.col("copies") < cap) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("_left")),
+        F.struct(F.abs(F.col("_left") - F.col("size")).alias("off"), _unit(key, seed).alias("u"), key.alias("key"))))
+    best = tried.groupBy("source").agg(F.min("_best").alias("_one"))
+    done = join_dimension(tried, best, "source", small, "left")
+    done = done.withColumn("copies", F.col("copies") + F.coalesce((F.col("_best") == F.col("_one")).cast("long"), F.lit(0)))
+    return done.select("id", "size", "source", "source_size", "target", "rate", "copies")
 
 
 def word_count(text: str = "text") -> Column:

@@ -88,6 +88,11 @@ class PageText(HTMLParser):
         elif not self.hidden:
             self.now.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...>`` is skipped up to its end instead of raising on an unknown keyword."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def _end_line(self):
         line = " ".join("".join(self.now).split())
         if line:
