@@ -3,8 +3,8 @@
 Lines are sets of words (lower case; spaces, tabs and carriage returns separate them). Words are ordered by
 rarity; two lines of Jaccard similarity ``percent`` share a word among the first n - ceil(percent n) + 1 of
 each (prefix filter), their sizes differ by no more than the
-similarity allows (length filter), and the number shared there and where the prefixes end bound the whole
-overlap (positional filter). What is left is verified on the whole sets. Of two linked lines the later one (by doc_id, then line) goes.
+similarity allows (length filter), where the shared word stands bounds the overlap (positional filter), and
+bits set in only one of two 64-bit maps count words of only one set (bitmap filter). What is left is verified on the whole sets. Of two linked lines the later one (by doc_id, then line) goes.
 
 Rarity is counted over all lines: word hashes fall into ``2**BUCKET_BITS`` buckets, and a word ranks by its
 bucket's count, then by its hash. Any fixed order keeps the join exact; the count only makes prefixes rare.
@@ -60,31 +60,28 @@ def rarity_levels(rows: DataFrame) -> bytearray:
 
 def with_set(lines: DataFrame, levels: bytearray) -> DataFrame:
     """Add ``set``, the line's distinct words as numbers that sort by rarity (level, then 52 bits of the hash),
-    ``n``, its size, and ``key``, its hash; lines without words go."""
+    ``n``, its size, ``key``, its hash, and ``bits``, with one of 64 bits set by each word; lines without words go."""
     def ranked(word: Column) -> Column:
         level = F.ascii(F.substring(F.lit(levels), bucket_of(F.xxhash64(word)) + 1, 1).cast("string")).cast("long")
         return F.shiftleft(level, 52).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 52) - 1)))
 
     words = F.array_distinct(F.transform(F.split(spaced(F.col("content")), " "), ranked))
     full = lines.withColumn("set", F.sort_array(F.array_remove(words, ranked(F.lit("")))))
-    return full.withColumn("n", F.size("set")).filter("n > 0").withColumn("key", F.xxhash64("set"))
+    bits = F.expr("aggregate(set, 0L, (b, w) -> b | shiftleft(1L, int(w & 63L)))")
+    return full.withColumn("n", F.size("set")).filter("n > 0").withColumn("key", F.xxhash64("set")).withColumn("bits", bits)
 
 
 def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that pass the prefix, length and positional filters."""
-    classes = classes.select("key", "n", F.expr(f"slice(head, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1)").alias("prefix"))
-    end = F.shiftright(F.element_at("prefix", -1), 30).cast("int")  # orders the prefixes' last words, equal: unknown
-    prefixes = classes.select("key", "n", end.alias("end"), F.explode("prefix").alias("word"))
+    """Pairs (a, b) of classes that pass the prefix, length, positional and bitmap filters."""
+    prefix = F.expr(f"slice(head, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1)")
+    prefixes = classes.select("key", "n", "bits", F.posexplode(prefix).alias("at", "word"))
     x = prefixes.select(*[F.col(c).alias(f"x_{c}") for c in prefixes.columns])
-    alike = 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
-    joined = prefixes.join(x, (F.col("word") == F.col("x_word")) & (F.col("key") < F.col("x_key")) & alike)
-    # A word of the prefix that ends first is shared within both prefixes or not at all: beyond the counted
-    # ones only what follows that prefix can be shared.
-    pairs = joined.groupBy(F.col("key").alias("a"), F.col("x_key").alias("b")).agg(
-        F.count(F.lit(1)).alias("k"), *[F.min(c).alias(c) for c in ("n", "x_n", "end", "x_end")])
-    rest, x_rest = (F.ceil(F.col(n) * percent / 100) - 1 for n in ("n", "x_n"))
-    left = F.when(F.col("end") < F.col("x_end"), rest).when(F.col("end") > F.col("x_end"), x_rest).otherwise(F.greatest(rest, x_rest))
-    return pairs.filter((100 + percent) * (F.col("k") + left) >= percent * (F.col("n") + F.col("x_n"))).select("a", "b")
+    both = F.col("n") + F.col("x_n")
+    overlap = F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at"))
+    may = ((100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")) & ((100 + percent) * overlap >= percent * both)
+           & ((100 + percent) * F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= (100 - percent) * both))
+    joined = prefixes.join(x, (F.col("word") == F.col("x_word")) & (F.col("key") < F.col("x_key")) & may)
+    return joined.select(F.col("key").alias("a"), F.col("x_key").alias("b")).distinct()
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -93,10 +90,10 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = numbered(docs, id_col, text_col)
     levels = rarity_levels(rows)
     head = F.expr(f"CASE WHEN n <= {SHORT} THEN set ELSE slice(set, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1) END")
-    slim = stored(with_set(split_lines(rows), levels).select("row", "id", "hash", "line", "bytes", "key", "n", head.alias("head")),
+    slim = stored(with_set(split_lines(rows), levels).select("row", "id", "hash", "line", "bytes", "key", "n", "bits", head.alias("head")),
                   "lines")
     place = F.struct("id", "hash", "row", "line")
-    classes = stored(slim.groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("head").alias("head"),
+    classes = stored(slim.groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("head").alias("head"),
                                              F.min(place).alias("first")), "classes")
     pairs = stored(candidate_pairs(classes, percent), "pairs")
     # The whole word sets of the classes in question, from their first lines.
