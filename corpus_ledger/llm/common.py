@@ -27,11 +27,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder of ``spark.checkpoint.dir`` and read it back:
-    the lineage ends there, every executor can read it, and a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (with the writer's ``options``) into the shared folder of ``spark.checkpoint.dir``
+    and read it back: the lineage ends there, every executor can read it, and a lost executor costs no recomputation."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,12 +4,14 @@ Lines are sets of words (lower case; spaces, tabs and carriage returns separate
 rarity; two lines of Jaccard similarity ``percent`` share a word among the first n - ceil(percent n) + 1 of
 each (prefix filter), their sizes differ by no more than the
 similarity allows (length filter), where the shared word stands bounds the overlap (positional filter), and
-bits set in only one of two 64-bit maps count words of only one set (bitmap filter). What is left is verified on the whole sets. Of two linked lines the later one (by doc_id, then line) goes.
+bits set in only one of two 128-bit maps count words of only one set (bitmap filter). What is left is verified
+on the whole sets. Of two linked lines the later one (by doc_id, then line) goes.
 
 Rarity is counted over all lines: word hashes fall into ``2**BUCKET_BITS`` buckets, and a word ranks by its
 bucket's count, then by its hash. Any fixed order keeps the join exact; the count only makes prefixes rare.
 
-Words and word sets are compared by hash (52 and 64 bits). Lines with equal sets are one class before the
+Texts are split into words once; the stored sets serve the counts, the prefixes and the verification.
+Words and word sets are compared by hash (52 bits in prefixes, 64 bits in sets). Lines with equal sets are one class before the
 join, so copies are never paired with each other. AQE splits the join's partitions where many classes share a prefix word.
 
 Defined results: a null text has no lines; a line without words is neither compared nor removed; a null
@@ -26,7 +28,8 @@ from corpus_ledger.llm.common import documents, stored
 
 PERCENT = 80
 BUCKET_BITS = 16
-SHORT = 24  # sets up to this size are kept whole beside their prefix; longer ones are read again if needed
+# Word hashes repeat within a row group: a dictionary of up to 16 MB keeps two or three bytes of each.
+COMPACT = {"compression": "zstd", "parquet.dictionary.page.size": str(1 << 24)}
 
 
 def spaced(text: Column) -> Column:
@@ -44,78 +47,92 @@ def split_lines(rows: DataFrame) -> DataFrame:
     return lines.withColumn("bytes", F.octet_length("content"))
 
 
+def with_set(lines: DataFrame) -> DataFrame:
+    """Add ``set``, the sorted hashes of the line's distinct words, ``n``, its size, and ``key``, its hash; lines
+    without words go."""
+    words = F.array_distinct(F.transform(F.split(spaced(F.col("content")), " "), lambda w: F.xxhash64(w)))
+    full = lines.filter(F.trim(spaced(F.col("content"))) != "")
+    full = full.withColumn("set", F.sort_array(F.array_remove(words, F.xxhash64(F.lit("")))))
+    return full.drop("content").withColumn("n", F.size("set")).withColumn("key", F.xxhash64("set"))
+
+
 def bucket_of(word: Column) -> Column:
     return (F.shiftright(word, 64 - BUCKET_BITS) + (1 << (BUCKET_BITS - 1))).cast("int")
 
 
-def rarity_levels(rows: DataFrame) -> bytearray:
-    """One byte per bucket, 2**BUCKET_BITS in all whatever the input: its words, in steps of a third of a power of two."""
-    words = rows.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(bucket_of(F.xxhash64("w")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    levels = bytearray(b"\x01" * (1 << BUCKET_BITS))
+def rarity_levels(lines: DataFrame) -> Column:
+    """A constant array with one number per bucket, 2**BUCKET_BITS in all whatever the input: the lines with its
+    words, in steps of a third of a power of two."""
+    counts = lines.select(F.explode("set").alias("w")).groupBy(bucket_of(F.col("w")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    levels = ["1"] * (1 << BUCKET_BITS)
     for r in counts.select("bucket", F.least(F.floor(F.log2("n") * 3) + 1, F.lit(127)).cast("int").alias("level")).collect():
-        levels[r["bucket"]] = r["level"]
-    return levels
+        levels[r["bucket"]] = str(r["level"])
+    return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
 
 
-def with_set(lines: DataFrame, levels: bytearray) -> DataFrame:
-    """Add ``set``, the line's distinct words as numbers that sort by rarity (level, then 52 bits of the hash),
-    ``n``, its size, ``key``, its hash, and ``bits``, with one of 64 bits set by each word; lines without words go."""
+def word_classes(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """One row per distinct word set: cid, key, n, bits (two 64-bit maps with a bit set by each word), prefix (its
+    rarest words, as numbers that sort by level, then by 52 bits of the hash), first (place of its first line)."""
     def ranked(word: Column) -> Column:
-        level = F.ascii(F.substring(F.lit(levels), bucket_of(F.xxhash64(word)) + 1, 1).cast("string")).cast("long")
-        return F.shiftleft(level, 52).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 52) - 1)))
+        level = F.coalesce(F.get(levels, bucket_of(word)), F.lit(1)).cast("long")
+        return F.shiftleft(level, 52).bitwiseOR(word.bitwiseAND(F.lit((1 << 52) - 1)))
+
+    ordered = lines.withColumn("ranked", F.sort_array(F.transform("set", ranked)))
+    prefix = F.expr(f"slice(ranked, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1)")
+    low, high = (F.expr(f"aggregate(set, 0L, (b, w) -> IF(w & 64L {sign} 0L, b | shiftleft(1L, int(w & 63L)), b))") for sign in ("=", "<>"))
+    slim = ordered.select("key", "n", low.alias("low"), high.alias("high"), prefix.alias("prefix"), place().alias("place"))
+    of_set = [F.any_value(c).alias(c) for c in ("n", "low", "high", "prefix")]
+    return slim.groupBy("key").agg(*of_set, F.min("place").alias("first")).withColumn("cid", F.monotonically_increasing_id())
+
 
-    words = F.array_distinct(F.transform(F.split(spaced(F.col("content")), " "), ranked))
-    full = lines.withColumn("set", F.sort_array(F.array_remove(words, ranked(F.lit("")))))
-    bits = F.expr("aggregate(set, 0L, (b, w) -> b | shiftleft(1L, int(w & 63L)))")
-    return full.withColumn("n", F.size("set")).filter("n > 0").withColumn("key", F.xxhash64("set")).withColumn("bits", bits)
+def place() -> Column:
+    return F.struct("id", "hash", "row", "line")
 
 
 def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that pass the prefix, length, positional and bitmap filters."""
-    prefix = F.expr(f"slice(head, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1)")
-    prefixes = classes.select("key", "n", "bits", F.posexplode(prefix).alias("at", "word"))
-    x = prefixes.select(*[F.col(c).alias(f"x_{c}") for c in prefixes.columns])
-    both = F.col("n") + F.col("x_n")
-    overlap = F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at"))
-    may = ((100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")) & ((100 + percent) * overlap >= percent * both)
-           & ((100 + percent) * F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= (100 - percent) * both))
-    joined = prefixes.join(x, (F.col("word") == F.col("x_word")) & (F.col("key") < F.col("x_key")) & may)
-    return joined.select(F.col("key").alias("a"), F.col("x_key").alias("b")).distinct()
+    """Pairs (a, b) of classes, a the smaller set, that pass the prefix, length, positional and bitmap filters."""
+    prefixes = classes.select("cid", "n", "low", "high", F.posexplode("prefix").alias("at", "word"))
+    # Both sides are the same plan, so that Spark shuffles the prefixes once and reads them twice.
+    x, y = prefixes.alias("x"), prefixes.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
+    overlap = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("low", "high")), F.lit(0))
+    may = ((100 * F.col("x.n") >= percent * F.col("y.n")) & ((100 + percent) * overlap >= percent * both)
+           & ((100 + percent) * apart <= (100 - percent) * both))
+    joined = x.join(y, (F.col("x.word") == F.col("y.word")) & smaller & may)
+    return joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole word sets, read from the classes' first lines, reach the similarity."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid")
+                    .select("cid", F.col("first.row").alias("row"), F.col("first.line").alias("line")), "wanted")
+    sets = stored(lines.select("row", "line", "set").join(wanted, ["row", "line"]).select("cid", "set"), "sets", **COMPACT)
+    whole = (pairs.join(sets.alias("x"), F.col("a") == F.col("x.cid")).select("a", "b", F.col("x.set").alias("x_set"))
+             .join(sets.alias("y"), F.col("b") == F.col("y.cid")))
+    shared = F.size(F.array_intersect("x_set", F.col("y.set")))
+    return whole.filter((100 + percent) * shared >= percent * (F.size("x_set") + F.size(F.col("y.set")))).select("a", "b")
 
 
 def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per line with words: row, id, line, bytes, class (of its word set), links (of its class to other
     classes), removed."""
-    rows = numbered(docs, id_col, text_col)
-    levels = rarity_levels(rows)
-    head = F.expr(f"CASE WHEN n <= {SHORT} THEN set ELSE slice(set, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1) END")
-    slim = stored(with_set(split_lines(rows), levels).select("row", "id", "hash", "line", "bytes", "key", "n", "bits", head.alias("head")),
-                  "lines")
-    place = F.struct("id", "hash", "row", "line")
-    classes = stored(slim.groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("head").alias("head"),
-                                             F.min(place).alias("first")), "classes")
+    lines = stored(with_set(split_lines(numbered(docs, id_col, text_col))), "lines", **COMPACT)
+    classes = stored(word_classes(lines, rarity_levels(lines), percent), "classes", **COMPACT)
     pairs = stored(candidate_pairs(classes, percent), "pairs")
-    # The whole word sets of the classes in question, from their first lines.
-    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.filter(F.col("n") > SHORT), "key")
-              .select("key", F.col("first.row").alias("row"), F.col("first.line").alias("line")))
-    wanted = stored(wanted, "wanted")
-    again = split_lines(rows.join(wanted.select("row").distinct(), "row", "left_semi")).join(wanted, ["row", "line"])
-    again = with_set(again.withColumnRenamed("key", "class"), levels).select(F.col("class").alias("key"), "set")
-    sets = stored(again, "sets").union(classes.filter(F.col("n") <= SHORT).select("key", F.col("head").alias("set")))
-    whole = (pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a")
-             .join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b"))
-    links = whole.filter((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
-
-    firsts = classes.select("key", "first")
-    ends = (stored(links, "links").join(firsts.select(F.col("key").alias("a"), F.col("first").alias("f")), "a")
-            .join(firsts.select(F.col("key").alias("b"), F.col("first").alias("g")), "b")
-            .select(F.explode(F.array(F.struct(F.col("a").alias("key"), (F.col("g") < F.col("f")).alias("later")),
-                                      F.struct(F.col("b").alias("key"), (F.col("f") < F.col("g")).alias("later")))).alias("e")))
-    marks = ends.groupBy("e.key").agg(F.count(F.lit(1)).alias("links"), F.max("e.later").alias("later"))
-    about = firsts.join(marks, "key", "left").select("key", "first", F.coalesce("links", F.lit(0).cast("long")).alias("links"),
-                                                     F.coalesce("later", F.lit(False)).alias("later"))
-    removed = F.col("later") | ~place.eqNullSafe(F.col("first"))
+    links = stored(verified(pairs, classes, lines, percent), "links")
+
+    firsts = classes.select("cid", "first")
+    ends = (links.join(firsts.select(F.col("cid").alias("a"), F.col("first").alias("f")), "a")
+            .join(firsts.select(F.col("cid").alias("b"), F.col("first").alias("g")), "b")
+            .select(F.explode(F.array(F.struct(F.col("a").alias("cid"), (F.col("g") < F.col("f")).alias("later")),
+                                      F.struct(F.col("b").alias("cid"), (F.col("f") < F.col("g")).alias("later")))).alias("e")))
+    marks = ends.groupBy("e.cid").agg(F.count(F.lit(1)).alias("links"), F.max("e.later").alias("later"))
+    about = classes.select("cid", "key", "first").join(marks, "cid", "left").select(
+        "key", "first", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("later", F.lit(False)).alias("later"))
+    removed = F.col("later") | ~place().eqNullSafe(F.col("first"))
+    slim = lines.select("row", "id", "hash", "line", "bytes", "key")
     return slim.join(about, "key").select("row", "id", "line", "bytes", F.col("key").alias("class"), "links", removed.alias("removed"))
 
 
