@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corpus_ledger.llm.common import WORD, documents, positions, stored
 
 BINS = 64          # six bits of a signature value name the bin, 24 the draw
-BLOCK = 2          # a term is sampled in pieces of at most this weight
+BLOCK = 2          # a term is sampled in pieces of at most this weight (a power of two)
 
 
 def term_hashes(text: Column) -> Column:
@@ -34,36 +34,51 @@ def term_hashes(text: Column) -> Column:
     return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: the signature, a sorted array of (bin, draw) integers."""
-    hashed = df.withColumn("_h", term_hashes(F.col(text)))
-    # First place of every distinct term, closed by the length: the differences are the weights.
-    # The arrays are bound as lambda variables, so that no element step computes them again.
-    starts = hashed.withColumn("_s", F.expr("""
-        transform(array(_h), h -> concat(
-          filter(transform(h, (x, i) -> IF(i = 0 OR x <> h[i - 1], i, -1)), i -> i >= 0), array(size(h))))[0]"""))
-    unit = "(0.5 + (xxhash64(h, {}) & 1099511627775L)) / 1099511627776D"
+def pieces(text: str) -> Column:
+    """One number per piece of a term: a hash of (term, piece) whose low bits hold the piece's weight less 1."""
+    # Sorted hashes; a new term starts where the hash changes, and the place inside the term is the distance to
+    # that start. The arrays are bound as lambda variables, so that no element step computes them again.
+    starts = """transform(array(_h), h -> struct(h AS h, concat(
+        filter(transform(h, (x, i) -> IF(i = 0 OR x <> h[i - 1], i, -1)), i -> i >= 0), array(size(h))) AS s))"""
+    return F.expr(f"""
+        flatten(transform({starts}, p -> flatten(transform(slice(p.s, 1, size(p.s) - 1), (at, i) ->
+          transform(sequence(0, (p.s[i + 1] - at - 1) DIV {BLOCK}), j ->
+            (xxhash64(p.h[at], j) & {-BLOCK}L) | (least({BLOCK}, p.s[i + 1] - at - j * {BLOCK}) - 1))))))
+        """.replace("_h", text))
+
+
+def draws(of: str) -> Column:
+    """One sortable integer per piece: its bin, then ln a, then its draw; the arrays keep the order of the pieces."""
+    unit = f"(0.5D + (xxhash64(p & {-BLOCK}L, {{}}) & 1099511627775L)) / 1099511627776D"
     u = [unit.format(k) for k in range(5)]
     sampled = f"""
-        flatten(transform(array(struct(_h AS h, _s AS s)), p ->
-          flatten(transform(slice(p.s, 1, size(p.s) - 1), (at, i) -> transform(sequence(0, (p.s[i + 1] - at - 1) DIV {BLOCK}),
-            j -> struct(xxhash64(p.h[at], j) AS h, ln(double(least({BLOCK}, p.s[i + 1] - at - j * {BLOCK}))) AS lw))))))"""
-    drawn = f"""
-        transform(transform(_w, p -> transform(array(p.h), h -> struct(h AS h, p.lw AS lw,
-            -ln({u[0]} * {u[1]}) AS r, ln(-ln({u[2]} * {u[3]})) AS lc, {u[4]} AS b))[0]),
-          q -> transform(array(floor(q.lw / q.r + q.b)), t -> struct(q.h AS h, t AS t,
-            q.lc - q.r * (t - q.b + 1) AS la))[0])"""
-    # One sortable integer per term: bin, then ln a, then the draw.
-    packed = f"""
-        array_sort(transform(_d, d -> shiftleft(d.h & {BINS - 1}L, 55)
-          | shiftleft(bigint(least(greatest((d.la + 96) * 16777216D, 0D), 2147483647D)), 24)
-          | (xxhash64(d.h, d.t) & 16777215L)))"""
-    least = """
-        transform(array(_p), p -> transform(filter(transform(p, (x, i) ->
+        transform({of}, p -> struct(p & {-BLOCK}L AS h, IF(p & {BLOCK - 1}L = 0, 0D, ln(1D + (p & {BLOCK - 1}L))) AS lw,
+            -ln({u[0]} * {u[1]}) AS r, ln(-ln({u[2]} * {u[3]})) AS lc, {u[4]} AS b))"""
+    t = "floor(q.lw / q.r + q.b)"
+    return F.expr(f"""
+        transform({sampled}, q -> coalesce(shiftleft(shiftrightunsigned(q.h, 58), 55)
+          | shiftleft(bigint(least(greatest((q.lc - q.r * ({t} - q.b + 1) + 96) * 16777216D, 0D), 2147483647D)), 24)
+          | (xxhash64(q.h, {t}) & 16777215L), 0L))""")
+
+
+def least_draws(packed: str) -> Column:
+    """The signature: per bin the draw of the smallest a, as a sorted array of (bin, draw) integers."""
+    return F.expr(f"""
+        transform(array(sort_array({packed})), p -> transform(filter(transform(p, (x, i) ->
             IF(i = 0 OR shiftright(x, 55) <> shiftright(p[i - 1], 55), x, -1L)), x -> x >= 0),
-          x -> int(shiftleft(shiftright(x, 55), 24) | (x & 16777215L))))[0]"""
-    return (starts.withColumn("_w", F.expr(sampled)).withColumn("_d", F.expr(drawn)).withColumn("_p", F.expr(packed))
-            .withColumn(out, F.expr(least)).drop("_h", "_s", "_w", "_d", "_p"))
+          x -> int(shiftleft(shiftright(x, 55), 24) | (x & 16777215L))))[0]""")
+
+
+def with_signatures(df: DataFrame, x: str, y: str, x_out: str, y_out: str) -> DataFrame:
+    """Add the signatures of two texts of a row; a piece that both hold is sampled once."""
+    hashed = df.withColumn("_hx", term_hashes(F.col(x))).withColumn("_hy", term_hashes(F.col(y)))
+    held = hashed.withColumn("_px", pieces("_hx")).withColumn("_py", pieces("_hy"))
+    parts = (held.withColumn("_only_x", F.array_except("_px", "_py")).withColumn("_both", F.array_intersect("_px", "_py"))
+             .withColumn("_only_y", F.array_except("_py", "_px"))
+             .withColumn("_all", F.concat("_only_x", "_both", "_only_y")).withColumn("_d", draws("_all")))
+    return (parts.withColumn(x_out, least_draws("slice(_d, 1, size(_only_x) + size(_both))"))
+            .withColumn(y_out, least_draws("slice(_d, size(_only_x) + 1, size(_both) + size(_only_y))"))
+            .drop("_hx", "_hy", "_px", "_py", "_only_x", "_both", "_only_y", "_all", "_d"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -99,7 +114,7 @@ def op9_weighted_sampling(spark, sf_dir: str) -> DataFrame:
     pairs = with_next(documents(spark, sf_dir))
     edited = F.concat(F.expr("left(text, CAST(n_chars AS INT) - CAST(floor(n_chars / 4) AS INT))"), F.col("head"))
     pairs = pairs.withColumn("edited", edited)
-    signed = with_signature(with_signature(pairs, "text", "signature"), "edited", "edited_signature")
+    signed = with_signatures(pairs, "text", "edited", "signature", "edited_signature")
     slim = stored(signed.select("row", "next_row", "doc_id", "n_chars",
                                 F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                                 "signature", "edited_signature"), "signatures")
