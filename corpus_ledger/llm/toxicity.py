@@ -3,11 +3,14 @@
 1. Lexicon: over a bounded sample of labelled documents, Spark counts for each word and each word prefix
    in how many toxic and clean documents it occurs. Entries whose share among toxic documents is high
    beyond chance enter the lexicon, a prefix as a stem (it then stands for every word that begins with it).
-2. Matching: the lexicon is a trie, and the Levenshtein automaton of distance ``EDITS`` is run over all its
-   words at once: a state is the set of (trie node, edits) reached, remembered per letter, so a word that
-   cannot match ends after a few letters. Short entries allow no edits.
+2. Matching: the lexicon is a trie, and a Levenshtein automaton is run over all its words at once: a state
+   is the set of (trie node, edits) reached, remembered per letter, so a word that cannot match ends after a
+   few letters. Short entries allow no edits, long ones two; two swapped letters count as one edit. A run of
+   letters with digits, underscores or symbols among them ('idi0t') is matched whole, unless one of its
+   letter parts is an entry itself.
 3. Context: each match looks at the words around it. Quotation marks and words of speech or mention around
-   it speak for quotation; marks of address and further matches nearby speak for abuse.
+   it speak for quotation; marks of address and further matches nearby speak for abuse. A match with edits
+   counts as an exact one does, but less with each edit.
 4. A logistic model over the document's match statistics gives the score. Its rows use a lexicon learned
    from the other half of the sample, so it sees matches as they are on unseen text.
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,8 +36,9 @@ from corpus_ledger.llm.common import documents, stored
 
 SAMPLE_ROWS = 20_000  # documented bound: labelled documents used to learn
 LEXICON_SIZE = 2_000
-EDITS = 1
 EDIT_LENGTH = 5       # entries shorter than this must match exactly
+LONG_LENGTH = 8       # entries from this length on allow two edits, those between allow one
+EDIT_SHARE = 0.5      # what a match counts for context, per edit
 STEM_LENGTHS = (4, 5, 6, 7)
 MIN_TOXIC = 3
 MIN_EVIDENCE = 24.0   # log-likelihood ratio that an entry needs: thousands of entries are tried
@@ -43,6 +48,8 @@ CACHED = 300_000
 FEATURES = 7
 
 _WORD = re.compile(r"[^\W\d_]+|[\"“”«»'‘’!?]")
+# A run of word characters and symbols that is more than letters; from its start only.
+_MIXED = re.compile(r"(?<![\w@$*#+|!'’.\-])[^\W\d_]*+(?:[\d_@$*#+|]|[!'’.\-](?=[\w@$]))[\w@$*#+|!'’.\-]*+")
 # Marks and words of quotation, mention and address.
 QUOTES = frozenset("\"“”«»‘’")
 SPEECH = frozenset("said says say wrote word term called quote quoted quotes means sagte wort dit mot dijo palabra".split())
@@ -70,6 +77,16 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def mixed_of(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run) of the runs of letters with digits, underscores or symbols among them."""
+    for found in _MIXED.finditer(text):
+        run = found[0].rstrip("!'’.-*#+|")
+        end = found.start() + len(run)
+        run = run.lstrip("!'’.-*#+|")
+        if not run.isalpha() and any(c.isalpha() for c in run):
+            yield end - len(run), end, run
+
+
 def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: in how many toxic and clean documents of each half an entry occurs."""
     for batch in batches:
@@ -128,9 +145,14 @@ def build_lexicon(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int)
 
 
 class Matcher:
-    """Trie of the lexicon, run together with a Levenshtein automaton; transitions are remembered."""
+    """Trie of the lexicon, run together with a Levenshtein automaton; transitions are remembered.
 
-    def __init__(self, lexicon: dict[str, float]):
+    A state holds (node, edits, awaited letter): with ``swaps``, of two letters in exchanged order the second
+    one is read first, and the node behind both waits for the other.
+    """
+
+    def __init__(self, lexicon: dict[str, float], swaps: bool = False):
+        self.swaps = swaps
         self.next: list[dict[str, int]] = [{}]
         self.word: dict[int, tuple[str, float]] = {}   # node -> entry that ends there
         self.stem: dict[int, tuple[str, float]] = {}
@@ -145,53 +167,80 @@ class Matcher:
                 node = self.next[node][letter]
             self.longest[node] = max(self.longest[node], len(text))
             (self.stem if entry.endswith("*") else self.word)[node] = (entry, weight)
-        self.start = self._close(frozenset({(0, 0)}))
-        self.steps: dict[tuple[frozenset, str], frozenset] = {}
+        self.edits = [self._within(length) for length in self.longest]
         self.seen: dict[str, tuple[str, float, int] | None] = {}
+        self._restart()
+
+    def _restart(self) -> None:
+        self.states: list[frozenset] = []
+        self.number: dict[frozenset, int] = {}
+        self.steps: list[dict[str, int]] = []    # state -> letter -> state
+        self.best: list[tuple] = []              # state -> best stem, best word that end there
+        self.empty, self.start = self._numbered(frozenset()), self._numbered(self._close({(0, 0, "")}))
+
+    def _numbered(self, state: frozenset) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state), self.steps.append({})
+            self.best.append((self._best(state, self.stem), self._best(state, self.word)))
+        return self.number[state]
 
-    def _edits(self, node: int) -> int:
-        return EDITS if self.longest[node] >= EDIT_LENGTH else 0
+    @staticmethod
+    def _within(length: int) -> int:
+        return 0 if length < EDIT_LENGTH else 1 if length < LONG_LENGTH else 2
 
-    def _close(self, state: frozenset) -> frozenset:
+    def _close(self, state: set) -> frozenset:
         """Add what a missing letter of the text reaches: trie steps that cost one edit each."""
         out, todo = set(state), list(state)
         while todo:
-            node, edits = todo.pop()
-            for child in self.next[node].values():
-                if edits < self._edits(child) and (child, edits + 1) not in out:
-                    out.add((child, edits + 1))
-                    todo.append((child, edits + 1))
-        return frozenset(out)
+            node, edits, awaited = todo.pop()
+            for child in () if awaited else self.next[node].values():
+                if edits < self.edits[child] and (child, edits + 1, "") not in out:
+                    out.add((child, edits + 1, ""))
+                    todo.append((child, edits + 1, ""))
+        least: dict[tuple[int, str], int] = {}  # what costs more at the same node is not needed
+        for node, edits, awaited in out:
+            if edits <= self.edits[node] and edits < least.get((node, awaited), 3):
+                least[node, awaited] = edits
+        return frozenset((node, edits, awaited) for (node, awaited), edits in least.items())
 
     def _step(self, state: frozenset, letter: str) -> frozenset:
         out = set()
-        for node, edits in state:
+        for node, edits, awaited in state:
+            if awaited:
+                if letter == awaited:
+                    out.add((node, edits, ""))
+                continue
             child = self.next[node].get(letter)
             if child is not None:
-                out.add((child, edits))
-            if edits < self._edits(node):
-                out.add((node, edits + 1))                                   # the letter is surplus
-                out.update((c, edits + 1) for c in self.next[node].values())  # or stands for another
-        return self._close(frozenset(out))
+                out.add((child, edits, ""))
+            if edits < self.edits[node]:
+                out.add((node, edits + 1, ""))                                   # the letter is surplus
+                out.update((c, edits + 1, "") for c in self.next[node].values())  # or stands for another
+                if self.swaps:                                                   # or came before its neighbour
+                    out.update((self.next[c][letter], edits + 1, other) for other, c in self.next[node].items()
+                               if other != letter and letter in self.next[c])
+        return self._close(out)
 
     def find(self, word: str) -> tuple[str, float, int] | None:
         """The entry that the word spells with the fewest edits: (entry, weight, edits)."""
         if word in self.seen:
             return self.seen[word]
         best: tuple[int, float, str] | None = None
+        if len(self.states) > CACHED // 10:
+            self._restart()
         state = self.start
         for letter in word:
-            key = (state, letter)
-            if key not in self.steps:
-                if len(self.steps) > CACHED:
-                    self.steps.clear()
-                self.steps[key] = self._step(state, letter)
-            state = self.steps[key]
-            if not state:
+            step = self.steps[state].get(letter)
+            if step is None:
+                step = self.steps[state][letter] = self._numbered(self._step(self.states[state], letter))
+            if (state := step) == self.empty:
                 break
-            best = self._best(state, self.stem, best)
+            stem = self.best[state][0]
+            best = stem if best is None or stem is not None and stem < best else best
         else:
-            best = self._best(state, self.word, best)
+            end = self.best[state][1]
+            best = end if best is None or end is not None and end < best else best
         if len(self.seen) > CACHED:
             self.seen.clear()
         self.seen[word] = found = (best[2], -best[1], best[0]) if best else None
@@ -199,36 +248,50 @@ class Matcher:
 
     @staticmethod
     def _allowed(entry: str, edits: int) -> bool:
-        return edits == 0 or len(entry.rstrip("*")) >= EDIT_LENGTH
+        return edits <= Matcher._within(len(entry.rstrip("*")))
 
-    def _best(self, state: frozenset, ends: dict, best):
-        for node, edits in state:
-            if node in ends and self._allowed(ends[node][0], edits):
-                entry, weight = ends[node]
-                candidate = (edits, -weight, entry)
-                best = candidate if best is None or candidate < best else best
-        return best
+    def _best(self, state: frozenset, ends: dict) -> tuple[int, float, str] | None:
+        return min(((edits, -ends[node][1], ends[node][0]) for node, edits, awaited in state
+                    if not awaited and node in ends and self._allowed(ends[node][0], edits)), default=None)
+
+
+def find_all(text: str | None, matcher: Matcher) -> tuple[list[str], list[tuple[int, int, str, float, int]]]:
+    """The words of a text, and the matches: (first word, word behind the last, entry, weight, edits)."""
+    words = words_of(text)
+    hits = {i: (i, i + 1, *hit) for i, w in enumerate(words) if len(w) > 1 and (hit := matcher.find(w))}
+    starts = None
+    lower = text.lower() if text else ""
+    for start, end, run in mixed_of(lower):
+        if hit := matcher.find(run):
+            starts = starts or [m.start() for m in _WORD.finditer(lower)]
+            first, behind = bisect_left(starts, start), bisect_left(starts, end)
+            if not any(i in hits and hits[i][-1] == 0 for i in range(first, behind)):
+                for i in range(first, behind):
+                    hits.pop(i, None)
+                hits[first] = (first, behind, *hit)
+    return words, [hits[i] for i in sorted(hits)]
 
 
 def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tuple[int, str, int]]]:
     """Match statistics of one text, and the matches (word position, entry, edits)."""
-    words = words_of(text)
-    matches = [(i, *hit) for i, w in enumerate(words) if len(w) > 1 and (hit := matcher.find(w))]
+    words, matches = find_all(text, matcher)
     if not matches:
         return [0.0] * FEATURES, []
-    abuse = quoted = exact = edited = top = 0.0
-    for i, _, weight, edits in matches:
-        near = words[max(0, i - WINDOW):i] + words[i + 1:i + 1 + WINDOW]
-        quote = sum(w in QUOTES for w in words[max(0, i - 2):i + 3]) >= 2 or any(w in SPEECH for w in near)
+    abuse = quoted = exact = edited = top = shares = 0.0
+    for i, behind, _, weight, edits in matches:
+        near = words[max(0, i - WINDOW):i] + words[behind:behind + WINDOW]
+        quote = sum(w in QUOTES for w in words[max(0, i - 2):behind + 2]) >= 2 or any(w in SPEECH for w in near)
+        share = EDIT_SHARE ** edits
         if edits:
             edited += weight
         else:
-            exact, top = exact + weight, max(top, weight)
-            quoted += quote
-            abuse += (not quote) * (1 + any(w in ADDRESS for w in near))
-    kinds = len({entry for _, entry, _, _ in matches})
-    return [math.log1p(exact), math.log1p(edited), top, math.log1p(kinds), math.log1p(abuse), quoted / len(matches),
-            math.log1p(1000 * len(matches) / len(words))], [(i, entry, edits) for i, entry, _, edits in matches]
+            exact += weight
+        top, shares = max(top, share * weight), shares + share
+        quoted += share * quote
+        abuse += share * (not quote) * (1 + any(w in ADDRESS for w in near))
+    kinds = len({entry for _, _, entry, _, _ in matches})
+    return [math.log1p(exact), math.log1p(edited), top, math.log1p(kinds), math.log1p(abuse), quoted / shares,
+            math.log1p(1000 * len(matches) / len(words))], [(i, entry, edits) for i, _, entry, _, edits in matches]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -260,7 +323,7 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], np.ndarray | None, float
     full = build_lexicon([(r["entry"], r["toxic0"] + r["toxic1"], r["clean0"] + r["clean1"]) for r in rows], n_toxic, n_clean)
 
     def featured(batches):
-        matchers = [Matcher(halves[1]), Matcher(halves[0])]  # each half is matched by the other's lexicon
+        matchers = [Matcher(halves[1], swaps=True), Matcher(halves[0], swaps=True)]  # each half is matched by the other's lexicon
         for batch in batches:
             x = [features(t, matchers[h])[0] for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
@@ -274,7 +337,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], model: np.ndarray | None,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id, score, matches (word position, lexicon entry, edits)."""
     def scored(batches):
-        matcher = Matcher(lexicon)
+        matcher = Matcher(lexicon, swaps=True)
         for batch in batches:
             values, found = [], []
             for text in batch.column("text").to_pylist():
@@ -301,7 +364,7 @@ def remove_toxic(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, thresh
     lexicon, model, share = learn_from(all_docs, labels)
 
     def clean(batches):
-        matcher = Matcher(lexicon)
+        matcher = Matcher(lexicon, swaps=True)
         for batch in batches:
             keep = [share < threshold if model is None else
                     1 / (1 + np.exp(-np.clip(np.r_[features(t, matcher)[0], 1.0] @ model, -30, 30))) < threshold

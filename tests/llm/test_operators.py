@@ -275,6 +275,23 @@ def test_toxicity_context_and_odd_inputs(spark, texts):
     assert toxicity.remove_toxic(docs, docs, labels).count() == len(texts)
 
 
+def test_toxicity_of_misspelled_terms():
+    """Digits, symbols, a swap and a second edit are found, and their context tells quotation from abuse."""
+    lexicon = {"idiot": 3.0, "moron": 3.0, "wretched": 3.0, "vermin*": 3.0, "scumbag": 3.0}
+    matcher = toxicity.Matcher(lexicon, swaps=True)
+    spelled = {"idi0t": "idiot", "m0ron": "moron", "id_iot": "idiot", "mor*n": "moron", "idoit": "idiot", "Wr3tch3d": "wretched",
+               "v3rmin": "vermin*", "$cumbag": "scumbag", "wrteche": "wretched"}
+    for term, entry in spelled.items():
+        plain, found = toxicity.features(f"you {term}, go away", matcher)
+        quoted, _ = toxicity.features(f'he said "{term}" again', matcher)
+        assert [(i, e) for i, e, _ in found] == [(1, entry)] and found[0][2] > 0, term
+        assert plain[2] > 0 and plain[4] > quoted[4] and plain[5] == 0.0 and quoted[5] == 1.0, term
+    exact = toxicity.features("you idiot, go away", matcher)[0]
+    assert exact[2] > toxicity.features("you idi0t, go away", matcher)[0][2]
+    assert toxicity.features("idiot-like x_idiot 12 idiot!", matcher)[1] == [(0, "idiot", 0), (3, "idiot", 0), (4, "idiot", 0)]
+    assert not toxicity.features("www.example.org 2024-01-02 a1b2c3 co-op it's", matcher)[1]
+
+
 @pytest.mark.parametrize("name, label, least", [("op2_rff_quality", "quality", 0.95), ("op4_levenshtein_toxicity", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
