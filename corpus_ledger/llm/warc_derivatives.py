@@ -19,6 +19,7 @@ import base64
 import hashlib
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,8 +35,12 @@ SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the
 RECORD = ("record_id string, type string, refers_to string, target string, date string, content_type string, "
           "block_digest string, payload_digest string, block string")
 
-# Elements whose content is not text, and elements that end a line.
-HIDDEN = frozenset("script style template noscript head".split())
+# Elements whose content is not text, those whose content is given back if they are never
+# closed, those that may stand in a head, those without content, and those that end a line.
+HIDDEN = frozenset("script style head".split())
+HELD = frozenset("template noscript".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 "
                    "h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 
@@ -49,13 +54,19 @@ def record_id(*parts: str) -> str:
 
 
 class PageText(HTMLParser):
-    """Visible text by lines, title, links and language of one page."""
+    """Visible text by lines, title, links and language of one page.
+
+    A head ends at its end tag, at a body, or at the first tag or text that may not stand in it. The text of a
+    template or noscript is dropped at its end tag; one that ends with its parent or the page keeps its text.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.now, self.links = [], [], []
         self.title, self.language, self.charset = [], "", ""
-        self.hidden, self.in_title = [], False
+        self.in_title = False
+        self.open, self.opened = [], Counter()  # open elements; a held one with the lines and the line before it
+        self.hidden = 0                         # how many of them are hidden, from the innermost held one on
 
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
@@ -68,24 +79,54 @@ class PageText(HTMLParser):
         elif tag == "a" and found.get("href"):
             self.links.append(found["href"])
         if tag == "body":
-            self.hidden.clear()  # a head that was never closed ends here
-        elif tag in HIDDEN:
-            self.hidden.append(tag)
+            self._close_down_to(0)
+        elif tag not in IN_HEAD and self.hidden:
+            self._end_head()
         if tag in BREAKS:
             self._end_line()
+        if tag not in VOID:
+            before = (len(self.lines), list(self.now), self.hidden) if tag in HELD else None
+            self.open.append((tag, before))
+            self.opened[tag] += 1
+            self.hidden = 0 if before else self.hidden + (tag in HIDDEN)
 
     def handle_endtag(self, tag):
         if tag == "title":
             self.in_title = False
-        if tag in self.hidden:
-            del self.hidden[self.hidden.index(tag):]
         if tag in BREAKS:
             self._end_line()
+        if self.opened[tag]:
+            at = len(self.open) - 1
+            while self.open[at][0] != tag:
+                at -= 1
+            before = self.open[at][1]
+            self._close_down_to(at)
+            if before:
+                del self.lines[before[0]:]
+                self.now = before[1]
+
+    def _close_down_to(self, depth):
+        while len(self.open) > depth:
+            tag, before = self.open.pop()
+            self.opened[tag] -= 1
+            self.hidden = before[2] if before else self.hidden - (tag in HIDDEN)
+
+    def _end_head(self):
+        """End a head that is open outside of any held element."""
+        for at in range(len(self.open) - 1, -1, -1):
+            tag, before = self.open[at]
+            if before:
+                return
+            if tag == "head":
+                return self._close_down_to(at)
 
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        elif not self.hidden:
+            return
+        if self.hidden and self.open[-1][0] == "head" and data.strip():
+            self._end_head()
+        if not self.hidden:
             self.now.append(data)
 
     def parse_marked_section(self, i, report=1):

@@ -320,6 +320,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_derivatives.derive(warc_derivatives.responses(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("html, lines", [
+    ("<html><head><title>x</title><p>Hello", ["Hello"]),
+    ("<head><meta charset=utf-8><style>a{}</style><title>x</title>Hello <b>you</b>", ["Hello you"]),
+    ("<head><title>x</title><noscript><p>no</p></noscript><script>s</script></head><p>Hello", ["Hello"]),
+    ("<head><noscript><link href=x></head><body>Hello", ["Hello"]),
+    ("<body><div>a<noscript><img src=x></div><p>Hello", ["a", "Hello"]),
+    ("<body><template><p>in</template>a <noscript>b</noscript>c<p>Hello</body>", ["a c", "Hello"]),
+    ("<body><p>a<noscript><p>Hello", ["a", "Hello"]),
+    ("<body><div><template><i>b</div>Hello</body>", ["b", "Hello"]),
+    ("<p>a<script>no</script>b<li>c<li>d</ul></p>", ["ab", "c", "d"]),
+    ("<head><style>x{}</style><body><head>Hello</head> you", ["Hello you"]),
+])
+def test_page_text_without_end_tags(html, lines):
+    """A head without </head> and <body>, and held elements that are never closed, lose no page text."""
+    assert warc_derivatives.PageText().result(html).lines == lines
+
+
 def test_positions_and_components(spark):
     numbered, n = positions(spark.range(1000).withColumn("v", F.col("id") % 3), ["v"], "at")
     rows = numbered.orderBy("at").collect()
