@@ -6,7 +6,11 @@ record id, its target address, date and payload digest. Record ids are name-base
 id, so a rerun gives the same records.
 
 Records are rows (header fields and block), one task sees one page at a time, and nothing is shuffled.
-``write_warc`` writes them as gzipped WARC files with Spark's text writer; ``read_warc`` reads such files.
+WARC header fields without a column of their own are kept in ``fields``, one "Name: value" line each, in their
+order. Both derived records carry all header fields of the response there: those of its HTTP header as
+Source-HTTP-..., and those of its ``fields`` as Source-....
+``write_warc`` writes them as gzipped WARC files with Spark's text writer; ``read_warc`` reads such files and
+those of others. Bytes that are not UTF-8 are read as U+FFFD.
 
 Defined results: a page without an address keeps an empty target; null or empty html gives an empty payload
 and empty text; a null date gives the epoch; repeated pages give repeated records with the same ids; an empty
@@ -33,7 +37,7 @@ EPOCH = "1970-01-01T00:00:00Z"
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 
 RECORD = ("record_id string, type string, refers_to string, target string, date string, content_type string, "
-          "block_digest string, payload_digest string, block string")
+          "block_digest string, payload_digest string, fields string, block string")
 
 # Elements whose content is not text, those whose content is given back if they are never
 # closed, those that may stand in a head, those without content, and those that end a line.
@@ -157,7 +161,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 url, html = url or "", html or ""
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html.encode())}\r\n\r\n"
                 rows.append((record_id("response", str(page), url), "response", None, url, when or EPOCH,
-                             "application/http; msgtype=response", digest(head + html), digest(html), head + html, page))
+                             "application/http; msgtype=response", digest(head + html), digest(html), None, head + html, page))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in RECORD.split(", ")] + ["page"])
 
     when = F.lit(EPOCH) if date is None else F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -166,17 +170,35 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             .mapInPandas(build, RECORD + ", page string"))
 
 
+def header_fields(lines: list[str]) -> list[tuple[str, str]]:
+    """(name, value) of header lines; a line that begins with a blank goes on with the one before."""
+    found: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and found:
+            found[-1] = (found[-1][0], f"{found[-1][1]} {line.strip()}".strip())
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            found.append((name.strip(), value.strip()))
+    return found
+
+
 def derive(records: DataFrame) -> DataFrame:
-    """The metadata and the conversion record of every response record; other types have none."""
+    """The metadata and the conversion record of every response record; other types have none. A column
+    ``page`` is kept if there is one."""
+    own = [f.split()[0] for f in RECORD.split(", ")] + [c for c in ("page",) if c in records.columns]
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for record, target, date, payload_digest, block, page in batch.itertuples(index=False):
+            for record, target, date, payload_digest, further, block, *page in batch.itertuples(index=False):
                 head, _, payload = (block or "").partition("\r\n\r\n")
                 found = PageText().result(payload)
                 text = "\n".join(found.lines)
-                status, *fields = head.split("\r\n")
-                served = next((f.split(":", 1)[1].strip() for f in fields if f.lower().startswith("content-type:")), "")
+                status, *lines = head.split("\r\n")
+                http = header_fields(lines)
+                served = next((value for name, value in http if name.lower() == "content-type"), "")
+                source = "".join([*(f"Source-HTTP-{name}: {value}\r\n" for name, value in http),
+                                  *(f"Source-{name}: {value}\r\n" for name, value in header_fields((further or "").split("\r\n")))])
                 known = [("http-status", status), ("served-type", served), ("title", " ".join("".join(found.title).split())),
                          ("language", found.language), ("charset", found.charset), ("text-digest", digest(text)),
                          *(("outlink", " ".join(link.split())) for link in found.links)]
@@ -184,11 +206,12 @@ def derive(records: DataFrame) -> DataFrame:
                 for kind, content_type, body in (("metadata", "application/warc-fields", meta),
                                                  ("conversion", "text/plain; charset=utf-8", text)):
                     rows.append((record_id(kind, record), kind, record, target, date, content_type, digest(body),
-                                 payload_digest, body, page))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in RECORD.split(", ")] + ["page"])
+                                 payload_digest, source or None, body, *page))
+            yield pd.DataFrame(rows, columns=own)
 
     return (records.filter(F.col("type") == "response")
-            .select("record_id", "target", "date", "payload_digest", "block", "page").mapInPandas(build, RECORD + ", page string"))
+            .select("record_id", "target", "date", "payload_digest", "fields", "block", *own[len(RECORD.split(", ")):])
+            .mapInPandas(build, RECORD + (", page string" if "page" in own else "")))
 
 
 def serialised(records: DataFrame) -> DataFrame:
@@ -201,7 +224,7 @@ def serialised(records: DataFrame) -> DataFrame:
         field("WARC-Refers-To", F.col("refers_to")), field("WARC-Target-URI", F.col("target")), field("WARC-Date", F.col("date")),
         field("WARC-Block-Digest", F.col("block_digest")), field("WARC-Payload-Digest", F.col("payload_digest")),
         field("Content-Type", F.col("content_type")), field("Content-Length", F.octet_length("block").cast("string")),
-        F.lit("\r\n"), F.col("block")).alias("value"))
+        F.coalesce("fields", F.lit("")), F.lit("\r\n"), F.col("block")).alias("value"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -209,10 +232,11 @@ def write_warc(records: DataFrame, path: str) -> None:
     serialised(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n")
+_LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*\r\n", re.IGNORECASE)
 _NAMES = {"WARC-Record-ID": "record_id", "WARC-Type": "type", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target",
           "WARC-Date": "date", "Content-Type": "content_type", "WARC-Block-Digest": "block_digest",
           "WARC-Payload-Digest": "payload_digest"}
+_COLUMNS = {name.lower(): column for name, column in _NAMES.items()}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -227,9 +251,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 while at < len(data):
                     head_end = data.index(b"\r\n\r\n", at)
                     size = int(_LENGTH.search(data, at, head_end + 2)[1])
-                    fields = dict(line.split(": ", 1) for line in data[at:head_end].decode().split("\r\n")[1:])
-                    named = {_NAMES[k]: v for k, v in fields.items() if k in _NAMES}
-                    rows.append([named.get(c) for c in columns[:-1]] + [data[head_end + 4:head_end + 4 + size].decode()])
+                    named, further = {}, ""
+                    for name, value in header_fields(data[at:head_end].decode(errors="replace").split("\r\n")[1:]):
+                        column = _COLUMNS.get(name.lower())
+                        if column and column not in named:
+                            named[column] = value
+                        elif name.lower() != "content-length":
+                            further += f"{name}: {value}\r\n"
+                    named |= {"fields": further or None, "block": data[head_end + 4:head_end + 4 + size].decode(errors="replace")}
+                    rows.append([named.get(c) for c in columns])
                     at = head_end + 4 + size + 4
                 yield pd.DataFrame(rows, columns=columns)
 

@@ -1,5 +1,6 @@
 """Training-data operators: brute force on small fixtures and the defined results of odd inputs."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -320,6 +321,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_derivatives.derive(warc_derivatives.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_of_others_keeps_header_fields(spark, tmp_path):
+    """read_warc -> derive -> write_warc -> read_warc on a file with further HTTP and WARC header fields."""
+    http = (b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\nDate: Thu, 01 Jan 2026 00:00:00 GMT\r\nSet-Cookie: a=1\r\n"
+            b"Set-Cookie: b=2\r\nServer:x\r\nX-Long: one\r\n two\r\n\r\n<p>caf\xe9 Hello")
+    head = ("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\n"
+            "WARC-Date: 2026-01-01T00:00:00Z\r\nWARC-IP-Address: 192.0.2.1\r\nWARC-Concurrent-To: <urn:uuid:2>\r\n"
+            "WARC-Concurrent-To: <urn:uuid:3>\r\nContent-Type: application/http; msgtype=response\r\n"
+            f"content-length:{len(http)}\r\n\r\n").encode()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(gzip.compress(head + http + b"\r\n\r\n"))
+    read = warc_derivatives.read_warc(spark, str(tmp_path / "in"))
+    further = "WARC-IP-Address: 192.0.2.1\r\nWARC-Concurrent-To: <urn:uuid:2>\r\nWARC-Concurrent-To: <urn:uuid:3>\r\n"
+    assert [r.fields for r in read.collect()] == [further]
+    derived = warc_derivatives.derive(read)
+    rows = {r.type: r for r in derived.collect()}
+    expected = ["Source-HTTP-content-type: text/html", "Source-HTTP-Date: Thu, 01 Jan 2026 00:00:00 GMT", "Source-HTTP-Set-Cookie: a=1",
+                "Source-HTTP-Set-Cookie: b=2", "Source-HTTP-Server: x", "Source-HTTP-X-Long: one two",
+                *("Source-" + line for line in further.split("\r\n")[:-1])]
+    assert {kind: r.fields.split("\r\n")[:-1] for kind, r in rows.items()} == {"metadata": expected, "conversion": expected}
+    assert rows["conversion"].block == "caf\ufffd Hello" and rows["conversion"].refers_to == "<urn:uuid:1>"
+    assert "served-type: text/html\r\n" in rows["metadata"].block and "page" not in derived.columns
+    warc_derivatives.write_warc(read.unionByName(derived), str(tmp_path / "out"))
+    back = warc_derivatives.read_warc(spark, str(tmp_path / "out"))
+    assert Counter(tuple(r) for r in back.collect()) == Counter(tuple(r) for r in read.unionByName(derived).collect())
+
+
 @pytest.mark.parametrize("html, lines", [
     ("<html><head><title>x</title><p>Hello", ["Hello"]),
     ("<head><meta charset=utf-8><style>a{}</style><title>x</title>Hello <b>you</b>", ["Hello you"]),
