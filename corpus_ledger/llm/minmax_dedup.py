@@ -165,9 +165,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked_by = (F.col("shared") * 100 >= percent * F.col("either"))
     links = compared.filter(linked_by).select("a", "b")
 
-    # Buckets of up to three have had all their pairs compared.
+    # Buckets of two have had their pair compared. In one of three whose hub is the smallest id, the other two
+    # have not been compared with each other.
     found = components(links)
-    large = members.filter("size > 3").select("key", "rep")
+    large = members.filter("size > 2").select("key", "rep")
     placed = stored(large.join(found, F.col("rep") == F.col("node"), "left")
                     .select("key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
     main = (placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))

@@ -152,6 +152,27 @@ def test_pairs_outside_the_main_component(spark):
     assert got == label
 
 
+def test_buckets_of_three_led_by_the_smallest_id(spark):
+    """Two linked documents whose common buckets hold only one more, the smallest id and their hub, linked to neither."""
+    texts, linked = [], []
+    for family in (12, 71, 87, 123, 132, 161):  # two bands of two values put these so
+        lead = [f"f{family}w{i}" for i in range(80)]
+
+        def edited(words, places, mark):
+            return [f"{mark}{w}" if i in places else w for i, w in enumerate(words)]
+
+        x = edited(lead, range(0, 28, 3), "x")
+        y = edited(x, (70, 76), "y")
+        others = [edited(lead, random.Random(family * 3 + k).sample(range(80), 16), f"z{k}") for k in range(3)]
+        texts += [(10 * family + k, " ".join(words)) for k, words in enumerate([lead, x, y, *others])]
+        linked.append((10 * family + 1, 10 * family + 2))
+    sets = {i: shingles(t, 2) for i, t in texts}
+    near = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert near == linked
+    rows = minmax_dedup.near_duplicates(make_docs(spark, texts), shingle_words=2, bands=2, rows=2).collect()
+    assert {(r.component_id, r.id) for r in rows if r.id != r.component_id} == set(linked)
+
+
 def words_of_item(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
 
