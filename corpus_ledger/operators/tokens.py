@@ -6,6 +6,9 @@ distinct-word table. Applying merges is the one Python step: a pandas UDF per do
 each distinct word for the life of the task; the merge list it needs is bounded by the merge budget.
 """
 
+from collections import Counter, defaultdict
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -118,8 +121,47 @@ def accept_merges(cands: list[tuple[str, str, int]], created: set[str]) -> list[
     return taken
 
 
+def _learn_in_memory(words: list[tuple[list[str], int]], num_merges: int) -> list[tuple[str, str]]:
+    """The merges of a small word table: counts kept per pair, and only words that hold the best pair rewritten."""
+    counts: Counter = Counter()
+    holders: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for i, (pieces, freq) in enumerate(words):
+        for pair in zip(pieces, pieces[1:]):
+            counts[pair] += freq
+            holders[pair].add(i)
+    heap = [(-n, *pair) for pair, n in counts.items()]
+    heapify(heap)
+    merges: list[tuple[str, str]] = []
+    while heap and len(merges) < num_merges:
+        n, left, right = heappop(heap)
+        if counts[left, right] != -n or not n:
+            continue  # an older count of the pair
+        merges.append((left, right))
+        changed = set()
+        for i in holders.pop((left, right)):
+            pieces, freq = words[i]
+            merged: list[str] = []
+            for piece in pieces:
+                if merged and piece == right and merged[-1] == left:
+                    merged[-1] = left + right
+                else:
+                    merged.append(piece)
+            for pair in zip(pieces, pieces[1:]):
+                counts[pair] -= freq
+                changed.add(pair)
+            for pair in zip(merged, merged[1:]):
+                counts[pair] += freq
+                holders[pair].add(i)
+                changed.add(pair)
+            words[i] = (merged, freq)
+        for pair in changed:
+            if counts[pair] > 0:
+                heappush(heap, (-counts[pair], *pair))
+    return merges
+
+
 def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10, candidates: int = 64,
-                 incremental_above: int = 2_000_000) -> DataFrame:
+                 incremental_above: int = 2_000_000, in_memory_up_to: int = 200_000) -> DataFrame:
     """T5: learn ``num_merges`` merges; the most frequent pair (ties by pair, D9) is merged and the
     words rewritten, exactly as a sequential loop would.
 
@@ -131,7 +173,8 @@ def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10,
     job returning the top
     ``candidates`` pairs; ``accept_merges`` takes as many as provably come next in sequence. A
     reliable checkpoint every ``checkpoint_every`` merges bounds the lineage an executor loss would
-    replay.
+    replay. A table of at most ``in_memory_up_to`` distinct words is learned on the driver instead, with the
+    same merges: a Spark job per round would take far longer than the work itself.
 
     Returns (rank, left, right).
     """
@@ -144,7 +187,12 @@ def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10,
     # spread it over the cluster's task slots so each round's scan runs in parallel.
     w = materialize(words.select("pieces", "freq").filter(F.size("pieces") > 1)
                     .repartition(spark.sparkContext.defaultParallelism))
-    incremental = w.count() > incremental_above
+    distinct = w.count()
+    if distinct <= min(in_memory_up_to, incremental_above):
+        learned = _learn_in_memory([(list(r["pieces"]), int(r["freq"])) for r in w.collect()], num_merges)
+        w.unpersist()
+        return spark.createDataFrame([(i, *pair) for i, pair in enumerate(learned, 1)], "rank int, left string, right string")
+    incremental = distinct > incremental_above
     pc = materialize(pair_counts(w).repartition(parts, "left", "right")) if incremental else None
     merges: list[tuple[int, str, str]] = []
     created: set[str] = set()

@@ -650,8 +650,8 @@ def t04(spark, sf):
     return TK.pair_counts(TK.word_table(TK.word_frequencies(fx.documents(spark, sf)), 2))
 
 
-def _merges(spark, sf, n=20):
-    return TK.learn_merges(TK.word_table(TK.word_frequencies(fx.documents(spark, sf)), 2), n)
+def _merges(spark, sf):
+    return TK.train_tokenizer(fx.documents(spark, sf))[1]
 
 
 @register("t05_learn_merges")
@@ -750,8 +750,7 @@ def t16(spark, sf):
     from corpus_ledger.plans.tokenizer_job import corpus_tokenizer
 
     e, m = _ledger(spark, sf)
-    vocab, merges = corpus_tokenizer(e, m, fx.page_texts(spark, sf), vocab_size=10000, min_frequency=2,
-                                     num_merges=10)
+    vocab, merges = corpus_tokenizer(e, m, fx.page_texts(spark, sf), vocab_size=10000, min_frequency=2)
     return vocab
 
 
@@ -767,6 +766,15 @@ def m03(spark, sf):
     return s.select("page_id", F.size("input_ids").alias("n_ids"), _hash_ids("input_ids").alias("ids_hash"))
 
 
+@register("m03_sequences_all")
+def m03a(spark, sf):
+    """M3 over the texts of all pages; the oracle of m03_sequences leaves out those of German documents."""
+    from corpus_ledger.plans.dataset import page_sequences
+
+    s = page_sequences(Q.main_pages(*_ledger(spark, sf)).select("page_id"), fx.page_texts(spark, sf), _vocab(spark, sf), max_length=1024)
+    return s.select("page_id", F.size("input_ids").alias("n_ids"), _hash_ids("input_ids").alias("ids_hash"))
+
+
 @register("m17_remove_tokens")
 def m17r(spark, sf):
     e = _word_level(spark, sf, add_eos=False)
@@ -898,7 +906,7 @@ def s09(spark, sf):
 @register("s10_tokenizer_files")
 def s10(spark, sf):
     path = work_path(spark, "tokenizer")
-    IO.save_tokenizer(_vocab(spark, sf), _merges(spark, sf, 5), path)
+    IO.save_tokenizer(_vocab(spark, sf), _merges(spark, sf), path)
     vocab, merges = IO.load_tokenizer(spark, path)
     return vocab
 
