@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpus_ledger.llm.decontamination import op8_decontamination
+from corpus_ledger.llm.embedding_dedup import op13_embedding_dedup
 from corpus_ledger.llm.entropy_mixing import op3_entropy_mixing
 from corpus_ledger.llm.hilbert_sharding import op1_hilbert_sharding
 from corpus_ledger.llm.line_dedup import op7_line_dedup
@@ -10,12 +11,14 @@ from corpus_ledger.llm.minmax_dedup import op6_minmax_dedup
 from corpus_ledger.llm.quality import op2_rff_quality
 from corpus_ledger.llm.token_counts import op10_token_counts
 from corpus_ledger.llm.toxicity import op4_levenshtein_toxicity
+from corpus_ledger.llm.vector_clusters import op12_vector_clusters
 from corpus_ledger.llm.warc_derivatives import op5_warc_derivatives
 from corpus_ledger.llm.weighted_sampling import op9_weighted_sampling
 
 QUERIES = {f.__name__: f for f in (
     op1_hilbert_sharding, op2_rff_quality, op3_entropy_mixing, op4_levenshtein_toxicity, op5_warc_derivatives,
-    op6_minmax_dedup, op7_line_dedup, op8_decontamination, op9_weighted_sampling, op10_token_counts)}
+    op6_minmax_dedup, op7_line_dedup, op8_decontamination, op9_weighted_sampling, op10_token_counts,
+    op12_vector_clusters, op13_embedding_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -67,7 +70,61 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)"""
 
 
+_USABLE = """SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def clusters_sql(dim: int, clusters: int, rounds: int, seed: int, scale: int) -> str:
+    """Lloyd's rounds over integers in long form, one step of the WITH clause each."""
+    steps = [f"""
+WITH usable AS ({_USABLE}
+), kept AS (SELECT vec_id, v FROM usable WHERE len(v) = {dim}
+), vectors AS MATERIALIZED (
+  SELECT vec_id, d, CAST(floor({scale} * v[d]) AS BIGINT) AS x FROM (SELECT vec_id, v, unnest(range(1, {dim} + 1)) AS d FROM kept)
+), firsts AS (
+  SELECT vec_id, row_number() OVER (ORDER BY h, v) - 1 AS c
+  FROM (SELECT vec_id, v, sha256('{seed}:' || vec_id) AS h FROM kept ORDER BY h, v LIMIT {clusters})
+), centers_0 AS MATERIALIZED (SELECT c, d, x FROM firsts JOIN vectors USING (vec_id))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+, assigned_{r} AS MATERIALIZED (
+  SELECT vec_id, arg_min(c, (distance, c)) AS c, min(distance) AS distance FROM (
+    SELECT vec_id, c, sum((p.x - q.x) * (p.x - q.x)) AS distance
+    FROM vectors p JOIN centers_{r} q USING (d) GROUP BY vec_id, c) GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+, means_{r} AS (
+  SELECT c, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM vectors JOIN assigned_{r} USING (vec_id) GROUP BY c, d
+), centers_{r + 1} AS MATERIALIZED (
+  SELECT c, d, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x
+  FROM centers_{r} LEFT JOIN means_{r} USING (c, d))""")
+    return "".join(steps) + f"""
+, named AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM centers_{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM assigned_{rounds} JOIN named USING (c)"""
+
+
+def near_vectors_sql(least: float) -> str:
+    """Every pair of vectors compared."""
+    return f"""
+WITH RECURSIVE whole AS ({_USABLE}
+), usable AS (SELECT vec_id, v FROM whole WHERE len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE CASE WHEN len(x.v) = len(y.v) THEN list_cosine_similarity(x.v, y.v) END >= {least}
+), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+), least_id AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings e JOIN least_id l ON l.node = vec_id LEFT JOIN counts ON a = vec_id"""
+
+
 ORACLES = {
     "op6_minmax_dedup": near_duplicate_sql("documents", 2, 80),
     "op8_decontamination": contamination_sql("documents", 10),
+    "op12_vector_clusters": clusters_sql(64, 8, 10, 3, 1024),
+    "op13_embedding_dedup": near_vectors_sql(0.9),
 }
