@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpus_ledger.llm.conversation_repair import op11_conversation_repair
 from corpus_ledger.llm.decontamination import op8_decontamination
 from corpus_ledger.llm.embedding_dedup import op13_embedding_dedup
 from corpus_ledger.llm.entropy_mixing import op3_entropy_mixing
@@ -18,7 +19,7 @@ from corpus_ledger.llm.weighted_sampling import op9_weighted_sampling
 QUERIES = {f.__name__: f for f in (
     op1_hilbert_sharding, op2_rff_quality, op3_entropy_mixing, op4_levenshtein_toxicity, op5_warc_derivatives,
     op6_minmax_dedup, op7_line_dedup, op8_decontamination, op9_weighted_sampling, op10_token_counts,
-    op12_vector_clusters, op13_embedding_dedup)}
+    op11_conversation_repair, op12_vector_clusters, op13_embedding_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
