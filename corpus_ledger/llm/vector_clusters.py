@@ -175,7 +175,7 @@ def cluster_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                   .filter((F.size("vector") == dim) & whole), "vectors")
     centroids = first_centroids(kept, clusters, seed, scale)
     if not centroids:
-        return spark.createDataFrame([], kept.select("id").schema.add("cluster", "int").add("distance", "long")), []
+        return spark.createDataFrame([], kept.select("id").schema.add("cluster", "integer").add("distance", "long")), []
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(vantage_point_tree(centroids))
 
