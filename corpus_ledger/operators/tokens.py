@@ -1,7 +1,7 @@
 """Tokenizer operators T1-T16: pre-tokenisation, vocabulary, BPE merges, encode/decode, packing.
 
 Corpus-wide work (word and pair counts) is aggregation with map-side combine, so a very frequent
-word is reduced before the shuffle. The merge learner runs one small Spark job per merge on the
+word is reduced before the shuffle. The merge learner takes many merges per round over the distributed
 distinct-word table. Applying merges is the one Python step: a pandas UDF per document that caches
 each distinct word for the life of the task; the merge list it needs is bounded by the merge budget.
 """
@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,18 +81,6 @@ def pair_counts(words: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- T5, T6
-def merge_pieces(pieces: Column, left: str, right: str) -> Column:
-    """Rewrite a piece array left to right, merging non-overlapping occurrences of (left, right)."""
-    joined = F.lit(left + right)
-
-    def step(acc, x):
-        hit = (F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(left)) & (x == F.lit(right))
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))) \
-                .otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
-
-
 def accept_merges(cands: list[tuple[str, str, int]], created: set[str]) -> list[tuple[str, str]]:
     """The prefix of the ranked candidate pairs that sequential merging would pick next, in order.
 
@@ -121,31 +110,48 @@ def accept_merges(cands: list[tuple[str, str, int]], created: set[str]) -> list[
     return taken
 
 
-def _learn_in_memory(words: list[tuple[list[str], int]], num_merges: int) -> list[tuple[str, str]]:
-    """The merges of a small word table: counts kept per pair, and only words that hold the best pair rewritten."""
+def _merged(pieces: list[str], left: str, right: str) -> list[str]:
+    """Non-overlapping occurrences of (left, right) joined, from left to right."""
+    out: list[str] = []
+    for piece in pieces:
+        if out and piece == right and out[-1] == left:
+            out[-1] = left + right
+        else:
+            out.append(piece)
+    return out
+
+
+def merge_segments(segments: list[tuple[list[str], int]], least: int, limit: int) -> list[tuple[str, str]]:
+    """The next merges of the whole corpus, up to ``limit``, as far as its heavy segments tell them: the words cut
+    between the pieces of every pair that occurs fewer than ``least`` times.
+
+    Merging all occurrences of a pair treats equal strings alike wherever no merge crosses their ends, so a token
+    comes about in one way only: it begins with one certain piece of before, and ends with one. A pair that arises
+    therefore stands only where its last and its first piece of before met, and is no more frequent than they were
+    together. So every pair of ``least`` or more occurrences lies inside the segments at any later time, counted in
+    full; merging goes on while the best pair has as many, and the result is that of merging whole words.
+    """
+    segments = list(segments)
     counts: Counter = Counter()
     holders: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, (pieces, freq) in enumerate(words):
+    for i, (pieces, freq) in enumerate(segments):
         for pair in zip(pieces, pieces[1:]):
             counts[pair] += freq
             holders[pair].add(i)
     heap = [(-n, *pair) for pair, n in counts.items()]
     heapify(heap)
     merges: list[tuple[str, str]] = []
-    while heap and len(merges) < num_merges:
+    while heap and len(merges) < limit:
         n, left, right = heappop(heap)
         if counts[left, right] != -n or not n:
             continue  # an older count of the pair
+        if -n < least:
+            break
         merges.append((left, right))
         changed = set()
         for i in holders.pop((left, right)):
-            pieces, freq = words[i]
-            merged: list[str] = []
-            for piece in pieces:
-                if merged and piece == right and merged[-1] == left:
-                    merged[-1] = left + right
-                else:
-                    merged.append(piece)
+            pieces, freq = segments[i]
+            merged = _merged(pieces, left, right)
             for pair in zip(pieces, pieces[1:]):
                 counts[pair] -= freq
                 changed.add(pair)
@@ -153,97 +159,134 @@ def _learn_in_memory(words: list[tuple[list[str], int]], num_merges: int) -> lis
                 counts[pair] += freq
                 holders[pair].add(i)
                 changed.add(pair)
-            words[i] = (merged, freq)
+            segments[i] = (merged, freq)
         for pair in changed:
             if counts[pair] > 0:
                 heappush(heap, (-counts[pair], *pair))
     return merges
 
 
-def learn_merges(words: DataFrame, num_merges: int, checkpoint_every: int = 10, candidates: int = 64,
-                 incremental_above: int = 2_000_000, in_memory_up_to: int = 200_000) -> DataFrame:
+def rewrite(pieces: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The pieces after the merges of ``ranks``, one after the other. Pairs to merge wait in a heap by rank and
+    position, so a list of n pieces takes n log n steps."""
+    if not any(pair in ranks for pair in zip(pieces, pieces[1:])):
+        return pieces
+    n = len(pieces)
+    piece, after, before = list(pieces), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple] = []
+
+    def wait(i: int) -> None:
+        if i >= 0 and after[i] < n:
+            pair = (piece[i], piece[after[i]])
+            if pair in ranks:
+                heappush(heap, (ranks[pair], i, *pair))
+
+    for i in range(n - 1):
+        wait(i)
+    while heap:
+        _, i, left, right = heappop(heap)
+        j = after[i]
+        if piece[i] != left or j >= n or piece[j] != right:
+            continue
+        piece[i], piece[j], after[i] = left + right, None, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        wait(i)
+        wait(before[i])
+    return [x for x in piece if x is not None]
+
+
+def _segments(words: DataFrame, heavy: set[tuple[str, str]]) -> DataFrame:
+    """(pieces, freq) of the distinct segments that are left when words are cut between the pieces of all
+    pairs that are not ``heavy``; single pieces are left out."""
+    sent = words.sparkSession.sparkContext.broadcast(heavy)
+
+    def cut(batches):
+        heavy = sent.value
+        for batch in batches:
+            found: Counter = Counter()
+            for pieces, freq in zip(batch.column("pieces").to_pylist(), batch.column("freq").to_pylist()):
+                start = 0
+                for i in range(1, len(pieces) + 1):
+                    if i == len(pieces) or (pieces[i - 1], pieces[i]) not in heavy:
+                        if i - start > 1:
+                            found[tuple(pieces[start:i])] += freq
+                        start = i
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(list, found)), pa.list_(pa.string())),
+                                              pa.array(list(found.values()), pa.int64())], ["pieces", "freq"])
+
+    return words.mapInArrow(cut, "pieces array<string>, freq long").groupBy("pieces").agg(F.sum("freq").alias("freq"))
+
+
+def _rewritten(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """The words after ``merges``; words of one piece have no pair and leave."""
+    sent = words.sparkSession.sparkContext.broadcast({pair: i for i, pair in enumerate(merges)})
+
+    def apply(batches):
+        ranks = sent.value
+        for batch in batches:
+            pieces = [rewrite(p, ranks) for p in batch.column("pieces").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.list_(pa.string())), batch.column("freq")],
+                                             ["pieces", "freq"])
+
+    return words.mapInArrow(apply, "pieces array<string>, freq long").filter(F.size("pieces") > 1)
+
+
+def learn_merges(words: DataFrame, num_merges: int, max_segments: int = 30_000, max_pairs: int = 4096,
+                 first_pairs: int = 64) -> DataFrame:
     """T5: learn ``num_merges`` merges; the most frequent pair (ties by pair, D9) is merged and the
     words rewritten, exactly as a sequential loop would.
 
-    Pair counts are kept as a table hash-partitioned by pair and updated incrementally: a round
-    re-counts only the words that contain one of its merged pairs (old pairs subtracted, new pairs
-    added) and folds that delta into the table with a co-partitioned join, so the untouched words
-    are neither exploded nor shuffled again. Below ``incremental_above`` distinct words a full
-    re-count per round is cheaper than the extra join and is used instead. Each round is one Spark
-    job returning the top
-    ``candidates`` pairs; ``accept_merges`` takes as many as provably come next in sequence. A
-    reliable checkpoint every ``checkpoint_every`` merges bounds the lineage an executor loss would
-    replay. A table of at most ``in_memory_up_to`` distinct words is learned on the driver instead, with the
-    same merges: a Spark job per round would take far longer than the work itself.
+    The word table stays distributed. A round counts all pairs, takes the heaviest of them, and cuts every word
+    between the pieces of all others; what is left are few distinct segments, aggregated over the corpus.
+    ``merge_segments`` learns from them as many merges as they determine, often hundreds, and the words are
+    rewritten in place. Both that reach the driver are bounded by the parameters, whatever the corpus: the
+    ``max_pairs`` heaviest pairs, of which fewer are taken when they leave more than ``max_segments`` segments.
+    If more than ``max_pairs`` pairs share the highest count, or even the fewest heavy pairs leave too many
+    segments, ``accept_merges`` takes the merges that the counts alone determine, the best pair at least. Every
+    round ends with a reliable checkpoint of the words.
 
     Returns (rank, left, right).
     """
-    from pyspark import StorageLevel
-
     spark = words.sparkSession
-    checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The distinct-word table is small after aggregation and AQE may coalesce it into one partition;
     # spread it over the cluster's task slots so each round's scan runs in parallel.
-    w = materialize(words.select("pieces", "freq").filter(F.size("pieces") > 1)
+    w = materialize(words.select("pieces", F.col("freq").cast("long").alias("freq")).filter(F.size("pieces") > 1)
                     .repartition(spark.sparkContext.defaultParallelism))
-    distinct = w.count()
-    if distinct <= min(in_memory_up_to, incremental_above):
-        learned = _learn_in_memory([(list(r["pieces"]), int(r["freq"])) for r in w.collect()], num_merges)
-        w.unpersist()
-        return spark.createDataFrame([(i, *pair) for i, pair in enumerate(learned, 1)], "rank int, left string, right string")
-    incremental = distinct > incremental_above
-    pc = materialize(pair_counts(w).repartition(parts, "left", "right")) if incremental else None
-    merges: list[tuple[int, str, str]] = []
+    merges: list[tuple[str, str]] = []
     created: set[str] = set()
-    stale: list[DataFrame] = []
-    since_ckpt = 0
+    wanted = first_pairs
     while len(merges) < num_merges:
-        counts = pc if incremental else pair_counts(w)
-        top = counts.orderBy(F.desc("count"), "left", "right").limit(candidates + 1).collect()
-        for d in stale:
-            d.unpersist()
-        stale = []
+        wanted = max(wanted, 1)
+        top = [(r["left"], r["right"], int(r["count"])) for r in
+               pair_counts(w).orderBy(F.desc("count"), "left", "right").limit(max_pairs + 1).collect()]
         if not top:
             break
-        cands = [(r["left"], r["right"], int(r["count"])) for r in top]
-        if len(cands) <= candidates:
-            cands.append(("", "", -1))  # sentinel: nothing ranks below the last real pair
-        picked = accept_merges(cands, created)[: num_merges - len(merges)]
-        wanted = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in picked])
-        hit = F.exists(adjacent_pairs(F.col("pieces")), lambda p: F.array_contains(wanted, p))
-        merged = F.col("pieces")
-        for a, b in picked:
-            merges.append((len(merges) + 1, a, b))
-            created.add(a + b)
-            merged = merge_pieces(merged, a, b)
-        pc_next = None
-        if incremental:
-            touched = w.filter(hit).select("pieces", merged.alias("merged"), "freq")
-            delta = touched.select(F.explode(adjacent_pairs(F.col("pieces"))).alias("p"),
-                                   (-F.col("freq")).alias("d")) \
-                .unionByName(touched.select(F.explode(adjacent_pairs(F.col("merged"))).alias("p"),
-                                            F.col("freq").alias("d"))) \
-                .groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")) \
-                .agg(F.sum("d").alias("d")).filter(F.col("d") != 0)
-            pc_next = pc.join(delta, ["left", "right"], "full_outer").select(
-                "left", "right", (F.coalesce("count", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("count")) \
-                .filter(F.col("count") > 0)
-        w_next = w.withColumn("pieces", F.when(hit, merged).otherwise(F.col("pieces")))
-        since_ckpt += len(picked)
-        if since_ckpt >= checkpoint_every:
-            w_next = materialize(w_next.filter(F.size("pieces") > 1))
-            pc_next = materialize(pc_next) if incremental else None
-            since_ckpt = 0
-        else:
-            w_next = w_next.persist(StorageLevel.MEMORY_AND_DISK)
-            pc_next = pc_next.persist(StorageLevel.MEMORY_AND_DISK) if incremental else None
-        stale = [d for d in (w, pc) if d is not None]
-        w, pc = w_next, pc_next
-    for d in stale + [w, pc]:
-        if d is not None:
-            d.unpersist()
-    return spark.createDataFrame(merges, "rank int, left string, right string")
+        picked: list[tuple[str, str]] = []
+        while not picked:
+            whole = len(top) <= min(wanted, max_pairs)
+            least = 1 if whole else top[min(wanted, max_pairs)][2] + 1
+            heavy = {(a, b) for a, b, n in top if n >= least}
+            if not heavy:
+                # After the last pair nothing follows, or the pair beyond the limit.
+                ranked = top if len(top) > max_pairs else top + [("", "", -1)]
+                picked = accept_merges(ranked, created)[: num_merges - len(merges)]
+                break
+            cut = _segments(w, heavy).persist()
+            size = cut.count()
+            if size <= max_segments:
+                picked = merge_segments([(r["pieces"], r["freq"]) for r in cut.collect()], least,
+                                        num_merges - len(merges))
+                if size <= max_segments // 3:
+                    wanted = min(wanted * 2, max_pairs)
+            else:
+                wanted //= 2
+            cut.unpersist()
+        merges += picked
+        created |= {a + b for a, b in picked}
+        if len(merges) < num_merges:
+            w = materialize(_rewritten(w, picked))
+    return spark.createDataFrame([(i, *pair) for i, pair in enumerate(merges, 1)], "rank int, left string, right string")
 
 
 def extend_vocab(vocab: DataFrame, merges: DataFrame) -> DataFrame:
@@ -278,28 +321,77 @@ def merge_pairs(merges: DataFrame) -> list[tuple[str, str]]:
 
 def _bpe(word: str, merge_set: frozenset) -> list[str]:
     """Leftmost adjacent pair that is a known merge (D6), repeated. Nothing before the pair left of a
-    merge can have become a known pair, so the search goes on from there."""
-    w, i = list(word), 0
-    while i < len(w) - 1:
-        if (w[i], w[i + 1]) in merge_set:
-            w[i:i + 2] = [w[i] + w[i + 1]]
-            i = max(i - 1, 0)
-        else:
-            i += 1
-    return w
+    merge can have become a known pair, so pieces are stacked and each is merged into the top while it can be."""
+    out: list[str] = []
+    for piece in word:
+        out.append(piece)
+        while len(out) > 1 and (out[-2], out[-1]) in merge_set:
+            right = out.pop()
+            out[-1] += right
+    return out
 
 
 def _bpe_dropout(word: str, merge_set: frozenset, p: float, stream: str) -> list[str]:
     """BPE-dropout: in each step every known pair is skipped with probability ``p``; the first pair left
-    over is merged at its first occurrence. The draw of a position is a hash of (stream, step, position)."""
-    w, step = list(word), 0
+    over is merged at its first occurrence. The draw of a position is a hash of (stream, step, position).
+
+    Known pairs wait in a heap by the place of their first character, and a tree of counts gives the position
+    among the pieces that are left, so a step looks at the pairs it skips and not at the whole token."""
+    n = len(word)
+    piece, after, before = list(word), list(range(1, n + 1)), list(range(-1, n - 1))
+    counts = [i & -i for i in range(n + 1)]  # binary indexed tree of ones
+    heap, waiting = [], [False] * n
+
+    def position(i: int) -> int:
+        total = 0
+        while i:
+            total += counts[i]
+            i &= i - 1
+        return total
+
+    def pair_at(i: int) -> tuple[str, str] | None:
+        if piece[i] is None or after[i] >= n:
+            return None
+        pair = (piece[i], piece[after[i]])
+        return pair if pair in merge_set else None
+
+    def wait(i: int) -> None:
+        if i >= 0 and not waiting[i] and pair_at(i):
+            waiting[i] = True
+            heappush(heap, i)
+
+    for i in range(n - 1):
+        wait(i)
+    step = 0
     while True:
-        left = next(((w[i], w[i + 1]) for i in range(len(w) - 1) if (w[i], w[i + 1]) in merge_set
-                     and xxhash.xxh3_64_intdigest(f"{stream}|{step}|{i}") >= p * 2.0 ** 64), None)
-        if left is None:
-            return w
-        at = next(i for i in range(len(w) - 1) if (w[i], w[i + 1]) == left)
-        w[at:at + 2] = ["".join(left)]
+        seen: list[int] = []
+        pair = None
+        while heap and pair is None:
+            i = heappop(heap)
+            known = pair_at(i)
+            if known is None:  # a neighbour has changed meanwhile
+                waiting[i] = False
+                continue
+            seen.append(i)
+            if xxhash.xxh3_64_intdigest(f"{stream}|{step}|{position(i)}") >= p * 2.0 ** 64:
+                pair = known
+        if pair is None:
+            return [x for x in piece if x is not None]
+        at = next(i for i in seen if pair_at(i) == pair)
+        for i in seen:
+            if i != at:
+                heappush(heap, i)
+        waiting[at] = False
+        j = after[at]
+        piece[at], piece[j], after[at] = piece[at] + piece[j], None, after[j]
+        if after[j] < n:
+            before[after[j]] = at
+        i = j + 1
+        while i <= n:
+            counts[i] -= 1
+            i += i & -i
+        wait(at)
+        wait(before[at])
         step += 1
 
 
@@ -481,11 +573,13 @@ def decode(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, skip_special
     return df.join(g, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
-def special_tokens_mask(ids: Column, already_has_special_tokens: bool = True) -> Column:
-    """1 for pad/eos/bos ids (already has specials), else zeros plus a final 1 for EOS."""
-    if already_has_special_tokens:
+def special_tokens_mask(ids: Column, already_has_special_tokens: bool = True, pair: Column | None = None) -> Column:
+    """1 for pad/eos/bos ids (already has specials), else zeros plus a 1 for the EOS that packing
+    appends, after each of the two sequences when there is a ``pair``."""
+    if already_has_special_tokens:  # one sequence that holds both parts
         return F.transform(ids, lambda x: F.when(x.isin(PAD_ID, EOS_ID, BOS_ID), 1).otherwise(0))
-    return F.concat(F.array_repeat(F.lit(0), F.size(ids)), F.array(F.lit(1)))
+    masks = [F.concat(F.array_repeat(F.lit(0), F.size(part)), F.array(F.lit(1))) for part in (ids, pair) if part is not None]
+    return F.concat(*masks)
 
 
 def pack_pair(a: Column, b: Column | None = None) -> tuple[Column, Column]:

@@ -565,6 +565,55 @@ SELECT l AS "left", r AS "right", sum(freq) AS count FROM (
     WHERE len(c) > 1))
 GROUP BY l, r""", _TOK)
 
+# Pieces stand between two private characters, so a merge is one replacement in the text of the word.
+_OPEN, _SHUT = "chr(57344)", "chr(57345)"
+
+
+def _learned(n: int) -> list[tuple[str, str]]:
+    """``n`` rounds of counting all pairs and replacing the best; ``merges`` (rank, l, r)."""
+    out = [("w0", f"""MATERIALIZED SELECT regexp_replace(token, '(?s)(.)', {_OPEN} || '\\1' || {_SHUT}, 'g') AS s, count AS freq
+                     FROM freq WHERE count >= 2""")]
+    for i in range(1, n + 1):
+        out += [
+            (f"b{i}", f"""MATERIALIZED SELECT l, r FROM (SELECT p[j] AS l, p[j + 1] AS r, freq FROM (
+                            SELECT p, freq, unnest(generate_series(1, len(p) - 1)) AS j FROM (
+                              SELECT string_split(s[2:-2], {_SHUT} || {_OPEN}) AS p, freq FROM w{i - 1}) WHERE len(p) > 1))
+                          GROUP BY l, r ORDER BY sum(freq) DESC, l, r LIMIT 1"""),
+            (f"w{i}", f"""MATERIALIZED SELECT replace(s, {_OPEN} || l || {_SHUT} || {_OPEN} || r || {_SHUT}, {_OPEN} || l || r || {_SHUT}) AS s,
+                                 freq FROM w{i - 1}, b{i}""")]
+    out.append(("merges", " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS rank, l, r FROM b{i}" for i in range(1, n + 1))))
+    return out
+
+
+_FIRST = _TOK + _learned(20)
+# The leftmost pair that is a merge is joined, again and again, in every distinct token.
+_PIECES = [
+    ("toks", f"""SELECT doc_id, unnest(s) AS token, generate_subscripts(s, 1) AS pos FROM (SELECT doc_id, {_S} AS s FROM documents)"""),
+    ("known", f"SELECT list(l || {_OPEN} || r) AS m FROM merges"),
+    ("steps", f"""SELECT token, regexp_extract_all(token, '(?s).') AS p, 0 AS step FROM (SELECT DISTINCT token FROM toks)
+        UNION ALL
+        SELECT token, p[:i - 1] || [p[i] || p[i + 1]] || p[i + 2:], step + 1 FROM (
+          SELECT token, p, step, list_position(list_transform(range(1, len(p)),
+                 lambda j: list_contains(m, p[j] || {_OPEN} || p[j + 1])), true) AS i FROM steps, known WHERE len(p) > 1) WHERE i > 0"""),
+    ("cut", "SELECT token, arg_max(p, step) AS p FROM steps GROUP BY token"),
+]
+oracle("t05_first_merges", [], 'SELECT rank, l AS "left", r AS "right" FROM merges', _FIRST)
+oracle("t07_apply_first_merges", [], """
+SELECT d.doc_id, CAST(coalesce(sum(len(p)), 0) AS INTEGER) AS n_pieces,
+       sha256(coalesce(string_agg(array_to_string(p, chr(1)), chr(1) ORDER BY pos), '')) AS pieces_hash
+FROM documents d LEFT JOIN (SELECT doc_id, pos, p FROM toks JOIN cut USING (token)) t ON t.doc_id = d.doc_id GROUP BY d.doc_id""",
+       _FIRST + _PIECES)
+oracle("t10_encode_first_merges", [], f"""
+SELECT d.doc_id, CAST(coalesce(len(x.ids), 0) + 1 AS INTEGER) AS n_ids,
+       {_h("coalesce(x.ids, []::BIGINT[]) || [2::BIGINT]")} AS ids_hash
+FROM documents d LEFT JOIN (
+  SELECT doc_id, list(coalesce(v.id, 3) ORDER BY pos, j) AS ids
+  FROM (SELECT doc_id, pos, unnest(p) AS token, generate_subscripts(p, 1) AS j FROM toks JOIN cut USING (token)) t
+  LEFT JOIN wide v USING (token) GROUP BY doc_id) x ON x.doc_id = d.doc_id""", _FIRST + _PIECES + [
+    ("wide", """SELECT token, id FROM vocab UNION ALL
+                SELECT token, (SELECT max(id) FROM vocab) + row_number() OVER (ORDER BY rank) FROM (
+                  SELECT l || r AS token, min(rank) AS rank FROM merges WHERE l || r NOT IN (SELECT token FROM vocab) GROUP BY l || r)""")])
+
 oracle("t09_token_ids", [], f"""
 SELECT doc_id, len(ids) AS n_ids, len(list_filter(ids, lambda x: x = 3)) AS n_unk, {_h('ids')} AS ids_hash FROM enc""",
        _TOK + _ids("documents", "doc_id", "text", eos=False))
@@ -583,7 +632,8 @@ SELECT doc_id, length(txt) AS n_chars, sha256(txt) AS text_hash FROM (
   GROUP BY e.doc_id)""", _TOK + _ids("documents", "doc_id", "text"))
 
 oracle("t12_special_mask", [], """
-SELECT doc_id, len(list_filter(ids, lambda x: x IN (0, 1, 2))) AS n_special, len(ids) + 1 AS mask_len FROM enc""",
+SELECT doc_id, len(list_filter(ids, lambda x: x IN (0, 1, 2))) AS n_special, len(ids) + 1 AS mask_len,
+       '1001' AS pair_mask_end FROM enc""",
        _TOK + _ids("documents", "doc_id", "text"))
 
 _EXK = [("exk", "SELECT *, run_id * 1000 + turn AS key FROM examples WHERE target_text IS NOT NULL")]
@@ -610,8 +660,7 @@ SELECT p.page_id, CASE WHEN t.page_id IS NULL THEN 1 ELSE len(e.ids) END AS n_id
        CASE WHEN t.page_id IS NULL THEN {_h('[0::BIGINT]')} ELSE {_h('e.ids')} END AS ids_hash
 FROM (SELECT page_id FROM entries WHERE NOT is_revision) p
 LEFT JOIN txt t ON t.page_id = p.page_id LEFT JOIN enc e ON e.page_id = p.page_id""",
-       _TOK + [("txt", """SELECT page_id, text FROM page_texts
-                          WHERE text IN (SELECT text FROM documents WHERE lang <> 'de')"""),
+       _TOK + [("txt", "SELECT page_id, text FROM page_texts"),
                ("pg", """SELECT p.page_id, t.text FROM (SELECT page_id FROM entries WHERE NOT is_revision) p
                          JOIN txt t ON t.page_id = p.page_id""")]
        + _ids("pg", "page_id", "text", limit=1024, eos=False))
@@ -667,7 +716,12 @@ oracle("st01_stream_ledger", ["feed"], "SELECT * FROM s1", [("fo", "SELECT *, sh
 
 oracle("l13_reset_no_recreate", ["meta"], "SELECT count(*) AS deleted_rows, CAST(0 AS BIGINT) AS remaining_rows FROM meta")
 oracle("s09_repair_utf8", [], "SELECT page_id, length(html) + 1 AS n_chars, true AS repaired FROM pages")
-oracle("s10_tokenizer_files", [], "SELECT token, id FROM vocab", _TOK)
+oracle("s10_tokenizer_files", [], """
+SELECT 'vocab' AS part, id AS n, token AS "left", CAST(NULL AS VARCHAR) AS "right" FROM vocab
+UNION ALL SELECT 'merges', CAST(rank AS BIGINT), l, r FROM merges""", _FIRST)
+oracle("s10_merges_text", [], """
+SELECT CAST(row_number() OVER (ORDER BY rank) AS INTEGER) AS rank, p[1] AS "left", p[2] AS "right"
+FROM (SELECT rank, regexp_extract_all(l || ' ' || r, '\\S+') AS p FROM merges) WHERE len(p) = 2""", _FIRST)
 
 
 # --------------------------------------------------------------------------- result types

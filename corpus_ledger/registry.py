@@ -659,6 +659,32 @@ def t05(spark, sf):
     return _merges(spark, sf)
 
 
+def _first_merges(spark, sf):
+    """The first 20 merges, which SQL can learn too; the learner takes them in several rounds."""
+    return TK.learn_merges(TK.word_table(TK.word_frequencies(fx.documents(spark, sf)), 2), 20, first_pairs=4)
+
+
+@register("t05_first_merges")
+def t05f(spark, sf):
+    return _first_merges(spark, sf)
+
+
+@register("t07_apply_first_merges")
+def t07f(spark, sf):
+    docs = TK.pre_tokens(fx.documents(spark, sf).select("doc_id", "text"))
+    p = TK.apply_merges(docs, _first_merges(spark, sf))
+    return p.select("doc_id", F.size("pieces").alias("n_pieces"), F.sha2(F.array_join("pieces", "\u0001"), 256)
+                    .alias("pieces_hash"))
+
+
+@register("t10_encode_first_merges")
+def t10f(spark, sf):
+    merges = _first_merges(spark, sf)
+    docs = TK.pre_tokens(fx.documents(spark, sf).select("doc_id", "text"))
+    e = TK.encode(docs, "doc_id", "tokens", TK.extend_vocab(_vocab(spark, sf), merges), merges=merges)
+    return e.select("doc_id", F.size("input_ids").alias("n_ids"), _hash_ids("input_ids").alias("ids_hash"))
+
+
 @register("t06_extend_vocab")
 def t06(spark, sf):
     return TK.extend_vocab(_vocab(spark, sf), _merges(spark, sf))
@@ -714,8 +740,9 @@ def t12(spark, sf):
     e = _word_level(spark, sf)
     m = TK.special_tokens_mask(F.col("input_ids"))
     m2 = TK.special_tokens_mask(F.col("input_ids"), already_has_special_tokens=False)
+    pair = TK.special_tokens_mask(F.col("input_ids"), already_has_special_tokens=False, pair=F.array(F.lit(5), F.lit(6)))
     return e.select("doc_id", F.aggregate(m, F.lit(0), lambda a, x: a + x).alias("n_special"),
-                    F.size(m2).alias("mask_len"))
+                    F.size(m2).alias("mask_len"), F.array_join(F.slice(pair, -4, 4), "").alias("pair_mask_end"))
 
 
 @register("t13_pack_pair")
@@ -756,19 +783,6 @@ def t16(spark, sf):
 
 @register("m03_sequences")
 def m03(spark, sf):
-    e, m = _ledger(spark, sf)
-    pages = Q.main_pages(e, m).select("page_id")
-    texts = fx.page_texts(spark, sf).join(fx.documents(spark, sf).filter(F.col("lang") != "de")
-                                          .select(F.col("text").alias("t2")), F.col("text") == F.col("t2"), "left_semi")
-    from corpus_ledger.plans.dataset import page_sequences
-
-    s = page_sequences(pages, texts, _vocab(spark, sf), max_length=1024)
-    return s.select("page_id", F.size("input_ids").alias("n_ids"), _hash_ids("input_ids").alias("ids_hash"))
-
-
-@register("m03_sequences_all")
-def m03a(spark, sf):
-    """M3 over the texts of all pages; the oracle of m03_sequences leaves out those of German documents."""
     from corpus_ledger.plans.dataset import page_sequences
 
     s = page_sequences(Q.main_pages(*_ledger(spark, sf)).select("page_id"), fx.page_texts(spark, sf), _vocab(spark, sf), max_length=1024)
@@ -906,9 +920,18 @@ def s09(spark, sf):
 @register("s10_tokenizer_files")
 def s10(spark, sf):
     path = work_path(spark, "tokenizer")
-    IO.save_tokenizer(_vocab(spark, sf), _merges(spark, sf), path)
+    IO.save_tokenizer(_vocab(spark, sf), _first_merges(spark, sf), path)
     vocab, merges = IO.load_tokenizer(spark, path)
-    return vocab
+    return vocab.select(F.lit("vocab").alias("part"), F.col("id").cast("long").alias("n"), F.col("token").alias("left"),
+                        F.lit(None).cast("string").alias("right")).unionByName(
+        merges.select(F.lit("merges").alias("part"), F.col("rank").cast("long").alias("n"), "left", "right"))
+
+
+@register("s10_merges_text")
+def s10t(spark, sf):
+    """Merge lines as text, one ``left right`` line each; lines of a piece that holds white space are malformed."""
+    lines = _first_merges(spark, sf).orderBy("rank").coalesce(1).select(F.concat_ws(" ", "left", "right").alias("value"))
+    return IO.merges_from_text(lines)
 
 
 @register("s11_migrate_legacy")

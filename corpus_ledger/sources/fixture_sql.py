@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 VIEWS: dict[str, str] = {
     "feed": """
 SELECT event_id, CAST(user_id AS VARCHAR) AS page_id, concat('user ', CAST(user_id AS VARCHAR)) AS title,
@@ -74,7 +76,8 @@ DEPENDS = {"feed_old": ["feed"], "feed_new": ["feed"]}
 
 
 def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None = None) -> str:
-    """``WITH v1 AS (...), v2 AS (...) <body>`` with dependencies first, then the ``extra`` CTEs."""
+    """``WITH v1 AS (...), v2 AS (...) <body>`` with dependencies first, then the ``extra`` CTEs. One that
+    reads itself makes the clause recursive; SQL that begins with MATERIALIZED is computed once."""
     order: list[str] = []
     for n in names:
         for dep in DEPENDS.get(n, []):
@@ -83,7 +86,12 @@ def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None
         if n not in order:
             order.append(n)
     parts = [f"{n} AS ({VIEWS[n]}\n)" for n in order]
-    parts += [f"{n} AS (\n{sql}\n)" for n, sql in (extra or [])]
+    recursive = ""
+    for n, sql in extra or []:
+        once = "MATERIALIZED " if sql.startswith("MATERIALIZED ") else ""
+        parts.append(f"{n} AS {once}(\n{sql[len(once):]}\n)")
+        if re.search(rf"\b{n}\b", sql):
+            recursive = "RECURSIVE "
     if not parts:
         return body.strip()
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    return f"WITH {recursive}" + ",\n".join(parts) + "\n" + body.strip()
