@@ -75,21 +75,27 @@ class LedgerVersion:
     metadata: DataFrame
 
 
+def fold_changes(feed: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """L1's fold of the changes of each page: ``first``, the earliest change with its order, and ``upd``, the
+    latest ``updated`` one. Neither depends on the order of arrival, and both can be kept up row by row."""
+    f = normalise_feed(feed)
+    o = F.struct(*[F.col(c) for c in order])
+    return f.groupBy("page_id").agg(
+        F.min_by(F.struct(*STATIC, *MUTABLE, *[F.col(c).alias(f"o_{c}") for c in order]), o).alias("first"),
+        F.max_by(F.struct(*MUTABLE), F.when(F.col("action") == "updated", o)).alias("upd"),
+    )
+
+
 def upsert_pages(entries: DataFrame, metadata: DataFrame, feed: DataFrame,
-                 order: tuple[str, ...] = ("ts", "event_id")) -> LedgerVersion:
+                 order: tuple[str, ...] = ("ts", "event_id"), base: int | None = None) -> LedgerVersion:
     """L1: apply a batch of page changes to the ledger.
 
     Per page, in (ts, event id) order: an unknown page is inserted from its first change (whatever
     its action); afterwards only ``updated`` changes overwrite revision_id, ts, content_hash and
     action; title, id and the revision fields stay. Each new entry gets an unused metadata row.
+    Ids go on after ``base``, by default the largest of ``entries``.
     """
-    f = normalise_feed(feed)
-    o = F.struct(*[F.col(c) for c in order])
-    is_upd = F.col("action") == "updated"
-    per_page = f.groupBy("page_id").agg(
-        F.min_by(F.struct(*STATIC, *MUTABLE, *[F.col(c).alias(f"o_{c}") for c in order]), o).alias("first"),
-        F.max_by(F.struct(*MUTABLE), F.when(is_upd, o)).alias("upd"),
-    )
+    per_page = fold_changes(feed, order)
     cur = entries.alias("c")
     j = per_page.alias("p").join(cur, F.col("p.page_id") == F.col("c.page_id"), "full_outer")
     known = F.col("c.id").isNotNull()
@@ -107,7 +113,7 @@ def upsert_pages(entries: DataFrame, metadata: DataFrame, feed: DataFrame,
     )
     old = merged.filter(F.col("id").isNotNull())
     new = merged.filter(F.col("id").isNull())
-    base = _max_id(entries)
+    base = _max_id(entries) if base is None else base
     new = global_row_number(new, [f"_o_{c}" for c in order] + ["page_id"], "_rn")
     new = new.withColumn("id", F.col("_rn") + F.lit(base)).drop("_rn")
     out = conform(old.unionByName(new.select(old.columns)), ENTRIES)
@@ -119,6 +125,21 @@ def upsert_pages(entries: DataFrame, metadata: DataFrame, feed: DataFrame,
     return LedgerVersion(out, meta)
 
 
+def upsert_stored(store, feed: DataFrame, version: int, order: tuple[str, ...] = ("ts", "event_id")) -> None:
+    """L1 against a ``LedgerStore`` of entries: only the pages of ``feed`` are looked up, and only those that
+    change are written. New pages are numbered after the largest id so far."""
+    pages = feed.select("page_id").distinct()
+    held = materialize(store.lookup(pages, below=version))
+    known = store.read(below=version)
+    none = empty_like(feed.sparkSession, TRAINING_METADATA)
+    after = upsert_pages(held, none, feed, order, base=_max_id(known)).entries
+    same = F.lit(True)
+    for c in MUTABLE:
+        same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}"))
+    changed = after.alias("n").join(held.alias("h"), (F.col("n.page_id") == F.col("h.page_id")) & same, "left_anti")
+    store.commit(changed, version)
+
+
 def append_log(log: DataFrame | None, changes: DataFrame) -> DataFrame:
     """L2: append-only change log; every call adds its rows, so a page has several rows."""
     rows = normalise_feed(changes).select("event_id", "title", "page_id", "revision_id", "ts",

@@ -189,6 +189,8 @@ oracle("l01_upsert_entries", ["feed_old", "feed_new"], "SELECT * FROM s2", _S1_C
                WHERE f.page_id NOT IN (SELECT page_id FROM s1)"""),
 ])
 
+ORACLES["l01_upsert_stored"] = ORACLES["l01_upsert_entries"]
+
 oracle("l01_upsert_metadata", ["feed_old", "feed_new"], """
 SELECT id, id AS entry_id, false AS used_in_training, CAST(NULL AS TIMESTAMP) AS training_timestamp,
        CAST(NULL AS VARCHAR) AS model_checkpoint, CAST(NULL AS DOUBLE) AS average_loss,

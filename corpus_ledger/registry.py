@@ -942,17 +942,27 @@ def s11(spark, sf):
 # --------------------------------------------------------------------------- ST1: streaming ledger apply
 @register("st01_stream_ledger")
 def st01(spark, sf):
-    """The feed written as one file per day, then applied by the stream one file per micro-batch."""
+    """The feed written as files per day, then applied by the stream a few files per micro-batch."""
     from corpus_ledger.streaming.ledger_stream import FEED_SCHEMA, run_to_completion
 
     base = work_path(spark, "stream")
     feed = fx.feed(spark, sf).select(*FEED_SCHEMA.fieldNames()).withColumn("day", F.to_date("ts"))
-    # Days are written in order as separate files so that micro-batches arrive in time order.
-    days = [r[0] for r in feed.select("day").distinct().orderBy("day").collect()]  # one row per day
-    for i, d in enumerate(days):
-        feed.filter(F.col("day") == F.lit(d)).drop("day").coalesce(1).write.parquet(f"{base}/feed/part={i:05d}")
+    # A range of days and events per task: a day with many events is spread over several files.
+    tasks = max(8, spark.sparkContext.defaultParallelism)
+    feed.repartitionByRange(tasks, "day", "event_id").write.partitionBy("day").parquet(f"{base}/feed")
     return run_to_completion(spark, f"{base}/feed/*", f"{base}/state", f"{base}/checkpoint",
-                             max_files_per_trigger=1).entries
+                             max_files_per_trigger=16).entries
+
+
+@register("l01_upsert_stored")
+def l01s(spark, sf):
+    """L1 against a stored ledger: the old feed as the first version, the new feed as the second."""
+    from corpus_ledger.sources.ledger_store import LedgerStore
+
+    store = LedgerStore(spark, work_path(spark, "ledger"), ENTRIES)
+    for version, part in enumerate(fx.split_feed(fx.feed(spark, sf)), 1):
+        C.upsert_stored(store, part, version)
+    return store.read()
 
 
 @register("l08_ingest_with_revisions")

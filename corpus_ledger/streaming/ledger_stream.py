@@ -1,11 +1,14 @@
 """ST1: continuous ledger apply with Structured Streaming.
 
-Feed files arrive in a folder; each micro-batch is validated (L5) and upserted (L1) into the ledger.
-The ledger is a versioned Parquet folder: batch ``b`` reads the newest complete version below ``b``
-and writes ``version=b`` in overwrite mode, so a retried batch (same id after a failure) rewrites
-the same version and the result stays idempotent. Within a batch changes are ordered by
-(ts, event_id); across batches an ``updated`` change is applied only when it is later than the
-stored row, so late rows cannot roll a page back.
+Feed files arrive in a folder; rows are validated (L5) and folded per page (L1) in Spark's state store, which
+holds a page's earliest change and its latest update. Both are an extreme of (ts, event_id), so a row may come
+late, twice or out of order and the ledger is the one that L1 makes of all rows at once. A micro-batch touches
+the state of its own pages only and writes just those as a new version of a ``LedgerStore``; a retried batch
+(same id after a failure) rewrites the same version. Ids follow the pages' earliest changes as in L1 and are
+given when the ledger is read, since a late row may still change that order.
+
+Snapshot mode runs the ingest plan per micro-batch against the newest complete version below it; it writes whole
+versions and keeps the last ``KEEP_VERSIONS`` of them.
 """
 
 from __future__ import annotations
@@ -14,8 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpus_ledger.functions.ranks import global_row_number
 from corpus_ledger.operators import changes as C
-from corpus_ledger.sources.schemas import ENTRIES, TRAINING_METADATA
+from corpus_ledger.sources.ledger_store import LedgerStore
+from corpus_ledger.sources.schemas import ENTRIES, TRAINING_METADATA, conform
+
+KEEP_VERSIONS = 3
 
 FEED_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -28,6 +35,11 @@ FEED_SCHEMA = T.StructType([
 ])
 
 
+# A folded page: the entry's columns without its id, and the order of its earliest change.
+PAGE_STATE = T.StructType([f for f in ENTRIES.fields if f.name != "id"] + [
+    T.StructField("first_ts", T.TimestampNTZType()), T.StructField("first_event_id", T.LongType())])
+
+
 def _versions(spark: SparkSession, state_dir: str) -> list[int]:
     """Complete versions (with a _SUCCESS marker) under ``state_dir``, via the Hadoop file system."""
     jvm = spark.sparkContext._jvm
@@ -54,15 +66,25 @@ def read_state(spark: SparkSession, state_dir: str, below: int | None = None) ->
     return C.LedgerVersion(spark.read.parquet(f"{base}/entries"), spark.read.parquet(f"{base}/training_metadata"))
 
 
-def apply_batch(batch: DataFrame, state: C.LedgerVersion) -> C.LedgerVersion:
-    """L5 -> L1 for one micro-batch against the stored ledger."""
-    valid, _rejected = C.validate_domain(batch)
-    stored = state.entries.select("page_id", F.col("ts").alias("_stored_ts"))
-    # An update older than (or as old as) the stored row is dropped; other actions never overwrite.
-    fresh = valid.join(stored, "page_id", "left").filter(
-        (F.col("action") != "updated") | F.col("_stored_ts").isNull() | (F.col("ts") > F.col("_stored_ts"))
-    ).drop("_stored_ts")
-    return C.upsert_pages(state.entries, state.metadata, fresh)
+def page_states(changes: DataFrame) -> DataFrame:
+    """The rows of PAGE_STATE that L5 and L1 make of ``changes``, a table or a stream."""
+    valid, _rejected = C.validate_domain(changes)
+    pages = C.fold_changes(valid)
+    return pages.select("page_id", *[F.col(f"first.{c}").alias(c) for c in C.STATIC],
+                        *[F.coalesce(F.col(f"upd.{c}"), F.col(f"first.{c}")).alias(c) for c in C.MUTABLE],
+                        F.col("first.o_ts").alias("first_ts"), F.col("first.o_event_id").alias("first_event_id"))
+
+
+def page_store(spark: SparkSession, state_dir: str) -> LedgerStore:
+    return LedgerStore(spark, f"{state_dir.rstrip('/')}/pages", PAGE_STATE)
+
+
+def read_ledger(spark: SparkSession, state_dir: str) -> C.LedgerVersion:
+    """Entries and unused metadata of the pages so far, numbered by their earliest changes."""
+    pages = page_store(spark, state_dir).read()
+    numbered = global_row_number(pages, ["first_ts", "first_event_id", "page_id"], "id")
+    meta = numbered.select("id", F.col("id").alias("entry_id"), F.lit(False).alias("used_in_training"))
+    return C.LedgerVersion(conform(numbered, ENTRIES), conform(meta, TRAINING_METADATA, strict=False))
 
 
 def apply_snapshots(batch: DataFrame, state: C.LedgerVersion, text_path: str | None) -> C.LedgerVersion:
@@ -81,29 +103,43 @@ def apply_snapshots(batch: DataFrame, state: C.LedgerVersion, text_path: str | N
 def start_ledger_stream(spark: SparkSession, feed_dir: str, state_dir: str, checkpoint_location: str,
                         max_files_per_trigger: int | None = None, available_now: bool = True,
                         mode: str = "changes"):
-    """Start the stream; returns the StreamingQuery. ``mode='changes'`` applies change events (L5 ->
-    L1); ``mode='snapshots'`` runs the ingest plan per micro-batch (L5 -> L6 -> L7 -> S6 -> L1 -> L3)."""
+    """Start the stream; returns the StreamingQuery. ``mode='changes'`` folds change events (L5 ->
+    L1) in keyed state; ``mode='snapshots'`` runs the ingest plan per micro-batch (L5 -> L6 -> L7 -> S6 -> L1 -> L3)."""
     reader = spark.readStream.schema(FEED_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     feed = reader.parquet(feed_dir)
 
-    def on_batch(batch_df: DataFrame, batch_id: int) -> None:
-        sp = batch_df.sparkSession
-        state = read_state(sp, state_dir, below=batch_id)
+    def on_pages(pages: DataFrame, batch_id: int) -> None:
+        page_store(pages.sparkSession, state_dir).commit(pages, batch_id)
+
+    def on_snapshots(batch: DataFrame, batch_id: int) -> None:
+        sp = batch.sparkSession
         base = f"{state_dir.rstrip('/')}/version={batch_id}"
-        if mode == "snapshots":
-            new = apply_snapshots(batch_df, state, f"{base}/texts")
-        else:
-            new = apply_batch(batch_df, state)
+        new = apply_snapshots(batch, read_state(sp, state_dir, below=batch_id), f"{base}/texts")
         new.entries.write.mode("overwrite").parquet(f"{base}/entries")
         new.metadata.write.mode("overwrite").parquet(f"{base}/training_metadata")
+        _retire(sp, state_dir)
 
-    w = feed.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_location)
+    if mode == "snapshots":
+        w = feed.writeStream.foreachBatch(on_snapshots)
+    else:
+        w = page_states(feed).writeStream.outputMode("update").foreachBatch(on_pages)
+    w = w.option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def _retire(spark: SparkSession, state_dir: str) -> None:
+    """Drop the tables of all but the newest versions; their texts stay, as each version holds its own."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for v in _versions(spark, state_dir)[:-KEEP_VERSIONS]:
+        for table in ("entries", "training_metadata"):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"version={v}/{table}"), True)
+
+
 def run_to_completion(spark: SparkSession, feed_dir: str, state_dir: str, checkpoint_location: str,
                       max_files_per_trigger: int | None = None, mode: str = "changes") -> C.LedgerVersion:
     """Process every feed file present now (``availableNow``) and return the final ledger."""
@@ -111,4 +147,4 @@ def run_to_completion(spark: SparkSession, feed_dir: str, state_dir: str, checkp
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return read_state(spark, state_dir)
+    return read_ledger(spark, state_dir) if mode == "changes" else read_state(spark, state_dir)

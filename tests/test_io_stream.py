@@ -1,6 +1,7 @@
 """Sources, sinks and streaming: S2(S3(x)) = x, API flattening, stream result = batch result."""
 
 import datetime as dt
+import random
 
 from corpus_ledger.operators import changes as C
 from corpus_ledger.session import work_path
@@ -56,6 +57,72 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, got.entries.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_late_and_repeated_rows_give_the_batch_ledger(spark):
+    """ST1: rows out of order over the batches, some of them twice, an invalid action, one page with half of all rows."""
+    from corpus_ledger.streaming.ledger_stream import FEED_SCHEMA, page_store, run_to_completion
+
+    rng = random.Random(3)
+    rows = [(i, "hot" if i % 2 else f"p{rng.randrange(12)}", f"t{i}", f"r{i}", dt.datetime(2024, 1, 1 + rng.randrange(9)),
+             f"c{i}", rng.choice(["added", "updated", "updated", "removed", "other"])) for i in range(120)]
+    base = work_path(spark, "late")
+    sent = rows + rows[10:30]
+    rng.shuffle(sent)
+    for part in range(4):
+        spark.createDataFrame(sent[part::4], FEED_SCHEMA).coalesce(1).write.parquet(f"{base}/feed/part={part}")
+    got = run_to_completion(spark, f"{base}/feed/*", f"{base}/state", f"{base}/ckpt", max_files_per_trigger=1)
+    valid, _ = C.validate_domain(spark.createDataFrame(rows, FEED_SCHEMA))
+    want = C.upsert_pages(C.empty_like(spark, ENTRIES), C.empty_like(spark, TRAINING_METADATA), valid)
+    assert sorted(map(tuple, got.entries.collect())) == sorted(map(tuple, want.entries.collect()))
+    assert sorted(map(tuple, got.metadata.collect())) == sorted(map(tuple, want.metadata.collect()))
+    store = page_store(spark, f"{base}/state")
+    assert store.versions("base")  # the changes were folded on the way
+    # A repeated batch replaces its own version.
+    last = max(store.versions("delta"))
+    again = spark.read.parquet(f"{store.path}/delta={last}").drop("_version").checkpoint()
+    store.commit(again, last)
+    assert store.read().count() == got.entries.count()
+
+
+def test_stored_ledger_writes_what_changes(spark):
+    """A batch on one page in a hundred writes about a hundredth, and does not shuffle the stored rows."""
+    from corpus_ledger.sources.ledger_store import LedgerStore
+
+    def feed(ids, revision, action):
+        day = dt.datetime(2024, 1, 1 + revision)
+        return spark.createDataFrame([(i, f"p{i}", f"t{i}", f"r{revision}", day, f"text {i} {revision}", action) for i in ids],
+                                     "event_id long, page_id string, title string, revision_id string, ts timestamp_ntz, content string, action string")
+
+    store = LedgerStore(spark, work_path(spark, "ledger"), ENTRIES)
+    parts = [feed(range(5000), 0, "added"), feed(range(0, 5000, 100), 1, "updated"), feed([5, 6, 9001], 2, "updated"),
+             feed([5, 9001], 3, "added")]
+    state = C.LedgerVersion(C.empty_like(spark, ENTRIES), C.empty_like(spark, TRAINING_METADATA))
+    for version, part in enumerate(parts):
+        C.upsert_stored(store, part, version)
+        state = C.upsert_pages(state.entries, state.metadata, part)
+        state = C.LedgerVersion(state.entries.checkpoint(), state.metadata.checkpoint())
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, state.entries.collect()))
+    counts = [spark.read.parquet(f"{store.path}/delta={v}").count() for v in store.versions("delta")]
+    assert counts[-3:] == [50, 3, 0] and store.versions("base") == [1]
+    plan = store.lookup(feed([1, 2], 4, "updated"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and plan.count("Join") == plan.count("strategy=broadcast") == 3
+
+
+def test_old_versions_go(spark):
+    from corpus_ledger.sources.ledger_store import LedgerStore
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("page_id", T.StringType()), T.StructField("n", T.LongType())])
+    store = LedgerStore(spark, work_path(spark, "kept"), schema, compact_at=0.4)
+    want = {}
+    for version in range(12):
+        rows = {f"p{i}": version * 100 + i for i in range(version % 5, 10, 2)}
+        want |= rows
+        store.commit(spark.createDataFrame(list(rows.items()), schema), version)
+        assert {r.page_id: r.n for r in store.read().collect()} == want
+    bases, deltas = store.versions("base"), store.versions("delta")
+    assert len(bases) == 2 and min(deltas) > bases[0] and len(deltas) < 12
+
+
 def test_read_text_folder(spark, tmp_path):
     """A folder of <page_key>.txt files read whole, keyed by file name."""
     (tmp_path / "12.txt").write_text("first line\nsecond line\n", encoding="utf-8")
