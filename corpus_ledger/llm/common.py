@@ -35,6 +35,19 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row, stored, so that every later plan sees the same numbers."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def positions(df: DataFrame, order: list[Column | str], name: str) -> tuple[DataFrame, int]:
     """Number the rows 0, 1, ... in ``order`` without a single-task window; returns the rows and their count.
 

@@ -14,7 +14,7 @@ by a single text, whichever is larger.
 
 Defined results: null or empty text has no words and no hits; an item without words has no window; rows
 that repeat a doc_id or an item_id are searched each for itself, and an item counts once per document;
-items without an id are left out; an empty table on either side gives no hits; further columns are ignored.
+items without an id count together as one, which no list of ids names; an empty table on either side gives no hits; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_ledger.llm.common import documents, stored
+from corpus_ledger.llm.common import documents, free_name, numbered, stored
 
 WINDOW = 10
 SEGMENT_WORDS = 200_000
@@ -51,22 +51,23 @@ def item_windows(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-class Queries:
-    """The windows of one block of items: term numbers, windows as rows of terms, the items of each window."""
+# What tasks need of a block of items, as plain values: the number of each term, the windows as term numbers, and
+# the ids of each window's items (null for items without one).
+Queries = tuple[dict[bytes, int], list[tuple[int, ...]], list[list[str | None]]]
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int):
-        self.size = size
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            for window in item_windows(fold_words(text), size):
-                key = tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in window)
-                owners.setdefault(key, set()).add(item)
-        self.windows = list(owners)
-        self.items = [sorted(owners[w]) for w in self.windows]
-        self.terms = np.full((len(self.windows), size), -1, dtype=np.int64)
-        for row, window in enumerate(self.windows):
-            self.terms[row, :len(window)] = window
+
+def _sorted_ids(ids) -> list[str | None]:
+    return sorted(ids, key=lambda i: (i is None, i or ""))
+
+
+def windows_of(items: list[tuple[str | None, bytes]], size: int) -> Queries:
+    vocabulary: dict[bytes, int] = {}
+    owners: dict[tuple[int, ...], set[str | None]] = {}
+    for item, text in items:
+        for window in item_windows(fold_words(text), size):
+            key = tuple(vocabulary.setdefault(w, len(vocabulary)) for w in window)
+            owners.setdefault(key, set()).add(item)
+    return vocabulary, list(owners), [_sorted_ids(o) for o in owners.values()]
 
 
 def _segments(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int], gap: int) -> Iterator[pa.RecordBatch]:
@@ -137,33 +138,36 @@ def window_starts(terms: list[int], lists: dict[int, np.ndarray], slop: int) ->
     return starts
 
 
-def _matches(segment: pd.DataFrame, queries: Queries, slop: int) -> pd.DataFrame:
+def _matches(segment: pd.DataFrame, queries: Queries, size: int, slop: int) -> pd.DataFrame:
     """One row per document of the segment: its size, the spans hit and the items found."""
+    vocabulary, windows, owners = queries
     head = segment[segment["term"] == HEADER].iloc[0]
     sizes = np.asarray(head["sizes"], dtype=np.int64)
-    gap = queries.size + slop
-    base = np.r_[0, np.cumsum(sizes + gap)[:-1]]
+    base = np.r_[0, np.cumsum(sizes + size + slop)[:-1]]
     lists = {t: np.asarray(p, dtype=np.int64) for t, p in zip(segment["term"], segment["postings"]) if t != HEADER}
-    present = np.zeros(len(queries.vocabulary) + 1, dtype=bool)  # the last one stands for the padding
+    terms = np.full((len(windows), size), -1, dtype=np.int64)
+    lengths = np.fromiter(map(len, windows), dtype=np.int64, count=len(windows))
+    terms[np.arange(size) < lengths[:, None]] = np.fromiter((t for w in windows for t in w), dtype=np.int64, count=lengths.sum())
+    present = np.zeros(len(vocabulary) + 1, dtype=bool)  # the last one stands for the padding
     present[list(lists)] = True
     present[-1] = True
     spans: dict[int, list[tuple[int, int]]] = {}
-    items: dict[int, set[str]] = {}
-    for w in np.flatnonzero(present[queries.terms].all(axis=1)) if len(queries.windows) else []:
-        window = queries.windows[w]
+    items: dict[int, set[str | None]] = {}
+    for w in np.flatnonzero(present[terms].all(axis=1)) if len(windows) else []:
+        window = windows[w]
         starts = window_starts(list(window), lists, slop)
         for doc, start in zip(np.searchsorted(base, starts, side="right") - 1, starts):
             doc = max(int(doc), 0)
             first = int(start - base[doc])
             spans.setdefault(doc, []).append((max(first, 0), min(first + len(window), int(sizes[doc]))))
-            items.setdefault(doc, set()).update(queries.items[w])
+            items.setdefault(doc, set()).update(owners[w])
     n = len(sizes)
     return pd.DataFrame({
         "row": np.asarray(head["rows"], dtype=np.int64),
         "id": pd.array(list(head["ids"]), dtype="Int64"), "n_words": sizes,
         "starts": [[s for s, _ in sorted(spans.get(i, []))] for i in range(n)],
         "ends": [[e for _, e in sorted(spans.get(i, []))] for i in range(n)],
-        "items": [sorted(items.get(i, ())) for i in range(n)]})
+        "items": [_sorted_ids(items.get(i, ())) for i in range(n)]})
 
 
 MATCHES = "row long, id long, n_words long, starts array<long>, ends array<long>, items array<string>"
@@ -171,8 +175,7 @@ MATCHES = "row long, id long, n_words long, starts array<long>, ends array<long>
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, int]:
     """The items with a block number, in blocks of about ``BLOCK_WORDS`` words."""
-    items = benchmark.filter(F.col(item_col).isNotNull()).select(
-        F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
     volume = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + volume // (6 * BLOCK_WORDS)  # about six bytes a word
     return items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks))), n_blocks
@@ -182,11 +185,12 @@ def block_matches(rows: DataFrame, items: DataFrame, window: int, slop: int) ->
     """Matches of one block of items in all ``rows``: build the index of the block's terms, then search it."""
     context = rows.sparkSession.sparkContext
     texts = [(r["item"], bytes(r["text"] or b"")) for r in items.select("item", "text").collect()]
-    shared = context.broadcast(Queries(texts, window))
-    index = stored(build_index(rows, shared.value.vocabulary, window + slop), "index")
+    queries = windows_of(texts, window)
+    shared = context.broadcast(queries)
+    index = stored(build_index(rows, queries[0], window + slop), "index")
 
     def match(segment: pd.DataFrame) -> pd.DataFrame:
-        return _matches(segment, shared.value, slop)
+        return _matches(segment, shared.value, window, slop)
 
     return index.groupBy("segment").applyInPandas(match, MATCHES)
 
@@ -225,17 +229,19 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(covered, starts, 1)
                 np.add.at(covered, ends, -1)
             hit.append(int((np.cumsum(covered) > 0).sum()))
-            sha.append(hashlib.sha256(",".join(items).encode()).hexdigest())
+            sha.append(hashlib.sha256(",".join(i for i in items if i is not None).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(hit, pa.int64()),
                                           pa.array([len(x) for x in batch.column("items").to_pylist()], pa.int64()),
                                           pa.array(sha, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs; rows without an id stay."""
-    hit = (benchmark_matches(docs, benchmark, id_col).filter((F.size("items") > 0) & F.col("id").isNotNull())
-           .select(F.col("id").alias("_hit")).distinct())
-    return docs.join(stored(hit, "contaminated"), F.col(id_col) == F.col("_hit"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs; each row is judged by its own text, whatever its id."""
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    hit = benchmark_matches(rows, benchmark, row, text_col).filter(F.size("items") > 0)
+    gone = stored(hit.select(F.col("id").alias(row)), "contaminated")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from corpus_ledger.llm.common import WORD, documents, is_small, join_dimension, positions, stored
+from corpus_ledger.llm.common import WORD, documents, free_name, is_small, join_dimension, numbered, positions, stored
 
 CAP = 3.0
 WEIGHTS = (1, 2, 3)
@@ -154,14 +154,16 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def mix_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (rows of no words stay once)."""
-    mixed = entropy_mix(docs, id_col, "source", word_count())
-    copies = stored(mixed.groupBy("id").agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("_copies"))
-                    .withColumnRenamed("id", "_id"), "copies")
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.filter(F.col("_copies") > 0).select(
-        *docs.columns, F.explode(F.expr("sequence(1L, _copies)")).alias("_copy")).drop("_copy")
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    mixed = entropy_mix(rows, row, "source", word_count())
+    times = free_name(docs, "_copies")
+    copies = stored(mixed.select(F.col("id").alias(row), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int")
+                                 .alias(times)), "copies")
+    joined = rows.join(copies, row).filter(F.col(times) > 0)
+    return joined.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op3_entropy_mixing(spark, sf_dir: str) -> DataFrame:

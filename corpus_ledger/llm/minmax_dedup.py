@@ -12,8 +12,8 @@ exact prefix filter leaves. Pairs inside one component cannot change the result.
 Miss rate: a pair of similarity 0.8 shares none of 40 bands of 5 values with probability 1.2e-7.
 
 Defined results: null, empty or blank text has an empty set and is linked with nothing; rows that repeat
-an id are judged each by its own text, and ``deduplicate`` removes them together; a null id stays unlinked
-and kept; an empty table gives an empty result; further columns of the input are ignored.
+an id are judged each by its own text; a null id stays unlinked and kept, while ``deduplicate`` judges every row by
+its text, whatever its id; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_ledger.llm.common import WordHashes, ascii_lower_words, components, documents, mix, shingle_set, stored
+from corpus_ledger.llm.common import WordHashes, ascii_lower_words, components, documents, free_name, mix, numbered, shingle_set, stored
 
 BANDS, ROWS, SEED = 40, 5, 17
 SIGN_CHUNK = 16_384  # shingles hashed at a time: bounds memory for very long texts
@@ -192,12 +192,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
-                percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those of documents that are not the smallest id of their component."""
-    gone = (near_duplicates(docs, id_col, text_col, shingle_words, percent).filter(~F.col("kept"))
-            .select(F.col("id").alias("_gone")).distinct())
-    return docs.join(stored(gone, "removed"), F.col(id_col) == F.col("_gone"), "left_anti")
+def deduplicate(docs: DataFrame, text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` of which no earlier row, in the order they are stored, is linked with them."""
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row)
+    gone = (near_duplicates(rows, row, text_col, shingle_words, percent).filter(~F.col("kept"))
+            .select(F.col("id").alias(row)))
+    return rows.join(stored(gone, "removed"), row, "left_anti").select(*docs.columns)
 
 
 def op6_minmax_dedup(spark, sf_dir: str) -> DataFrame:
