@@ -61,11 +61,12 @@ def export_json(nested: DataFrame, path: str) -> None:
 
 
 def read_nested(spark: SparkSession, path: str, multi_line_document: bool = False) -> DataFrame:
-    """Read nested entries: JSON Lines, or the reference's single ``{"entries": [...]}`` document."""
+    """Read nested entries: JSON Lines, or a single ``{"entries": [...]}`` document, which many tasks read."""
     if multi_line_document:
-        doc = spark.read.schema(NESTED_LEDGER).option("multiLine", True) \
-            .option("timestampNTZFormat", TS_FORMAT).json(path)
-        return doc.select(F.explode("entries").alias("e")).select("e.*")
+        from corpus_ledger.sources.json_document import document_objects
+
+        entry = F.from_json("object", NESTED_ENTRY, {"timestampNTZFormat": TS_FORMAT})
+        return document_objects(spark, path, "entries").select(entry.alias("e")).select("e.*")
     return spark.read.schema(NESTED_ENTRY).option("timestampNTZFormat", TS_FORMAT).json(path)
 
 

@@ -1,6 +1,7 @@
 """Sources, sinks and streaming: S2(S3(x)) = x, API flattening, stream result = batch result."""
 
 import datetime as dt
+import json
 import random
 
 from corpus_ledger.operators import changes as C
@@ -135,6 +136,41 @@ def test_read_text_folder(spark, tmp_path):
     assert kept.filter("text IS NULL").count() == 1
 
 
+def test_document_is_read_by_many_tasks(spark, tmp_path):
+    """One JSON document with braces, quotes and escapes in strings, other arrays, and any block size."""
+    from corpus_ledger.sources.json_document import document_objects
+
+    rng = random.Random(2)
+    nasty = ['}', '{"entries": [{', '\\', '"', '\\"}', ']', 'é}ü{', '\n', '"}]}', 'plain', '"entries": [', '\u2028']
+    entries = [{"id": i, "title": "".join(rng.choice(nasty) for _ in range(rng.randint(0, 6))),
+                "training_metadata": {"used_in_training": True, "model_checkpoint": "}", "token_impact": {
+                    "top_tokens": [{"token_id": t, "position": 1, "impact": 0.5, "context": [0, 2]} for t in range(i % 3)],
+                    "total_tokens": 3}} if i % 2 else None} for i in range(60)]
+    document = {"before": [{"id": -1, "entries": [{"id": -2}]}], "name": "} [", "entries": entries, "after": [{"id": -3}], "n": {"a": [{}]}}
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for indent in (2, None):
+            path = str(tmp_path / f"ledger{indent}.json")
+            with open(path, "w", encoding="utf-8") as f:
+                json.dump(document, f, indent=indent, ensure_ascii=False)
+            for size in ("53", "700", "100000"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                spark.conf.set("spark.sql.files.openCostInBytes", "1")
+                found = document_objects(spark, path, "entries")
+                got = sorted((json.loads(r.object) for r in found.collect()), key=lambda e: e["id"])
+                assert got == entries, (indent, size)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+            read = IO.read_nested(spark, path, multi_line_document=True)
+            assert read.rdd.getNumPartitions() > 10
+            assert sorted((r.id, r.title) for r in read.collect()) == [(e["id"], e["title"]) for e in entries]
+        empty = tmp_path / "empty.json"
+        empty.write_text('{"entries": []}')
+        assert document_objects(spark, str(empty), "entries").count() == 0
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
 def test_category_members(spark):
     body = '{"query": {"categorymembers": [{"pageid": 1, "title": "A"}, {"pageid": 2, "title": "B"}]}}'
     rows = [tuple(r) for r in IO.flatten_category_members(spark.createDataFrame([(body,)], "body string"))
