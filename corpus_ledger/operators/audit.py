@@ -25,19 +25,26 @@ def foreign_key_check(tables: dict[str, DataFrame],
     keys = keys or [("training_metadata", "entry_id", "entries", "id"),
                     ("token_impacts", "metadata_id", "training_metadata", "id"),
                     ("top_tokens", "token_impact_id", "token_impacts", "id")]
-    parts = []
-    for child, fk, parent, pk in keys:
-        c = tables[child].select(F.col(fk).alias("_k")).filter(F.col("_k").isNotNull())
-        p = tables[parent].select(F.col(pk).alias("_k"))
-        bad = c.join(p, "_k", "left_anti").agg(F.count(F.lit(1)).alias("violations"),
-                                               F.min("_k").cast("long").alias("sample_key"))
-        parts.append(bad.select(F.lit(child).alias("child_table"), F.lit(fk).alias("fk_column"),
-                                F.lit(parent).alias("parent_table"), F.lit(pk).alias("pk_column"),
-                                "violations", "sample_key"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # Every parent key and child key as one row (foreign key, value): one aggregation finds the values that only
+    # children have. A hot value is summed in each task before the exchange.
+    tagged = None
+    for i, (child, fk, parent, pk) in enumerate(keys):
+        sides = [(child, fk, 1, 0), (parent, pk, 0, 1)]
+        for table, column, is_child, is_parent in sides:
+            part = tables[table].filter(F.col(column).isNotNull()).select(
+                F.lit(i).alias("fk"), F.col(column).cast("long").alias("k"), F.lit(is_child).cast("long").alias("n"),
+                F.lit(is_parent).alias("known"))
+            tagged = part if tagged is None else tagged.unionByName(part)
+    values = tagged.groupBy("fk", "k").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+    bad = (F.col("known") == 0) & (F.col("n") > 0)
+    found = values.groupBy("fk").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("violations"),
+                                     F.min(F.when(bad, F.col("k"))).alias("sample_key"))
+    spark = tagged.sparkSession
+    names = spark.createDataFrame([(i, *k) for i, k in enumerate(keys)],
+                                  "fk int, child_table string, fk_column string, parent_table string, pk_column string")
+    return names.join(F.broadcast(found), "fk", "left").select(  # one row per foreign key
+        "child_table", "fk_column", "parent_table", "pk_column", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"),
+        "sample_key")
 
 
 def impact_coverage(entries: DataFrame, metadata: DataFrame, headers: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -50,17 +57,39 @@ def impact_coverage(entries: DataFrame, metadata: DataFrame, headers: DataFrame,
                          et.agg(F.count_distinct("entry_id").alias("pages_with_tokens")))
 
 
+# The fields a token needs, and those that hold whole numbers.
+TOKEN_FIELDS = ["token_id", "position", "impact", "context_start", "context_end"]
+WHOLE_FIELDS = ["token_id", "position"]
+
+
+def token_rules(tokens: DataFrame) -> dict[str, F.Column]:
+    """I4: rule name -> does the token break it: fields missing, ids and positions not whole, context reversed."""
+    rules = {f"{c}_missing": F.col(c).isNull() for c in TOKEN_FIELDS}
+    types = dict(tokens.dtypes)
+    for c in WHOLE_FIELDS:
+        if types[c] not in ("tinyint", "smallint", "int", "bigint"):
+            whole = F.try_to_number(F.col(c), F.lit("S999999999999999999")).isNotNull() if types[c] == "string" \
+                else F.col(c) == F.floor(c)
+            rules[f"{c}_not_whole"] = F.col(c).isNotNull() & ~F.coalesce(whole, F.lit(False))
+    rules["context_reversed"] = F.coalesce(F.col("context_start") > F.col("context_end"), F.lit(False))
+    return rules
+
+
 def token_validity(tokens: DataFrame) -> DataFrame:
-    """I4: per header, tokens failing the rules: required fields present, context_start <= context_end."""
-    required = ["token_id", "position", "impact", "context_start", "context_end"]
-    present = F.lit(True)
-    for c in required:
-        present = present & F.col(c).isNotNull()
-    ok = present & (F.col("context_start") <= F.col("context_end"))
+    """I4: per header, its tokens and those that break a rule."""
+    bad = F.lit(False)
+    for broken in token_rules(tokens).values():
+        bad = bad | broken
     return tokens.groupBy("token_impact_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
-        F.count_if(~ok).alias("n_invalid"),
-        F.bool_and(ok).alias("valid"))
+        F.count_if(bad).alias("n_invalid"),
+        F.bool_and(~bad).alias("valid"))
+
+
+def token_violations(tokens: DataFrame) -> DataFrame:
+    """I4: one row per token and rule that it breaks."""
+    names = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in token_rules(tokens).items()]))
+    return tokens.select("token_impact_id", *TOKEN_FIELDS, F.explode(names).alias("rule"))
 
 
 def schema_check(tables: dict[str, DataFrame], expected: dict[str, T.StructType]) -> DataFrame:
@@ -111,19 +140,29 @@ def size_statistics(entries: DataFrame, metadata: DataFrame, headers: DataFrame,
                    F.round(F.avg(F.length(F.col("token_id").cast("string")) + F.length(F.col("position").cast("string"))
                                  + F.length(F.format_string("%.6f", "impact"))), 6).alias("avg_impact_size_bytes"))
     s = _side_by_side(_side_by_side(e, m), _side_by_side(h, t))
+    total = F.coalesce(F.col("avg_impact_size_bytes"), F.lit(0.0)) * F.col("total_token_impacts") / (1024 * 1024)
     return s.withColumn("avg_tokens_per_impact", F.when(
         F.col("entries_with_token_impact") > 0,
-        F.round(F.col("total_token_impacts") / F.col("entries_with_token_impact"), 6)).otherwise(F.lit(0.0)))
+        F.round(F.col("total_token_impacts") / F.col("entries_with_token_impact"), 6)).otherwise(F.lit(0.0))) \
+        .withColumn("total_token_impact_mb", F.round(total, 6))
 
 
-def readiness(entries: DataFrame, metadata: DataFrame, headers: DataFrame, tokens: DataFrame) -> DataFrame:
-    """One-row verdict; rules checked in order, the first failing one is named."""
+def readiness(entries: DataFrame, metadata: DataFrame, headers: DataFrame | None, tokens: DataFrame | None) -> DataFrame:
+    """One-row verdict; rules checked in order, the first failing one is named. A table that does not
+    exist (None) fails first and counts as empty."""
+    from corpus_ledger.operators.changes import empty_like
+    from corpus_ledger.sources.schemas import TOKEN_IMPACTS, TOP_TOKENS
+
+    missing = [("token_impacts_missing", F.lit(headers is None)), ("top_tokens_missing", F.lit(tokens is None))]
+    headers = empty_like(entries.sparkSession, TOKEN_IMPACTS) if headers is None else headers
+    tokens = empty_like(entries.sparkSession, TOP_TOKENS) if tokens is None else tokens
     o = orphan_counts(metadata, headers, tokens)
     c = impact_coverage(entries, metadata, headers, tokens)
     n = _side_by_side(headers.agg(F.count(F.lit(1)).alias("n_headers")),
                       tokens.agg(F.count(F.lit(1)).alias("n_tokens")))
     s = _side_by_side(_side_by_side(o, c), n)
-    rules = [("no_token_impacts", F.col("n_headers") == 0),
+    rules = missing + [
+             ("no_token_impacts", F.col("n_headers") == 0),
              ("no_top_tokens", F.col("n_tokens") == 0),
              ("orphan_token_impacts", F.col("orphan_headers") > 0),
              ("orphan_top_tokens", F.col("orphan_tokens") > 0),
@@ -135,13 +174,21 @@ def readiness(entries: DataFrame, metadata: DataFrame, headers: DataFrame, token
                     "orphan_headers", "orphan_tokens", "pages_with_tokens")
 
 
-def table_samples(tables: dict[str, DataFrame], order: dict[str, list[str]], n: int = 5) -> DataFrame:
-    """I8: per table its row count and the first ``n`` rows (fixed order) rendered as JSON."""
+def table_schemas(tables: dict[str, DataFrame]) -> DataFrame:
+    """I8: the columns of each table in order, with their types."""
+    rows = [(name, i, f.name, f.dataType.simpleString()) for name, df in tables.items() for i, f in enumerate(df.schema.fields, 1)]
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table string, place int, column string, type string")
+
+
+def table_samples(tables: dict[str, DataFrame], order: dict[str, list[str]], n: int = 5, whole: bool = False) -> DataFrame:
+    """I8: per table its row count and the first ``n`` rows (fixed order) rendered as JSON: the ordering
+    columns, or with ``whole`` all columns."""
     parts = []
     for name, df in tables.items():
         cnt = df.agg(F.count(F.lit(1)).alias("rows"))
         sample = df.orderBy(*order[name]).limit(n)
-        w = sample.select(F.to_json(F.struct(*order[name])).alias("sample_key"))
+        shown = df.columns if whole else order[name]
+        w = sample.select(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("sample_key"))
         both = cnt.withColumn("_k", F.lit(1)).join(w.withColumn("_k", F.lit(1)), "_k", "left")  # an empty table keeps its row
         parts.append(both.select(F.lit(name).alias("table"), "rows", "sample_key"))
     out = parts[0]

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_ledger.functions.ranks import global_row_number
 from corpus_ledger.operators.queries import unused_pages
 
 from corpus_ledger.functions.text import PAD_ID  # noqa: E402
@@ -31,16 +30,67 @@ def eligible_pages(entries: DataFrame, metadata: DataFrame, texts: DataFrame, mi
     return pages
 
 
+# Leading hex digits of the hash that make a bucket: 65,536 buckets of equal expectation.
+BUCKET_DIGITS = 4
+
+
+def _hashed(pages: DataFrame, seed: int, key: str) -> tuple[DataFrame, dict[str, int]]:
+    """``pages`` with the hash that orders them (_h) and its bucket (_b), and the rows of each bucket."""
+    h = pages.withColumn("_h", F.sha2(F.concat(F.col(key).cast("string"), F.lit(str(seed))), 256)) \
+        .withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    return h, {r["_b"]: r["n"] for r in h.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def split_train_val(pages: DataFrame, val_split: float = 0.1, seed: int = 42, key: str = "page_id") -> DataFrame:
     """M2: random split with exact sizes: rank by sha2(key || seed), the first int(n * (1 - v)) train.
 
-    The rank is a distributed global row number (no single-task window).
+    The hash is uniform, so its leading digits cut the pages into even buckets without a sort: the rank is the
+    rows of the buckets before plus the place in the bucket. One count per bucket (at most 65,536) reaches the
+    driver and goes back as offsets.
     """
-    h = pages.withColumn("_h", F.sha2(F.concat(F.col(key).cast("string"), F.lit(str(seed))), 256))
-    ranked = global_row_number(h, ["_h", key], "split_rank")
-    n = ranked.count()
-    n_train = int(n * (1 - val_split))
-    return ranked.withColumn("split", F.when(F.col("split_rank") <= n_train, "train").otherwise("val")).drop("_h")
+    h, counts = _hashed(pages, seed, key)
+    offsets, total = [], 0
+    for bucket in sorted(counts):
+        offsets.append((bucket, total))
+        total += counts[bucket]
+    n_train = int(total * (1 - val_split))
+    starts = F.broadcast(pages.sparkSession.createDataFrame(offsets, "_b string, _start long"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    return (h.join(starts, "_b").withColumn("split_rank", (F.col("_start") + place).cast("long"))
+            .withColumn("split", F.when(F.col("split_rank") <= n_train, "train").otherwise("val"))
+            .drop("_h", "_b", "_start"))
+
+
+def split_select(pages: DataFrame, val_split: float = 0.1, seed: int = 42, key: str = "page_id") -> DataFrame:
+    """M2 without ranks, and without moving a page: the hash at which training ends is found by counting, first
+    over all buckets, then inside the one that holds it; each row is then compared with it."""
+    h, counts = _hashed(pages, seed, key)
+    wanted = int(sum(counts.values()) * (1 - val_split))
+    digits = BUCKET_DIGITS
+    inside = h
+    while True:
+        bucket = None
+        for b in sorted(counts):
+            if wanted <= counts[b]:
+                bucket = b
+                break
+            wanted -= counts[b]
+        if bucket is None or wanted == 0 or counts[bucket] <= 1000 or digits == 64:
+            break
+        inside = inside.filter(F.col("_h").startswith(bucket))
+        digits += BUCKET_DIGITS
+        counts = {r["b"]: r["n"] for r in inside.groupBy(F.substring("_h", 1, digits).alias("b"))
+                  .agg(F.count(F.lit(1)).alias("n")).collect()}
+    if wanted == 0:  # training ends where this bucket, or the first one, begins
+        last = None if bucket is None else (bucket, "")
+        train = F.lit(False) if last is None else F.col("_h") < F.lit(bucket)
+    elif bucket is None:
+        train = F.lit(True)
+    else:  # at most 1000 rows, or equal hashes, which only equal keys have
+        rows = inside.filter(F.col("_h").startswith(bucket)).select("_h", key).orderBy("_h", key).limit(wanted).tail(1)
+        at, name = rows[0]["_h"], rows[0][key]
+        train = (F.col("_h") < at) | ((F.col("_h") == at) & (F.col(key) <= F.lit(name)))
+    return h.withColumn("split", F.when(train, "train").otherwise("val")).drop("_h", "_b")
 
 
 def split_by_hash(pages: DataFrame, val_split: float = 0.1, seed: int = 42, key: str = "page_id",

@@ -304,7 +304,7 @@ def train_tokenizer(texts: DataFrame, vocab_size: int = 10000, min_frequency: in
                     num_merges: int | None = None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(vocabulary, merges). ``num_merges`` defaults to the reference's budget
     min(reserved, vocab_size - len(initial vocabulary))."""
-    freqs = word_frequencies(texts, text_col)
+    freqs = materialize(word_frequencies(texts, text_col))  # read twice; the texts once
     vocab = materialize(initial_vocab(freqs, vocab_size, min_frequency))
     if num_merges is None:
         num_merges = min(RESERVED_MERGES, vocab_size - vocab.count())

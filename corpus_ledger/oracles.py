@@ -343,6 +343,24 @@ UNION ALL SELECT 'entries_with_impact', count(DISTINCT m.entry_id) FROM meta m J
                       WHERE m.id IN (SELECT metadata_id FROM kh) GROUP BY e.id ORDER BY e.id LIMIT 10""")])
 
 
+_PROFILE = """
+SELECT metric, value, 'after' AS stage FROM (
+SELECT 'entries' AS metric, CAST(count(*) AS BIGINT) AS value FROM entries
+UNION ALL SELECT 'training_metadata', count(*) FROM meta
+UNION ALL SELECT 'token_impacts', count(*) FROM kh
+UNION ALL SELECT 'top_tokens', count(*) FROM kt
+UNION ALL SELECT 'used_in_training', count(*) FROM meta WHERE {used}
+UNION ALL SELECT 'entries_with_impact', count(DISTINCT m.entry_id) FROM meta m JOIN kh t ON t.metadata_id = m.id)"""
+_TRIM = [("tr", "SELECT id FROM meta WHERE used_in_training AND entry_id NOT IN (SELECT entry_id FROM top10)"),
+         ("kh", "SELECT * FROM token_impacts WHERE metadata_id NOT IN (SELECT id FROM tr)"),
+         ("kt", """SELECT * FROM top_tokens WHERE token_impact_id NOT IN (
+                     SELECT id FROM token_impacts WHERE metadata_id IN (SELECT id FROM tr))""")]
+oracle("l16_limit_to_top", ["entries", "meta", "token_impacts", "top_tokens"],
+       _PROFILE.format(used="used_in_training AND entry_id IN (SELECT entry_id FROM top10)"), _TOP10 + _TRIM)
+oracle("l16_mark_top", ["entries", "meta", "token_impacts", "top_tokens"],
+       _PROFILE.format(used="entry_id IN (SELECT entry_id FROM top10)"),
+       _TOP10 + [("kh", "SELECT * FROM token_impacts"), ("kt", "SELECT * FROM top_tokens")])
+
 # --------------------------------------------------------------------------- R
 oracle("r01_create_runs", [], """
 SELECT row_number() OVER (ORDER BY o_orderkey) AS id, o_orderpriority AS model_name, o_orderstatus AS base_model,
@@ -418,7 +436,32 @@ SELECT (SELECT count(*) FROM entries) AS total_entries,
                          + length(printf('%.6f', impact))), 6) FROM top_tokens) AS avg_impact_size_bytes,
        CASE WHEN (SELECT count(*) FROM token_impacts) > 0
             THEN round((SELECT count(*) FROM top_tokens) / (SELECT count(*) FROM token_impacts), 6)
-            ELSE 0.0 END AS avg_tokens_per_impact""")
+            ELSE 0.0 END AS avg_tokens_per_impact,
+       round((SELECT round(avg(length(CAST(token_id AS VARCHAR)) + length(CAST(position AS VARCHAR))
+                               + length(printf('%.6f', impact))), 6) * count(*) / (1024 * 1024) FROM top_tokens), 6) AS total_token_impact_mb""")
+
+oracle("i04_token_violations", ["top_tokens"], """
+SELECT token_impact_id, token_id, position, 'context_reversed' AS rule FROM top_tokens WHERE context_start > context_end""")
+
+
+def _ledger_columns(absent: tuple[str, str] = ("top_tokens", "id")) -> list[tuple]:
+    """Table, its view, column and type of the ledger's schema; the fixture has no ids of tokens (view None)."""
+    from corpus_ledger.sources.schemas import LEDGER_TABLES
+
+    views = {"entries": "entries", "training_metadata": "meta", "token_impacts": "token_impacts", "top_tokens": "top_tokens"}
+    return [(t, None if (t, f.name) == absent else views[t], f.name, f.dataType.simpleString())
+            for t in views for f in LEDGER_TABLES[t].fields]
+
+
+oracle("i05_schema_check", ["entries", "meta", "token_impacts", "top_tokens"], " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{c}' AS "column", '{kind}' AS expected_type, """ + (
+        f"""'{kind}' AS actual_type, 'ok' AS status, (SELECT count(*) FROM {view} WHERE {c} IS NULL) AS null_count""" if view
+        else "CAST(NULL AS VARCHAR) AS actual_type, 'missing_column' AS status, CAST(NULL AS BIGINT) AS null_count")
+    for t, view, c, kind in _ledger_columns()))
+oracle("i08_table_schemas", [], """
+SELECT "table", CAST(row_number() OVER (PARTITION BY "table" ORDER BY nth) AS INTEGER) AS place, "column", type FROM (""" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", {i} AS nth, '{c}' AS "column", '{kind}' AS type"""
+    for i, (t, view, c, kind) in enumerate(_ledger_columns()) if view) + ")")
 
 oracle("i07_readiness", ["entries", "meta", "token_impacts", "top_tokens"], """
 SELECT first_failure IS NULL AS ready, first_failure, n_headers, n_tokens, orphan_headers, orphan_tokens,
@@ -454,6 +497,7 @@ _ELIG = [("elig", """SELECT e.* FROM entries e JOIN meta m ON e.id = m.entry_id
                         FROM elig) THEN 'train' ELSE 'val' END AS split FROM split""")]
 oracle("m01_eligible_pages", ["entries", "meta", "page_texts"], "SELECT * FROM elig", _ELIG)
 oracle("m02_split", ["entries", "meta", "page_texts"], "SELECT * FROM split2", _ELIG)
+oracle("m02_split_select", ["entries", "meta", "page_texts"], "SELECT page_id, split FROM split2", _ELIG)
 oracle("m04_batches", ["entries", "meta", "page_texts"], """
 SELECT page_id, split_rank, split, CAST(floor((split_rank - 1) / 4) AS BIGINT) AS batch FROM split2
 WHERE split = 'train'""", _ELIG)
@@ -679,6 +723,7 @@ SELECT doc_id, len(r) AS n_ids, {_h('r')} AS ids_hash FROM (
 # --------------------------------------------------------------------------- S
 oracle("s01_load_ledger", ["entries"], "SELECT * FROM entries")
 oracle("s02_import_entries", ["entries"], "SELECT * FROM entries")
+oracle("s02_import_document", ["entries"], "SELECT * FROM entries")
 oracle("s02_import_metadata", ["entries", "meta"], """
 SELECT e.id, e.id AS entry_id, coalesce(m.used_in_training AND length(m.model_checkpoint) > 0, false) AS used_in_training,
        CASE WHEN m.used_in_training THEN m.training_timestamp END AS training_timestamp,
@@ -703,6 +748,10 @@ oracle("s05_read_texts", [], """
 SELECT CAST(page_id AS VARCHAR) AS page_key, length(html) AS n_chars, sha256(html) AS text_hash FROM pages""")
 oracle("s06_write_revision_texts", ["feed"], """
 SELECT page_id || '_' || revision_id AS page_key, sha256(content) AS text_hash FROM feed""")
+oracle("s07_title_arrays", ["entries"], "SELECT title FROM entries WHERE NOT is_revision AND title IS NOT NULL")
+oracle("s08_category_members", [], """
+SELECT CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS INTEGER) AS pos,
+       CAST(p_partkey AS BIGINT) AS pageid, p_name AS title FROM part""")
 oracle("s07_write_titles", ["entries"], "SELECT page_id, title FROM entries WHERE NOT is_revision")
 oracle("s08_flatten_api", ["feed"], """
 SELECT page_id, title, revision_id, CAST(rn AS INTEGER) AS revision_number, content FROM (

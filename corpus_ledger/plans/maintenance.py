@@ -30,3 +30,23 @@ def clean_and_limit(entries: DataFrame, metadata: DataFrame, headers: DataFrame,
     meta = C.set_used_flags(metadata, top)
     after = Q.table_profile(entries, meta, hdr, tok).withColumn("stage", F.lit("after"))
     return CleanResult(before, after, meta, hdr, tok, top)
+
+
+def limit_to_top(entries: DataFrame, metadata: DataFrame, headers: DataFrame, tokens: DataFrame,
+                 top_n: int = 10, order: str = "entry_id") -> CleanResult:
+    """L16, limiting job: profile -> top nodes (Q15) -> drop all others' training data (L14) -> profile."""
+    before = Q.table_profile(entries, metadata, headers, tokens).withColumn("stage", F.lit("before"))
+    top = Q.top_nodes(entries, metadata, headers, top_n=top_n, order=order).select("entry_id")
+    meta, hdr, tok, _ = C.trim_to_top(metadata, headers, tokens, top)
+    after = Q.table_profile(entries, meta, hdr, tok).withColumn("stage", F.lit("after"))
+    return CleanResult(before, after, meta, hdr, tok, top)
+
+
+def mark_top(entries: DataFrame, metadata: DataFrame, headers: DataFrame, tokens: DataFrame,
+             top_n: int = 10, order: str = "entry_id") -> CleanResult:
+    """L16, marking job: profile -> top nodes (Q15) -> used flags for them alone (L10) -> profile."""
+    before = Q.table_profile(entries, metadata, headers, tokens).withColumn("stage", F.lit("before"))
+    top = Q.top_nodes(entries, metadata, headers, top_n=top_n, order=order).select("entry_id")
+    meta = C.set_used_flags(metadata, top)
+    after = Q.table_profile(entries, meta, headers, tokens).withColumn("stage", F.lit("after"))
+    return CleanResult(before, after, meta, headers, tokens, top)

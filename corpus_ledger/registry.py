@@ -364,6 +364,20 @@ def l16(spark, sf):
     return res.after
 
 
+@register("l16_limit_to_top")
+def l16l(spark, sf):
+    from corpus_ledger.plans.maintenance import limit_to_top
+
+    return limit_to_top(*_ledger(spark, sf), fx.token_impacts(spark, sf), fx.top_tokens(spark, sf)).after
+
+
+@register("l16_mark_top")
+def l16m(spark, sf):
+    from corpus_ledger.plans.maintenance import mark_top
+
+    return mark_top(*_ledger(spark, sf), fx.token_impacts(spark, sf), fx.top_tokens(spark, sf)).after
+
+
 # --------------------------------------------------------------------------- R: runs, examples, outputs
 from corpus_ledger.operators import runs as R  # noqa: E402
 from corpus_ledger.sources.schemas import MODEL_OUTPUTS, TRAINING_EXAMPLES, TRAINING_RUNS  # noqa: E402
@@ -470,6 +484,11 @@ def i04(spark, sf):
     return I.token_validity(fx.top_tokens(spark, sf))
 
 
+@register("i04_token_violations")
+def i04v(spark, sf):
+    return I.token_violations(fx.top_tokens(spark, sf)).select("token_impact_id", "token_id", "position", "rule")
+
+
 @register("i05_schema_check")
 def i05(spark, sf):
     e, m, h, t = _impact_tables(spark, sf)
@@ -495,6 +514,12 @@ def i08(spark, sf):
                             "top_tokens": ["token_impact_id", "position", "token_id", "context_start"]})
 
 
+@register("i08_table_schemas")
+def i08s(spark, sf):
+    e, m, h, t = _impact_tables(spark, sf)
+    return I.table_schemas({"entries": e, "training_metadata": m, "token_impacts": h, "top_tokens": t})
+
+
 # --------------------------------------------------------------------------- M: dataset and metrics
 from corpus_ledger.operators import metrics as M  # noqa: E402
 
@@ -514,6 +539,11 @@ def m02(spark, sf):
     return M.split_train_val(_eligible(spark, sf).select("page_id"), 0.1, 42)
 
 
+@register("m02_split_select")
+def m02s(spark, sf):
+    return M.split_select(_eligible(spark, sf).select("page_id"), 0.1, 42)
+
+
 @register("m04_batches")
 def m04(spark, sf):
     return M.number_batches(M.split_train_val(_eligible(spark, sf).select("page_id"), 0.1, 42), 4)
@@ -840,6 +870,16 @@ def s02c(spark, sf):
         "metadata_id", "total_tokens", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
 
 
+@register("s02_import_document")
+def s02d(spark, sf):
+    """The ledger as JSON documents, one per task, read block by block and imported."""
+    t = _ledger4(spark, sf)
+    n = IO.nest_ledger(t["entries"], t["training_metadata"], t["token_impacts"], t["top_tokens"])
+    path = work_path(spark, "documents")
+    IO.write_documents(n, path, "entries")
+    return IO.import_nested(IO.read_nested(spark, path, multi_line_document=True))[0]
+
+
 @register("s03_export_nested")
 def s03(spark, sf):
     t = _ledger4(spark, sf)
@@ -883,6 +923,22 @@ def s07(spark, sf):
     return spark.read.schema("page_id string, title string").json(f"{path}/mapping")
 
 
+@register("s07_title_arrays")
+def s07a(spark, sf):
+    path = work_path(spark, "titles")
+    IO.write_titles(Q.main_titles(*_ledger(spark, sf)), path, with_mapping=False, arrays=True)
+    return IO.read_title_arrays(spark, f"{path}/titles")
+
+
+@register("s08_category_members")
+def s08c(spark, sf):
+    """One response per part type that lists its parts, flattened to titles in the order of the response."""
+    p = fx.table(spark, sf, "part")
+    members = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").cast("long").alias("pageid"), F.col("p_name").alias("title"))))
+    body = F.to_json(F.struct(F.struct(members.alias("categorymembers")).alias("query")))
+    return IO.flatten_category_members(p.groupBy("p_type").agg(body.alias("body")).select("body"))
+
+
 def api_responses(feed: DataFrame) -> DataFrame:
     """Re-nest the feed as API responses: one document per page with its 5 latest revisions (newest
     first); a page without a signup ('added') change is answered as missing."""

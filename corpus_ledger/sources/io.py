@@ -3,12 +3,13 @@ API responses, vocabulary files and the legacy impact table."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_ledger.functions.hashing import repair_utf8
 from corpus_ledger.operators import changes as C
-from corpus_ledger.sources.schemas import (ENTRIES, LEDGER_TABLES, NESTED_ENTRY, NESTED_LEDGER, TOKEN_IMPACTS,
+from corpus_ledger.sources.schemas import (ENTRIES, LEDGER_TABLES, NESTED_ENTRY, TOKEN_IMPACTS,
                                            TOP_TOKENS, TRAINING_METADATA, conform)
 
 
@@ -60,6 +61,23 @@ def export_json(nested: DataFrame, path: str) -> None:
     nested.write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT).json(path)
 
 
+def write_documents(rows: DataFrame, path: str, key: str | None = None) -> None:
+    """The rows as JSON documents, one a task: ``{"<key>": [...]}``, or a plain array. No task holds another's rows."""
+    head, end = (f'{{"{key}": [', "]}") if key else ("[", "]")
+
+    def document(batches):
+        lead = head
+        for batch in batches:
+            lines = batch.column("json").to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([lead + lines[0], *["," + x for x in lines[1:]]])], ["value"])
+                lead = ","
+        yield pa.RecordBatch.from_arrays([pa.array([end if lead == "," else head + end])], ["value"])
+
+    json = F.to_json(F.struct(*rows.columns), {"timestampNTZFormat": TS_FORMAT})
+    rows.select(json.alias("json")).mapInArrow(document, "value string").write.mode("overwrite").text(path)
+
+
 def read_nested(spark: SparkSession, path: str, multi_line_document: bool = False) -> DataFrame:
     """Read nested entries: JSON Lines, or a single ``{"entries": [...]}`` document, which many tasks read."""
     if multi_line_document:
@@ -146,13 +164,32 @@ def repair_text(df: DataFrame, raw_col: str, out: str = "text") -> DataFrame:
 
 
 # --------------------------------------------------------------------------- S7, S8
-def write_titles(df: DataFrame, path: str, with_mapping: bool = True) -> None:
-    """Title list (and page_id -> title mapping) as JSON Lines."""
-    df.select("title").write.mode("overwrite").json(f"{path.rstrip('/')}/titles")
+def write_titles(df: DataFrame, path: str, with_mapping: bool = True, arrays: bool = False) -> None:
+    """Title list (and page_id -> title mapping) as JSON Lines, or the list as JSON ``arrays`` of strings."""
+    if arrays:
+        def titles(batches):
+            lead = "["
+            for batch in batches:
+                for line in batch.column("json").to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([lead + line[1:-1]])], ["value"])
+                    lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"])], ["value"])
+
+        quoted = F.to_json(F.array("title"))  # ["title"]: the brackets go, the escaped string stays
+        df.filter(F.col("title").isNotNull()).select(quoted.alias("json")).mapInArrow(titles, "value string") \
+            .write.mode("overwrite").text(f"{path.rstrip('/')}/titles")
+    else:
+        df.select("title").write.mode("overwrite").json(f"{path.rstrip('/')}/titles")
     if with_mapping:
         df.select("page_id", "title").write.mode("overwrite").json(f"{path.rstrip('/')}/mapping")
 
 
+def read_title_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """The titles of all JSON arrays of strings at ``path``."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.explode(F.from_json("value", "array<string>")).alias("title"))
+
+
 def flatten_api_pages(responses: DataFrame, json_col: str = "body") -> DataFrame:
     """API JSON -> one row per (page, revision); missing pages skipped; revisions numbered from 1
     in response order (newest first)."""
