@@ -94,8 +94,8 @@ def fingerprint(signature: str) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text, n_chars and ``head``: as many first code points of the next document, in ascending
-    doc_id, as a quarter of this text has (or all of it); after the last document comes the first."""
+    """row, doc_id, text, n_chars, next_doc_id and ``head``: as many first code points of the next document, in
+    ascending doc_id, as a quarter of this text has (or all of it); after the last document comes the first."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     slim = rows.select("row", "doc_id", F.xxhash64("text").alias("_hash"), F.char_length("text").alias("_n"))
     ranked, n = positions(slim, ["doc_id", "_hash"], "_rank")
@@ -103,11 +103,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = order.select((F.pmod(F.col("_rank") + 1, F.lit(max(n, 1)))).alias("_rank"),
                           F.col("row").alias("before"), F.floor(F.col("_n") / 4).cast("int").alias("_take"))
     follows = stored(order.select("row", "_rank").join(before, "_rank").select("row", "before", "_take"), "follows")
-    # Each text travels once, to its own row number; only its head goes on to the document before it.
-    placed = rows.join(follows, "row")
-    heads = placed.select(F.col("before").alias("row"), F.expr("left(text, _take)").alias("head"),
-                          F.col("row").alias("next_row"))
-    return placed.drop("before", "_take").join(heads, "row").withColumn("n_chars", F.char_length("text").cast("long"))
+    # Each text travels once, to its own row number; only its head goes on to the document before it. Both uses read
+    # the same columns, so that Spark shuffles them once.
+    heads = rows.join(follows, "row").select(F.col("before").alias("row"), F.expr("left(text, _take)").alias("head"),
+                                             F.col("row").alias("next_row"), F.col("doc_id").alias("next_doc_id"))
+    return rows.join(heads, "row").withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op9_weighted_sampling(spark, sf_dir: str) -> DataFrame:
@@ -115,12 +115,12 @@ def op9_weighted_sampling(spark, sf_dir: str) -> DataFrame:
     edited = F.concat(F.expr("left(text, CAST(n_chars AS INT) - CAST(floor(n_chars / 4) AS INT))"), F.col("head"))
     pairs = pairs.withColumn("edited", edited)
     signed = with_signatures(pairs, "text", "edited", "signature", "edited_signature")
-    slim = stored(signed.select("row", "next_row", "doc_id", "n_chars",
+    slim = stored(signed.select("row", "next_row", "doc_id", "next_doc_id", "n_chars",
                                 F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                                 "signature", "edited_signature"), "signatures")
     after = slim.select(F.col("row").alias("next_row"), F.col("signature").alias("next_signature"))
     out = slim.join(after, "next_row")
-    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint("signature").alias("fingerprint"),
+    return out.select("doc_id", "n_chars", "next_doc_id", "edited_sha256", fingerprint("signature").alias("fingerprint"),
                       fingerprint("edited_signature").alias("edited_fingerprint"),
                       likeness("signature", "edited_signature").alias("near_edited"),
                       likeness("signature", "next_signature").alias("near_next"))
