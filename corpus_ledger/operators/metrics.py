@@ -160,6 +160,40 @@ def significance_threshold(df: DataFrame, impacts: str = "impacts", q: float = S
     return df.withColumn("threshold", F.element_at(sorted_abs, idx))
 
 
+def threshold_rows(rows: DataFrame, key: str, value: str, quantile: float = SIGNIFICANCE_QUANTILE,
+                   buckets: int = 1024, few: int = 4096) -> DataFrame:
+    """M10 for impacts in row form: (key, n, threshold), the absolute impact at place int(n * quantile).
+
+    A page may hold any share of the rows: they are counted into ``buckets`` between its least and greatest value,
+    the bucket that holds the wanted place is cut again, and only when at most ``few`` rows, or equal ones, are left
+    are they sorted. A round aggregates in each task before the shuffle. Null and NaN impacts are left out.
+    """
+    from corpus_ledger.functions.materialize import materialize
+
+    v = rows.select(F.col(key).alias("k"), F.abs(F.col(value).cast("double")).alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    counted = v.groupBy("k").agg(F.count(F.lit(1)).alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # ``at``: the wanted place among the ``n`` rows between lo and hi.
+    state = materialize(counted.withColumn("n", F.col("total")).withColumn("at", F.floor(F.col("total") * F.lit(quantile)).cast("long")))
+    large = (F.col("n") > few) & (F.col("lo") < F.col("hi"))
+    while not state.filter(large).isEmpty():
+        inside = v.join(state.filter(large), "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        # Half of both, as the range of very large values would not fit a double.
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        cells = inside.withColumn("b", F.least(F.floor(share * buckets), F.lit(buckets - 1))).groupBy("k", "b").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+            F.first("total").alias("total"), F.first("at").alias("at"))
+        upto = F.sum("n").over(Window.partitionBy("k").orderBy("b"))  # at most ``buckets`` rows a page
+        chosen = cells.withColumn("upto", upto).filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at")))
+        cut = chosen.withColumn("at", F.col("at") - (F.col("upto") - F.col("n"))).select(state.columns)
+        state = materialize(state.filter(~large).unionByName(cut))
+    # Pages whose remaining rows are all equal need no row; the others sort at most ``few``.
+    last = v.join(state.filter("lo < hi"), "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("v"))
+    found = last.withColumn("place", place).filter(F.col("place") == F.col("at") + 1).select("k", "total", F.col("v").alias("threshold"))
+    equal = state.filter("lo = hi").select("k", "total", F.col("lo").alias("threshold"))
+    return found.unionByName(equal).select(F.col("k").alias(key), F.col("total").alias("n"), "threshold")
+
+
 def critical_tokens(df: DataFrame, impacts: str = "impacts", window: int = CONTEXT_WINDOW) -> DataFrame:
     """Positions with |impact| >= threshold and their context [max(0, i-w), min(n, i+w+1))."""
     t = significance_threshold(df, impacts)

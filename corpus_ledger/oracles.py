@@ -711,6 +711,17 @@ LEFT JOIN txt t ON t.page_id = p.page_id LEFT JOIN enc e ON e.page_id = p.page_i
                          JOIN txt t ON t.page_id = p.page_id""")]
        + _ids("pg", "page_id", "text", limit=1024, eos=False))
 
+oracle("m04_training_batches", ["entries", "meta", "page_texts"], f"""
+SELECT page_id, split_rank, batch, CAST(mx AS INTEGER) AS padded_len, CAST(len(ids) AS INTEGER) AS n_ids,
+       {_h("ids || list_transform(range(mx - len(ids)), lambda x: 0::BIGINT)")} AS ids_hash
+FROM (SELECT b.*, e.ids, max(len(e.ids)) OVER (PARTITION BY batch) AS mx FROM (
+  SELECT page_id, split_rank, CAST(floor((split_rank - 1) / 4) AS BIGINT) AS batch FROM split2 WHERE split = 'train') b
+  JOIN enc e USING (page_id))""",
+       _ELIG + _TOK + [("pg", "SELECT page_id, text FROM page_texts")] + _ids("pg", "page_id", "text", limit=1024, eos=False))
+oracle("m10_threshold_rows", [], """
+SELECT page_id, CAST(len(a) AS BIGINT) AS n, round(a[CAST(floor(len(a) * 0.95::DOUBLE) AS BIGINT) + 1], 6) AS threshold
+FROM (SELECT l_returnflag AS page_id, list_sort(list(abs(CAST(l_extendedprice - 30000 AS DOUBLE)))) AS a FROM lineitem GROUP BY l_returnflag)""")
+
 oracle("m17_remove_tokens", ["top_tokens"], f"""
 SELECT doc_id, len(r) AS n_ids, {_h('r')} AS ids_hash FROM (
   SELECT doc_id, list_filter(ids, lambda x: NOT list_contains(b.banned, x)) AS r

@@ -819,6 +819,35 @@ def m03(spark, sf):
     return s.select("page_id", F.size("input_ids").alias("n_ids"), _hash_ids("input_ids").alias("ids_hash"))
 
 
+def _padded(batches: DataFrame) -> DataFrame:
+    return batches.select("page_id", "split_rank", "batch", F.size("input_ids").alias("padded_len"),
+                          F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_ids"), _hash_ids("input_ids").alias("ids_hash"))
+
+
+@register("m04_training_batches")
+def m04t(spark, sf):
+    from corpus_ledger.plans.dataset import training_batches
+
+    return _padded(training_batches(*_ledger(spark, sf), fx.page_texts(spark, sf), _vocab(spark, sf)))
+
+
+@register("m04_training_batches_dropout")
+def m04d(spark, sf):
+    """The whole dataset job with BPE-dropout over the whole merge budget."""
+    from corpus_ledger.plans.dataset import training_batches
+
+    merges = _merges(spark, sf)
+    vocab = TK.extend_vocab(_vocab(spark, sf), merges)
+    return _padded(training_batches(*_ledger(spark, sf), fx.page_texts(spark, sf), vocab, merges, dropout=0.1))
+
+
+@register("m10_threshold_rows")
+def m10r(spark, sf):
+    """Row form: few pages with very many impacts each."""
+    rows = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("page_id"), (F.col("l_extendedprice") - 30000).alias("impact"))
+    return M.threshold_rows(rows, "page_id", "impact").select("page_id", "n", r6("threshold"))
+
+
 @register("m17_remove_tokens")
 def m17r(spark, sf):
     e = _word_level(spark, sf, add_eos=False)

@@ -76,3 +76,39 @@ def test_documents_and_title_arrays(spark):
     IO.write_documents(rows, f"{path}/documents", "entries")
     found = [e for r in spark.read.text(f"{path}/documents", wholetext=True).collect() for e in json.loads(r.value)["entries"]]
     assert sorted(e["page_id"] for e in found) == ["0", "1", "2", "3", "4"]
+
+
+def test_threshold_of_a_hot_page(spark):
+    """One page with most rows, ties, one value only, huge and tiny values: equal to sorting each page."""
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot", rng.gauss(0, 1)) for _ in range(4000)] + [("ties", float(rng.randrange(4))) for _ in range(500)]
+    rows += [("same", -2.5)] * 300 + [("one", 7.0), ("wide", 1e308), ("none", None), ("none", float("nan"))]
+    rows += [("wide", rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "page_id string, impact double").repartition(5)
+    values = {}
+    for page, x in rows:
+        if x is not None and x == x:
+            values.setdefault(page, []).append(abs(x))
+    want = {p: (len(v), sorted(v)[int(len(v) * 0.95)]) for p, v in values.items()}
+    for few, buckets in ((10, 16), (4096, 1024)):
+        got = {r.page_id: (r.n, r.threshold) for r in M.threshold_rows(df, "page_id", "impact", few=few, buckets=buckets).collect()}
+        assert got == want
+
+
+def test_dropout_batches_repeat(spark):
+    """The same epoch draws the same pieces whatever the partitions, another epoch draws others; no dropout, plain merges."""
+    from corpus_ledger.operators import tokens as TK
+    from corpus_ledger.plans.dataset import page_sequences
+
+    pages = spark.createDataFrame([("a", "the theme that then"), ("b", "attic cat"), ("c", None)], "page_id string, text string")
+    merges = spark.createDataFrame([(1, "t", "h"), (2, "th", "e"), (3, "a", "t")], "rank int, left string, right string")
+    vocab = TK.extend_vocab(TK.initial_vocab(TK.word_frequencies(pages.filter("text IS NOT NULL")), 5100, 1), merges)
+
+    def ids(df, **options):
+        return {r.page_id: list(r.input_ids) for r in page_sequences(df, df, vocab, merges, **options).collect()}
+
+    first = ids(pages, dropout=0.5, seed=1)
+    assert first == ids(pages.repartition(3), dropout=0.5, seed=1) and first != ids(pages, dropout=0.5, seed=2)
+    assert ids(pages, dropout=0.0) == ids(pages) and first["c"] == [0]
