@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
 from itertools import accumulate
 
 import numpy as np
@@ -43,9 +46,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+# Plan nodes that keep each row at its place among its split's rows.
+IN_PLACE = {"FileScan", "LocalTableScan", "ColumnarToRow", "Project", "Filter", "Union"}
+
+
+def reads_in_place(df: DataFrame) -> bool:
+    """Is ``df`` a scan of files with no more than filters and projections? Such rows come in the same splits
+    and order in every plan."""
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        df.explain()
+    nodes = re.findall(r"^[ :+*()0-9-]*([A-Z]\w*)", plan.getvalue(), re.MULTILINE)
+    return bool(nodes) and set(nodes) <= IN_PLACE
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a number for each row, stored, so that every later plan sees the same numbers."""
-    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    """``df`` with a number for each row, the same in every plan built on it: the rows of a scan are numbered
+    where they lie, any other input is stored with its numbers."""
+    out = df.withColumn(name, F.monotonically_increasing_id())
+    return out if reads_in_place(df) else stored(out, "numbered")
 
 
 def positions(df: DataFrame, order: list[Column | str], name: str) -> tuple[DataFrame, int]:

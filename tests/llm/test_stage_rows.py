@@ -6,7 +6,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from corpus_ledger.llm import decontamination, entropy_mixing, minmax_dedup
+from corpus_ledger.llm.common import numbered, reads_in_place
 
 ROOT = Path(__file__).resolve().parents[2]
 WORDS = [f"w{i}" for i in range(60)]
@@ -34,6 +37,18 @@ def test_rows_without_an_id_are_judged(spark):
     assert set(got) <= {r.text for r in docs.collect()} and got.count(None) == 1
 
 
+def test_row_numbers_hold_in_every_plan(spark, tmp_path):
+    """A scan, a scan with a filter, and rows that are no scan: numbers are distinct and belong to the same rows."""
+    spark.range(1000).selectExpr("id", "cast(id as string) AS text").repartition(7).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    for df, in_place in ((scan, True), (scan.filter("id % 3 = 0"), True), (scan.repartition(5), False),
+                         (scan.groupBy("id").agg(F.first("text").alias("text")), False)):
+        assert reads_in_place(df) == in_place
+        rows = numbered(df, "_row")
+        both = rows.select("_row", "id").join(rows.select("_row", F.col("text").alias("t")), "_row")
+        assert both.filter("cast(id as string) = t").count() == df.count() == rows.select("_row").distinct().count()
+
+
 def test_items_without_an_id(spark):
     """Their windows are hit; together they count as one item that the list of ids does not name."""
     docs = docs_of(spark, [(1, "a b c d"), (2, "c d e"), (3, "x")])
