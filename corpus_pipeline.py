@@ -1,4 +1,9 @@
-"""Cleaning pipeline over ``documents``: the stages of the training-data operators, each written and read again."""
+"""Cleaning pipeline over ``documents``: the stages of the training-data operators, each written and read again.
+
+Every stage judges rows by their own text: rows with a null or a repeated doc_id are judged like any others, null,
+empty and very long texts have the results stated at each stage, an empty table stays empty, and further columns,
+whatever their names, are passed on.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +18,31 @@ from corpus_ledger.llm.toxicity import remove_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go; the model learns from the labelled documents of the input tables."""
+    """Documents that score 0.5 or more go; the model learns from the labelled documents of the input tables. Null
+    and empty texts have no terms and score as such; equal texts score alike."""
     return remove_toxic(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies stays, the first as stored: five-word shingles, similarity 0.8.
+    Texts without words are linked with nothing and stay."""
     return deduplicate(docs, shingle_words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
+    """Documents that hold ten consecutive words of a benchmark item go, or a shorter item as a whole; items without
+    an id count too. Texts without words stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are dropped or repeated so that the sources meet their target words."""
+    """Documents are dropped or repeated so that the sources meet their target words; a null source is one of
+    its own, texts without words stay once, and each of several equal rows has its own number of copies."""
     return mix_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
+    """Shard and slot of every row of the mix; shard sizes differ by one row at most."""
     return shard_documents(docs)
 
 
