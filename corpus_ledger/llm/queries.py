@@ -123,9 +123,79 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM embeddings e JOIN least_id l ON l.node = vec_id LEFT JOIN counts ON a = vec_id"""
 
 
+_CRC32 = """xor(list_reduce(list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT)),
+                  lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+def repair_sql() -> str:
+    """One row of every conversation per step: the cheapest way, of equals the ASCII-least, to each state ('' is the
+    start, then the initial of the last role)."""
+    following = "CASE WHEN {0} = 'u' THEN 'a' ELSE 'u' END"
+    name = "CASE WHEN {0} = 'u' THEN 'user' ELSE 'assistant' END"
+    blank = "[^\\x20\\x09-\\x0D]"
+    one, two = following.format("st"), following.format(f"({following.format('st')})")
+    return f"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, k:
+    CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v FROM range(256) r(i))
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32} % 20 AS fate
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations), tab
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM keyed
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), seen AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS r, NOT regexp_matches(text, '{blank}') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         regexp_extract(text, '({blank})[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') AS open_end FROM placed
+), marked AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, i, r, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND open_end AS cut,
+         lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM seen
+), ways AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '' AS st, CAST(0 AS BIGINT) AS cost, '' AS audit, []::VARCHAR[] AS said FROM marked
+  UNION ALL
+  SELECT conv_id, i, st, best.cost, best.audit, best.said FROM (
+    SELECT conv_id, i, st, arg_min({{'cost': cost, 'audit': audit, 'said': said}}, {{'cost': cost, 'audit': audit}}) AS best FROM (
+      SELECT conv_id, i, CASE e WHEN 'D' THEN st WHEN 'K' THEN r ELSE {following.format("st")} END AS st,
+             cost + CASE e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN cut AND e <> 'D' THEN 5 ELSE 0 END AS cost,
+             audit || e AS audit,
+             CASE e WHEN 'D' THEN said WHEN 'K' THEN said || [role || ':' || text]
+                    ELSE said || [{name.format(f"({following.format('st')})")} || ':' || text] END AS said
+      FROM (
+        SELECT m.conv_id, m.i, m.r, m.role, m.text, m.cut, m.blank OR m.duplicate AS gone, p.st, p.cost, p.audit, p.said, unnest(['D', 'K', 'R']) AS e
+        FROM (
+          SELECT conv_id, i, cost + 5 * n AS cost, audit || repeat('I', n) AS audit, CASE n WHEN 0 THEN st WHEN 1 THEN {one} ELSE {two} END AS st,
+                 CASE n WHEN 0 THEN said WHEN 1 THEN said || [{name.format(f"({one})")} || ':']
+                        ELSE said || [{name.format(f"({one})")} || ':', {name.format(f"({two})")} || ':'] END AS said
+          FROM (SELECT *, unnest([0, 1, 2]) AS n FROM ways)) p
+        JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i + 1)
+      WHERE e = 'D' OR (NOT gone AND (e = 'R' OR r = {following.format("st")} OR (r = 's' AND st = ''))))
+    GROUP BY conv_id, i, st)
+), ends AS (
+  SELECT conv_id, arg_min({{'cost': cost, 'audit': audit, 'said': said}}, {{'cost': cost, 'audit': audit}}) AS best FROM (
+    SELECT conv_id, cost + CASE st WHEN 'u' THEN 5 WHEN 's' THEN 10 ELSE 0 END AS cost,
+           audit || CASE st WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END AS audit,
+           CASE st WHEN 'u' THEN said || ['assistant:'] WHEN 's' THEN said || ['user:', 'assistant:'] ELSE said END AS said
+    FROM ways JOIN (SELECT conv_id AS c, max(i) AS n FROM marked GROUP BY conv_id) ON c IS NOT DISTINCT FROM conv_id AND n = i)
+  GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(duplicate) AS duplicate, count_if(cut) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id)
+SELECT a.conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+       CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
 ORACLES = {
     "op6_minmax_dedup": near_duplicate_sql("documents", 2, 80),
     "op8_decontamination": contamination_sql("documents", 10),
+    "op11_conversation_repair": repair_sql(),
     "op12_vector_clusters": clusters_sql(64, 8, 10, 3, 1024),
     "op13_embedding_dedup": near_vectors_sql(0.9),
 }
