@@ -127,10 +127,10 @@ def schema_check(tables: dict[str, DataFrame], expected: dict[str, T.StructType]
 
 
 def size_statistics(entries: DataFrame, metadata: DataFrame, headers: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Counts, average key size, tokens per header (0 without headers), average token text size.
+    """Counts, average key size, tokens per header (0 without headers), average and total token text size.
 
     Numbers are rendered with a fixed format before measuring, so the size does not depend on an
-    engine's float-to-text rules.
+    engine's float-to-text rules. The column names are fixed values of the report.
     """
     e = entries.agg(F.count(F.lit(1)).alias("total_entries"),
                     F.round(F.avg(F.length("page_id") + F.length("content_hash")), 6).alias("avg_entry_size_bytes"))
