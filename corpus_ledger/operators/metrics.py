@@ -17,6 +17,8 @@ from corpus_ledger.functions.text import PAD_ID  # noqa: E402
 LOGIT_CLAMP = 10.0
 CONTEXT_WINDOW = 2
 SIGNIFICANCE_QUANTILE = 0.95
+# Pages whose state (six numbers each) is broadcast in ``threshold_rows``.
+STATE_PAGES = 100_000
 
 
 # --------------------------------------------------------------------------- M1, M2, M4
@@ -166,8 +168,10 @@ def threshold_rows(rows: DataFrame, key: str, value: str, quantile: float = SIGN
 
     A page may hold any share of the rows: they are counted into ``buckets`` between its least and greatest value,
     the bucket that holds the wanted place is cut again, and only when at most ``few`` rows, or equal ones, are left
-    are they sorted. A round aggregates in each task before the shuffle. Null and NaN impacts are left out.
+    are they sorted. Rows are held against the state of up to ``STATE_PAGES`` pages where they lie; a round aggregates in
+    each task before the shuffle. Null and NaN impacts are left out.
     """
+    from corpus_ledger.functions.joins import broadcast_bounded
     from corpus_ledger.functions.materialize import materialize
 
     v = rows.select(F.col(key).alias("k"), F.abs(F.col(value).cast("double")).alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
@@ -176,7 +180,7 @@ def threshold_rows(rows: DataFrame, key: str, value: str, quantile: float = SIGN
     state = materialize(counted.withColumn("n", F.col("total")).withColumn("at", F.floor(F.col("total") * F.lit(quantile)).cast("long")))
     large = (F.col("n") > few) & (F.col("lo") < F.col("hi"))
     while not state.filter(large).isEmpty():
-        inside = v.join(state.filter(large), "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        inside = v.join(broadcast_bounded(state.filter(large), STATE_PAGES), "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
         # Half of both, as the range of very large values would not fit a double.
         share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         cells = inside.withColumn("b", F.least(F.floor(share * buckets), F.lit(buckets - 1))).groupBy("k", "b").agg(
@@ -187,7 +191,7 @@ def threshold_rows(rows: DataFrame, key: str, value: str, quantile: float = SIGN
         cut = chosen.withColumn("at", F.col("at") - (F.col("upto") - F.col("n"))).select(state.columns)
         state = materialize(state.filter(~large).unionByName(cut))
     # Pages whose remaining rows are all equal need no row; the others sort at most ``few``.
-    last = v.join(state.filter("lo < hi"), "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    last = v.join(broadcast_bounded(state.filter("lo < hi"), STATE_PAGES), "k").filter(F.col("v").between(F.col("lo"), F.col("hi")))
     place = F.row_number().over(Window.partitionBy("k").orderBy("v"))
     found = last.withColumn("place", place).filter(F.col("place") == F.col("at") + 1).select("k", "total", F.col("v").alias("threshold"))
     equal = state.filter("lo = hi").select("k", "total", F.col("lo").alias("threshold"))

@@ -112,3 +112,19 @@ def test_dropout_batches_repeat(spark):
     first = ids(pages, dropout=0.5, seed=1)
     assert first == ids(pages.repartition(3), dropout=0.5, seed=1) and first != ids(pages, dropout=0.5, seed=2)
     assert ids(pages, dropout=0.0) == ids(pages) and first["c"] == [0]
+
+
+def test_threshold_shuffles_no_row(spark, capsys):
+    """Rows meet the pages' state by a broadcast, whatever Spark takes the state's size to be."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        rows = spark.range(20_000).selectExpr("id % 2 AS page_id", "CAST(id AS double) AS impact")
+        found = M.threshold_rows(rows, "page_id", "impact", few=100, buckets=16)
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r.page_id: r.threshold for r in found.collect()} == {0: 19000.0, 1: 19001.0}
+    finally:
+        spark.conf.set(key, before)
