@@ -6,7 +6,7 @@ depends on all that comes before. That is a prefix scan over blocks: a first pas
 changes the two states (inside a string or not) and the depth, a second, with those known, in which array it
 ends; one short row per block reaches the driver, whose answer goes back as the state in which each block begins.
 The last pass emits the objects. One that crosses a block's end is emitted in parts, which are joined by the
-number of the object.
+number of the object. What it emits is stored, so the document is read three times however often the objects are.
 """
 
 from __future__ import annotations
@@ -18,28 +18,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MARKS = re.compile(r'"|[{\[\]]')
-_STRING = re.compile(r'(?:[^"\\]|\\.)*"', re.DOTALL)  # the rest of a string and its closing quote
+from corpus_ledger.functions.materialize import materialize
+
+_STRING = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.DOTALL)  # the rest of a string and its closing quote
+_MARKS = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*("?)|[{\[\]]', re.DOTALL)  # a string, closed or cut off, or a bracket
 Start = tuple[bool, int, bool]  # inside a string, depth, inside the wanted array
 
 
 def _marks(piece: str, in_string: bool) -> tuple[list[tuple[str, int]], bool]:
     """Brackets of a piece that stand outside strings, with their places, and whether it ends inside a string."""
     found, at = [], 0
-    while True:
-        if in_string:
-            rest = _STRING.match(piece, at)
-            if rest is None:
-                return found, True
-            at, in_string = rest.end(), False
-        mark = _MARKS.search(piece, at)
-        if mark is None:
-            return found, False
-        at = mark.end()
-        if mark[0] == '"':
-            in_string = True
-        else:
+    if in_string:
+        rest = _STRING.match(piece)
+        if rest is None:
+            return found, True
+        at = rest.end()
+    for mark in _MARKS.finditer(piece, at):
+        if mark[0][0] != '"':
             found.append((mark[0], mark.start()))
+        elif not mark[1]:
+            return found, True
+    return found, False
 
 
 def _depth(marks: list[tuple[str, int]], in_string: bool) -> int:
@@ -175,7 +174,7 @@ def document_objects(spark: SparkSession, path: str, key: str) -> DataFrame:
                 out[:] = []
         yield from _parts(at, walk, out)
 
-    parts = pieces.mapInArrow(objects, "file string, block long, kind string, object string")
+    parts = materialize(pieces.mapInArrow(objects, "file string, block long, kind string, object string"))
     # An object that goes on over a block's end: its parts follow each other, from a "begin" to the next "end".
     ends = parts.filter("kind <> 'whole'").select("file", "block", "kind").collect()  # two rows a block at most
     order = {"end": 0, "middle": 1, "begin": 2}

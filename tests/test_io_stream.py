@@ -136,6 +136,24 @@ def test_read_text_folder(spark, tmp_path):
     assert kept.filter("text IS NULL").count() == 1
 
 
+def test_document_objects_are_emitted_once(spark, tmp_path):
+    """However often the objects are used, the document itself is not read again."""
+    from corpus_ledger.sources.json_document import document_objects
+
+    path = tmp_path / "ledger.json"
+    entries = [{"id": i, "title": '}"\\' * (i % 4)} for i in range(30)]
+    path.write_text(json.dumps({"entries": entries}))
+    block = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "90")  # objects cross block ends
+        found = document_objects(spark, str(path), "entries")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    for _ in range(2):
+        assert sorted((json.loads(r.object) for r in found.collect()), key=lambda e: e["id"]) == entries
+
+
 def test_document_is_read_by_many_tasks(spark, tmp_path):
     """One JSON document with braces, quotes and escapes in strings, other arrays, and any block size."""
     from corpus_ledger.sources.json_document import document_objects
