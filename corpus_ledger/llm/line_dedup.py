@@ -10,6 +10,12 @@ on the whole sets. Of two linked lines the later one (by doc_id, then line) goes
 Rarity is counted over all lines: word hashes fall into ``2**BUCKET_BITS`` buckets, and a word ranks by its
 bucket's count, then by its hash. Any fixed order keeps the join exact; the count only makes prefixes rare.
 
+Near copies of one line come in groups whose links are as many as the group's pairs. Such links are counted without
+the pairs: a class takes as its hub the class with the most lines among those that share two words at either end
+of the hash order. Two classes at distances d and e (words in only one set) from the same hub differ in at most d + e
+words, so where that is little enough for their sizes they are linked for certain, and running counts over the
+distances of a hub's members give each one its number. All other pairs go through the join, the certain ones do not.
+
 Texts are split into words once; the stored sets serve the counts, the prefixes and the verification.
 Words and word sets are compared by hash (52 bits in prefixes, 64 bits in sets). Lines with equal sets are one class before the
 join, so copies are never paired with each other. AQE splits the join's partitions where many classes share a prefix word.
@@ -21,13 +27,17 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_ledger.llm.common import documents, stored
 
 PERCENT = 80
 BUCKET_BITS = 16
+# Fixed value: a key that fewer classes share gives no hub; their pairs are few.
+HUB_CLASSES = 8
+# Fixed value: see ``sieve``. More wanted rows only sift less well.
+SIEVE_BITS = 25
 # Word hashes repeat within a row group: a dictionary of up to 16 MB keeps two or three bytes of each.
 COMPACT = {"compression": "zstd", "parquet.dictionary.page.size": str(1 << 24)}
 
@@ -51,64 +61,143 @@ def with_set(lines: DataFrame) -> DataFrame:
     """Add ``set``, the sorted hashes of the line's distinct words, ``n``, its size, and ``key``, its hash; lines
     without words go."""
     words = F.array_distinct(F.transform(F.split(spaced(F.col("content")), " "), lambda w: F.xxhash64(w)))
-    full = lines.filter(F.trim(spaced(F.col("content"))) != "")
+    full = lines.filter(F.col("content").rlike("[^ \t\r]"))
     full = full.withColumn("set", F.sort_array(F.array_remove(words, F.xxhash64(F.lit("")))))
     return full.drop("content").withColumn("n", F.size("set")).withColumn("key", F.xxhash64("set"))
 
 
 def bucket_of(word: Column) -> Column:
-    return (F.shiftright(word, 64 - BUCKET_BITS) + (1 << (BUCKET_BITS - 1))).cast("int")
+    return F.shiftrightunsigned(word, 64 - BUCKET_BITS).cast("int")
 
 
 def rarity_levels(lines: DataFrame) -> Column:
     """A constant array with one number per bucket, 2**BUCKET_BITS in all whatever the input: the lines with its
-    words, in steps of a third of a power of two."""
+    words, in steps of a third of a power of two, above the 52 bits of a hash."""
     counts = lines.select(F.explode("set").alias("w")).groupBy(bucket_of(F.col("w")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    levels = ["1"] * (1 << BUCKET_BITS)
+    levels = [1 << 52] * (1 << BUCKET_BITS)
     for r in counts.select("bucket", F.least(F.floor(F.log2("n") * 3) + 1, F.lit(127)).cast("int").alias("level")).collect():
-        levels[r["bucket"]] = str(r["level"])
-    return F.split(F.lit(",".join(levels)), ",").cast("array<int>")
+        levels[r["bucket"]] = r["level"] << 52
+    return constants(levels)
+
+
+def constants(numbers: list[int]) -> Column:
+    """A constant array of longs."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")
 
 
 def word_classes(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
     """One row per distinct word set: cid, key, n, bits (two 64-bit maps with a bit set by each word), prefix (its
-    rarest words, as numbers that sort by level, then by 52 bits of the hash), first (place of its first line)."""
+    rarest words, as numbers that sort by level, then by 52 bits of the hash), ends (hashes of the two first and the two
+    last words of the set), first (place of its first line), copies (lines)."""
     def ranked(word: Column) -> Column:
-        level = F.coalesce(F.get(levels, bucket_of(word)), F.lit(1)).cast("long")
-        return F.shiftleft(level, 52).bitwiseOR(word.bitwiseAND(F.lit((1 << 52) - 1)))
+        return F.get(levels, bucket_of(word)).bitwiseOR(word.bitwiseAND(F.lit((1 << 52) - 1)))
+
+    def map_of(half: int) -> Column:
+        """Its bits are set by the words whose hash ends in 0 to 63, or in 64 to 127."""
+        bits, none = [1 << i for i in range(63)] + [-1 << 63], [0] * 64
+        table = constants(none + bits if half else bits + none)
+        return F.aggregate("set", F.lit(0).cast("long"), lambda b, w: b.bitwiseOR(F.get(table, w.bitwiseAND(F.lit(127)).cast("int"))))
 
     ordered = lines.withColumn("ranked", F.sort_array(F.transform("set", ranked)))
     prefix = F.expr(f"slice(ranked, 1, n - CAST(ceil(n * {percent} / 100D) AS INT) + 1)")
-    low, high = (F.expr(f"aggregate(set, 0L, (b, w) -> IF(w & 64L {sign} 0L, b | shiftleft(1L, int(w & 63L)), b))") for sign in ("=", "<>"))
-    slim = ordered.select("key", "n", low.alias("low"), high.alias("high"), prefix.alias("prefix"), place().alias("place"))
-    of_set = [F.any_value(c).alias(c) for c in ("n", "low", "high", "prefix")]
-    return slim.groupBy("key").agg(*of_set, F.min("place").alias("first")).withColumn("cid", F.monotonically_increasing_id())
+    ends = F.array(F.xxhash64(F.slice("set", 1, 2)), F.xxhash64(F.slice("set", F.greatest(F.col("n") - 1, F.lit(1)), F.lit(2))))
+    slim = ordered.select("key", "n", map_of(0).alias("low"), map_of(1).alias("high"), prefix.alias("prefix"), ends.alias("ends"), place().alias("place"))
+    of_set = [F.any_value(c).alias(c) for c in ("n", "low", "high", "prefix", "ends")]
+    found = slim.groupBy("key").agg(*of_set, F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"))
+    return found.withColumn("cid", F.monotonically_increasing_id())
 
 
 def place() -> Column:
     return F.struct("id", "hash", "row", "line")
 
 
-def candidate_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes, a the smaller set, that pass the prefix, length, positional and bitmap filters."""
-    prefixes = classes.select("cid", "n", "low", "high", F.posexplode("prefix").alias("at", "word"))
+def bits_apart(x: str, y: str) -> Column:
+    """Bits set in only one of two classes' maps: at most the words in only one of their sets."""
+    return sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("low", "high")), F.lit(0))
+
+
+def sieve(wanted: DataFrame, keys: list[str]) -> Column:
+    """True for every row whose keys are in ``wanted`` and few others, so that the rest need not be shuffled for a join
+    with it: the keys' hashes are marked in a map of 16 bits or more per wanted row, 2**SIEVE_BITS (4 MB) at most."""
+    bits = min(SIEVE_BITS, max(6, (16 * wanted.count()).bit_length()))
+    at = F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits)
+    word = F.shiftright(at, 6).cast("int")
+    mark = F.get(constants([1 << i for i in range(63)] + [-1 << 63]), at.bitwiseAND(F.lit(63)).cast("int"))
+    marked = [0] * (1 << (bits - 6))
+    for r in wanted.groupBy(word.alias("word")).agg(F.bit_or(mark).alias("marks")).collect():
+        marked[r["word"]] = r["marks"]
+    return F.get(constants(marked), word).bitwiseAND(mark) != 0
+
+
+def attached(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined to ``some``, which holds few of their keys: only rows that may have a match are shuffled."""
+    may = sieve(some, [key])
+    return rows.filter(may).join(some, key, "left").unionByName(rows.filter(~may), allowMissingColumns=True)
+
+
+def sets_of(cids: DataFrame, classes: DataFrame, lines: DataFrame) -> DataFrame:
+    """cid, set: the word sets of some classes, read from their first lines."""
+    cids = stored(cids.distinct(), "cids")
+    places = classes.select("cid", F.col("first.row").alias("row"), F.col("first.line").alias("line"))
+    wanted = stored(places.filter(sieve(cids, ["cid"])).join(cids, "cid"), "wanted")
+    found = lines.select("row", "line", "set").filter(sieve(wanted, ["row", "line"]))
+    return stored(found.join(wanted, ["row", "line"]).select("cid", "set"), "sets", **COMPACT)
+
+
+def hub_members(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """cid, hub (a class, itself for a hub), slack: (100 + percent) times the words in only one of both sets, less
+    (100 - percent) times the class's size. Two members of a hub whose slacks add up to 0 or less are linked."""
+    spread = classes.select("cid", "n", "low", "high", "copies", F.explode(F.array_distinct("ends")).alias("end"))
+    hubs = (spread.groupBy("end").agg(F.max(F.struct("copies", "cid", "n", "low", "high")).alias("hub"), F.count(F.lit(1)).alias("classes"))
+            .filter(F.col("classes") >= HUB_CLASSES).select("end", "hub.*"))
+    x, h = spread.alias("x"), hubs.alias("h")
+    both = F.col("x.n") + F.col("h.n")
+    near = x.join(h, F.col("x.end") == F.col("h.end")).filter((100 + percent) * bits_apart("x", "h") <= (100 - percent) * both)
+    chosen = stored(near.groupBy(F.col("x.cid").alias("cid")).agg(F.max(F.struct("h.copies", F.col("h.cid").alias("hub"))).alias("of"))
+                    .select("cid", "of.hub"), "hubs")
+    sets = sets_of(chosen.select(F.explode(F.array("cid", "hub")).alias("cid")), classes, lines)
+    whole = (chosen.join(sets, "cid").select(F.col("cid").alias("member"), "hub", F.col("set").alias("x_set"))
+             .join(sets.alias("y"), F.col("hub") == F.col("y.cid")).select(F.col("member").alias("cid"), "hub", "x_set", F.col("y.set").alias("y_set")))
+    apart = F.size("x_set") + F.size("y_set") - 2 * F.size(F.array_intersect("x_set", "y_set"))
+    slack = ((100 + percent) * apart - (100 - percent) * F.size("x_set")).cast("long")
+    return stored(whole.select("cid", "hub", slack.alias("slack")), "members")
+
+
+def certain_links(members: DataFrame, firsts: DataFrame) -> DataFrame:
+    """cid, links, later: of each member the number of its hub's other members that are linked to it for certain, and
+    whether one of them comes first. A hub has as many rows in the window as its members have distances and sizes."""
+    placed = members.join(firsts, "cid")
+    levels = placed.groupBy("hub", "slack").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    asked = levels.select("hub", (-F.col("slack")).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("n"),
+                          F.lit(None).cast(levels.schema["first"].dataType).alias("first"))
+    up_to = Window.partitionBy("hub").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    told = (levels.select("hub", F.col("slack").alias("at"), F.lit(0).alias("asks"), "n", "first").union(asked)
+            .select("hub", "at", "asks", F.sum("n").over(up_to).alias("n"), F.min("first").over(up_to).alias("before"))
+            .filter("asks = 1 AND n > 0").select("hub", (-F.col("at")).alias("slack"), "n", "before"))
+    itself = F.when(F.col("slack") <= 0, 1).otherwise(0)
+    return (placed.join(told, ["hub", "slack"])
+            .select("cid", (F.col("n") - itself).alias("links"), (F.col("before") < F.col("first")).alias("later")))
+
+
+def candidate_pairs(classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes, a the smaller set, that pass the prefix, length, positional and bitmap filters and are
+    not linked for certain by a hub of both."""
+    prefixes = attached(classes, members, "cid").select("cid", "n", "low", "high", "hub", "slack", F.posexplode("prefix").alias("at", "word"))
     # Both sides are the same plan, so that Spark shuffles the prefixes once and reads them twice.
     x, y = prefixes.alias("x"), prefixes.alias("y")
     both = F.col("x.n") + F.col("y.n")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
+    certain = F.coalesce((F.col("x.hub") == F.col("y.hub")) & (F.col("x.slack") + F.col("y.slack") <= 0), F.lit(False))
     overlap = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("low", "high")), F.lit(0))
     may = ((100 * F.col("x.n") >= percent * F.col("y.n")) & ((100 + percent) * overlap >= percent * both)
-           & ((100 + percent) * apart <= (100 - percent) * both))
-    joined = x.join(y, (F.col("x.word") == F.col("y.word")) & smaller & may)
+           & ((100 + percent) * bits_apart("x", "y") <= (100 - percent) * both))
+    joined = x.join(y, (F.col("x.word") == F.col("y.word")) & smaller & ~certain & may)
     return joined.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole word sets, read from the classes' first lines, reach the similarity."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid")
-                    .select("cid", F.col("first.row").alias("row"), F.col("first.line").alias("line")), "wanted")
-    sets = stored(lines.select("row", "line", "set").join(wanted, ["row", "line"]).select("cid", "set"), "sets", **COMPACT)
+    """The pairs whose whole word sets reach the similarity."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")), classes, lines)
     whole = (pairs.join(sets.alias("x"), F.col("a") == F.col("x.cid")).select("a", "b", F.col("x.set").alias("x_set"))
              .join(sets.alias("y"), F.col("b") == F.col("y.cid")))
     shared = F.size(F.array_intersect("x_set", F.col("y.set")))
@@ -120,16 +209,19 @@ def near_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes), removed."""
     lines = stored(with_set(split_lines(numbered(docs, id_col, text_col))), "lines", **COMPACT)
     classes = stored(word_classes(lines, rarity_levels(lines), percent), "classes", **COMPACT)
-    pairs = stored(candidate_pairs(classes, percent), "pairs")
+    members = hub_members(classes, lines, percent)
+    pairs = stored(candidate_pairs(classes, members, percent), "pairs")
     links = stored(verified(pairs, classes, lines, percent), "links")
 
-    firsts = classes.select("cid", "first")
+    touched = members.select("cid").union(links.select(F.explode(F.array("a", "b"))))
+    firsts = classes.select("cid", "first").filter(sieve(touched, ["cid"]))
     ends = (links.join(firsts.select(F.col("cid").alias("a"), F.col("first").alias("f")), "a")
             .join(firsts.select(F.col("cid").alias("b"), F.col("first").alias("g")), "b")
             .select(F.explode(F.array(F.struct(F.col("a").alias("cid"), (F.col("g") < F.col("f")).alias("later")),
                                       F.struct(F.col("b").alias("cid"), (F.col("f") < F.col("g")).alias("later")))).alias("e")))
-    marks = ends.groupBy("e.cid").agg(F.count(F.lit(1)).alias("links"), F.max("e.later").alias("later"))
-    about = classes.select("cid", "key", "first").join(marks, "cid", "left").select(
+    each = ends.select("e.cid", F.lit(1).cast("long").alias("links"), "e.later").union(certain_links(members, firsts))
+    marks = stored(each.groupBy("cid").agg(F.sum("links").alias("links"), F.max("later").alias("later")), "marks")
+    about = attached(classes.select("cid", "key", "first"), marks, "cid").select(
         "key", "first", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("later", F.lit(False)).alias("later"))
     removed = F.col("later") | ~place().eqNullSafe(F.col("first"))
     slim = lines.select("row", "id", "hash", "line", "bytes", "key")

@@ -229,6 +229,24 @@ def test_line_dedup(spark, texts):
     assert {r.id: r.text for r in line_dedup.without_duplicate_lines(short).collect()} == {1: "a b c d e\nkeep", 2: "x", 3: "z"}
 
 
+def test_links_of_a_large_group_make_no_pairs(spark):
+    """60 near copies of a line: links and removals as by brute force, the pairs of the group not compared."""
+    words = [f"w{i}" for i in range(40)]
+    lines = [" ".join(words)] * 3 + [" ".join([*words[:i % 40], f"x{i}", *words[i % 40 + 1:]]) for i in range(60)] + ["p q r s t", "p q r s t u", ""]
+    docs = make_docs(spark, [(None if i == 5 else 100 - i, line) for i, line in enumerate(lines)])
+    order = [(-1 if i == 5 else 100 - i, frozenset(line.split())) for i, line in enumerate(lines) if line]
+    near = [(s, t) for s in {s for _, s in order} for t in {s for _, s in order} if s != t and 100 * len(s & t) >= 80 * len(s | t)]
+    first = {s: min(i for i, t in order if t == s) for _, s in order}
+    expected = {i: (sum(s == a for a, _ in near), i != first[s] or any(s == a and first[b] < first[s] for a, b in near)) for i, s in order}
+    rows = line_dedup.near_duplicate_lines(docs).collect()
+    assert {-1 if r.id is None else r.id: (r.links, r.removed) for r in rows} == expected
+    stored_lines = line_dedup.stored(line_dedup.with_set(line_dedup.split_lines(line_dedup.numbered(docs, "doc_id", "text"))), "lines")
+    classes = line_dedup.stored(line_dedup.word_classes(stored_lines, line_dedup.rarity_levels(stored_lines), 80), "classes")
+    members = line_dedup.hub_members(classes, stored_lines, 80)
+    assert members.count() > 50
+    assert line_dedup.candidate_pairs(classes, members, 80).count() < 200 < 60 * 59 // 2
+
+
 def test_fingerprints(spark, texts):
     unique = [(i, t) for i, t in texts if i is not None][:-1]
     docs = make_docs(spark, unique)
