@@ -247,6 +247,36 @@ def test_links_of_a_large_group_make_no_pairs(spark):
     assert line_dedup.candidate_pairs(classes, members, 80).count() < 200 < 60 * 59 // 2
 
 
+def test_near_copies_that_share_an_edit(spark):
+    """Members of a group too far from its hub to be linked for certain: the words apart from the hub that they share decide."""
+    words = [f"w{i}" for i in range(60)]
+    edits = [[(7 * i + 11 * k) % 60 for k in range(5)] for i in range(30)]
+    lines = [" ".join(words)] * 3 + [" ".join(f"x{i % 4}_{j}" if j in edit else w for j, w in enumerate(words)) for i, edit in enumerate(edits)]
+    order = [(i, frozenset(line.split())) for i, line in enumerate(lines)]
+    sets = {s for _, s in order}
+    links = Counter(s for s in sets for t in sets if s != t and 100 * len(s & t) >= 80 * len(s | t))
+    docs = make_docs(spark, list(enumerate(lines)))
+    assert {r.id: r.links for r in line_dedup.near_duplicate_lines(docs).collect()} == {i: links[s] for i, s in order}
+    stored_lines = line_dedup.stored(line_dedup.with_set(line_dedup.split_lines(line_dedup.numbered(docs, "doc_id", "text"))), "lines")
+    classes = line_dedup.stored(line_dedup.word_classes(stored_lines, line_dedup.rarity_levels(stored_lines), 80), "classes")
+    members = line_dedup.hub_members(classes, stored_lines, 80)
+    of = {r.cid: r.hub for r in members.collect()}
+    met = [(of.get(r.a), of.get(r.b)) for r in line_dedup.candidate_pairs(classes, members, 80).collect()]
+    assert len(of) > 20 and not [p for p in met if p[0] is not None and p[0] == p[1]]
+    near = line_dedup.hub_links(members, 80).collect()
+    assert 0 < len(near) == len({(r.a, r.b) for r in near}) < sum(links.values()) // 2
+
+
+def test_sieve_keeps_its_map_out_of_the_plan(spark):
+    """A map of the wanted keys is broadcast as rows; as a constant it filled the driver, once for each plan that is kept."""
+    wanted = line_dedup.stored(spark.range(0, 1_000_000, 10), "wanted")
+    rows = line_dedup.sieve(spark.range(1_000_000), wanted, ["id"])
+    assert len(rows._jdf.queryExecution().toString()) < 20_000
+    few = rows.groupBy((F.col("id") % 10 == 0).alias("in")).agg(F.sum(F.col("may").cast("int")).alias("n"), F.count(F.lit(1)).alias("of")).collect()
+    assert {r["in"]: r["n"] for r in few}[True] == 100_000 and {r["in"]: r["n"] for r in few}[False] < 100_000
+    assert line_dedup.sieve(spark.range(5), wanted.limit(0), ["id"]).filter("may").count() == 0
+
+
 def test_fingerprints(spark, texts):
     unique = [(i, t) for i, t in texts if i is not None][:-1]
     docs = make_docs(spark, unique)
